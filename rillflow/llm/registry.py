@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import decontaminate, packing, simhash
+from rillflow.llm import decontaminate, licenses, packing, quality, simhash
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_query,
+    "op2_license_scan": licenses.op2_query,
     "op3_benchmark_decontamination": decontaminate.op3_query,
     "op5_best_fit_packing": packing.op5_query,
+    "op7_quality_rules": quality.op7_query,
 }
 _ORACLES: dict[str, str] = {}
 
