@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import decontaminate, extract, kdshard, licenses, packing, quality, simhash
+from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, packing, quality, simhash, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_query,
     "op2_license_scan": licenses.op2_query,
     "op3_benchmark_decontamination": decontaminate.op3_query,
+    "op4_language_id": langid.op4_query,
     "op5_best_fit_packing": packing.op5_query,
     "op6_html_extraction": extract.op6_query,
     "op7_quality_rules": quality.op7_query,
+    "op8_toxicity": toxicity.op8_query,
     "op10_kd_tree_sharding": kdshard.op10_query,
 }
 _ORACLES: dict[str, str] = {}
