@@ -9,7 +9,10 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +43,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a compressed table in the shared folder, for what would be large as a checkpoint.
+
+    The tables are deleted when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _delete_stored() -> None:
+    for spark, path in _stored:
+        with contextlib.suppress(Exception):  # the session may be gone, and the folder with it
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply f to each Arrow batch of the rows."""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, packing, quality, simhash, toxicity
+from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, packing, pitman_yor, quality, simhash, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_query,
@@ -17,6 +17,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extraction": extract.op6_query,
     "op7_quality_rules": quality.op7_query,
     "op8_toxicity": toxicity.op8_query,
+    "op9_lm_scoring": pitman_yor.op9_query,
     "op10_kd_tree_sharding": kdshard.op10_query,
 }
 _ORACLES: dict[str, str] = {}
