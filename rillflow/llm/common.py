@@ -94,6 +94,15 @@ def space_words(raw: bytes) -> list[bytes]:
     return raw.split()
 
 
+def carried(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns in one struct ``_row``, beside more columns, so that no name of the input can clash with ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *more)
+
+
+def row_type(docs: DataFrame) -> str:
+    return f"_row {docs.schema.simpleString()}"
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -168,7 +177,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         size = state
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

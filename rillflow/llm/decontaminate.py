@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import alnum_words, body, map_batches
+from rillflow.llm.common import alnum_words, body, carried, map_batches, row_type
 
-HITS = "doc_id long, text_key long, n_words long, starts array<int>, ends array<int>, items array<string>"
+HITS = "doc_id long, text_key long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
 
 
@@ -165,22 +165,32 @@ def _shingle_counts(docs: DataFrame, index: Index) -> dict[int, int]:
     return {r.code: r.n for r in counts.collect()}
 
 
-def _hits(docs: DataFrame, index: Index, every_row: bool) -> DataFrame:
+def _arrow(rows: list[tuple], names: list[str], kinds: list, row: pa.Array | None) -> pa.RecordBatch:
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[] for _ in names], kinds)]
+    return pa.RecordBatch.from_arrays(columns + ([row] if row is not None else []), names=names + (["_row"] if row is not None else []))
+
+
+SPANS = pa.list_(pa.int32())
+
+
+def _hits(docs: DataFrame, index: Index, carry: str | None) -> DataFrame:
+    """The documents' hits by one block's index; only those with a hit if carry is None."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for doc_id, key, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc_id, key, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "body"))):
             ids = index.numbers(alnum_words(raw))
             start, row = index.occurrences(ids)
-            if len(start) or every_row:
+            if len(start) or carry is not None:
                 a, b = union(start, start + index.length[row])
                 found = sorted({i for n in np.unique(index.number[row]) for i in index.owners[n]})
-                out.append((doc_id, key, len(ids), a.tolist(), b.tolist(), found))
-        names = ["doc_id", "text_key", "n_words", "starts", "ends", "items"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        columns = zip(*out) if out else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
+                out.append((doc_id, key, len(ids), int((b - a).sum()), a.tolist(), b.tolist(), found))
+        names = ["doc_id", "text_key", "n_words", "n_hit", "starts", "ends", "items"]
+        kinds = [*[pa.int64()] * 4, SPANS, SPANS, pa.list_(pa.string())]
+        return _arrow(out, names, kinds, batch.column("_row") if carry else None)
 
-    return map_batches(docs, run, HITS)
+    rows = docs if carry else docs.select("doc_id", "text_key", "body")
+    return map_batches(rows, run, HITS + (f", {carry}" if carry else ""))
 
 
 def contamination(
@@ -193,53 +203,50 @@ def contamination(
     window: int = 10,
     shingle: int = 3,
     block_bytes: int = 8 << 20,
+    carry: bool = False,
 ) -> DataFrame:
     """For each document: n_words, n_hit, the hit intervals [start, end) in words, and the items found.
 
     Null texts have no words, on either side. Items with equal ids count once; an item without an id marks
-    words but is in no list. Repeated documents have a row each.
+    words but is in no list. Repeated documents have a row each. With ``carry`` the columns of docs come along in the struct _row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body"))
-    rows = rows.select("doc_id", F.xxhash64("body").alias("text_key"), "body")
+    text = body(text_col)
+    own = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("body")]
+    rows = carried(docs, *own) if carry else docs.select(*own)
     result, more = None, []
     for block in _blocks(items, item_id, item_text, block_bytes):
         index = Index(block, window, shingle)
         index.order_by_rarity(_shingle_counts(rows, index) if len(index.codes) else {})
         if result is None:
-            result = _hits(rows, index, every_row=True)
+            result = _hits(rows, index, row_type(docs) if carry else "")
         else:
-            more.append(_hits(rows, index, every_row=False))
+            more.append(_hits(rows, index, None))
+    last = ["_row"] if carry else []
+    if not more:
+        return result.select("doc_id", "n_words", "n_hit", "starts", "ends", "items", *last)
     for other in more[1:]:
         more[0] = more[0].union(other)
-    if more:
-        # equal documents have equal hits, so hits are kept once for each (doc_id, text)
-        found = more[0].groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
-            F.flatten(F.collect_set("items")).alias("more_items"),
-            F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("more_spans"),
-        )
-        on = (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id"))
-        spans = F.concat(F.arrays_zip("starts", "ends"), F.coalesce("more_spans", F.array()))
-        result = result.join(found, on, "left").select(
-            "doc_id", "text_key", "n_words",
-            F.transform(spans, lambda s: s["starts"]).alias("starts"),
-            F.transform(spans, lambda s: s["ends"]).alias("ends"),
-            F.concat("items", F.coalesce("more_items", F.array())).alias("items"),
-        )
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, n_hit, items_of = [], [], []
-        for a, b, found in zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "items"))):
+    # equal documents have equal hits, so hits are kept once for each (doc_id, text)
+    found = more[0].groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
+        F.flatten(F.collect_set("items")).alias("more_items"),
+        F.flatten(F.collect_set(F.arrays_zip("starts", "ends"))).alias("more_spans"),
+    )
+    on = (F.col("k") == F.col("text_key")) & F.col("d").eqNullSafe(F.col("doc_id"))
+    spans = F.concat(F.arrays_zip("starts", "ends"), F.coalesce("more_spans", F.array()))
+    result = result.join(found, on, "left").select(
+        "doc_id", "n_words", F.transform(spans, lambda s: s["starts"]).alias("starts"), F.transform(spans, lambda s: s["ends"]).alias("ends"),
+        F.concat("items", F.coalesce("more_items", F.array())).alias("items"), *last,
+    )
+
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for doc_id, n, a, b, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "starts", "ends", "items"))):
             x, y = union(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64))
-            spans.append((x.tolist(), y.tolist()))
-            n_hit.append(int((y - x).sum()))
-            items_of.append(sorted(set(found)))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()),
-             *(pa.array([s[i] for s in spans], pa.list_(pa.int32())) for i in (0, 1)), pa.array(items_of, pa.list_(pa.string()))],
-            names=["doc_id", "n_words", "n_hit", "starts", "ends", "items"],
-        )
-
-    return map_batches(result, count, RESULT)
+            out.append((doc_id, n, int((y - x).sum()), x.tolist(), y.tolist(), sorted(set(found))))
+        names = ["doc_id", "n_words", "n_hit", "starts", "ends", "items"]
+        return _arrow(out, names, [*[pa.int64()] * 3, SPANS, SPANS, pa.list_(pa.string())], batch.column("_row") if carry else None)
+
+    return map_batches(result, merge, RESULT + (f", {row_type(docs)}" if carry else ""))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import crc_mod, map_batches
+from rillflow.llm.common import carried, crc_mod, map_batches, row_type
 
 BITS = 16
 DIM = 1 << BITS
@@ -130,38 +130,35 @@ def sample(rows: DataFrame, train_rows: int) -> tuple[list[bytes], list[str]]:
 
 def predict(
     docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = 1600,
-    landmarks: int = 192, keep: list[str] | None = None,
+    landmarks: int = 192, carry: bool = False,
 ) -> DataFrame:
     """Rows with lang_pred and score, fitted on the labelled rows of docs that satisfy ``train``.
 
-    Returns the id as ``doc_id`` (or the columns of ``keep``), lang_pred and score. Texts that are null or without a letter get ``und``
-    with score 0, and so does every text if no row is labelled. Only texts enter a prediction.
+    Returns (doc_id, lang_pred, score), or with ``carry`` (_row, lang_pred, score) with all columns of docs in the struct _row. Texts that
+    are null or without a letter get ``und`` with score 0, and so does every text if no row is labelled. Only texts enter a prediction.
     """
     rows = docs.where(train).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")
     )
     model = fit(*sample(rows, train_rows), landmarks)
-    kept = keep or ["doc_id"]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    texts = docs.select(
-        *([F.col(id_col).cast("long").alias("doc_id")] if keep is None else [F.col(c) for c in keep]),
-        F.col(text_col).cast("string").alias("_langid_text"),
-    )
-    schema = ", ".join(["doc_id long"] if keep is None else [f"`{c}` {fields[c]}" for c in keep])
+    text = F.col(text_col).cast("string").alias("text")
+    texts = carried(docs, text) if carry else docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    kept = "_row" if carry else "doc_id"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores, some = [], [], []
-        for n, text in enumerate(batch.column("_langid_text").to_pylist()):
+        for n, text in enumerate(batch.column("text").to_pylist()):
             langs.append("und")
             scores.append(0.0)
             if model is not None and (mask := presence(text)) is not None:
                 some.append((n, mask))
-            if len(some) == 32 or some and n == batch.num_rows - 1:
+            if len(some) == 32:
                 decide(some, langs, scores)
                 some.clear()
+        if some:
+            decide(some, langs, scores)
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-            names=[*kept, "lang_pred", "score"],
+            [batch.column(kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[kept, "lang_pred", "score"]
         )
 
     def decide(some, langs, scores) -> None:
@@ -171,7 +168,7 @@ def predict(
         for (n, _), best, p in zip(some, values.argmax(axis=1), share):
             langs[n], scores[n] = model.languages[best], float(p[best])
 
-    return map_batches(texts, run, f"{schema}, lang_pred string, score double")
+    return map_batches(texts, run, f"{row_type(docs) if carry else 'doc_id long'}, lang_pred string, score double")
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

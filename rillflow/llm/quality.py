@@ -155,13 +155,14 @@ def judged(
     reach: float = 4.0,
     least_rows: int = 50,
     broadcast_rows: int = 20_000,
+    cut_rows: Callable[[DataFrame], DataFrame] = cut,
 ) -> DataFrame:
     """Rows that carry the struct ``_m_`` (see ``measured``) with ``_base_failed`` and ``_kept`` added.
 
     kept is false where the base rules fail and else the verdict of the adaptive rules. Null languages
     and sources are groups of their own. Without any row that passes the base rules there is nothing to compare with.
     """
-    rows = cut(measured_rows)
+    rows = cut_rows(measured_rows)
     table = cut(thresholds(rows, "_m_", (lang_col, source_col)))
     names = list(measures(F.col("_m_")))
     stats = [F.struct("n", *names)]

@@ -23,8 +23,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ORACLES: dict[str, str] = {}
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import PIECE, body, components, cut, map_batches, space_words
+from rillflow.llm.common import PIECE, body, carried, components, cut, map_batches, row_type, space_words, store
 
 BLOCKS = list(combinations(range(4), 2))
 
@@ -102,6 +102,14 @@ def links(fps: DataFrame, list_limit: int = 64) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _classes(nodes: DataFrame, list_limit: int) -> DataFrame:
+    """(fp, least): the least ``first`` among the nodes (fp, first) that can be reached from fp."""
+    roots = components(links(nodes.select("fp"), list_limit), "a", "b")
+    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("least"))
+    return grouped.join(least, "root").select("fp", "least")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, list_limit: int = 64
 ) -> DataFrame:
@@ -112,14 +120,37 @@ def near_duplicates(
     """
     rows = cut(fingerprints(docs, id_col, text_col, words))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = links(nodes.select("fp"), list_limit)
-    roots = components(edges, "a", "b")
-    grouped = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = _classes(nodes, list_limit)
+    return rows.join(classes, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, list_limit: int = 64
+) -> DataFrame:
+    """One row of each class, with the columns of docs: that of the least doc_id (a null id comes last; among repeats, one of them).
+
+    Rows are numbered as they are written to the shared folder. Only numbers and fingerprints go through the grouping; the rows are then
+    met by number, so a group of copies of any size is spread evenly.
+    """
+    from pyspark import TaskContext
+
+    def run(batches):
+        uid = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            n = batch.num_rows
+            fp = [fingerprint(x, words) for x in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("id"), pa.array(fp, pa.int64()), pa.array(np.arange(uid, uid + n))],
+                names=["_row", "id", "fp", "uid"],
+            )
+            uid += n
+
+    texts = carried(docs, F.col(id_col).cast("long").alias("id"), body(text_col).alias("body"))
+    rows = store(texts.mapInArrow(run, f"{row_type(docs)}, id long, fp long, uid long"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "uid")
+    nodes = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
+    kept = _classes(nodes, list_limit).select(F.col("least.uid").alias("uid")).distinct()
+    return rows.join(kept, "uid", "left_semi").select("_row.*")
 
 
 def hex_digits(col: F.Column) -> F.Column:
