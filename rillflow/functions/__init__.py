@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Column expressions and plan helpers shared by the operators."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Operators: DataFrame in, DataFrame out, lazy; keys begin with ``scenario`` so that all scenarios are one job."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Registered queries over the test tables, with the SQL that checks them."""

@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Structured Streaming counterparts of the batch operators."""
