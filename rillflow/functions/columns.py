@@ -68,7 +68,7 @@ def finite(x: Column) -> Column:
 
 def phase(states: Column) -> Column:
     """The phase of an event from its sorted, pipe-joined ground-truth states."""
-    tokens = F.array_distinct(F.filter(F.transform(F.split(states, r"\|"), F.trim), lambda x: x != ""))
+    tokens = F.array_distinct(F.filter(F.transform(F.split(states, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
     return (
         F.when(F.array_contains(tokens, "fault_active"), "primary")
         .when(tokens == F.array(F.lit("recovery")), "recovery_transient")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillflow.functions.columns import joined
+from rillflow.operators.scenarios import report_means as batch_means
 
 
 def timed(rows: DataFrame, late: str | None = None) -> DataFrame:
@@ -35,15 +36,13 @@ def session_events(anomalies: DataFrame, max_gap_s: int, late: str | None = None
 
 def report_means(readings: DataFrame, period_s: int, late: str | None = None) -> DataFrame:
     """Means over (t - period, t]: tumbling windows over the time moved by a microsecond, as Spark's are closed on the left."""
-    rows = timed(readings, late)
     if late:
-        rows = rows.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 MICROSECOND"))
+        ts = F.timestamp_seconds("timestamp_s") - F.expr("INTERVAL 1 MICROSECOND")
+        rows = readings.withColumn("ts", ts).withWatermark("ts", late)
         w = F.window("ts", f"{period_s} seconds")
         out = rows.groupBy(w.alias("w"), "scenario", "asset_id", "asset_type", "parameter").agg(F.avg("value").alias("value"))
         return out.select("scenario", F.unix_timestamp("w.end").alias("timestamp_s"), "asset_id", "asset_type", "parameter", "value")
-    from rillflow.operators.scenarios import report_means as batch
-
-    return batch(readings, period_s)
+    return batch_means(readings, period_s)
 
 
 INCIDENT_DDL = "scenario string, detected_at_s long, last_seen_s long, step_count long"
