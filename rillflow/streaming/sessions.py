@@ -37,11 +37,12 @@ def session_events(anomalies: DataFrame, max_gap_s: int, late: str | None = None
 def report_means(readings: DataFrame, period_s: int, late: str | None = None) -> DataFrame:
     """Means over (t - period, t]: tumbling windows over the time moved by a microsecond, as Spark's are closed on the left."""
     if late:
-        ts = F.timestamp_seconds("timestamp_s") - F.expr("INTERVAL 1 MICROSECOND")
+        ahead = period_s * (86_400 // period_s + 1)  # a watermark begins at 1970, and step 0 lies just before it
+        ts = F.timestamp_seconds(F.col("timestamp_s") + ahead) - F.expr("INTERVAL 1 MICROSECOND")
         rows = readings.withColumn("ts", ts).withWatermark("ts", late)
         w = F.window("ts", f"{period_s} seconds")
         out = rows.groupBy(w.alias("w"), "scenario", "asset_id", "asset_type", "parameter").agg(F.avg("value").alias("value"))
-        return out.select("scenario", F.unix_timestamp("w.end").alias("timestamp_s"), "asset_id", "asset_type", "parameter", "value")
+        return out.select("scenario", (F.unix_timestamp("w.end") - ahead).alias("timestamp_s"), "asset_id", "asset_type", "parameter", "value")
     return batch_means(readings, period_s)
 
 
