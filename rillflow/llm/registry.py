@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, packing, pitman_yor, quality, simhash, toxicity
+from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, oracles, packing, pitman_yor, quality, simhash, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_query,
@@ -20,7 +20,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": pitman_yor.op9_query,
     "op10_kd_tree_sharding": kdshard.op10_query,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op2_license_scan": oracles.licenses(),
+    "op3_benchmark_decontamination": oracles.decontamination(),
+    "op7_quality_rules": oracles.quality(),
+}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
