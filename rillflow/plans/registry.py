@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import gaussian, noise_scale, phase, severity_rank, wilson
-from rillflow.operators import contracts, detect, evaluate, graph, scenarios, tabular
+from rillflow.functions.lineage import cut
+from rillflow.operators import contracts, detect, diagnosis, evaluate, graph, retrieval, scenarios, tabular
 from rillflow.plans import fixtures as fx
 from rillflow.schemas import KEY
 from rillflow.streaming.sessions import session_events
@@ -580,6 +581,44 @@ def peak_severity_by_scenario(spark, d):
     return _detected(spark, d).groupBy("scenario").agg(top.cast("long").alias("peak_rank"), F.count_if("is_anomaly").alias("anomalies"))
 
 
+def _case(spark: SparkSession, d: str):
+    """The supply tree down to nations as a building, and the incidents' candidates placed on nations."""
+    tree = fx.supply_tree(spark, d).where("child LIKE 'R%' OR child LIKE 'N%'")
+    first = F.substring("child", 1, 1)
+    none = F.lit(None).cast("string")
+    own = tree.select(
+        F.col("child").alias("asset_id"), F.when(first == "R", "pipe").otherwise("junction").alias("kind"), F.when(first == "R", "downtake").otherwise("flat_inlet").alias("role"),
+        F.col("child").alias("label"), none.alias("room"), F.col("parent").alias("flat"), F.lit(0).alias("floor"))
+    root = spark.createDataFrame([("WORLD", "reservoir", "source", "WORLD", None, None, 0)], own.schema)
+    sensors = tree.where("child LIKE 'N%'").select(F.concat(F.lit("p"), "child").alias("sensor_id"), F.col("child").alias("asset_id"), F.lit("pressure").alias("parameter"))
+    building = retrieval.Building(own.union(root), tree, sensors)
+    place = F.concat(F.lit("N"), F.substring("asset_id", 2, 2).cast("int").cast("string"))
+    key = F.concat_ws("-", "scenario", "incident_no")
+    found = _members(spark, d)
+    heads = found.groupBy("scenario", "incident_no").agg(F.min("timestamp_s").alias("detected_at_s"), F.max("timestamp_s").alias("last_seen_s"))
+    heads = cut(heads.select(key.alias("incident"), "scenario", "detected_at_s", "last_seen_s"))
+    candidates = cut(detect.candidates(found).where("parameter = 'pressure'").withColumns({"incident": key, "asset_id": place}))
+    events = cut(detect.flag(_scored(spark, d), 1.5).where("parameter = 'pressure'").withColumn("asset_id", place))
+    named = retrieval.alarms(candidates, building)
+    rows = retrieval.classified(named, events, heads, building)
+    span, bounds = retrieval.suspect_spans(rows, building)
+    return building, heads, rows, retrieval.timelines(named, events, heads), span, bounds
+
+
+@query()
+def evidence_packets(spark, d):
+    building, heads, rows, series, span, bounds = _case(spark, d)
+    near = retrieval.context(rows, span, bounds, retrieval.low_tank_chains(rows, building), building)
+    return retrieval.packets(rows, near, series, heads, building)
+
+
+@query()
+def diagnoses(spark, d):
+    building, heads, rows, series, span, bounds = _case(spark, d)
+    out = diagnosis.diagnose(diagnosis.hypotheses(rows, series, span, bounds, heads, building))
+    return out.withColumn("alternatives", F.to_json("alternatives"))
+
+
 def top_candidates(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
     """The first n candidates of each incident (WindowGroupLimit in the plan)."""
     w = Window.partitionBy("scenario", "incident_no").orderBy("position")
