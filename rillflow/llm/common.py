@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,15 +70,52 @@ def _delete_stored() -> None:
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply f to each Arrow batch of the rows."""
+def release() -> None:
+    """Give memory that is free back to the system: workers outlive their tasks, and several wait on one executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Have Spark send texts to Python in batches of this size, unless the session asks for less: a worker and its
+    executor hold several at a time. This is a setting of the session, as plans read it when they run."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower()
+    scale = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = now.rstrip("bkmg")
+    unit = now[len(digits) :].removesuffix("b") or "b"
+    if digits.isdigit() and int(digits) * scale.get(unit, 1) > int(size[:-1]) << 20:
+        spark.conf.set(key, size)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose tasks leave no free memory behind."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply f to Arrow batches of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
+        return map(f, slices(batches))
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def body(text_col: str = "text") -> Column:
@@ -99,6 +138,11 @@ def carried(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *more)
 
 
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of the carried rows, so that a text goes to Python once."""
+    return pc.struct_field(batch.column("_row"), name)
+
+
 def row_type(docs: DataFrame) -> str:
     return f"_row {docs.schema.simpleString()}"
 
@@ -134,7 +178,7 @@ def ranked(df: DataFrame, key: str, names: tuple[str, str] = ("_part", "_nth"))
             columns = [*batch.columns, pa.array(np.full(len(keys), part, dtype=np.int32)), pa.array(nth)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(run, out)
+    return map_arrow(df, run, out)
 
 
 def offsets(df: DataFrame, key: str) -> DataFrame:

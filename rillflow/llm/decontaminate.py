@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import alnum_words, body, carried, map_batches, row_type
+from rillflow.llm.common import alnum_words, body, carried, field, map_arrow, map_batches, row_type
 
 HITS = "doc_id long, text_key long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
@@ -161,7 +161,7 @@ def _shingle_counts(docs: DataFrame, index: Index) -> dict[int, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(index.codes[at]), pa.array(total[at])], names=["code", "n"])
 
-    counts = docs.select("body").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select("body"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return {r.code: r.n for r in counts.collect()}
 
 
@@ -173,13 +173,14 @@ def _arrow(rows: list[tuple], names: list[str], kinds: list, row: pa.Array | Non
 SPANS = pa.list_(pa.int32())
 
 
-def _hits(docs: DataFrame, index: Index, carry: str | None) -> DataFrame:
-    """The documents' hits by one block's index; only those with a hit if carry is None."""
+def _hits(docs: DataFrame, index: Index, text_col: str, carry: str | None) -> DataFrame:
+    """The documents' hits by one block's index; only those with a hit if carry is None. Texts come from the carried rows if there are any."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for doc_id, key, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "body"))):
-            ids = index.numbers(alnum_words(raw))
+        texts = field(batch, text_col).cast(pa.binary()).to_pylist() if carry else batch.column("body").to_pylist()
+        for doc_id, key, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts):
+            ids = index.numbers(alnum_words(raw or b""))
             start, row = index.occurrences(ids)
             if len(start) or carry is not None:
                 a, b = union(start, start + index.length[row])
@@ -189,7 +190,7 @@ def _hits(docs: DataFrame, index: Index, carry: str | None) -> DataFrame:
         kinds = [*[pa.int64()] * 4, SPANS, SPANS, pa.list_(pa.string())]
         return _arrow(out, names, kinds, batch.column("_row") if carry else None)
 
-    rows = docs if carry else docs.select("doc_id", "text_key", "body")
+    rows = docs.drop("body") if carry else docs.select("doc_id", "text_key", "body")
     return map_batches(rows, run, HITS + (f", {carry}" if carry else ""))
 
 
@@ -218,9 +219,9 @@ def contamination(
         index = Index(block, window, shingle)
         index.order_by_rarity(_shingle_counts(rows, index) if len(index.codes) else {})
         if result is None:
-            result = _hits(rows, index, row_type(docs) if carry else "")
+            result = _hits(rows, index, text_col, row_type(docs) if carry else "")
         else:
-            more.append(_hits(rows, index, None))
+            more.append(_hits(rows, index, text_col, None))
     last = ["_row"] if carry else []
     if not more:
         return result.select("doc_id", "n_words", "n_hit", "starts", "ends", "items", *last)

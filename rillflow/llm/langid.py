@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import carried, crc_mod, map_batches, row_type
+from rillflow.llm.common import carried, crc_mod, field, map_batches, row_type
 
 BITS = 16
 DIM = 1 << BITS
@@ -141,13 +141,12 @@ def predict(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")
     )
     model = fit(*sample(rows, train_rows), landmarks)
-    text = F.col(text_col).cast("string").alias("text")
-    texts = carried(docs, text) if carry else docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    texts = carried(docs) if carry else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kept = "_row" if carry else "doc_id"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, scores, some = [], [], []
-        for n, text in enumerate(batch.column("text").to_pylist()):
+        for n, text in enumerate((field(batch, text_col) if carry else batch.column("text")).to_pylist()):
             langs.append("und")
             scores.append(0.0)
             if model is not None and (mask := presence(text)) is not None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import alnum_words, body, map_batches
+from rillflow.llm.common import alnum_words, body, map_arrow, map_batches
 
 
 @dataclass(frozen=True)
@@ -158,7 +158,7 @@ def _counts(rows: DataFrame, matcher: Matcher) -> list[int]:
                 total += np.bincount(matcher.numbers(alnum_words(raw)), minlength=n)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], names=["word", "n"])
 
-    sums = rows.select("body").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sums = map_arrow(rows.select("body"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = [0] * n
     for r in sums:
         counts[r.word] = r.n

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import PIECE, body, carried, components, cut, map_batches, row_type, space_words, store
+from rillflow.llm.common import PIECE, body, carried, components, cut, field, map_arrow, map_batches, row_type, slices, space_words, store
 
 BLOCKS = list(combinations(range(4), 2))
 
@@ -136,17 +136,17 @@ def representatives(
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in slices(batches):
             n = batch.num_rows
-            fp = [fingerprint(x, words) for x in batch.column("body").to_pylist()]
+            fp = [fingerprint(x or b"", words) for x in field(batch, text_col).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_row"), batch.column("id"), pa.array(fp, pa.int64()), pa.array(np.arange(uid, uid + n))],
                 names=["_row", "id", "fp", "uid"],
             )
             uid += n
 
-    texts = carried(docs, F.col(id_col).cast("long").alias("id"), body(text_col).alias("body"))
-    rows = store(texts.mapInArrow(run, f"{row_type(docs)}, id long, fp long, uid long"))
+    texts = carried(docs, F.col(id_col).cast("long").alias("id"))
+    rows = store(map_arrow(texts, run, f"{row_type(docs)}, id long, fp long, uid long"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "uid")
     nodes = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
     kept = _classes(nodes, list_limit).select(F.col("least.uid").alias("uid")).distinct()
