@@ -46,9 +46,9 @@ def fault_type_summary(summary: DataFrame) -> DataFrame:
     return summary.groupBy("fault_type").agg(
         F.count(F.lit(1)).alias("scenario_count"), F.count_if("detected").alias("detected_scenario_count"),
         F.sum("primary_event_count").alias("primary_event_count"), F.sum("recovery_event_count").alias("recovery_event_count"),
-        *(f(F.col(f"detection_delay_{u}")).alias(f"{n}_detection_delay_{u}") for u in "sh" for n, f in (("mean", F.avg), ("median", F.median), ("max", F.max))),
+        *(f(F.col(f"detection_delay_{u}")).alias(f"{n}_detection_delay_{u}") for u in "sh" for n, f in (("mean", F.avg), ("median", F.median), ("maximum", F.max))),
         *(f(F.col(f"primary_event_span_{u}")).alias(f"{n}_primary_event_span_{u}") for u in "sh" for n, f in (("mean", F.avg), ("median", F.median))),
-        F.avg("primary_anomaly_record_count").alias("mean_primary_anomaly_records"), F.avg("primary_affected_asset_count").alias("mean_primary_affected_assets"),
+        F.avg("primary_anomaly_record_count").alias("mean_primary_anomaly_records"), F.avg("primary_affected_asset_count").alias("mean_affected_asset_count"),
         F.avg("primary_peak_abs_residual").alias("mean_peak_abs_residual"),
     ).withColumn("detection_rate", F.col("detected_scenario_count") / F.col("scenario_count")).withColumn("detection_rate_percent", F.col("detection_rate") * 100)
 

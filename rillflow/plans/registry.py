@@ -241,13 +241,13 @@ def scenario_summary(spark, d):
 
 
 @query("WITH " + SUMMARY + """ SELECT fault_type, count(*) AS scenario_count, count(*) FILTER (detected) AS detected_scenario_count, CAST(sum(primary_event_count) AS BIGINT) AS primary_event_count,
-  round(avg(detection_delay_s), 6) AS mean_detection_delay_s, round(median(detection_delay_s), 6) AS median_detection_delay_s, max(detection_delay_s) AS max_detection_delay_s,
+  round(avg(detection_delay_s), 6) AS mean_detection_delay_s, round(median(detection_delay_s), 6) AS median_detection_delay_s, max(detection_delay_s) AS maximum_detection_delay_s,
   round(avg(primary_event_span_s / 3600), 6) AS mean_primary_event_span_h, round(avg(primary_anomaly_record_count), 6) AS mean_primary_anomaly_records,
   round(avg(primary_peak_abs_residual), 5) AS mean_peak_abs_residual, round(100 * count(*) FILTER (detected) / count(*), 6) AS detection_rate_percent FROM summary GROUP BY fault_type""")
 def fault_type_summary(spark, d):
     rows = evaluate.fault_type_summary(_summary(spark, d)).withColumn("mean_peak_abs_residual", F.round("mean_peak_abs_residual", 5))
     return rounded(rows.select("fault_type", "scenario_count", "detected_scenario_count", "primary_event_count", "mean_detection_delay_s", "median_detection_delay_s",
-                               "max_detection_delay_s", "mean_primary_event_span_h", "mean_primary_anomaly_records", "mean_peak_abs_residual", "detection_rate_percent"))
+                               "maximum_detection_delay_s", "mean_primary_event_span_h", "mean_primary_anomaly_records", "mean_peak_abs_residual", "detection_rate_percent"))
 
 
 @query("WITH " + LABELLED + """ SELECT coalesce(evaluation_label, 'all') AS evaluation_label, count(*) AS event_count, CAST(sum(anomaly_record_count) AS BIGINT) AS records

@@ -1,0 +1,57 @@
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from rillflow.operators import building as b
+from rillflow.operators import graph
+from rillflow.operators.contracts import ContractError
+from rillflow.sources import network
+
+
+@pytest.fixture(scope="module")
+def net(spark):
+    n = b.generate(spark)
+    return b.Network(n.spec, n.nodes.cache(), n.links.cache(), n.sensors, n.flats, n.rooms, n.patterns)
+
+
+def test_composition(net):
+    assert (net.nodes.count(), net.links.count(), net.sensors.count(), net.rooms.count(), net.flats.count()) == (131, 130, 103, 140, 14)
+    assert net.nodes.groupBy("kind").count().orderBy("kind").rdd.map(tuple).collect() == [("junction", 128), ("reservoir", 1), ("tank", 2)]
+    t = {r.relation: r["count"] for r in net.triples().groupBy("relation").count().collect()}
+    assert t == {"FEEDS": 260, "LOCATED_IN": 261, "MONITORS": 103, "PART_OF": 91}  # wet rooms, flats and floors have assets
+    assert net.nodes.agg(F.sum("base_demand")).first()[0] == pytest.approx(14 * 4.5 * 0.135 / 86400)
+    assert all(r.m == pytest.approx(1) for r in net.patterns.groupBy("pattern").agg(F.avg("multiplier").alias("m")).collect())
+
+
+def test_it_is_a_tree_with_orthogonal_mirrored_routes(net):
+    tree = graph.orient(net.links.select("asset_id", "start", "end"), "CITY")
+    assert tree.count() == 130
+    for r in net.links.collect():
+        assert all(sum(x != y for x, y in zip(p, q)) == 1 for p, q in zip(r.path, r.path[1:])) and r.length > 0, r.asset_id
+    at = {r.asset_id: r.point for r in net.nodes.collect()}
+    assert at["F2A-KIT"][0] + at["F2B-KIT"][0] == net.spec.width and at["F2A-KIT"][1:] == at["F2B-KIT"][1:]
+    path = graph.upstream_path(net.building().feeds, net.nodes.where("asset_id = 'F3A-KIT'").select(F.col("asset_id").alias("node"))).first().path
+    assert path == ("F3A-KIT>F3A-KIT-BR>F3A-TK>F3A-MAIN-K>F3A-IN>F3A-SUPPLY>DTA-3>DTA-4-3>DTA-4>DTA-5-4>DTA-5>DTA-6-5>DTA-6>ROOF-A>ROOF-MAN>OHT-OUTLET>OHT>RISING-MAIN>PUMP-DEL>PUMP1>SUMP>CITY-INLET>CITY")
+
+
+def test_files_round_trip(spark, net, tmp_path):
+    b.layout(net).write.text(str(tmp_path / "layout"))
+    back = b.read_layout(spark, str(tmp_path / "layout"))
+    assert (back.assets.count(), back.feeds.count(), back.sensors.count()) == (261, 260, 103)
+    (tmp_path / "x.json").write_text('{"schema": "other/1"}')
+    with pytest.raises(ContractError):
+        b.read_layout(spark, str(tmp_path / "x.json"))
+    (tmp_path / "n.inp").write_text(b.inp_text(net))
+    v, e = network.read_network(spark, str(tmp_path / "n.inp"))
+    assert network.network_summary(v, e).first().asDict() == dict(junctions=128, tanks=2, reservoirs=1, pipes=129, pumps=1, valves=0)
+    mine = {r.asset_id: r.diameter for r in net.links.where("kind = 'pipe'").collect()}
+    assert all(r.diameter == pytest.approx(mine[r.asset_id]) for r in e.where("kind = 'pipe'").collect())
+
+
+def test_specifications_are_checked_and_layouts_named(spark, net):
+    for bad in (dict(floors=0), dict(stacks=()), dict(rooms=b.ROOMS[:2]), dict(patterns={"bath": (1.0,)}), dict(pump_start_level=1.95), dict(patterns=b.PATTERNS | {"bath": (-1.0,) * 24})):
+        with pytest.raises(ContractError):
+            b.generate(spark, replace(b.Spec(), **bad))
+    sizes = {k: v.count() for k, v in b.sensor_layouts(net).items()}
+    assert sizes["full"] == 103 and sizes["no_room_meters"] == 33 and sizes["pressure_only"] == 16 and 30 < sizes["half"] < 75
