@@ -47,11 +47,13 @@ def noise_scale(parameter: Column, truth: Column, spec: Mapping[str, tuple[float
     return out
 
 
-def gaussian(seed: int, *key: Column) -> Column:
+def gaussian(seed: int | Column, *key: Column) -> Column:
     """A standard normal draw that depends only on the seed and the row's key, so adding rows shifts nothing."""
 
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+
     def unit(salt: int) -> Column:
-        h = F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *key), F.lit(1 << 52))
+        h = F.pmod(F.xxhash64(seed, F.lit(salt), *key), F.lit(1 << 52))
         return (h.cast("double") + 0.5) / float(1 << 52)
 
     return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import by_parameter, gaussian, noise_scale, ratio_or_infinite
@@ -13,7 +13,7 @@ DETECTED = ("pressure", "flowrate")  # a leak is added demand, so demand would g
 
 
 def observe(
-    readings: DataFrame, spec: Mapping[str, tuple[float, float]], sensors: DataFrame | None = None, seed: int = 42, noise: bool = True
+    readings: DataFrame, spec: Mapping[str, tuple[float, float]], sensors: DataFrame | None = None, seed: int | Column = 42, noise: bool = True
 ) -> DataFrame:
     """What instruments report: covered assets only, the truth kept beside the noisy value, and the noise's scale.
 
