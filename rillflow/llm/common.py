@@ -152,33 +152,36 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def ranked(df: DataFrame, key: str, names: tuple[str, str] = ("_part", "_nth")) -> DataFrame:
-    """Add the partition's number and each row's place (from 0) among its partition's rows of one key.
+def ranks(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, str] = ("_part", "_nth")) -> Iterator[pa.RecordBatch]:
+    """A task's batches with the partition's number and each row's place (from 0) among the task's rows of one key.
 
     No shuffle and no sort: ranks over the whole table follow by adding, for each partition, what the
     partitions before it hold (``offsets``). Cut the lineage before using both.
     """
-    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, {names[0]} int, {names[1]} long"
-    at = df.columns.index(key)
+    from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        seen: dict[int, int] = {}
-        for batch in batches:
-            keys = batch.column(at).to_numpy(zero_copy_only=False)
-            order = np.argsort(keys, kind="stable")
-            values, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
-            nth = np.empty(len(keys), dtype=np.int64)
-            base = np.array([seen.get(int(v), 0) for v in values], dtype=np.int64)
-            nth[order] = np.arange(len(keys)) - np.repeat(first, counts) + np.repeat(base, counts)
-            for v, c in zip(values, counts):
-                seen[int(v)] = seen.get(int(v), 0) + int(c)
-            columns = [*batch.columns, pa.array(np.full(len(keys), part, dtype=np.int32)), pa.array(nth)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
-
-    return map_arrow(df, run, out)
+    part = TaskContext.get().partitionId()
+    seen: dict[int, int] = {}
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        order = np.argsort(keys, kind="stable")
+        values, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
+        nth = np.empty(len(keys), dtype=np.int64)
+        base = np.array([seen.get(int(v), 0) for v in values], dtype=np.int64)
+        nth[order] = np.arange(len(keys)) - np.repeat(first, counts) + np.repeat(base, counts)
+        for v, c in zip(values, counts):
+            seen[int(v)] = seen.get(int(v), 0) + int(c)
+        columns = [*batch.columns, pa.array(np.full(len(keys), part, dtype=np.int32)), pa.array(nth)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+
+
+RANKS = "_part int, _nth long"
+
+
+def ranked(df: DataFrame, key: str) -> DataFrame:
+    """The rows with ``ranks`` by key."""
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return map_arrow(df, lambda batches: ranks(batches, key), f"{out}, {RANKS}")
 
 
 def offsets(df: DataFrame, key: str) -> DataFrame:

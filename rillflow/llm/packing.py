@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import cut, map_batches, offsets, ranked
+from rillflow.llm.common import RANKS, cut, map_arrow, offsets, ranks, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -71,9 +71,9 @@ def pieces(
     docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
     with_ids: bool = False,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document; a null text is empty."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document, ranked by length in their task; a null text is empty."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut_up(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(tokenizer)
         out: list[list] = [[], [], [], [], []]
         tokens: list[list[int]] = []
@@ -96,7 +96,8 @@ def pieces(
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return map_batches(rows, run, PIECES + (", ids array<int>" if with_ids else ""))
+    schema = PIECES + (", ids array<int>" if with_ids else "")
+    return map_arrow(rows, lambda batches: ranks(map(cut_up, slices(batches)), "length"), f"{schema}, {RANKS}")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -147,7 +148,7 @@ def pack(
     The plan has at most a few rows for each length. It is broadcast up to broadcast_rows of them; a longer
     plan is joined by length like any table.
     """
-    cutted = cut(ranked(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "length"))
+    cutted = cut(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids))
     histogram = {r.length: r["count"] for r in cutted.groupBy("length").count().collect()}
     slots = plan(histogram, capacity)
     spark = docs.sparkSession
