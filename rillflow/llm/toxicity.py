@@ -82,7 +82,7 @@ class Model:
 
 
 def fit(
-    rows: list[tuple[np.ndarray, int]], epochs: int = 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0
+    rows: list[tuple[np.ndarray, int]], epochs: int = 20, alpha: float = 3.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0
 ) -> Model:
     """FTRL-proximal over the rows, in the order given, ``epochs`` times. Without rows every score is one half."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
