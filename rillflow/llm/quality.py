@@ -169,10 +169,9 @@ def judged(
     small = table.count() <= broadcast_rows
 
     def level(which: int, *keys: str) -> DataFrame:
-        own = table.where(F.col("level") == which)
-        own = own if not keys else own.where(F.col("n") >= least_rows)
+        own = table.where((F.col("level") == which) & (F.col("n") >= least_rows))
         own = own.select(*(F.col(k).alias(f"_{which}_{k}") for k in keys), stats[0].alias(f"_s{which}"))
-        return F.broadcast(own) if small or not keys else own
+        return F.broadcast(own) if small else own
 
     def on(which: int, **keys: str) -> Column:
         parts = [F.col(f"_{which}_{k}").eqNullSafe(F.col(c).cast("string")) for k, c in keys.items()]
@@ -183,8 +182,12 @@ def judged(
 
     found = rows.join(level(0, "k_lang", "k_source"), on(0, k_lang=lang_col, k_source=source_col), "left")
     found = found.join(level(1, "k_lang"), on(1, k_lang=lang_col), "left")
-    found = found.join(level(3), F.lit(True), "left")  # one row at most
-    stat = F.coalesce("_s0", "_s1", "_s3")
+    # one row at most: its few numbers go into the plan
+    overall = table.where("level = 3").select("n", *names).first()
+    stat = F.coalesce("_s0", "_s1")
+    if overall is not None:
+        numbers = [F.array(*map(F.lit, overall[c])).alias(c) for c in names]
+        stat = F.coalesce(stat, F.struct(F.lit(overall.n).alias("n"), *numbers))
     values = measures(F.col("_m_"))
     bad = F.lit(False)
     for rule in rules:
