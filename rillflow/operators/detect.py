@@ -57,9 +57,10 @@ def mad_scores(observed: DataFrame, by: Sequence[str] = ("scenario", "parameter"
     return rows.withColumn("score", ratio_or_infinite(F.abs("residual"), scale)).withColumnRenamed("value", "observed")
 
 
-def flag(scored: DataFrame, threshold: float = 4.0) -> DataFrame:
-    """Readings whose score is strictly over the threshold."""
-    return scored.where((F.col("score") > threshold) & ~F.isnan("score"))
+def flag(scored: DataFrame, threshold: float = 4.0, inclusive: bool = False) -> DataFrame:
+    """Readings whose score is over the threshold: strictly, but in interactive views at the threshold too."""
+    over = F.col("score") >= threshold if inclusive else F.col("score") > threshold
+    return scored.where(over & ~F.isnan("score"))
 
 
 def positive_steps(flagged: DataFrame, min_assets: int = 2) -> DataFrame:

@@ -27,6 +27,46 @@ def check_topology(vertices: DataFrame, edges: DataFrame) -> None:
         raise ContractError("endpoints", f"unknown node: {r[0].asset_id}")
 
 
+NODE_KINDS = {"junction": ("elevation", "base_demand"), "tank": ("elevation", "min_level", "init_level", "max_level", "diameter"), "reservoir": ("base_head",)}
+LINK_KINDS = {"pipe": ("length", "diameter", "roughness"), "pump": (), "valve": ("diameter",)}
+
+
+def validate(vertices: DataFrame, edges: DataFrame, connected: bool = True) -> DataFrame:
+    """(rule, asset_id) of all that is wrong with a network: kinds, missing attributes, values out of range, repeated ids, ends, loops, and
+    nodes out of the main component. An empty result is a valid network."""
+
+    def broken(df: DataFrame, rule: str, condition: Column) -> DataFrame:
+        return df.where(condition).select(F.lit(rule).alias("rule"), "asset_id")
+
+    def lacks(kinds: dict[str, tuple[str, ...]]) -> Column:
+        out = F.lit(False)
+        for kind, needed in kinds.items():
+            for c in needed:
+                out = out | ((F.col("kind") == kind) & F.col(c).isNull())
+        return out
+
+    def repeated(df: DataFrame, rule: str) -> DataFrame:
+        return broken(df.groupBy("asset_id").count(), rule, F.col("count") > 1)
+
+    levels = (F.col("kind") == "tank") & ~((F.col("min_level") <= F.col("init_level")) & (F.col("init_level") <= F.col("max_level")))
+    sizes = (F.col("length") <= 0) | (F.col("diameter") <= 0)
+    ends = edges.select("asset_id", F.explode(F.array("start", "end")).alias("_end")).join(vertices.select(F.col("asset_id").alias("_end")), "_end", "left_anti")
+    out = (
+        broken(vertices, "empty id", F.coalesce(F.trim("asset_id"), F.lit("")) == "")
+        .union(broken(vertices, "unknown kind", ~F.coalesce(F.col("kind").isin(*NODE_KINDS), F.lit(False))))
+        .union(broken(edges, "unknown kind", ~F.coalesce(F.col("kind").isin(*LINK_KINDS), F.lit(False))))
+        .union(broken(vertices, "missing attribute", lacks(NODE_KINDS))).union(broken(edges, "missing attribute", lacks(LINK_KINDS)))
+        .union(broken(vertices, "tank levels", levels)).union(broken(edges, "size", F.coalesce(sizes, F.lit(False))))
+        .union(repeated(vertices, "repeated node")).union(repeated(edges, "repeated link"))
+        .union(ends.select(F.lit("unknown endpoint"), "asset_id").distinct()).union(broken(edges, "self loop", F.col("start") == F.col("end")))
+    )
+    if connected:
+        parts = cut(components(edges, vertices))
+        main = parts.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
+        out = out.union(parts.join(main, "component", "left_anti").select(F.lit("not connected"), "asset_id"))
+    return out
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("start").alias("src"), F.col("end").alias("dst")).union(
         edges.select(F.col("end").alias("src"), F.col("start").alias("dst"))
@@ -247,6 +287,28 @@ def triples(tree: DataFrame, assets: DataFrame, sensors: DataFrame) -> DataFrame
     return feeds.union(located).union(part).union(sensors.select("sensor_id", F.lit("MONITORS"), "asset_id"))
 
 
+def places_of(all_triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, place): the places that hold the stated nodes(node), up to the building (three PART_OF steps at most)."""
+    part = all_triples.where("relation = 'PART_OF'").select(F.col("subject").alias("_in"), F.col("object").alias("_of"))
+    at = all_triples.where("relation = 'LOCATED_IN'").join(nodes, F.col("subject") == F.col("node"), "left_semi").select(F.col("subject").alias("node"), F.col("object").alias("place"))
+    out, level = at, at
+    for _ in range(3):
+        level = level.join(part, level.place == part._in).select("node", F.col("_of").alias("place"))
+        out = out.union(level)
+    return out.distinct()
+
+
+def relation_counts(all_triples: DataFrame) -> DataFrame:
+    return all_triples.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def location(floor: Column, flat: Column, room: Column) -> Column:
+    """A place in words: floor, flat and room as far as they are known."""
+    level = F.when(floor == 0, "Ground floor").when(floor.isNotNull(), F.format_string("Floor %d", floor))
+    text = F.concat_ws(", ", level, F.concat(F.lit("Flat "), F.substring(F.nullif(flat, F.lit("")), 2, 20)), F.nullif(room, F.lit("")))
+    return F.when(text == "", "building supply").otherwise(text)
+
+
 def triples_within(all_triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Triples with both ends in nodes(node)."""
     n = nodes.select("node").distinct()

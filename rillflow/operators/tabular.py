@@ -114,6 +114,19 @@ def label_evidence(evidence_rows: DataFrame, labelled_events: DataFrame) -> Data
     return evidence_rows.join(labelled_events.select("event_id", "evaluation_label"), "event_id", "left")
 
 
+def with_answers(rows: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows with their scenario's fault type, target, severity and window; rows of unknown scenarios get nulls."""
+    answers = manifest.select("scenario", "fault_type", "target_id", F.col("severity").alias("configured_severity"), F.col("start_hour").alias("fault_start_hour"),
+                              F.col("end_hour").alias("fault_end_hour"))
+    return rows.join(answers, "scenario", "left")
+
+
+def profile(expected: DataFrame, observed: DataFrame, manifest: DataFrame, top: int = 10) -> DataFrame:
+    """The most affected channels of every scenario of a manifest, with its answer: one job for the whole batch."""
+    rows = residuals(align(expected, observed.join(manifest.select("scenario"), "scenario", "left_semi")))
+    return with_answers(rank_assets(rows, top=top), manifest)
+
+
 def residual_profile(rows: DataFrame) -> DataFrame:
     """Exact quantiles and the share of changed readings by scenario, state and parameter."""
     a = F.col("abs_residual")

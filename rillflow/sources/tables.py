@@ -74,6 +74,17 @@ def resolve(spark: SparkSession, manifest: DataFrame, directory: str) -> list[st
     return found
 
 
+INCIDENTS_DDL = (
+    "scenario string, incident_no long, detected_at_s long, last_seen_s long, event_count long, parameters array<string>, epicenter string, "
+    "candidates array<struct<position:long,asset_id:string,asset_type:string,parameter:string,score:double,residual:double,peak_at_s:long,first_seen_s:long,channel_rank:long>>"
+)
+
+
+def read_incidents(spark: SparkSession, path: str) -> DataFrame:
+    """Incidents as ``detect`` wrote them as JSON lines."""
+    return spark.read.schema(INCIDENTS_DDL).json(path)
+
+
 def write_scenarios(readings: DataFrame, path: str) -> None:
     """Parquet, one directory for each scenario; tasks write their own files, so a large scenario is many of them."""
     readings.write.mode("overwrite").partitionBy("scenario").parquet(path)
