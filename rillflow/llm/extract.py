@@ -66,15 +66,27 @@ class Block:
         self.path, self.text, self.linked, self.article, self.cut = path, text, linked, article, cut
 
 
+#: With one of these, a ``header`` is the article's own.
+OWN_HEADER = frozenset("article entry post story content section".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _cut_by_name(token: str) -> bool:
+    words = set(NAME.findall(token))
+    if "header" in words and words & OWN_HEADER:
+        words.discard("header")
+    return not CUT_NAMES.isdisjoint(words) or any(w.startswith(("advert", "sponsor")) for w in words)
+
+
 def _named_away(attributes: str) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name in ("hidden",) or name == "aria-hidden" and (m[2] or "").strip("\"'").lower() == "true":
             return True
-        if name in ("class", "id", "role") and m[2]:
-            for token in m[2].strip("\"'").lower().split():
-                if not CUT_NAMES.isdisjoint(NAME.findall(token)):
-                    return True
+        if name == "style" and m[2] and HIDDEN.search(m[2]):
+            return True
+        if name in ("class", "id", "role") and m[2] and any(map(_cut_by_name, m[2].strip("\"'").lower().split())):
+            return True
     return False
 
 

@@ -40,6 +40,14 @@ def test_markup_and_entities():
     assert extract.main_text(page) == "Head & tail\nA <b> 1 < 2, two.\nBéé😀\nc1\nc2"
 
 
+def test_names_and_hidden_parts():
+    page = (
+        "<main><div class='entry-header'><h1>Title</h1></div><div class='advertorial-x'>Buy</div><section id=comments><p>first!</p></section><div style='display: none'>gone</div>"
+        "<p>Body text.</p><div class='cookie-notice'>We use</div><div role=complementary>aside</div><blockquote>Quoted.</blockquote><div class='related-posts'><ul><li>x</ul></div></main>"
+    )
+    assert extract.main_text(page) == "Title\nBody text.\nQuoted."
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain words only"), (4, "u", "<p>" * 20_000), (4, "u", "<div><b>x" * 20_000), (5, "u", "<article><p>" + "word, " * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
