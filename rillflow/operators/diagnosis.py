@@ -170,6 +170,22 @@ def diagnose(found: DataFrame) -> DataFrame:
     return out.withColumns({"severity": F.when(weak, "review").otherwise(level), "title": F.when(weak, F.concat(F.lit("Unconfirmed: "), title)).otherwise(title), "recommended_action": action})
 
 
+def flats_text(diagnoses: DataFrame, building: Building) -> DataFrame:
+    """(incident, flats): the flats of the affected assets in words, such as ``Flats 1A, 2B``; no row where none is in a flat."""
+    rows = diagnoses.select("incident", F.explode("affected_assets").alias("asset_id")).join(building.assets.select("asset_id", "flat"), "asset_id")
+    rows = rows.where("nullif(flat, '') IS NOT NULL").groupBy("incident").agg(F.array_sort(F.collect_set(F.regexp_replace("flat", "^F(?=.)", ""))).alias("f"))
+    return rows.select("incident", F.concat(F.when(F.size("f") == 1, "Flat ").otherwise("Flats "), F.array_join("f", ", ")).alias("flats"))
+
+
+def message_text(diagnoses: DataFrame) -> DataFrame:
+    """(incident, message): a diagnosis as plain text for logs."""
+    others = F.array_join(F.transform("alternatives", lambda a: F.concat_ws(": ", a["asset"], a["why_less_likely"])), "; ")
+    text = F.concat_ws("\n", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "title"), F.concat(F.lit("Why: "), "reasoning"),
+                       F.when(F.size("alternatives") > 0, F.concat(F.lit("Less likely: "), others)), F.concat(F.lit("Action: "), "recommended_action"),
+                       F.format_string("Confidence: %d%%", F.bround(F.col("confidence") * 100).cast("int")))
+    return diagnoses.select("incident", text.alias("message"))
+
+
 def grounding(diagnoses: DataFrame, allowed: DataFrame) -> DataFrame:
     """Diagnoses beside allowed(incident, allowed_ids) with what is wrong: ids not allowed, an unknown fault type, a confidence out of range."""
     cited = F.array_distinct(F.concat(F.array("root_cause_asset"), "affected_assets", F.col("alternatives.asset")))

@@ -181,6 +181,21 @@ def timelines(alarm_rows: DataFrame, events: DataFrame, heads: DataFrame, config
     return rows.join(alarm_rows.select(*keys), keys, "left_semi").select(*keys, "timestamp_s", F.col("residual").alias("deviation"), "observed", "expected")
 
 
+def elided(points: Column, head: int = 5, tail: int = 2, most: int = 8) -> Column:
+    """An array of texts with the middle of a long one left out."""
+    short = F.concat(F.slice(points, 1, head), F.array(F.lit("...")), F.slice(points, F.greatest(F.size(points) - tail + 1, F.lit(1)), tail))
+    return F.when(F.size(points) > most, short).otherwise(points)
+
+
+def series_texts(series: DataFrame) -> DataFrame:
+    """(incident, asset_id, series): each alarm's deviations by hour as texts, in L/s or m, long ones elided."""
+    flow = F.col("parameter") == "flowrate"
+    text = F.when(flow, F.format_string("%s %+.4f", clock(F.col("timestamp_s")), F.bround(F.col("deviation") * 1000, 4))).otherwise(
+        F.format_string("%s %+.1f", clock(F.col("timestamp_s")), F.bround("deviation", 1)))
+    rows = series.select("incident", "asset_id", F.struct("timestamp_s", text.alias("t")).alias("p"))
+    return rows.groupBy("incident", "asset_id").agg(elided(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"])).alias("series"))
+
+
 def first_alarm_sequence(rows: DataFrame) -> DataFrame:
     """(incident, sequence): hour by hour, the assets that went off first, with quantity and direction."""
     quantity = F.when(F.coalesce(F.col("role").isin(*TANKS), F.lit(False)), "level").otherwise(F.col("parameter"))

@@ -85,3 +85,29 @@ def stream_incidents(steps: DataFrame, late: str = "1 hour") -> DataFrame:
     return timed(steps, late).groupBy("scenario").applyInPandasWithState(
         advance, INCIDENT_DDL, state_type, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+CHANGES_DDL = "scenario string, as_of_s long, kind string, root string, confidence double, severity string"
+
+
+def stream_changes(diagnoses: DataFrame) -> DataFrame:
+    """ALERT for a scenario's first diagnosis and UPDATE whenever root, confidence or severity change after it, from a stream of
+    diagnoses(scenario, as_of_s, root, confidence, severity). Rows of one batch are taken by time; an older row than the last one changes nothing."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get if state.exists else None
+        out = []
+        rows = sorted((int(t), r, float(c), s) for b in batches for t, r, c, s in zip(b["as_of_s"], b["root"], b["confidence"], b["severity"]))
+        for t, root, confidence, severity in rows:
+            if last is not None and t < last[0]:
+                continue
+            if last is None or (root, confidence, severity) != tuple(last[1:]):
+                out.append((key[0], t, "ALERT" if last is None else "UPDATE", root, confidence, severity))
+            last = (t, root, confidence, severity)
+        if last is not None:
+            state.update(last)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES_DDL.split(", ")])
+
+    return diagnoses.groupBy("scenario").applyInPandasWithState(
+        advance, CHANGES_DDL, "as_of_s long, root string, confidence double, severity string", "append", GroupStateTimeout.NoTimeout
+    )

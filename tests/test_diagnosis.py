@@ -84,6 +84,21 @@ def test_a_common_shift_is_not_local(spark, building):
     assert rows.where("common").count() == 2 and rows.where("loss").count() == 0
 
 
+def test_texts(spark, building):
+    d = spark.createDataFrame([("INC", "VA", "critical", "Supply cut below VA", "three sensors", "Open VA.", 0.9, ["IA", "BB", "ROOF"], [("PUMP", "weaker evidence")])],
+                              "incident string, root_cause_asset string, severity string, title string, reasoning string, recommended_action string, confidence double, affected_assets array<string>, "
+                              "alternatives array<struct<asset:string,why_less_likely:string>>")
+    assert diagnosis.flats_text(d, building).first().flats == "Flats A, B"
+    assert diagnosis.message_text(d).first().message == "[CRITICAL] Supply cut below VA\nWhy: three sensors\nLess likely: PUMP: weaker evidence\nAction: Open VA.\nConfidence: 90%"
+    s = spark.createDataFrame([("I", "a", "pressure", h * 3600, -h / 4) for h in range(12)] + [("I", "b", "flowrate", 0, 0.00012345)], "incident string, asset_id string, parameter string, timestamp_s long, deviation double")
+    got = {r.asset_id: r.series for r in r_texts(s)}
+    assert got["a"] == ["00:00 +0.0", "01:00 -0.2", "02:00 -0.5", "03:00 -0.8", "04:00 -1.0", "...", "10:00 -2.5", "11:00 -2.8"] and got["b"] == ["00:00 +0.1234"]
+
+
+def r_texts(series):
+    return r.series_texts(series).collect()
+
+
 def test_scores_and_ungrounded_ids(spark, building):
     d = spark.createDataFrame([("INC", "IA", "leak", 1.5, ["IA", "XX"], [])], "incident string, root_cause_asset string, fault_type string, confidence double, affected_assets array<string>, alternatives array<struct<asset:string>>")
     allowed = spark.createDataFrame([("INC", ["IA"])], "incident string, allowed_ids array<string>")

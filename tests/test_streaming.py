@@ -47,3 +47,10 @@ def test_incident_stream(spark, tmp_path):
     batches = [steps[:4], list(reversed(steps[4:8])), steps[8:], [("s", 40 * 3600, False)], [("s", 80 * 3600, False)]]
     got = drain(sessions.stream_incidents(feed(spark, tmp_path, batches, ddl)), "inc")
     assert {tuple(r) for r in got.collect()} == {("s", 7200, 10800, 2), ("s", 21600, 21600, 1)}
+
+
+def test_changes_are_announced_once(spark, tmp_path):
+    ddl = "scenario string, as_of_s long, root string, confidence double, severity string"
+    rows = [("s", 1, "A", 0.5, "warning"), ("s", 2, "A", 0.5, "warning"), ("s", 3, "A", 0.7, "warning"), ("r", 3, "B", 0.6, "critical"), ("s", 4, "C", 0.7, "critical"), ("s", 5, "C", 0.7, "critical")]
+    got = drain(sessions.stream_changes(feed(spark, tmp_path, [rows[:2], rows[2:5], rows[5:]], ddl)), "chg")
+    assert {(r.scenario, r.as_of_s, r.kind, r.root) for r in got.collect()} == {("s", 1, "ALERT", "A"), ("s", 3, "UPDATE", "A"), ("r", 3, "ALERT", "B"), ("s", 4, "UPDATE", "C")}
