@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions.shipping import ship
 from rillflow.operators.diagnosis import FAULT_TYPES
 
 REQUIRED = ("root_cause_asset", "fault_type", "affected_assets", "reasoning", "confidence", "recommended_action")
@@ -119,6 +120,7 @@ def diagnose(packets: DataFrame, client: Callable[[], Client]) -> DataFrame:
             rows = [(i, *diagnose_one(c, p, set(a))) for i, p, a in zip(b["incident"], b["packet"], b["allowed_ids"])]
             yield pd.DataFrame(rows, columns=["incident", "diagnosis", "grounded", "attempts", "violations", "error"])
 
+    ship(packets.sparkSession)
     return packets.select("incident", "packet", "allowed_ids").mapInPandas(run, RESULT)
 
 

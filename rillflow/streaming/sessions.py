@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rillflow.functions.columns import joined
+from rillflow.functions.shipping import ship
 from rillflow.operators.scenarios import report_means as batch_means
 
 
@@ -81,6 +82,7 @@ def stream_incidents(steps: DataFrame, late: str = "1 hour") -> DataFrame:
             state.setTimeoutTimestamp((max([t for t, _ in rest] + [last or 0]) + 1) * 1000 + 1 if rest or last else mark * 1000 + 1000)
         yield pd.DataFrame(out, columns=["scenario", "detected_at_s", "last_seen_s", "step_count"])
 
+    ship(steps.sparkSession)
     state_type = "begin long, last long, count long, waiting array<struct<t: long, positive: boolean>>"
     return timed(steps, late).groupBy("scenario").applyInPandasWithState(
         advance, INCIDENT_DDL, state_type, "append", GroupStateTimeout.EventTimeTimeout
@@ -108,6 +110,7 @@ def stream_changes(diagnoses: DataFrame) -> DataFrame:
             state.update(last)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES_DDL.split(", ")])
 
+    ship(diagnoses.sparkSession)
     return diagnoses.groupBy("scenario").applyInPandasWithState(
         advance, CHANGES_DDL, "as_of_s long, root string, confidence double, severity string", "append", GroupStateTimeout.NoTimeout
     )
