@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillflow.functions.shipping import ship
+
 #: Words are counted in pieces of this many while a text is worked on, so that memory follows the piece.
 PIECE = 1 << 16
 
@@ -98,6 +100,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         finally:
             release()
 
+    ship(df.sparkSession)
     small_batches(df.sparkSession)
     return df.mapInArrow(tidy, schema)
 
