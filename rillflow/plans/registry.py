@@ -381,7 +381,7 @@ def timelines(spark, d):
     series = series.where((F.col("timestamp_s") >= F.col("a") - 43_200) & (F.col("timestamp_s") <= F.col("b")))
     out = series.groupBy("scenario", "incident_no", "asset_id", "parameter").agg(
         F.count(F.lit(1)).alias("points"), F.array_sort(F.collect_list("timestamp_s")).alias("s"), F.round(F.sum("residual"), 5).alias("total"))
-    return out.withColumn("steps", F.array_join(F.transform("s", lambda x: x.cast("string")), "|")).drop("s")
+    return rounded(out.withColumn("steps", F.array_join(F.transform("s", lambda x: x.cast("string")), "|")).drop("s"), 5)
 
 
 @query("WITH " + INCIDENTS + """, sensors AS (SELECT DISTINCT scenario, asset_id FROM obs WHERE parameter = 'pressure'),
