@@ -124,6 +124,9 @@ closure AS (SELECT child AS ancestor, child AS descendant, CAST(0 AS BIGINT) AS
 LINKS = """links AS (SELECT 'P' || l_partkey AS a, 'S' || l_suppkey AS b, l_quantity - 25 AS flow FROM lineitem WHERE l_orderkey % 100 = 7 AND l_partkey % 2 = 0),
 seed AS (SELECT 'P' || min(CAST(substr(a, 2) AS BIGINT)) AS node FROM links)"""
 
+LINKS_ALL = """links AS (SELECT 'P' || l_partkey AS a, 'S' || l_suppkey AS b, l_quantity - 25 AS flow FROM lineitem),
+seed AS (SELECT 'P' || min(CAST(substr(a, 2) AS BIGINT)) AS node FROM links)"""
+
 
 def _detected(spark: SparkSession, d: str) -> DataFrame:
     aligned = tabular.align(fx.expected(spark, d), fx.observed(spark, d), CELL)
@@ -482,7 +485,7 @@ def severity_mode(spark, d):
 
 @query("WITH " + LINKS + """, n AS (SELECT a AS node FROM links UNION SELECT b FROM links) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM links) AS links""")
 def topology_counts(spark, d):
-    links = fx.multigraph(spark, d)
+    links = fx.multigraph_sample(spark, d)
     nodes = links.select(F.explode(F.array("start", "end")).alias("asset_id")).distinct()
     return graph.topology_summary(nodes, links).select("nodes", "links")
 
@@ -500,7 +503,7 @@ def topology_summary(spark, d):
 w AS (SELECT node, 0 AS hops FROM seed UNION SELECT e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 3)
 SELECT (SELECT node FROM seed) AS seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w GROUP BY node HAVING min(hops) > 0""")
 def khop_neighbours(spark, d):
-    links = fx.multigraph(spark, d)
+    links = fx.multigraph_sample(spark, d)
     return rounded(graph.neighbours(links, fx.first_part(links), 3))
 
 
@@ -508,13 +511,13 @@ def khop_neighbours(spark, d):
 w AS (SELECT a AS seed, a AS node, 0 AS hops FROM e UNION SELECT w.seed, e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 4)
 SELECT seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w WHERE node <> seed GROUP BY seed, node""")
 def flow_reachability(spark, d):
-    arcs = graph.directed(graph.oriented(fx.multigraph(spark, d)))
+    arcs = graph.directed(graph.oriented(fx.multigraph_sample(spark, d)))
     return rounded(graph.downstream(arcs, arcs.select(F.col("src").alias("node")), 4))
 
 
 @query("WITH " + LINKS + " SELECT a AS start, b AS \"end\", flow AS flowrate, CASE WHEN flow >= 0 THEN a ELSE b END AS flow_from, CASE WHEN flow >= 0 THEN b ELSE a END AS flow_to FROM links")
 def flow_orientation(spark, d):
-    return graph.oriented(fx.multigraph(spark, d)).drop("asset_id")
+    return graph.oriented(fx.multigraph_sample(spark, d)).drop("asset_id")
 
 
 @query("WITH " + READINGS + """ SELECT scenario, timestamp_s, asset_type, asset_id, round(max(value) FILTER (parameter = 'pressure'), 6) AS pressure, round(max(value) FILTER (parameter = 'demand'), 6) AS demand,
@@ -566,6 +569,37 @@ def triples_export(spark, d):
     return graph.triples(tree, assets, sensors)
 
 
+# ---- the same graph queries over every order line; those above answer the sample that their SQL states
+
+
+@query("WITH " + LINKS_ALL + """, n AS (SELECT a AS node FROM links UNION SELECT b FROM links) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM links) AS links""")
+def topology_counts_all(spark, d):
+    links = fx.multigraph(spark, d)
+    nodes = links.select(F.explode(F.array("start", "end")).alias("asset_id")).distinct()
+    return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(links.agg(F.count(F.lit(1)).alias("links")))
+
+
+@query("WITH RECURSIVE " + LINKS_ALL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+w AS (SELECT node, 0 AS hops FROM seed UNION SELECT e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 3)
+SELECT (SELECT node FROM seed) AS seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w GROUP BY node HAVING min(hops) > 0""")
+def khop_neighbours_all(spark, d):
+    links = fx.multigraph(spark, d)
+    return rounded(graph.neighbours(links, fx.first_part(links), 3))
+
+
+@query("WITH RECURSIVE " + LINKS_ALL + """, e AS (SELECT DISTINCT CASE WHEN flow >= 0 THEN a ELSE b END AS a, CASE WHEN flow >= 0 THEN b ELSE a END AS b FROM links),
+w AS (SELECT a AS seed, a AS node, 0 AS hops FROM e UNION SELECT w.seed, e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 4)
+SELECT seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w WHERE node <> seed GROUP BY seed, node""")
+def flow_reachability_all(spark, d):
+    arcs = graph.directed(graph.oriented(fx.multigraph(spark, d)))
+    return rounded(graph.downstream(arcs, arcs.select(F.col("src").alias("node")), 4))
+
+
+@query("WITH " + LINKS_ALL + " SELECT a AS start, b AS \"end\", flow AS flowrate, CASE WHEN flow >= 0 THEN a ELSE b END AS flow_from, CASE WHEN flow >= 0 THEN b ELSE a END AS flow_to FROM links")
+def flow_orientation_all(spark, d):
+    return graph.oriented(fx.multigraph(spark, d)).drop("asset_id")
+
+
 # ---- nested results, checked by tests
 
 
