@@ -561,7 +561,11 @@ def common_supply_point(spark, d):
   UNION ALL SELECT DISTINCT 'flat:' || c_mktsegment, 'PART_OF', 'building' FROM customer WHERE c_mktsegment <> 'BUILDING'
   UNION ALL SELECT 'SENSOR' || s_suppkey, 'MONITORS', 'C' || s_suppkey FROM supplier""")
 def triples_export(spark, d):
-    tree = fx.supply_tree(spark, d).where("child NOT LIKE 'O%'").withColumn("link", F.concat_ws("-", "parent", "child"))
+    return _triples(spark, d, fx.supply_tree(spark, d).where("child NOT LIKE 'O%'"))
+
+
+def _triples(spark, d, tree):
+    tree = tree.withColumn("link", F.concat_ws("-", "parent", "child"))
     none = F.lit(None).cast("string")
     flat = F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.col("c_mktsegment"))
     assets = fx.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("asset_id"), none.alias("room"), flat.alias("flat"), F.lit(None).cast("int").alias("floor"))
@@ -600,6 +604,35 @@ def flow_orientation_all(spark, d):
     return graph.oriented(fx.multigraph(spark, d)).drop("asset_id")
 
 
+# ---- the supply tree queries over all orders; those above answer the sample that their SQL states
+
+
+@query(CLOSURE + """ SELECT descendant AS node, string_agg(ancestor, '>' ORDER BY distance) AS path, max(distance) AS depth FROM closure
+  WHERE descendant IN (SELECT 'O' || o_orderkey FROM orders) GROUP BY descendant""")
+def upstream_path_all(spark, d):
+    nodes = fx.table(spark, d, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node"))
+    return rounded(graph.upstream_path(fx.supply_tree(spark, d), nodes))
+
+
+@query(CLOSURE + """, members AS (SELECT DISTINCT 'g' || (o_orderkey % 400) AS grp, 'O' || o_orderkey AS member FROM orders),
+sizes AS (SELECT grp, count(*) AS n FROM members GROUP BY grp),
+shared AS (SELECT m.grp, c.ancestor, sum(c.distance) AS total FROM members m JOIN closure c ON c.descendant = m.member JOIN sizes s ON s.grp = m.grp GROUP BY m.grp, c.ancestor, s.n HAVING count(*) = s.n)
+SELECT grp, arg_min(ancestor, total) AS common FROM shared GROUP BY grp""")
+def common_supply_point_all(spark, d):
+    rows = fx.table(spark, d, "orders")
+    groups = rows.select(F.concat(F.lit("g"), (F.col("o_orderkey") % 400).cast("string")).alias("grp"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("member"))
+    return graph.common_supply_point(fx.supply_tree(spark, d), groups)
+
+
+@query("WITH " + TREE + """ SELECT parent AS subject, 'FEEDS' AS relation, parent || '-' || child AS object FROM tree
+  UNION ALL SELECT parent || '-' || child, 'FEEDS', child FROM tree
+  UNION ALL SELECT 'C' || c_custkey, 'LOCATED_IN', CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE 'flat:' || c_mktsegment END FROM customer
+  UNION ALL SELECT DISTINCT 'flat:' || c_mktsegment, 'PART_OF', 'building' FROM customer WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT 'SENSOR' || s_suppkey, 'MONITORS', 'C' || s_suppkey FROM supplier""")
+def triples_export_all(spark, d):
+    return _triples(spark, d, fx.supply_tree(spark, d))
+
+
 # ---- nested results, checked by tests
 
 

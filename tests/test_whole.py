@@ -29,3 +29,19 @@ def test_graph_queries_cover_every_order_line(spark):
     assert {tuple(r) for r in registry.QUERIES["khop_neighbours_all"](spark, D).collect()} == walk(near, first, 3)
     want = set().union(*(walk(arcs, seed, 4) for seed in arcs))
     assert {tuple(r) for r in registry.QUERIES["flow_reachability_all"](spark, D).collect()} == want
+
+
+def test_tree_queries_cover_every_order(spark):
+    orders = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{D}/orders.parquet").collect()}
+    nation = {r.c_custkey: r.c_nationkey for r in spark.read.parquet(f"{D}/customer.parquet").collect()}
+    region = {r.n_nationkey: r.n_regionkey for r in spark.read.parquet(f"{D}/nation.parquet").collect()}
+    ways = {f"O{o}": [f"O{o}", f"C{c}", f"N{nation[c]}", f"R{region[nation[c]]}", "WORLD"] for o, c in orders.items()}
+    got = {r.node: (r.path, r.depth) for r in registry.QUERIES["upstream_path_all"](spark, D).collect()}
+    assert got == {o: (">".join(way), 4) for o, way in ways.items()}
+    groups = {}
+    for o in orders:
+        groups.setdefault(f"g{o % 400}", []).append(ways[f"O{o}"])
+    want = {g: next(x for x in all_ways[0] if all(x in way for way in all_ways)) for g, all_ways in groups.items()}
+    assert {r.grp: r.common for r in registry.QUERIES["common_supply_point_all"](spark, D).collect()} == want
+    fed = {r.object for r in registry.QUERIES["triples_export_all"](spark, D).where("relation = 'FEEDS'").collect()}
+    assert set(ways) <= fed
