@@ -1,26 +1,26 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Model. Each frequent word (at least one token in ``1 / CONTEXT_SHARE``, so there are at most that many) has a context restaurant of the words
-after it. All of them share the root restaurant of words as parent; rarer contexts have none of their own, so their customers sit in the
-root. The root's base measure is uniform over the V tokens of the training documents and one more for all that are unseen, the same
-events as those of the plain base score, so the two compare token by token.
-
-Training. Counts come from every training token: partial counts by task, then sums by word. Chinese-restaurant
-seating is sampled by Gibbs sweeps in blocks: the customers of one dish in one restaurant are seated anew, one by one, given the totals of
-the sweep before. A word's row holds its counts in all restaurants, and only the restaurants' totals link words, so a sweep is one pass over the
-word table and a sum of at most CONTEXT_SHARE + 2 numbers. Draws are hashes of word, restaurant, sweep and customer, so a task that
-runs again draws the same. Predictive probabilities are averaged over the sweeps after the first.
-
-Scoring. Words of the highest counts (at most ``dictionary`` of them, whatever the size of the corpus) are held by every task; all other
-words of a document are joined with the word table, counted once for each document, word and context. The result does not depend on where that line is.
+Model. Each observed context (a word, or the end before a document) has a restaurant of the words after it; all of them share the root
+restaurant of words as parent. The root's base measure is uniform over the V tokens of the training documents and one more for all that are
+unseen, the same events as those of the plain base score, so the two compare token by token.
+
+Training. Pairs (context, word) are counted by task and then summed by both, so no context or word meets in one task. Words are known by
+64-bit hashes. Seating is sampled by Gibbs sweeps in blocks: the customers of one dish in one restaurant are seated anew, one by one,
+given the totals of the sweep before. A pair seen once always has one table, so only pairs seen more often are sampled; the others enter as
+counts by context and by word. In a sweep the pairs meet their context's and their word's totals by joins, the pairs of hot contexts and words
+salted, and tables are summed by either. Draws are hashes of pair, sweep and customer, so a task that runs again draws the same. Tables and
+probabilities are averaged over the sweeps after the first; own part and backoff of a context then sum to one.
+
+Scoring. Every pair that a document holds gets its scores by joins with contexts and words. The most frequent pairs (at most
+``dictionary``, whatever the size of the corpus) are held by every task; the others are joined by pair, counted once for each document. The
+result does not depend on where that line is.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import body, crc_mod, map_arrow, space_words, store
+from rillflow.llm.common import body, crc_mod, map_arrow, slices, space_words, store
 
-CONTEXT_SHARE = 64
+HOT_SHARE = 256  # contexts and words with at least this share of all pairs are salted, so there are at most that many
+SALTS = 16
+BURN = 1
 END = b""  # the token after the last word; no word is empty
 THETA = 1.0
 
@@ -106,197 +108,196 @@ def discount_of(ones: int, twos: int) -> float:
 # ---- the model
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _uniform_bits(u * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) ^ w
+
+
+def _uniform_bits(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
 @dataclass
 class Model:
-    """Totals of the corpus and of the sweeps: for each sweep, tables by context, then the root's tables and customers."""
+    """Totals, and the averages of the sweeps as tables: contexts (u, n, own) and words (w, c, p)."""
 
-    n: int = 0
-    v: int = 0
-    contexts: list[bytes] = field(default_factory=list)
-    context_customers: np.ndarray | None = None
-    root_discount: float = 0.5
-    context_discount: float = 0.5
-    sweeps: list[np.ndarray] = field(default_factory=list)
-    burn: int = 1
+    docs: DataFrame
+    n: int
+    v: int
+    root_discount: float
+    context_discount: float
+    rest: float
+    context_rows: DataFrame
+    word_rows: DataFrame
 
     @property
     def base(self) -> float:
         return 1 / (self.v + 1)
 
-    def backoff(self, sweep: np.ndarray) -> tuple[np.ndarray, float]:
-        """Weight of the parent in each context, and of the base measure in the root."""
-        k = len(self.contexts)
-        own = (THETA + self.context_discount * sweep[:k]) / (THETA + self.context_customers)
-        return own, (THETA + self.root_discount * sweep[k]) / (THETA + sweep[k + 1])
+    def spelled(self) -> DataFrame:
+        """(word, w): the training words with their hashes, to look into a small model."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                words = sorted({w for raw in batch.column("body").to_pylist() for w in tokens(raw)})
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(_hashes(words).view(np.int64))], names=["word", "w"])
+
+        return map_arrow(self.docs.select("body"), run, "word binary, w long").distinct()
+
+    def _contexts(self) -> list:
+        return sorted(self.context_rows.join(self.spelled(), F.col("u") == F.col("w")).select("word", "u", "own").collect(), key=lambda r: bytes(r.word))
+
+    @property
+    def contexts(self) -> list[bytes]:
+        """All contexts on the driver, for small models."""
+        return [bytes(r.word) for r in self._contexts()]
 
     def mean_backoff(self) -> tuple[np.ndarray, float]:
-        each = [self.backoff(s) for s in self.sweeps[1 + self.burn :]]
-        return np.mean([e[0] for e in each], axis=0), float(np.mean([e[1] for e in each]))
-
-    def run(self, c: np.ndarray, owner: np.ndarray, ctx: np.ndarray, pair: np.ndarray, key: np.ndarray):
-        """Seat the dishes of some words through the sweeps whose totals are known, and once more.
-
-        c: counts by word; owner, ctx, pair: word, context and count of each entry. Returns the last sweep's
-        totals and, averaged after the first sweeps, the predictive probabilities by word in the root and by entry in its context.
-        """
-        k = len(self.contexts)
-        other = c - np.bincount(owner, pair, minlength=len(c))
-        t, root_t = np.ones(len(pair)), np.ones(len(c))
-        root_c = other + np.bincount(owner, minlength=len(c))
-        pair_key = key[owner] ^ (ctx.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        totals, root_mean, pair_mean, kept = None, np.zeros(len(c)), np.zeros(len(pair)), 0
-        for number in range(len(self.sweeps) + 1):
-            if number:
-                own, rest = self.backoff(self.sweeps[number - 1])
-                strength = THETA + self.context_discount * self.sweeps[number - 1][:k]
-                p = self._root(root_c, root_t, self.sweeps[number - 1])
-                t = seat(pair, strength[ctx] * p[owner], self.context_discount, pair_key, number << 10)
-                root_c = other + np.bincount(owner, t, minlength=len(c))
-                root_t = seat(root_c, (THETA + self.root_discount * self.sweeps[number - 1][k]) * np.full(len(c), self.base), self.root_discount, key, number << 10)
-            totals = np.concatenate([np.bincount(ctx, t, minlength=k), [root_t.sum(), root_c.sum()]])
-            if self.burn < number < len(self.sweeps):
-                p = self._root(root_c, root_t, self.sweeps[number])
-                own, _ = self.backoff(self.sweeps[number])
-                root_mean += p
-                pair_mean += (pair - self.context_discount * t) / (THETA + self.context_customers[ctx]) + own[ctx] * p[owner]
-                kept += 1
-        return totals, root_mean / max(kept, 1), pair_mean / max(kept, 1)
-
-    def _root(self, root_c, root_t, sweep) -> np.ndarray:
-        k = len(self.contexts)
-        _, rest = self.backoff(sweep)
-        return (root_c - self.root_discount * root_t) / (THETA + sweep[k + 1]) + rest * self.base
-
-    def on_batch(self, batch: pa.RecordBatch):
-        """The columns of a batch of the word table as ``run`` takes them, then ``run``'s results."""
-        words = batch.column("word")
-        lists, pairs = batch.column("ctx"), batch.column("pair")
-        ctx = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        pair = pairs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        owner = np.repeat(np.arange(len(words)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        key = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
-        c = batch.column("c").to_numpy().astype(np.float64)
-        return self.run(c, owner, ctx, pair, key)
-
-
-def _counted(train: DataFrame, contexts: list[bytes] | None, flush: int = 400_000) -> DataFrame:
-    """Partial counts of tokens (contexts is None), or of (token, context) for the tokens after a context."""
-    number = {w: i for i, w in enumerate(contexts or ())}
+        """Weight of the parent in each of ``contexts``, and of the base measure in the root."""
+        return np.array([r.own for r in self._contexts()]), self.rest
+
+
+def _counted(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+    """(u, w, c): the tokens w after a context u in docs(body, learn), counted where ``learn``; the others' pairs have count 0."""
 
     def batch_of(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        columns = [pa.array([k[1] for k in keys] if number else keys, pa.binary()), pa.array(list(counts.values()), pa.int64())]
-        names = ["word", "c"]
-        if number:
-            columns.append(pa.array([k[0] for k in keys], pa.int32()))
-            names.append("ctx")
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        u, w = (_hashes([k[i] for k in counts]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(list(counts.values()), pa.int64())], names=["u", "w", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for raw in batch.column("body").to_pylist():
+            for raw, learn in zip(batch.column("body").to_pylist(), batch.column("learn").to_pylist()):
                 w = tokens(raw)
-                if number:
-                    after = map(number.get, [END, *w[:-1]])
-                    counts.update([x for x in zip(after, w) if x[0] is not None])
+                if learn:
+                    counts.update(zip([END, *w[:-1]], w))
                 else:
-                    counts.update(w)
+                    for x in zip([END, *w[:-1]], w):
+                        counts.setdefault(x, 0)
                 if len(counts) > flush:
                     yield batch_of(counts)
                     counts = Counter()
         if counts:
             yield batch_of(counts)
 
-    return map_arrow(train.select("body"), run, "word binary, c long" + (", ctx int" if number else ""))
+    return map_arrow(docs.select("body", "learn"), run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, sweeps: int = 4) -> tuple[Model, DataFrame]:
-    """The model, and the word table (word, c, ctx, pair) of docs(body): counts of each token, and after each of its contexts."""
-    words = store(_counted(docs, None).groupBy("word").agg(F.sum("c").alias("c")))
-    one, two = (F.count(F.when(F.col("c") == i, 1)) for i in (1, 2))
-    r = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), one.alias("one"), two.alias("two")).first()
-    model = Model(n=r.n or 0, v=r.v, root_discount=discount_of(r.one, r.two))
-    frequent = words.where(F.col("c") * CONTEXT_SHARE >= model.n).collect() if model.n else []
-    model.contexts = sorted(bytes(x.word) for x in frequent)
-    if model.contexts:
-        # partial counts are few for each word (tasks times contexts), so words can be dealt out before they are summed
-        pairs = _counted(docs, model.contexts).repartition(F.col("word")).groupBy("word", "ctx").agg(F.sum("c").alias("c"))
-        pairs = pairs.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("all"))
-        table = words.join(pairs, "word", "left").select(
-            "word", "c", F.coalesce(F.col("all.ctx"), F.array().cast("array<int>")).alias("ctx"),
-            F.coalesce(F.col("all.c"), F.array().cast("array<bigint>")).alias("pair"),
-        )
-        table = store(table)
-    else:
-        table = words.select("word", "c", F.array().cast("array<int>").alias("ctx"), F.array().cast("array<bigint>").alias("pair"))
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partial sums of customers by context, and of pairs seen once and twice."""
-        total = np.zeros(len(model.contexts) + 2)
-        for batch in batches:
-            ctx = batch.column("ctx").flatten().to_numpy(zero_copy_only=False)
-            pair = batch.column("pair").flatten().to_numpy(zero_copy_only=False)
-            if len(ctx):
-                total += np.append(np.bincount(ctx.astype(np.int64), pair, minlength=len(model.contexts)), [(pair == 1).sum(), (pair == 2).sum()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "x"])
-
-    def summed(f) -> np.ndarray:
-        total = np.zeros(len(model.contexts) + 2)
-        for r in map_arrow(table, f, "place long, x double").groupBy("place").agg(F.sum("x").alias("x")).collect():
-            total[r.place] = r.x
-        return total
-
-    first = summed(totals)
-    model.context_customers = first[:-2]
-    model.context_discount = discount_of(int(first[-2]), int(first[-1]))
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(model.contexts) + 2)
+def _seated(df: DataFrame, keys: list[str], customers: str, discount: float, sweep: int) -> DataFrame:
+    """The rows without ``new`` and with the tables t that their customers open."""
+    out = [f for f in df.schema.fields if f.name != "new"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                total += model.on_batch(batch)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "x"])
+            if not batch.num_rows:
+                continue
+            at = [batch.column(k).to_numpy().view(np.uint64) for k in keys]
+            key = _pair_key(*at) if len(at) == 2 else at[0]
+            c, new = (batch.column(x).to_numpy().astype(np.float64) for x in (customers, "new"))
+            t = seat(c, new, discount, key, sweep << 10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(t.astype(np.int64))], names=[*(f.name for f in out), "t"])
 
-    for _ in range(sweeps + 1):
-        model.sweeps.append(summed(sweep))
-    return model, table
+    return map_arrow(df, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out) + ", t long")
 
 
-def predictive(model: Model, table: DataFrame) -> DataFrame:
-    """The word table with averaged predictive probabilities: root (p) and contexts (array of ``ps`` beside ``ctx``)."""
+class _Salted:
+    """Joins of pairs with a row for each context or word; the pairs of hot ones are spread over SALTS copies of that row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, root, pair = model.on_batch(batch)
-                lists = batch.column("ctx")
-                flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lists.value_lengths().to_numpy())), pa.int32()), pa.array(pair))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("word"), batch.column("c"), pa.array(root), lists, flat], names=["word", "c", "p", "ctx", "ps"]
-                )
-
-    return map_arrow(table, run, "word binary, c long, p double, ctx array<int>, ps array<double>")
-
-
-class Dictionary:
-    """The words that every task holds, with log10 probabilities by context (last row: the root)."""
-
-    def __init__(self, model: Model, rows: pa.Table):
-        self.number = {w: i for i, w in enumerate(rows.column("word").to_pylist())}
-        k = len(model.contexts)
-        own, _ = model.mean_backoff()
-        root = rows.column("p").to_numpy()
-        p = own[:, None] * root
-        lists = rows.column("ctx").combine_chunks()
-        at = np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-        ctx = lists.flatten().to_numpy(zero_copy_only=False)
-        p[ctx, at] = rows.column("ps").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        self.log_p = np.log10(np.vstack([p, root])).astype(np.float32)
-        self.log_base = np.log10((rows.column("c").to_numpy() + 1.0) / (model.n + model.v + 1))
-        self.context = np.full(rows.num_rows + 1, k)  # of the token after each word; the last is for words not held
-        for i, w in enumerate(model.contexts):
-            self.context[self.number[w]] = i
+    def __init__(self, by: str, other: str, hot: list[int]):
+        self.by, self.other, self.hot = by, other, hot
+
+    def join(self, pairs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+        if not self.hot:
+            return pairs.join(rows, self.by, how)
+        hot = F.col(self.by).isin(self.hot)
+        left = pairs.withColumn("_salt", F.when(hot, F.pmod(F.col(self.other), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+        copies = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        return left.join(rows.withColumn("_salt", F.explode(copies)), [self.by, "_salt"], how).drop("_salt")
+
+
+def train(docs: DataFrame, sweeps: int = 4) -> tuple[Model, DataFrame]:
+    """The model of docs(body), or of those with ``learn`` in docs(body, learn), and the pairs of all docs.
+
+    Pairs (u, w, c, part, own, p, seen): training count, the context's own share of the probability, the weight of the root there, the word's
+    probability in the root and its training count. The pair's probability is part + own * p.
+    """
+    if "learn" not in docs.columns:
+        docs = docs.withColumn("learn", F.lit(True))
+    pairs = store(_counted(docs))
+    known = pairs.where("c > 0")
+
+    def grouped(by: str) -> DataFrame:
+        return store(known.groupBy(by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("c") == 1).alias("singles")))
+
+    contexts, words = grouped("u"), grouped("w")
+    r = known.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
+    x = words.agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
+    d, d_root, base = discount_of(r.one, r.two), discount_of(x.one, x.two), 1 / (x.v + 1)
+
+    def hot(rows: DataFrame, by: str) -> list[int]:
+        return [row[by] for row in rows.where(F.col("types") * HOT_SHARE >= r.k).select(by).collect()]
+
+    by_u, by_w = _Salted("u", "w", hot(contexts, "u")), _Salted("w", "u", hot(words, "w"))
+
+    def rest_of(tables: float, customers: float) -> float:
+        return (THETA + d_root * tables) / (THETA + customers)
+
+    def with_p(tables: float, customers: float) -> Column:
+        return (F.col("customers") - d_root * F.col("t")) / (THETA + customers) + rest_of(tables, customers) * base
+
+    # the sweep before the first: one table for each dish
+    multi = pairs.where("c > 1").select("u", "w", "c", F.lit(0).cast("long").alias("sum_t"))
+    context_state = contexts.select("u", "n", "singles", F.col("types").alias("tables"), F.lit(0).cast("long").alias("sum_tables"))
+    tables, customers, kept, rests = float(x.v), float(r.k), 0, []
+    word_state = words.select("w", "n", "singles", F.col("types").alias("customers"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum_p"))
+    for sweep in range(1, sweeps + 1):
+        keep = sweep > min(BURN, sweeps - 1)
+        strength = context_state.select("u", (THETA + d * F.col("tables")).alias("strength"))
+        p = word_state.select("w", with_p(tables, customers).alias("p"))
+        met = by_w.join(by_u.join(multi, strength), p).select("u", "w", "c", "sum_t", (F.col("strength") * F.col("p")).alias("new"))
+        seats = store(_seated(met, ["u", "w"], "c", d, sweep))
+
+        def opened(by: str) -> DataFrame:
+            return seats.groupBy(by).agg(F.sum("t").alias("opened"))
+
+        now = F.col("singles") + F.coalesce("opened", F.lit(0))
+        context_state = store(context_state.join(opened("u"), "u", "left").select(
+            "u", "n", "singles", now.alias("tables"), (F.col("sum_tables") + (now if keep else F.lit(0))).alias("sum_tables")))
+        rows = word_state.join(opened("w"), "w", "left").select(
+            "w", "n", "singles", now.alias("customers"), "sum_p", F.lit((THETA + d_root * tables) * base).alias("new"))
+        word_state = store(_seated(rows, ["w"], "customers", d_root, sweep))
+        sums = word_state.agg(F.sum("t").alias("t"), F.sum("customers").alias("c")).first()
+        tables, customers = float(sums.t or 0), float(sums.c or 0)
+        if keep:
+            kept += 1
+            rests.append(rest_of(tables, customers))
+            word_state = word_state.withColumn("sum_p", F.col("sum_p") + with_p(tables, customers))
+        multi = seats.select("u", "w", "c", (F.col("sum_t") + (F.col("t") if keep else F.lit(0))).alias("sum_t"))
+    kept = max(kept, 1)
+    rest = float(np.mean(rests)) if rests else 1.0
+    context_rows = store(context_state.select("u", "n", ((THETA + d * F.col("sum_tables") / kept) / (THETA + F.col("n"))).alias("own")))
+    word_rows = store(word_state.select("w", F.col("n").alias("seen"), (F.col("sum_p") / kept).alias("p")))
+    model = Model(docs.where("learn"), r.n, x.v, d_root, d, rest, context_rows, word_rows)
+    mean_t = multi.select("u", "w", "c", (F.col("sum_t") / kept).alias("mean_t"))
+    mean_t = mean_t.union(pairs.where("c <= 1").select("u", "w", "c", F.col("c").cast("double").alias("mean_t")))
+    met = by_w.join(by_u.join(mean_t, context_rows, "left"), word_rows, "left")
+    part = F.coalesce((F.col("c") - d * F.col("mean_t")) / (THETA + F.col("n")), F.lit(0.0))
+    return model, met.select("u", "w", "c", part.alias("part"), F.coalesce("own", F.lit(1.0)).alias("own"),
+                             F.coalesce("p", F.lit(rest * base)).alias("p"), F.coalesce("seen", F.lit(0)).alias("seen"))
+
+
+def predictive(model: Model, table: DataFrame) -> DataFrame:
+    """A small model by word: (word, c, p, ctx, ps), the root's probability and those after contexts, numbered as in ``model.contexts``."""
+    spelled = model.spelled()
+    number = table.sparkSession.createDataFrame([(r.u, i) for i, r in enumerate(model._contexts())], "u long, k int")
+    rows = table.where("c > 0").join(number, "u").groupBy("w").agg(
+        F.first("seen").alias("c"), F.first("p").alias("p"), F.sort_array(F.collect_list(F.struct("k", (F.col("part") + F.col("own") * F.col("p")).alias("q")))).alias("all"))
+    return rows.join(spelled, "w").select("word", "c", "p", F.col("all.k").alias("ctx"), F.col("all.q").alias("ps"))
 
 
 def scores(
@@ -309,73 +310,69 @@ def scores(
     """
     from pyspark import TaskContext
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body"), train_on.alias("learn"))
-    model, table = train(rows.where("learn"), sweeps)
-    table = store(predictive(model, table))
-    # the least count (in eighths of a power of two) above which words are few enough to be held
-    level = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body"), F.coalesce(train_on, F.lit(False)).alias("learn"))
+    model, table = train(rows.select("body", "learn"), sweeps)
+    total = float(model.n + model.v + 1)
+    table = store(table.select("u", "w", "c", F.log10(F.col("part") + F.col("own") * F.col("p")).alias("lp"), F.log10((F.col("seen") + 1) / F.lit(total)).alias("lb"),
+                               (F.col("seen") > 0).cast("int").alias("known")))
+    # the least count (in eighths of a power of two) above which pairs are few enough to be held
+    level = F.floor(F.log2(F.greatest("c", F.lit(1)).cast("double")) * 8).cast("long")
     left, least = dictionary, 0
     for r in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
         left -= r["count"]
         if left < 0:
             least = r.level + 1
             break
-    always = F.col("word").isin([bytearray(w) for w in model.contexts]) if model.contexts else F.lit(False)
-    held = (level >= least) | always
-    words = Dictionary(model, table.where(held).toArrow())
-    k, (own, rest) = len(model.contexts), model.mean_backoff()
+    held = level >= least
+    top = table.where(held).select("u", "w", "lp", "lb", "known").toArrow()
+    u, w = (top.column(x).to_numpy().view(np.uint64) for x in ("u", "w"))
+    keys = _pair_key(u, w)
+    order = np.argsort(keys)
+    keys, (lp, lb, known) = keys[order], (top.column(x).to_numpy()[order] for x in ("lp", "lb", "known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            done, tail = [], []
+        end = _hashes([END])
+        ready: list[pa.RecordBatch] = []
+
+        def lines(u, kind, a, b, times, doc, n, m, base, score) -> pa.RecordBatch:
+            columns = [pa.array(u, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(times, pa.int32()), doc,
+                       pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in slices(batches):
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
-                w = tokens(raw)
-                ids = np.fromiter(map(words.number.get, w, repeat(-1)), dtype=np.int64, count=len(w))
-                ctx = words.context[np.append(words.number.get(END, -1), ids[:-1])]
-                known = ids >= 0
-                i = ids[known]
-                done.append((uid, doc_id, len(w), len(i), words.log_base[i].sum(), words.log_p[ctx[known], i].sum(dtype=np.float64)))
-                rare = np.flatnonzero(~known)
-                for (word, c), n in Counter(zip([w[j] for j in rare], ctx[rare].tolist())).items():
-                    tail.append((uid, word, c, n))
+                b = _hashes(tokens(raw))
+                a = np.append(end, b[:-1])
+                key, first, times = np.unique(_pair_key(a, b), return_index=True, return_counts=True)
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                here = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
+                i, k = at[here], times[here]
+                one = [uid], [1], [uid], [uid], [0], pa.array([doc_id], pa.int64()), [len(b)], [int((known[i] * k).sum())], [float((lb[i] * k).sum())], [float((lp[i] * k).sum())]
+                ready.append(lines(*one))
+                rare = first[~here]
+                if len(rare):
+                    z = np.zeros(len(rare), dtype=np.int64)
+                    ready.append(lines(z + uid, z, a[rare].view(np.int64), b[rare].view(np.int64), times[~here], pa.nulls(len(rare), pa.int64()), z, z, z.astype(float), z.astype(float)))
                 uid += 1
-            u, d, n, m, b, s = zip(*done)
-            none = pa.nulls(len(done))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(u, pa.int64()), pa.array(d, pa.int64()), pa.array([x.to_bytes(8, "little") for x in u], pa.binary()), pa.array([1] * len(u), pa.int32()),
-                 *(none.cast(pa.int32()) for _ in range(2)), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())],
-                names=names,
-            )
-            for at in range(0, len(tail), 50_000):
-                u, w, c, n = zip(*tail[at : at + 50_000])
-                none = pa.nulls(len(u))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u, pa.int64()), none.cast(pa.int64()), pa.array(w, pa.binary()), pa.array([0] * len(u), pa.int32()), pa.array(c, pa.int32()), pa.array(n, pa.int32()),
-                     *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-                    names=names,
-                )
-
-    names = ["uid", "doc_id", "word", "kind", "after", "times", "n_tokens", "n_known", "base_score", "score"]
-    kinds = "long long binary int int int long long double double".split()
-    # a document's sums (kind 1, each with a key of its own) and its rare words (kind 0) go through one join
+                if sum(x.num_rows for x in ready) > 50_000:
+                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                    ready.clear()
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+
+    names = ["uid", "kind", "u", "w", "times", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+    kinds = "long int long long int long long long double double".split()
+    # a document's sums (kind 1, each with a key of its own) and its rarer pairs (kind 0) go through one join
     lines = map_arrow(rows.select("doc_id", "body"), run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
-    rare = table.where(~held).select(F.col("word").alias("w"), F.lit(0).alias("z"), "c", "p", "ctx", "ps")
-    joined = lines.join(rare, (F.col("word") == F.col("w")) & (F.col("kind") == F.col("z")), "left")
-    root = F.coalesce("p", F.lit(rest * model.base))
-    place = F.array_position("ctx", F.col("after"))
-    backoff = F.element_at(F.array(*map(F.lit, [*own.tolist(), 1.0])), F.col("after") + 1)
-    p = F.when(place > 0, F.element_at("ps", F.greatest(place, F.lit(1)).cast("int"))).otherwise(backoff * root)
-    seen = F.coalesce("c", F.lit(0))
-    is_doc = F.col("kind") == 1
-    total = float(model.n + model.v + 1)
+    rare = table.where(~held).select(F.col("u").alias("_u"), F.col("w").alias("_w"), F.lit(0).alias("_z"), "lp", "lb", "known")
+    joined = lines.join(rare, (F.col("u") == F.col("_u")) & (F.col("w") == F.col("_w")) & (F.col("kind") == F.col("_z")), "left")
 
-    def add(own_value: str, of_word: Column) -> Column:
-        return F.sum(F.when(is_doc, F.col(own_value)).otherwise(F.col("times") * of_word)).alias(own_value)
+    def add(own_value: str, of_pair: str) -> Column:
+        return F.sum(F.when(F.col("kind") == 1, F.col(own_value)).otherwise(F.col("times") * F.col(of_pair))).alias(own_value)
 
     return joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), add("n_known", F.when(seen > 0, 1).otherwise(0)).alias("n_known"),
-        add("base_score", F.log10((seen + 1) / F.lit(total))), add("score", F.log10(p)),
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), add("n_known", "known"), add("base_score", "lb"), add("score", "lp"),
     ).select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

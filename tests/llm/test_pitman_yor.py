@@ -93,3 +93,13 @@ def test_odd_rows(spark):
     none = py.scores(df, F.lit(False)).collect()
     assert len(none) == len(rows) and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in none)
     assert py.scores(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_every_observed_context_has_its_restaurant(spark):
+    rows = [(i, f"{a} goes to {a}s house in {b}") for i, (a, b) in enumerate(zip(["ann", "bob", "cid", "dan"] * 30, [f"town{i}" for i in range(120)]))]
+    model, table = py.train(spark.createDataFrame(rows, "doc_id long, text string").select(body().alias("body")))
+    seen = {w for _, t in rows for w in words(t)[:-1]} | {None}
+    assert set(model.contexts) == {b"" if w is None else w.encode() for w in seen}
+    got = {bytes(r.word): dict(zip(r.ctx, r.ps)) for r in py.predictive(model, table).collect()}
+    number = {w: i for i, w in enumerate(model.contexts)}
+    assert got[b"house"][number[b"bobs"]] > 0.8  # rarer than one token in 64, and yet it tells what follows
