@@ -56,3 +56,11 @@ def test_odd_rows(spark):
     assert next(r for r in got if r[0] is None)[2:] == ("plain words only", 16)
     assert next(r for r in got if r[0] == 5)[3] == 599_999
     assert extract.extract(pages.limit(0)).count() == 0
+
+
+def test_article_tag_only_adds_weight():
+    body = "".join(f"<p>Sentence {i}, which is rather long, as articles are; it has marks. And a second one.</p>" for i in range(6))
+    card = "<article><p>Card</p></article>"
+    assert "Sentence 5," in extract.main_text(f"<body><div class=text>{body}</div>{card}</body>")
+    inside = f"<article>{body}<div class=x><div class=y>Go</div><div class=z>On</div><div class=q>Up</div></div></article>"
+    assert extract.main_text(inside).endswith("second one.\nGo") and "Up" not in extract.main_text(inside)  # next to a paragraph the smoothed weight is higher
