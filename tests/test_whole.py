@@ -1,5 +1,6 @@
 """Queries that must cover their whole tables."""
 
+from rillflow.plans import fixtures as fx
 from rillflow.plans import registry
 
 D = "/root/testdata/sf0.001"
@@ -45,3 +46,11 @@ def test_tree_queries_cover_every_order(spark):
     assert {r.grp: r.common for r in registry.QUERIES["common_supply_point_all"](spark, D).collect()} == want
     fed = {r.object for r in registry.QUERIES["triples_export_all"](spark, D).where("relation = 'FEEDS'").collect()}
     assert set(ways) <= fed
+
+
+def test_the_last_prefix_knows_every_reading(spark):
+    want = {r.scenario: r["count"] for r in fx.observed(spark, D).groupBy("scenario").count().collect()}
+    got = {}
+    for r in registry.QUERIES["live_prefix_all"](spark, D).collect():
+        got[r.scenario] = max(got.get(r.scenario, 0), r.known)
+    assert got == want
