@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm import decontaminate, langid, packing, quality, simhash
+from rillflow.llm import decontaminate, langid, near_copies, packing, quality, simhash
 from rillflow.llm.common import carried, store
 
 
@@ -31,6 +31,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.representatives(docs)
 
 
+def near_dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of texts linked by a five-word similarity of 0.8 or more, found exactly."""
+    return near_copies.representatives(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -50,15 +55,18 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
+#: The same with the exact near-duplicate stage; the tests fix the stages above to SimHash links alone.
+STAGES_FIVE_WORDS = [*STAGES[:3], ("exact near-dedup", near_dedup_exact), *STAGES[3:]]
+
 #: Kernel classifiers, fingerprints and tokenizers are beyond SQL; the tests hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages=STAGES) -> DataFrame:
     """All stages over the documents table, each one's rows written to the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES):
+    for n, (_, stage) in enumerate(stages):
         docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
+        if n < len(stages) - 1:
             docs = store(docs)
     return docs

@@ -33,8 +33,14 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _pipeline_five_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir, corpus_pipeline.STAGES_FIVE_WORDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | {"pipeline": _pipeline}
+    return _QUERIES | {"pipeline": _pipeline, "pipeline_five_words": _pipeline_five_words}
 
 
 def oracle_sql() -> dict[str, str]:
