@@ -1,7 +1,7 @@
 """Corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written and read again.
-All stages but the last return the columns of ``documents`` and only drop rows; each is fitted on what its predecessor kept.
+All stages but the last return the columns of ``documents`` and only drop rows (the first also sets ``lang``); each is fitted on what its predecessor kept.
 Rows without an id are kept apart from others as any other row; repeated rows are near-duplicates of each other, so one of them stays.
 """
 
@@ -15,9 +15,10 @@ from rillflow.llm.common import carried, store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; those that are null or without a letter go."""
-    found = langid.predict(docs, F.lit(True), carry=True)
-    return found.where("lang_pred <> 'und'").select("_row.*")
+    """Documents with the recognised language as their ``lang``; those that are null or without a letter go. If no row is labelled, ``lang`` stays."""
+    found = langid.predict(docs, F.lit(True), carry=True, unlabelled="").where("lang_pred <> 'und'")
+    lang = F.when(F.col("lang_pred") == "", F.col("_row.lang")).otherwise(F.col("lang_pred"))
+    return found.select(F.col("_row").withField("lang", lang).alias("_row")).select("_row.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

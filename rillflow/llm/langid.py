@@ -130,12 +130,12 @@ def sample(rows: DataFrame, train_rows: int) -> tuple[list[bytes], list[str]]:
 
 def predict(
     docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = 1600,
-    landmarks: int = 192, carry: bool = False,
+    landmarks: int = 192, carry: bool = False, unlabelled: str = "und",
 ) -> DataFrame:
     """Rows with lang_pred and score, fitted on the labelled rows of docs that satisfy ``train``.
 
     Returns (doc_id, lang_pred, score), or with ``carry`` (_row, lang_pred, score) with all columns of docs in the struct _row. Texts that
-    are null or without a letter get ``und`` with score 0, and so does every text if no row is labelled. Only texts enter a prediction.
+    are null or without a letter get ``und`` with score 0, and so does every text if no row is labelled, or ``unlabelled`` with score 0 if it has a letter. Only texts enter a prediction.
     """
     rows = docs.where(train).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")
@@ -149,8 +149,11 @@ def predict(
         for n, text in enumerate((field(batch, text_col) if carry else batch.column("text")).to_pylist()):
             langs.append("und")
             scores.append(0.0)
-            if model is not None and (mask := presence(text)) is not None:
-                some.append((n, mask))
+            if (mask := presence(text)) is not None:
+                if model is None:
+                    langs[-1] = unlabelled
+                else:
+                    some.append((n, mask))
             if len(some) == 32:
                 decide(some, langs, scores)
                 some.clear()

@@ -44,3 +44,13 @@ def test_odd_rows(spark):
         docs = spark.createDataFrame(stage(spark, docs, d).collect(), docs.schema)
         assert stage(spark, docs.limit(0), d).count() == 0
     assert 1 <= docs.count() <= 2
+
+
+def test_the_prediction_is_the_language_of_kept_rows(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    blank = docs.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    kept = corpus_pipeline.language(spark, blank, d)
+    assert kept.where("lang IS NULL").count() == 0 and kept.where("doc_id % 4 = 0").count() > 0
+    letters = {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), d).collect()} == letters
