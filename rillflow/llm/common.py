@@ -40,38 +40,72 @@ def cut(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a
     temporary folder used. Unlike a local checkpoint, the files outlive any executor.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-_stored: list[tuple[SparkSession, str]] = []
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Without one, only a session on this machine alone gets a temporary folder."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="rillflow")
+
+
+_stored: dict[str, SparkSession] = {}
 
 
 def store(df: DataFrame) -> DataFrame:
     """Like ``cut``, but as a compressed table in the shared folder, for what would be large as a checkpoint.
 
-    The tables are deleted when the driver's Python ends.
+    The tables are deleted by ``discard``, or when the driver's Python ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rillflow")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _stored.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _stored[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
-@atexit.register
-def _delete_stored() -> None:
-    for spark, path in _stored:
+def _delete(path: str) -> None:
+    spark = _stored.pop(path, None)
+    if spark is not None:
         with contextlib.suppress(Exception):  # the session may be gone, and the folder with it
             jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
             jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``store`` returned and that no later plan reads."""
+    for table in tables:
+        _delete(getattr(table, "_stored_at", ""))
+
+
+@atexit.register
+def _delete_stored() -> None:
+    for path in list(_stored):
+        _delete(path)
+
+
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, shuffle files go as soon as the query that made them has ended, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release() -> None:
     """Give memory that is free back to the system: workers outlive their tasks, and several wait on one executor."""
     pa.default_memory_pool().release_unused()

@@ -4,37 +4,44 @@ Model. Each observed context (a word, or the end before a document) has a restau
 restaurant of words as parent. The root's base measure is uniform over the V tokens of the training documents and one more for all that are
 unseen, the same events as those of the plain base score, so the two compare token by token.
 
-Training. Pairs (context, word) are counted by task and then summed by both, so no context or word meets in one task. Words are known by
-64-bit hashes. Seating is sampled by Gibbs sweeps in blocks: the customers of one dish in one restaurant are seated anew, one by one,
-given the totals of the sweep before. A pair seen once always has one table, so only pairs seen more often are sampled; the others enter as
-counts by context and by word. In a sweep the pairs meet their context's and their word's totals by joins, the pairs of hot contexts and words
-salted, and tables are summed by either. Draws are hashes of pair, sweep and customer, so a task that runs again draws the same. Tables and
-probabilities are averaged over the sweeps after the first; own part and backoff of a context then sum to one.
-
-Scoring. Every pair that a document holds gets its scores by joins with contexts and words. The most frequent pairs (at most
-``dictionary``, whatever the size of the corpus) are held by every task; the others are joined by pair, counted once for each document. The
-result does not depend on where that line is.
+Training. Words are counted, then pairs (context, word); words are known by 64-bit hashes. Seating is sampled by Gibbs sweeps in blocks: the
+customers of one dish in one restaurant are seated anew, one by one, given the totals of the sweep before. A pair seen once always has one
+table, so only pairs seen more often are kept and sampled; the others follow from the totals of their context and word. Draws are hashes of
+pair, sweep and customer, so a task that runs again draws the same, and the seats of a sweep can be drawn again instead of stored. Tables
+and probabilities are averaged over the sweeps after the first.
+
+Scale. The most frequent words (at most ``words``, whatever the corpus) have numbers, and every task holds their totals: a sweep over pairs of
+such words is one pass without a shuffle. Pairs with another word meet its totals by joins. As those words are rare, no key of a join is hot.
+The same holds for scoring: a document's pairs are scored where the text is read as if they had been seen once (in a training document)
+or never, with the totals held; what is missing, a rare word's totals or the difference that a pair's own count makes, is met by one join.
+The most frequent pairs (at most ``pairs``) are held as well. Results do not depend on these two numbers.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import body, crc_mod, map_arrow, slices, space_words, store
+from rillflow.llm.common import body, crc_mod, discard, map_arrow, slices, space_words, store, tidy_shuffles
 
-HOT_SHARE = 256  # contexts and words with at least this share of all pairs are salted, so there are at most that many
-SALTS = 16
+WORDS = 1 << 19
+PAIRS = 1 << 19
 BURN = 1
 END = b""  # the token after the last word; no word is empty
 THETA = 1.0
+#: Tokens that a task works on at a time, and that one task of a shuffle stands for.
+CHUNK = 1 << 20
+SHUFFLED = 1 << 21
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -121,262 +128,518 @@ def _uniform_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def _spans(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts cut at white space, so that few words of a long text are objects at a time."""
+    at = 0
+    while len(raw) - at > size and (m := _SPACE.search(raw, at + size)):
+        yield raw[at : m.start()]
+        at = m.end()
+    yield raw[at:]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple]:
+    """Whole texts of about ``size`` tokens: (hashes of their different words, the place of each token among these, tokens of each text, the
+    rows' other columns). Every text ends with END, so the token before a text's first one is an END in any case."""
+    local: defaultdict[bytes, int] = defaultdict()
+    local.default_factory = local.__len__
+    parts: list[np.ndarray] = []
+    lengths: list[int] = []
+    rest: list[dict] = []
+    total = 0
+
+    def chunk() -> tuple:
+        return _hashes(list(local)), np.concatenate(parts), np.array(lengths, dtype=np.int64), rest
+
+    for batch in slices(batches):
+        others = batch.drop_columns(["body"]).to_pylist()
+        bodies = batch.column("body")
+        for i, other in enumerate(others):
+            n = 0
+            for span in _spans(bodies[i].as_py()):
+                w = span.lower().split()
+                parts.append(np.fromiter(map(local.__getitem__, w), dtype=np.int32, count=len(w)))
+                n += len(w)
+            parts.append(np.array([local[END]], dtype=np.int32))
+            lengths.append(n + 1)
+            rest.append(other)
+            total += n + 1
+            if total >= size:
+                yield chunk()
+                local.clear()
+                parts, lengths, rest, total = [], [], [], 0
+    if lengths:
+        yield chunk()
+
+
+@dataclass
+class Held:
+    """The words that every task holds, sorted by hash, with their training counts."""
+
+    hashes: np.ndarray
+    n: np.ndarray
+
+    def number(self, h: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those not held."""
+        if not len(self.hashes):
+            return np.full(len(h), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+def _code(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return u.astype(np.int64) << 24 | w
+
+
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+
+def _as_long(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def _vocabulary(docs: DataFrame) -> DataFrame:
+    """(w, n, held): how often a word stands in the documents to learn from, and whether it does in others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, ids, lengths, rows in _chunks(batches):
+            learn = np.repeat(np.array([r["learn"] for r in rows], dtype=bool), lengths)
+            n = np.bincount(ids[learn], minlength=len(h))
+            yield _batch(["w", "n", "m"], _as_long(h), n, np.bincount(ids[~learn], minlength=len(h)))
+
+    return map_arrow(docs, run, "w long, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), (F.sum("m") > 0).alias("held"))
+
+
+def _top(rows: DataFrame, count: str, most: int) -> int:
+    """The least count (at eighths of a power of two) from which on there are no more than ``most`` rows."""
+    level = F.ceil(F.log2(F.col(count).cast("double")) * 8).cast("long")
+    left, least = most, 2.0**62
+    for r in sorted(rows.where(F.col(count) > 0).groupBy(level.alias("level")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = 2.0 ** ((r.level - 1) / 8)
+    return int(least) + 1 if least >= 1 else 1
+
+
+def _pairs(docs: DataFrame, held: Held, tasks: int) -> DataFrame:
+    """(k, u, w, kind, c, held): pairs with a training count c of two or more, those seen once that occur in other documents as well, and all
+    of two rare words. kind: 0 both words are held, 1 the context is rare, 2 the word is, 3 both are. Of kind 0, k is the code of both
+    numbers, else a hash of both words u and w."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, ids, lengths, rows in _chunks(batches):
+            number = held.number(h)
+            learn = np.repeat(np.array([r["learn"] for r in rows], dtype=bool), lengths)
+            before = np.roll(ids, 1)
+            u, w = number[before], number[ids]
+            top = (u >= 0) & (w >= 0)
+            for both in (True, False):
+                at = top if both else ~top
+                pair = _code(u[at], w[at]) if both else before[at].astype(np.int64) * len(h) + ids[at]
+                key, n = np.unique(pair * 2 + learn[at], return_counts=True)
+                learned = key & 1 == 1
+                pair = key >> 1
+                a, b = (pair, np.zeros(len(pair), dtype=np.int64)) if both else (_as_long(h[pair // len(h)]), _as_long(h[pair % len(h)]))
+                yield _batch(["a", "b", "c", "m"], a, b, np.where(learned, n, 0), ~learned)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [b for b in batches if b.num_rows]
+        if not every:
+            return
+        a, b, c, m = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in every]) for i in range(4))
+        every.clear()
+        top = b == 0
+        k = np.where(top, a, _as_long(_pair_key(a.view(np.uint64), b.view(np.uint64))))
+        order = np.argsort(k)
+        first = np.flatnonzero(np.append(True, np.diff(k[order]) != 0))
+        c, m = np.add.reduceat(c[order], first), np.logical_or.reduceat(m[order], first)
+        order = order[first]
+        a, b, k, top = a[order], b[order], k[order], top[order]
+        rare = [np.where(top, 0, held.number(x.view(np.uint64)) < 0).astype(np.int32) for x in (a, b)]
+        kind = rare[0] + 2 * rare[1]
+        keep = (c > 1) | (c == 1) & (m | (kind == 3))
+        u, w = np.where(top, 0, a), np.where(top, 0, b)
+        yield _batch(["k", "u", "w", "kind", "c", "held"], *(x[keep] for x in (k, u, w, kind, c, m)))
+
+    counted = map_arrow(docs, count, "a long, b long, c long, m boolean").repartition(tasks, "a", "b")
+    return map_arrow(counted, add, "k long, u long, w long, kind int, c long, held boolean")
+
+
 @dataclass
 class Model:
-    """Totals, and the averages of the sweeps as tables: contexts (u, n, own) and words (w, c, p)."""
+    """Totals, and what the sweeps after the first leave: arrays by held word, and the table ``rare`` of the other words."""
 
-    docs: DataFrame
     n: int
     v: int
     root_discount: float
-    context_discount: float
-    rest: float
-    context_rows: DataFrame
-    word_rows: DataFrame
+    discount: float
+    held: Held
+    pairs: DataFrame
+    rare: DataFrame
+    strengths: list[np.ndarray] = field(default_factory=list)  # of held contexts, by sweep
+    shares: list[np.ndarray] = field(default_factory=list)  # of held words in the root, when the sweep was drawn
+    own: np.ndarray | None = None
+    p: np.ndarray | None = None
+    rest: float = 1.0
+    once: float = 0.0  # probability of a word seen once
+    sweeps: list[int] = field(default_factory=list)
 
     @property
     def base(self) -> float:
         return 1 / (self.v + 1)
 
-    def spelled(self) -> DataFrame:
-        """(word, w): the training words with their hashes, to look into a small model."""
+    @property
+    def unseen(self) -> float:
+        return self.rest * self.base
+
+    @property
+    def own_once(self) -> float:
+        return (THETA + self.discount) / (THETA + 1)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                words = sorted({w for raw in batch.column("body").to_pylist() for w in tokens(raw)})
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(_hashes(words).view(np.int64))], names=["word", "w"])
+    def one(self, n):
+        """The share of a context of n tokens that a pair seen once has of its own."""
+        return (1 - self.discount) / (THETA + n)
 
-        return map_arrow(self.docs.select("body"), run, "word binary, w long").distinct()
 
-    def _contexts(self) -> list:
-        return sorted(self.context_rows.join(self.spelled(), F.col("u") == F.col("w")).select("word", "u", "own").collect(), key=lambda r: bytes(r.word))
+def _met(pairs: DataFrame, rare: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with a rare word, with columns of ``rare`` for it: u_x of the context, w_x of the word. A held word is not looked for: the key is then the pair's own."""
+    for side, kinds in (("u", (1, 3)), ("w", (2, 3))):
+        key = F.when(F.col("kind").isin(*kinds), F.col(side)).otherwise(F.col("k"))
+        looked = rare.select(F.col("w").alias("_key"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+        pairs = pairs.withColumn("_on", key).join(looked, F.col("_on") == F.col("_key"), "left").drop("_on", "_key")
+    return pairs
 
-    @property
-    def contexts(self) -> list[bytes]:
-        """All contexts on the driver, for small models."""
-        return [bytes(r.word) for r in self._contexts()]
 
-    def mean_backoff(self) -> tuple[np.ndarray, float]:
-        """Weight of the parent in each of ``contexts``, and of the base measure in the root."""
-        return np.array([r.own for r in self._contexts()]), self.rest
+def _sides(batch: pa.RecordBatch, held: Held) -> tuple:
+    """kind, hashes and numbers (-1: rare) of the pairs' contexts and words."""
+    kind = batch.column("kind").to_numpy()
+    k = batch.column("k").to_numpy()
+    u, w = (batch.column(x).to_numpy().view(np.uint64).copy() for x in ("u", "w"))
+    top = kind == 0
+    iu, iw = np.where(top, k >> 24, held.number(u)), np.where(top, k & (1 << 24) - 1, held.number(w))
+    u[top], w[top] = held.hashes[iu[top]], held.hashes[iw[top]]
+    return kind, u, w, iu, iw
 
 
-def _counted(docs: DataFrame, flush: int = 200_000) -> DataFrame:
-    """(u, w, c): the tokens w after a context u in docs(body, learn), counted where ``learn``; the others' pairs have count 0."""
+def _of(batch: pa.RecordBatch, number: np.ndarray, values: np.ndarray, column: str) -> np.ndarray:
+    """By pair: the held word's value, or that of the joined column."""
+    out = np.zeros(batch.num_rows)
+    here = number >= 0
+    out[here] = values[number[here]]
+    if column in batch.schema.names and not here.all():
+        joined = batch.column(column).to_numpy(zero_copy_only=False).astype(np.float64)
+        out[~here] = joined[~here]
+    return out
 
-    def batch_of(counts: Counter) -> pa.RecordBatch:
-        u, w = (_hashes([k[i] for k in counts]) for i in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(u.view(np.int64)), pa.array(w.view(np.int64)), pa.array(list(counts.values()), pa.int64())], names=["u", "w", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for raw, learn in zip(batch.column("body").to_pylist(), batch.column("learn").to_pylist()):
-                w = tokens(raw)
-                if learn:
-                    counts.update(zip([END, *w[:-1]], w))
-                else:
-                    for x in zip([END, *w[:-1]], w):
-                        counts.setdefault(x, 0)
-                if len(counts) > flush:
-                    yield batch_of(counts)
-                    counts = Counter()
-        if counts:
-            yield batch_of(counts)
-
-    return map_arrow(docs.select("body", "learn"), run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
-
-
-def _seated(df: DataFrame, keys: list[str], customers: str, discount: float, sweep: int) -> DataFrame:
-    """The rows without ``new`` and with the tables t that their customers open."""
-    out = [f for f in df.schema.fields if f.name != "new"]
+def _sums(model: Model, tables, columns: list[str]) -> DataFrame:
+    """(key, c_u, c_w, t_u, t_w): pairs seen more than once, their counts and tables summed by context and by word. key: a held word's number, else its hash, below -2^40 or above 2^40."""
+    held = model.held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(held.hashes)
+        sums = np.zeros((4, size), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = [batch.column(k).to_numpy().view(np.uint64) for k in keys]
-            key = _pair_key(*at) if len(at) == 2 else at[0]
-            c, new = (batch.column(x).to_numpy().astype(np.float64) for x in (customers, "new"))
-            t = seat(c, new, discount, key, sweep << 10)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(t.astype(np.int64))], names=[*(f.name for f in out), "t"])
-
-    return map_arrow(df, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out) + ", t long")
-
-
-class _Salted:
-    """Joins of pairs with a row for each context or word; the pairs of hot ones are spread over SALTS copies of that row."""
-
-    def __init__(self, by: str, other: str, hot: list[int]):
-        self.by, self.other, self.hot = by, other, hot
+            kind, u, w, iu, iw = _sides(batch, held)
+            c = batch.column("c").to_numpy()
+            t = tables(batch, u, w, iu, iw, c)
+            for row, (number, value) in enumerate(((iu, c), (iw, c), (iu, t), (iw, t))):
+                here = number >= 0
+                sums[row] += np.bincount(number[here], value[here], minlength=size).astype(np.int64)
+            for side, number, h in ((0, iu, u), (1, iw, w)):
+                if (rare := number < 0).any():
+                    zero = np.zeros(rare.sum(), dtype=np.int64)
+                    yield _batch(["key", "c_u", "c_w", "t_u", "t_w"], _as_long(h[rare]), *((c[rare], zero, t[rare], zero) if not side else (zero, c[rare], zero, t[rare])))
+        at = np.flatnonzero(sums.any(axis=0))
+        yield _batch(["key", "c_u", "c_w", "t_u", "t_w"], at, *sums[:, at])
+
+    pairs = model.pairs.where("c > 1")
+    schema = "key long, c_u long, c_w long, t_u long, t_w long"
+    top = map_arrow(pairs.where("kind = 0").select("k", "u", "w", "kind", "c"), run, schema)
+    met = pairs.where("kind > 0").select("k", "u", "w", "kind", "c")
+    rest = map_arrow(_met(met, model.rare, columns) if columns else met, run, schema)
+    return store(top.union(rest).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c_u", "c_w", "t_u", "t_w"))))
+
+
+def _held_sums(sums: DataFrame, size: int) -> np.ndarray:
+    table = sums.where((F.col("key") >= 0) & (F.col("key") < size)).toArrow()
+    out = np.zeros((4, size), dtype=np.int64)
+    at = table.column("key").to_numpy()
+    for row, name in enumerate(("c_u", "c_w", "t_u", "t_w")):
+        out[row, at] = table.column(name).to_numpy()
+    return out
+
+
+def train(docs: DataFrame, sweeps: int = 4, words: int = WORDS) -> Model:
+    """The model of those of docs(body, learn) that have ``learn``. At most ``words`` words are held by every task."""
+    vocabulary = store(_vocabulary(docs))
+    learned = F.col("n") > 0
+    x = vocabulary.agg(
+        F.count_if(learned).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"),
+    ).first()
+    least = _top(vocabulary, "n", words)
+    table = vocabulary.where(F.col("n") >= least).select("w", "n").toArrow()
+    h = table.column("w").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    held = Held(h[order], table.column("n").to_numpy()[order])
+    size = len(held.hashes)
+    pairs = store(_pairs(docs, held, max(1, ceil(x.n / SHUFFLED))))
+    # words that are neither held nor here were seen once, or never
+    rare = store(vocabulary.where((F.col("n") < least) & ((F.col("n") > 1) | (F.col("n") == 1) & F.col("held"))).select("w", "n"))
+    twos, more = pairs.agg(F.count_if(F.col("c") == 2), F.sum(F.when(F.col("c") > 1, F.col("c")))).first()
+    d, d_root, base = discount_of(x.n - (more or 0), twos or 0), discount_of(x.one, x.two), 1 / (x.v + 1)
+    model = Model(x.n, x.v, d_root, d, held, pairs, rare)
+    n_once = x.v - size - rare.count()
+    sums = _sums(model, lambda batch, u, w, iu, iw, c: np.ones(len(c), dtype=np.int64), [])
+    c_u, c_w, t_u, t_w = _held_sums(sums, size)
+    # the sweep before the first: one table for each dish
+    singles_u, singles_w = held.n - c_u, held.n - c_w
+    tables_of, customers = singles_u + t_u, singles_w + t_w
+    zero = F.lit(0).cast("long")
+    got = [F.coalesce(c, zero) for c in ("c_u", "c_w", "t_u", "t_w")]
+    state = rare.join(sums, F.col("w") == F.col("key"), "left").select(
+        "w", "n", (F.col("n") - got[0]).alias("singles_u"), (F.col("n") - got[1]).alias("singles_w"), (F.col("n") - got[0] + got[2]).alias("tables"),
+        (F.col("n") - got[1] + got[3]).alias("customers"), F.lit(1).cast("long").alias("t"))
+    model.rare = written = store(state)
+    discard(sums)
+    t = np.ones(size)
+    kept: list[str] = []
+    root = (0.0, 0.0)
 
-    def join(self, pairs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
-        if not self.hot:
-            return pairs.join(rows, self.by, how)
-        hot = F.col(self.by).isin(self.hot)
-        left = pairs.withColumn("_salt", F.when(hot, F.pmod(F.col(self.other), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-        copies = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-        return left.join(rows.withColumn("_salt", F.explode(copies)), [self.by, "_salt"], how).drop("_salt")
+    def rest_of(tables: float, customers: float) -> float:
+        return (THETA + d_root * tables) / (THETA + customers)
 
+    def totals() -> tuple[float, float]:
+        r = model.rare.agg(F.sum("t"), F.sum("customers")).first()
+        return float(t.sum() + n_once + (r[0] or 0)), float(customers.sum() + n_once + (r[1] or 0))
 
-def train(docs: DataFrame, sweeps: int = 4) -> tuple[Model, DataFrame]:
-    """The model of docs(body), or of those with ``learn`` in docs(body, learn), and the pairs of all docs.
+    def share(t, customers):
+        return (customers - d_root * t) / (THETA + root[1]) + rest_of(*root) * base
 
-    Pairs (u, w, c, part, own, p, seen): training count, the context's own share of the probability, the weight of the root there, the word's
-    probability in the root and its training count. The pair's probability is part + own * p.
-    """
-    if "learn" not in docs.columns:
-        docs = docs.withColumn("learn", F.lit(True))
-    pairs = store(_counted(docs))
-    known = pairs.where("c > 0")
+    root = totals()
+    averages, rests, once = [np.zeros(size), np.zeros(size)], [], []
+    for sweep in range(1, sweeps + 1):
+        keep = sweep > min(BURN, sweeps - 1)
+        strength, p = THETA + d * tables_of, share(t, customers)
+        names = [f"s{sweep}", f"p{sweep}"]
+        model.rare = model.rare.withColumns({names[0]: THETA + d * F.col("tables"), names[1]: share(F.col("t"), F.col("customers"))})
+
+        def seats(batch, u, w, iu, iw, c, strength=strength, p=p, names=names, sweep=sweep):
+            new = _of(batch, iu, strength, f"u_{names[0]}") * _of(batch, iw, p, f"w_{names[1]}")
+            return seat(c.astype(np.float64), new, d, _pair_key(u, w), sweep << 10).astype(np.int64)
+
+        sums = _sums(model, seats, names)
+        _, _, t_u, t_w = _held_sums(sums, size)
+        tables_of, customers = singles_u + t_u, singles_w + t_w
+        new = (THETA + d_root * root[0]) * base
+        t = seat(customers.astype(np.float64), np.full(size, new), d_root, held.hashes, sweep << 10)
+        columns = ["w", "n", "singles_u", "singles_w", *kept, *(names if keep else [])]
+        opened = model.rare.join(sums, F.col("w") == F.col("key"), "left").select(
+            *columns, (F.col("singles_u") + F.coalesce("t_u", zero)).alias("tables"), (F.col("singles_w") + F.coalesce("t_w", zero)).alias("customers"))
+        model.rare = store(_root_seats(opened, d_root, new, sweep))
+        discard(sums, written)
+        written = model.rare
+        root = totals()
+        if keep:
+            model.sweeps.append(sweep)
+            model.strengths.append(strength)
+            model.shares.append(p)
+            averages[0] += tables_of
+            averages[1] += share(t, customers)
+            rests.append(rest_of(*root))
+            once.append(share(1, 1))
+            at = {f"tables{sweep}": F.col("tables"), f"q{sweep}": share(F.col("t"), F.col("customers"))}
+            model.rare = model.rare.withColumns(at)
+            kept += [*names, *at]
+    number = max(len(rests), 1)
+    model.own = (THETA + d * averages[0] / number) / (THETA + held.n)
+    model.p = averages[1] / number
+    model.rest, model.once = (float(np.mean(rests)), float(np.mean(once))) if rests else (1.0, 0.0)
+    mean = {name: sum((F.col(f"{name}{s}") for s in model.sweeps), F.lit(0.0)) / number for name in ("tables", "q")}
+    drawn = [f"{x}{s}" for s in model.sweeps for x in "sp"]
+    model.rare = store(model.rare.select("w", "n", *drawn, ((THETA + d * mean["tables"]) / (THETA + F.col("n"))).alias("own"), mean["q"].alias("p")))
+    discard(vocabulary, rare, written)
+    return model
+
+
+def _root_seats(df: DataFrame, discount: float, new: float, sweep: int) -> DataFrame:
+    """The rows with the tables t that their customers open in the root."""
 
-    def grouped(by: str) -> DataFrame:
-        return store(known.groupBy(by).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("types"), F.count_if(F.col("c") == 1).alias("singles")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, c = batch.column("w").to_numpy().view(np.uint64), batch.column("customers").to_numpy().astype(np.float64)
+                t = seat(c, np.full(len(c), new), discount, key, sweep << 10).astype(np.int64)
+                yield _batch([*batch.schema.names, "t"], *batch.columns, t)
 
-    contexts, words = grouped("u"), grouped("w")
-    r = known.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    x = words.agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    d, d_root, base = discount_of(r.one, r.two), discount_of(x.one, x.two), 1 / (x.v + 1)
+    return map_arrow(df, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", t long")
 
-    def hot(rows: DataFrame, by: str) -> list[int]:
-        return [row[by] for row in rows.where(F.col("types") * HOT_SHARE >= r.k).select(by).collect()]
 
-    by_u, by_w = _Salted("u", "w", hot(contexts, "u")), _Salted("w", "u", hot(words, "w"))
+def _answers(model: Model) -> DataFrame:
+    """(key, kind, c, x, y, z). Of pairs: what their own count adds to log10 of the probability in a training document (x; of two rare words
+    the whole), and in others (y). Of rare words (kind 9): count, share of the parent as a context, probability in the root."""
+    pairs, rare = model.pairs, model.rare
+    model = replace(model, pairs=None, rare=None)  # what tasks get
+    held, d = model.held, model.discount
+    drawn = [f"{x}{s}" for s in model.sweeps for x in "sp"]
 
-    def rest_of(tables: float, customers: float) -> float:
-        return (THETA + d_root * tables) / (THETA + customers)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, u, w, iu, iw = _sides(batch, held)
+            c = batch.column("c").to_numpy().astype(np.float64)
+
+            def value(side, number, values, name, once):
+                out = _of(batch, number, values, f"{side}_{name}")
+                return np.where(np.isnan(out), once, out)  # a word that has no row was seen once
+
+            n, own = value("u", iu, held.n.astype(np.float64), "n", 1.0), value("u", iu, model.own, "own", model.own_once)
+            p = value("w", iw, model.p, "p", model.once)
+            key, t = _pair_key(u, w), np.zeros(len(c))
+            for s, strength, share in zip(model.sweeps, model.strengths, model.shares):
+                # of a pair seen once, any weight leaves one table
+                new = np.nan_to_num(_of(batch, iu, strength, f"u_s{s}") * _of(batch, iw, share, f"w_p{s}"))
+                t += seat(c, new, d, key, s << 10)
+            t /= max(len(model.sweeps), 1)
+            score = np.log10((c - d * t) / (THETA + n) + own * p)
+            whole = np.where(kind == 3, 0.0, np.log10(model.one(n) + own * p))
+            yield _batch(["key", "kind", "c", "x", "y", "z"], batch.column("k"), batch.column("kind"), batch.column("c"), score - whole, score - np.log10(own * p), np.zeros(len(c)))
+
+    schema = "key long, kind int, c long, x double, y double, z double"
+    columns = ["k", "u", "w", "kind", "c"]
+    top = map_arrow(pairs.where("kind = 0").select(*columns), run, schema)
+    rest = map_arrow(_met(pairs.where("kind > 0").select(*columns), rare, ["n", "own", "p", *drawn]), run, schema)
+    words = rare.select(F.col("w").alias("key"), F.lit(9).alias("kind"), "n", F.col("n").cast("double").alias("x"), "own", "p")
+    return top.union(rest).union(words)
+
+
+#: What a line asks for: a pair's difference, the probability of a rare word, the share of the parent in a rare context, a pair of rare words, a rare word's count.
+DELTA, WORD, CONTEXT, WHOLE, COUNT = range(5)
+#: Lines of a document: base score and score as far as known, tokens and known tokens, the halves of its id.
+SCORES, TOKENS, ID = range(5, 8)
+LINES = "uid long, kind int, key long, a double, b double"
+
+
+def _lines(docs: DataFrame, model: Model, top: pa.Table) -> DataFrame:
+    """Lines of docs(doc_id, body, learn). uid is even for training documents."""
+    from pyspark import TaskContext
 
-    def with_p(tables: float, customers: float) -> Column:
-        return (F.col("customers") - d_root * F.col("t")) / (THETA + customers) + rest_of(tables, customers) * base
+    held, total = model.held, float(model.n + model.v + 1)
+    one, own, p = model.one(held.n), model.own, model.p
+    log_base = np.log10((held.n + 1) / total)
+    codes = top.column("key").to_numpy()
+    order = np.argsort(codes)
+    codes, x, y = (top.column(c).to_numpy()[order] for c in ("key", "x", "y"))
 
-    # the sweep before the first: one table for each dish
-    multi = pairs.where("c > 1").select("u", "w", "c", F.lit(0).cast("long").alias("sum_t"))
-    context_state = contexts.select("u", "n", "singles", F.col("types").alias("tables"), F.lit(0).cast("long").alias("sum_tables"))
-    tables, customers, kept, rests = float(x.v), float(r.k), 0, []
-    word_state = words.select("w", "n", "singles", F.col("types").alias("customers"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("sum_p"))
-    for sweep in range(1, sweeps + 1):
-        keep = sweep > min(BURN, sweeps - 1)
-        strength = context_state.select("u", (THETA + d * F.col("tables")).alias("strength"))
-        p = word_state.select("w", with_p(tables, customers).alias("p"))
-        met = by_w.join(by_u.join(multi, strength), p).select("u", "w", "c", "sum_t", (F.col("strength") * F.col("p")).alias("new"))
-        seats = store(_seated(met, ["u", "w"], "c", d, sweep))
-
-        def opened(by: str) -> DataFrame:
-            return seats.groupBy(by).agg(F.sum("t").alias("opened"))
-
-        now = F.col("singles") + F.coalesce("opened", F.lit(0))
-        context_state = store(context_state.join(opened("u"), "u", "left").select(
-            "u", "n", "singles", now.alias("tables"), (F.col("sum_tables") + (now if keep else F.lit(0))).alias("sum_tables")))
-        rows = word_state.join(opened("w"), "w", "left").select(
-            "w", "n", "singles", now.alias("customers"), "sum_p", F.lit((THETA + d_root * tables) * base).alias("new"))
-        word_state = store(_seated(rows, ["w"], "customers", d_root, sweep))
-        sums = word_state.agg(F.sum("t").alias("t"), F.sum("customers").alias("c")).first()
-        tables, customers = float(sums.t or 0), float(sums.c or 0)
-        if keep:
-            kept += 1
-            rests.append(rest_of(tables, customers))
-            word_state = word_state.withColumn("sum_p", F.col("sum_p") + with_p(tables, customers))
-        multi = seats.select("u", "w", "c", (F.col("sum_t") + (F.col("t") if keep else F.lit(0))).alias("sum_t"))
-    kept = max(kept, 1)
-    rest = float(np.mean(rests)) if rests else 1.0
-    context_rows = store(context_state.select("u", "n", ((THETA + d * F.col("sum_tables") / kept) / (THETA + F.col("n"))).alias("own")))
-    word_rows = store(word_state.select("w", F.col("n").alias("seen"), (F.col("sum_p") / kept).alias("p")))
-    model = Model(docs.where("learn"), r.n, x.v, d_root, d, rest, context_rows, word_rows)
-    mean_t = multi.select("u", "w", "c", (F.col("sum_t") / kept).alias("mean_t"))
-    mean_t = mean_t.union(pairs.where("c <= 1").select("u", "w", "c", F.col("c").cast("double").alias("mean_t")))
-    met = by_w.join(by_u.join(mean_t, context_rows, "left"), word_rows, "left")
-    part = F.coalesce((F.col("c") - d * F.col("mean_t")) / (THETA + F.col("n")), F.lit(0.0))
-    return model, met.select("u", "w", "c", part.alias("part"), F.coalesce("own", F.lit(1.0)).alias("own"),
-                             F.coalesce("p", F.lit(rest * base)).alias("p"), F.coalesce("seen", F.lit(0)).alias("seen"))
-
-
-def predictive(model: Model, table: DataFrame) -> DataFrame:
-    """A small model by word: (word, c, p, ctx, ps), the root's probability and those after contexts, numbered as in ``model.contexts``."""
-    spelled = model.spelled()
-    number = table.sparkSession.createDataFrame([(r.u, i) for i, r in enumerate(model._contexts())], "u long, k int")
-    rows = table.where("c > 0").join(number, "u").groupBy("w").agg(
-        F.first("seen").alias("c"), F.first("p").alias("p"), F.sort_array(F.collect_list(F.struct("k", (F.col("part") + F.col("own") * F.col("p")).alias("q")))).alias("all"))
-    return rows.join(spelled, "w").select("word", "c", "p", F.col("all.k").alias("ctx"), F.col("all.q").alias("ps"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 37
+        for h, ids, lengths, rows in _chunks(batches, CHUNK >> 1):
+            number = held.number(h)
+            learn_doc = np.array([r["learn"] for r in rows], dtype=bool)
+            uids = first + 2 * np.arange(len(rows)) + ~learn_doc
+            first += 2 * len(rows)
+            learn, uid = np.repeat(learn_doc, lengths), np.repeat(uids, lengths)
+            before = np.roll(ids, 1)
+            u, w = number[before], number[ids]
+            has_u, has_w = u >= 0, w >= 0
+            score, base = np.zeros(len(ids)), np.zeros(len(ids))
+            base[has_w] = log_base[w[has_w]]
+            both = np.flatnonzero(has_u & has_w)
+            ub, wb = u[both], w[both]
+            part = np.where(learn[both], one[ub], 0.0)
+            score[both] = np.log10(part + own[ub] * p[wb])
+            code = _code(ub, wb)
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                here = codes[at] == code
+                score[both[here]] += np.where(learn[both[here]], x[at[here]], y[at[here]])
+                both, code = both[~here], code[~here]
+
+            def lines(at, kind, key, a=0.0, b=0.0):
+                m = len(at)
+                return _batch(names, uid[at], np.full(m, kind, dtype=np.int32), key, np.broadcast_to(np.float64(a), m), np.broadcast_to(np.float64(b), m))
+
+            yield lines(both, DELTA, code)
+            if len(rare := np.flatnonzero(~(has_u & has_w))):
+                key = _as_long(_pair_key(h[before[rare]], h[ids[rare]]))
+                hu, hw = _as_long(h)[before[rare]], _as_long(h)[ids[rare]]
+                uu, ww, train_doc = u[rare], w[rare], learn[rare]
+                two = (uu < 0) & (ww < 0)
+                whole = two & train_doc
+                yield lines(rare[~whole], DELTA, key[~whole])
+                yield lines(rare[whole], WHOLE, key[whole])
+                yield lines(rare[whole], COUNT, hw[whole])
+                word = (ww < 0) & ~two
+                yield lines(rare[word], WORD, hw[word], np.where(train_doc[word], one[uu[word]], 0.0), own[uu[word]])
+                context = (uu < 0) & ~two
+                yield lines(rare[context], CONTEXT, hu[context], 0.0, p[ww[context]])
+                apart = two & ~train_doc  # without a part of its own the probability is a product
+                yield lines(rare[apart], WORD, hw[apart], 0.0, 1.0)
+                yield lines(rare[apart], CONTEXT, hu[apart], 0.0, 1.0)
+            starts = np.cumsum(lengths) - lengths
+            sums = [np.add.reduceat(z, starts) for z in (base, score, has_w.astype(np.float64))]
+            kinds = np.repeat(np.array([SCORES, TOKENS], dtype=np.int32), len(rows))
+            yield _batch(names, np.tile(uids, 2), kinds, np.tile(uids, 2), np.concatenate([sums[0], lengths]), np.concatenate(sums[1:]))
+            known = [(i, r["doc_id"]) for i, r in zip(uids, rows) if r["doc_id"] is not None]
+            if known:
+                i, doc = (np.array(z, dtype=np.int64) for z in zip(*known))
+                yield _batch(names, i, np.full(len(i), ID, dtype=np.int32), i, (doc >> 32).astype(np.float64), (doc & 0xFFFFFFFF).astype(np.float64))
+
+    names = ["uid", "kind", "key", "a", "b"]
+    return map_arrow(docs, run, LINES)
+
+
+def _collected(lines: DataFrame, answers: DataFrame, model: Model, tasks: int) -> DataFrame:
+    """Lines with their answers, summed by document."""
+    asked = lines.repartition(tasks, "key")
+    known = answers.select(F.col("key").alias("_key"), "x", "y", "z").repartition(tasks, "_key").hint("shuffle_hash")
+    met = asked.join(known, F.col("key") == F.col("_key"), "left").where((F.col("kind") != DELTA) | F.col("_key").isNotNull())
+    train, kind, found = F.col("uid") % 2 == 0, F.col("kind"), F.col("_key").isNotNull()
+    n = F.when(found, F.col("x")).otherwise(F.when(train, 1.0).otherwise(0.0))
+    p = F.when(found, F.col("z")).otherwise(F.when(train, model.once).otherwise(model.unseen))
+    own = F.when(found, F.col("y")).otherwise(F.when(train, model.own_once).otherwise(1.0))
+    part = F.when(train, (1 - model.discount) / (THETA + n)).otherwise(0.0)
+    score = (
+        F.when(kind == DELTA, F.when(train, F.col("x")).otherwise(F.col("y"))).when(kind == WORD, F.log10(F.col("a") + F.col("b") * p))
+        .when(kind == CONTEXT, F.log10(part + own * F.col("b"))).when(kind == WHOLE, F.col("x")).when(kind == SCORES, F.col("b")).otherwise(0.0)
+    )
+    word = kind.isin(WORD, COUNT)
+    base = F.when(word, F.log10((n + 1) / F.lit(float(model.n + model.v + 1)))).when(kind == SCORES, F.col("a")).otherwise(0.0)
+    seen = F.when(word, (n > 0).cast("long")).when(kind == TOKENS, F.col("b").cast("long")).otherwise(F.lit(0).cast("long"))
+    whole_id = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+    return met.groupBy("uid").agg(
+        F.max(F.when(kind == ID, whole_id)).alias("doc_id"), F.max(F.when(kind == TOKENS, F.col("a").cast("long"))).alias("n_tokens"), F.sum(seen).alias("n_known"),
+        F.sum(base).alias("base_score"), F.sum(score).alias("score"),
+    )
 
 
 def scores(
-    docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", dictionary: int = 200_000, sweeps: int = 4
+    docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, pairs: int = PAIRS, sweeps: int = 4
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs, learning from those with ``train_on``.
 
     A null text is empty: its one token is the end. Repeated rows are scored (and counted) each. With nothing to learn from, all
-    probabilities are one: there is one event, the unseen.
+    probabilities are one: there is one event, the unseen. ``words`` and ``pairs``: how many every task holds at most (words: below 2^24).
     """
-    from pyspark import TaskContext
-
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body"), F.coalesce(train_on, F.lit(False)).alias("learn"))
-    model, table = train(rows.select("body", "learn"), sweeps)
-    total = float(model.n + model.v + 1)
-    table = store(table.select("u", "w", "c", F.log10(F.col("part") + F.col("own") * F.col("p")).alias("lp"), F.log10((F.col("seen") + 1) / F.lit(total)).alias("lb"),
-                               (F.col("seen") > 0).cast("int").alias("known")))
-    # the least count (in eighths of a power of two) above which pairs are few enough to be held
-    level = F.floor(F.log2(F.greatest("c", F.lit(1)).cast("double")) * 8).cast("long")
-    left, least = dictionary, 0
-    for r in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
-        left -= r["count"]
-        if left < 0:
-            least = r.level + 1
-            break
-    held = level >= least
-    top = table.where(held).select("u", "w", "lp", "lb", "known").toArrow()
-    u, w = (top.column(x).to_numpy().view(np.uint64) for x in ("u", "w"))
-    keys = _pair_key(u, w)
-    order = np.argsort(keys)
-    keys, (lp, lb, known) = keys[order], (top.column(x).to_numpy()[order] for x in ("lp", "lb", "known"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 36
-        end = _hashes([END])
-        ready: list[pa.RecordBatch] = []
-
-        def lines(u, kind, a, b, times, doc, n, m, base, score) -> pa.RecordBatch:
-            columns = [pa.array(u, pa.int64()), pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(times, pa.int32()), doc,
-                       pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
-        for batch in slices(batches):
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
-                b = _hashes(tokens(raw))
-                a = np.append(end, b[:-1])
-                key, first, times = np.unique(_pair_key(a, b), return_index=True, return_counts=True)
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                here = keys[at] == key if len(keys) else np.zeros(len(key), dtype=bool)
-                i, k = at[here], times[here]
-                one = [uid], [1], [uid], [uid], [0], pa.array([doc_id], pa.int64()), [len(b)], [int((known[i] * k).sum())], [float((lb[i] * k).sum())], [float((lp[i] * k).sum())]
-                ready.append(lines(*one))
-                rare = first[~here]
-                if len(rare):
-                    z = np.zeros(len(rare), dtype=np.int64)
-                    ready.append(lines(z + uid, z, a[rare].view(np.int64), b[rare].view(np.int64), times[~here], pa.nulls(len(rare), pa.int64()), z, z, z.astype(float), z.astype(float)))
-                uid += 1
-                if sum(x.num_rows for x in ready) > 50_000:
-                    yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-                    ready.clear()
-        if ready:
-            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
-
-    names = ["uid", "kind", "u", "w", "times", "doc_id", "n_tokens", "n_known", "base_score", "score"]
-    kinds = "long int long long int long long long double double".split()
-    # a document's sums (kind 1, each with a key of its own) and its rarer pairs (kind 0) go through one join
-    lines = map_arrow(rows.select("doc_id", "body"), run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds)))
-    rare = table.where(~held).select(F.col("u").alias("_u"), F.col("w").alias("_w"), F.lit(0).alias("_z"), "lp", "lb", "known")
-    joined = lines.join(rare, (F.col("u") == F.col("_u")) & (F.col("w") == F.col("_w")) & (F.col("kind") == F.col("_z")), "left")
-
-    def add(own_value: str, of_pair: str) -> Column:
-        return F.sum(F.when(F.col("kind") == 1, F.col(own_value)).otherwise(F.col("times") * F.col(of_pair))).alias(own_value)
-
-    return joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), add("n_known", "known"), add("base_score", "lb"), add("score", "lp"),
-    ).select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def op9_query(spark, sf_dir: str) -> DataFrame:
+    with tidy_shuffles(spark):
+        model = train(rows.select("body", "learn"), sweeps, words)
+        answers = store(_answers(model))
+        discard(model.pairs, model.rare)
+        both = answers.where("kind = 0")
+        top = both.where(F.col("c") >= _top(both, "c", pairs)).select("key", "x", "y").toArrow()
+        lines = _lines(rows, model, top)
+        found = store(_collected(lines, answers, model, max(1, ceil(model.n / SHUFFLED))))
+        discard(answers)
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rest = F.coalesce(crc_mod("doc_id", 7), F.lit(0))
     return scores(docs, rest != 2).select(
