@@ -19,8 +19,6 @@ The most frequent pairs (at most ``pairs``) are held as well. Results do not dep
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from math import ceil
@@ -31,23 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import body, crc_mod, discard, map_arrow, slices, space_words, store, tidy_shuffles
+from rillflow.llm.common import body, crc_mod, discard, map_arrow, slices, store, tidy_shuffles
 
 WORDS = 1 << 19
 PAIRS = 1 << 19
 BURN = 1
-END = b""  # the token after the last word; no word is empty
 THETA = 1.0
 #: Tokens that a task works on at a time, and that one task of a shuffle stands for.
 CHUNK = 1 << 20
 SHUFFLED = 1 << 21
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def tokens(raw: bytes) -> list[bytes]:
-    words = space_words(raw.lower())
-    words.append(END)
-    return words
 
 
 # ---- seating
@@ -115,58 +105,101 @@ def discount_of(ones: int, twos: int) -> float:
 # ---- the model
 
 
+def _uniform_bits(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+_BYTE = np.arange(256, dtype=np.uint64)
+_BYTE[65:91] += np.uint64(32)  # A-Z count as a-z
+#: 64-bit numbers for bytes, and whether a byte parts words.
+_VALUE = (_uniform(_BYTE, 1) * 2.0**53).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_SEGMENT, _LONG = 1 << 18, 256
+with np.errstate(over="ignore"):
+    _POWERS = np.cumprod(np.append(np.uint64(1), np.full(_SEGMENT + _LONG, 0xD1342543DE82EF95, dtype=np.uint64)))
+
+
+def _mixed(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _uniform_bits(h + (length.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
+
+
+def _word_hashes(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one text after the other, and the words of each text.
+
+    A polynomial of the bytes from running sums, so that no word becomes an object; longer words than _LONG bytes are hashed one by one.
+    """
+    wide = np.int64 if pa.types.is_large_binary(bodies.type) else np.int32
+    offsets = np.frombuffer(bodies.buffers()[1], dtype=wide, count=len(bodies) + 1, offset=bodies.offset * np.dtype(wide).itemsize).astype(np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(bodies), dtype=np.int64)
+    data = np.frombuffer(bodies.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    space = _IS_SPACE[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)  # whether something ends and something else begins before a byte
+    edge[offsets] = True
+    edge[1:-1] |= space[1:] != space[:-1]
+    at = np.flatnonzero(edge)
+    word = ~space[at[:-1]]
+    starts, ends = at[:-1][word], at[1:][word]
+    length = ends - starts
+    h = np.zeros(len(starts), dtype=np.uint64)
+    short = length <= _LONG
+    bounds = np.searchsorted(starts, np.arange(0, len(data) + _SEGMENT, _SEGMENT))
+    for lo, hi in zip(bounds, bounds[1:]):
+        here = np.arange(lo, hi) if short[lo:hi].all() else lo + np.flatnonzero(short[lo:hi])
+        if len(here):
+            a, b = starts[here], ends[here]
+            first = a[0]
+            sums = np.zeros(b[-1] - first + 1, dtype=np.uint64)
+            np.cumsum(_VALUE[data[first : b[-1]]] * _POWERS[: b[-1] - first], out=sums[1:])
+            h[here] = (sums[b - first] - sums[a - first]) * _POWERS[_SEGMENT + _LONG - (a - first)]
+    h = _mixed(h, length)
+    for i in np.flatnonzero(~short):
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+    return h, np.diff(np.searchsorted(starts, offsets))
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    """Of single words; an empty one is END."""
+    h, n = _word_hashes(pa.array(words, pa.binary()))
+    out = np.full(len(words), _END_HASH)
+    out[n > 0] = h
+    return out
 
 
 def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _uniform_bits(u * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) ^ w
 
 
-def _uniform_bits(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(27))
-
-
-def _spans(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """The text in parts cut at white space, so that few words of a long text are objects at a time."""
-    at = 0
-    while len(raw) - at > size and (m := _SPACE.search(raw, at + size)):
-        yield raw[at : m.start()]
-        at = m.end()
-    yield raw[at:]
+_END_HASH = _mixed(np.zeros(1, dtype=np.uint64), np.zeros(1))[0]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple]:
     """Whole texts of about ``size`` tokens: (hashes of their different words, the place of each token among these, tokens of each text, the
     rows' other columns). Every text ends with END, so the token before a text's first one is an END in any case."""
-    local: defaultdict[bytes, int] = defaultdict()
-    local.default_factory = local.__len__
     parts: list[np.ndarray] = []
-    lengths: list[int] = []
+    lengths: list[np.ndarray] = []
     rest: list[dict] = []
     total = 0
 
     def chunk() -> tuple:
-        return _hashes(list(local)), np.concatenate(parts), np.array(lengths, dtype=np.int64), rest
+        coded = pa.array(np.concatenate(parts)).dictionary_encode()
+        parts.clear()
+        return coded.dictionary.to_numpy(), coded.indices.to_numpy(), np.concatenate(lengths), rest
 
     for batch in slices(batches):
-        others = batch.drop_columns(["body"]).to_pylist()
-        bodies = batch.column("body")
-        for i, other in enumerate(others):
-            n = 0
-            for span in _spans(bodies[i].as_py()):
-                w = span.lower().split()
-                parts.append(np.fromiter(map(local.__getitem__, w), dtype=np.int32, count=len(w)))
-                n += len(w)
-            parts.append(np.array([local[END]], dtype=np.int32))
-            lengths.append(n + 1)
-            rest.append(other)
-            total += n + 1
-            if total >= size:
-                yield chunk()
-                local.clear()
-                parts, lengths, rest, total = [], [], [], 0
+        h, n = _word_hashes(batch.column("body"))
+        every = np.full(len(h) + len(n), _END_HASH)
+        every[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+        parts.append(every)
+        lengths.append(n + 1)
+        rest.extend(batch.drop_columns(["body"]).to_pylist())
+        total += len(every)
+        if total >= size:
+            yield chunk()
+            lengths, rest, total = [], [], 0
     if lengths:
         yield chunk()
 
@@ -277,6 +310,7 @@ class Model:
     held: Held
     pairs: DataFrame
     rare: DataFrame
+    n_rare: int = 0
     strengths: list[np.ndarray] = field(default_factory=list)  # of held contexts, by sweep
     shares: list[np.ndarray] = field(default_factory=list)  # of held words in the root, when the sweep was drawn
     own: np.ndarray | None = None
@@ -359,9 +393,10 @@ def _sums(model: Model, tables, columns: list[str]) -> DataFrame:
     pairs = model.pairs.where("c > 1")
     schema = "key long, c_u long, c_w long, t_u long, t_w long"
     top = map_arrow(pairs.where("kind = 0").select("k", "u", "w", "kind", "c"), run, schema)
-    met = pairs.where("kind > 0").select("k", "u", "w", "kind", "c")
-    rest = map_arrow(_met(met, model.rare, columns) if columns else met, run, schema)
-    return store(top.union(rest).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c_u", "c_w", "t_u", "t_w"))))
+    if model.n_rare:
+        met = pairs.where("kind > 0").select("k", "u", "w", "kind", "c")
+        top = top.union(map_arrow(_met(met, model.rare, columns) if columns else met, run, schema))
+    return store(top.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c_u", "c_w", "t_u", "t_w"))))
 
 
 def _held_sums(sums: DataFrame, size: int) -> np.ndarray:
@@ -391,8 +426,8 @@ def train(docs: DataFrame, sweeps: int = 4, words: int = WORDS) -> Model:
     rare = store(vocabulary.where((F.col("n") < least) & ((F.col("n") > 1) | (F.col("n") == 1) & F.col("held"))).select("w", "n"))
     twos, more = pairs.agg(F.count_if(F.col("c") == 2), F.sum(F.when(F.col("c") > 1, F.col("c")))).first()
     d, d_root, base = discount_of(x.n - (more or 0), twos or 0), discount_of(x.one, x.two), 1 / (x.v + 1)
-    model = Model(x.n, x.v, d_root, d, held, pairs, rare)
-    n_once = x.v - size - rare.count()
+    model = Model(x.n, x.v, d_root, d, held, pairs, rare, rare.count())
+    n_once = x.v - size - model.n_rare
     sums = _sums(model, lambda batch, u, w, iu, iw, c: np.ones(len(c), dtype=np.int64), [])
     c_u, c_w, t_u, t_w = _held_sums(sums, size)
     # the sweep before the first: one table for each dish
@@ -413,7 +448,7 @@ def train(docs: DataFrame, sweeps: int = 4, words: int = WORDS) -> Model:
         return (THETA + d_root * tables) / (THETA + customers)
 
     def totals() -> tuple[float, float]:
-        r = model.rare.agg(F.sum("t"), F.sum("customers")).first()
+        r = model.rare.agg(F.sum("t"), F.sum("customers")).first() if model.n_rare else (0, 0)
         return float(t.sum() + n_once + (r[0] or 0)), float(customers.sum() + n_once + (r[1] or 0))
 
     def share(t, customers):
@@ -437,11 +472,13 @@ def train(docs: DataFrame, sweeps: int = 4, words: int = WORDS) -> Model:
         new = (THETA + d_root * root[0]) * base
         t = seat(customers.astype(np.float64), np.full(size, new), d_root, held.hashes, sweep << 10)
         columns = ["w", "n", "singles_u", "singles_w", *kept, *(names if keep else [])]
-        opened = model.rare.join(sums, F.col("w") == F.col("key"), "left").select(
-            *columns, (F.col("singles_u") + F.coalesce("t_u", zero)).alias("tables"), (F.col("singles_w") + F.coalesce("t_w", zero)).alias("customers"))
-        model.rare = store(_root_seats(opened, d_root, new, sweep))
-        discard(sums, written)
-        written = model.rare
+        if model.n_rare:
+            opened = model.rare.join(sums, F.col("w") == F.col("key"), "left").select(
+                *columns, (F.col("singles_u") + F.coalesce("t_u", zero)).alias("tables"), (F.col("singles_w") + F.coalesce("t_w", zero)).alias("customers"))
+            model.rare = store(_root_seats(opened, d_root, new, sweep))
+            discard(written)
+            written = model.rare
+        discard(sums)
         root = totals()
         if keep:
             model.sweeps.append(sweep)

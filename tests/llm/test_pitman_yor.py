@@ -4,7 +4,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rillflow.llm import pitman_yor as py
@@ -41,7 +41,7 @@ def check(df, **more):
 
 
 def key(w):
-    return xxhash.xxh64_intdigest(b"" if w is None else w.encode())
+    return int(py._hashes([b"" if w is None else w.encode()])[0])
 
 
 def seats(customers, weight, discount, k, salt):
@@ -110,6 +110,21 @@ def test_scores_equal_those_of_a_plain_sampler(spark):
         assert all(abs(got[i].score - s) < 1e-6 * max(1, abs(s)) for i, s in want.items()), most
 
 
+def test_words_have_hashes_of_their_own():
+    rng = np.random.default_rng(0)
+    texts = ["", " \t", "One tWo\nthree", "é" * 300 + " x\x0by", "z" * 600_000 + " a " + "Z" * 600_000, "b " * 300_000]
+    texts += ["".join(map(chr, rng.choice([32, 9, 13, 65, 97, 66, 98, 233, 0x4E2D], 3000))) for _ in range(20)]
+    h, n = py._word_hashes(pa.array(["skipped", *texts]).cast(pa.binary()).slice(1))
+    want = [words(t)[:-1] for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    flat = [w for t in want for w in t]
+    of = dict(zip(flat, h.tolist()))
+    assert [of[w] for w in flat] == h.tolist() and len(set(of.values())) == len(of)
+    assert key("one") == of["one"] and key(None) not in of.values()
+    many = [f"{a}{b}".encode() for a in "abcdefghij" for b in range(30_000)]
+    assert len(set(py._hashes(many).tolist())) == len(many)
+
+
 def test_probabilities_sum_to_one():
     model = Plain([f"the cat sat on the mat the {x} of the {y}" for x, y in zip("abcdefghij" * 5, "klmno" * 10)])
     for u in model.n:
