@@ -37,7 +37,10 @@ BURN = 1
 THETA = 1.0
 #: Tokens that a task works on at a time, and that one task of a shuffle stands for.
 CHUNK = 1 << 20
-SHUFFLED = 1 << 21
+SHUFFLED = 1 << 22
+#: Parts that a task deals its numbers to at once, and parts that the held words' sums are added up in.
+FAN = 2048
+RANGES = 8
 
 
 # ---- seating
@@ -204,6 +207,102 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tu
         yield chunk()
 
 
+# ---- numbers dealt by key, many to a row
+
+DEALT = "part int, kind int, data array<binary>"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """8-byte numbers, their bytes by significance, so that equal high bytes stand together and compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((_uniform_bits(key.view(np.uint64)) >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+
+
+def _deal(lots, parts: int, fan: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT from lots (kind, 8-byte columns); the first column, an int64, says the part."""
+    for kind, columns in lots:
+        if not len(columns[0]):
+            continue
+        part = (_part(columns[0], parts) // fan).astype(np.uint32)
+        part = part.astype(np.uint16) if parts // fan < 1 << 16 else part
+        order = np.argsort(part, kind="stable")
+        part, columns = part[order], [c[order] for c in columns]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        last = np.append(first[1:], len(part))
+        data = [[_packed(c[a:b]) for c in columns] for a, b in zip(first, last)]
+        n = len(first)
+        yield _batch(["part", "kind", "data"], part[first].astype(np.int32), np.full(n, kind, dtype=np.int32), pa.array(data, pa.list_(pa.binary())))
+
+
+def _lots(batches: Iterator[pa.RecordBatch], most: int = 1 << 62) -> Iterator[dict[int, list[np.ndarray]]]:
+    """Dealt rows as int64 columns by kind: all of a task at once, or about ``most`` numbers at a time."""
+    found: dict[int, list[list[np.ndarray]]] = {}
+    n = 0
+    for batch in batches:
+        kinds, data = batch.column("kind").to_pylist(), batch.column("data")
+        for i, kind in enumerate(kinds):
+            columns = [_unpacked(x.as_buffer()) for x in data[i].values]
+            found.setdefault(kind, []).append(columns)
+            n += len(columns[0]) * len(columns)
+        if n >= most:
+            yield {k: [np.concatenate(c) for c in zip(*v)] for k, v in found.items()}
+            found, n = {}, 0
+    if found:
+        yield {k: [np.concatenate(c) for c in zip(*found.pop(k))] for k in list(found)}
+
+
+def _regrouped(sources: list, parts: int, run, schema: str) -> DataFrame:
+    """``run(lots of one part)`` for each part. sources: (DataFrame, batches -> lots). Each part is one task; beyond FAN parts the numbers are
+    dealt in two rounds, else a task would make rows of a few numbers."""
+    fan = 1 if parts <= FAN else FAN
+
+    def first(lots):
+        return lambda batches: _deal(lots(batches), parts, fan)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lots in _lots(batches, 1 << 23):
+            yield from _deal(lots.items(), parts)
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lots in _lots(batches):
+            yield from run(lots)
+
+    dealt = None
+    for df, lots in sources:
+        one = map_arrow(df, first(lots), DEALT)
+        dealt = one if dealt is None else dealt.union(one)
+    if fan > 1:
+        dealt = map_arrow(dealt.repartitionById(-(-parts // fan), F.col("part")), again, DEALT)
+    return map_arrow(dealt.repartitionById(parts, F.col("part")), end, schema)
+
+
+def _added(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sums by key: the place of one row of each key, the keys, the sums."""
+    order = np.argsort(key)
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    return order[first], key[order[first]], [np.add.reduceat(v[order], first) for v in values]
+
+
+class Shared:
+    """Values for the tasks of a few jobs, gone from all disks when these are over."""
+
+    def __init__(self, spark: SparkSession, *values):
+        self.sent = spark.sparkContext.broadcast(values)
+
+    def __enter__(self):
+        return self.sent
+
+    def __exit__(self, *_) -> None:
+        self.sent.destroy()
+
+
 @dataclass
 class Held:
     """The words that every task holds, sorted by hash, with their training counts."""
@@ -231,16 +330,19 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _vocabulary(docs: DataFrame) -> DataFrame:
+def _vocabulary(docs: DataFrame, parts: int) -> DataFrame:
     """(w, n, held): how often a word stands in the documents to learn from, and whether it does in others."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ids, lengths, rows in _chunks(batches):
+    def lots(batches: Iterator[pa.RecordBatch]):
+        for h, ids, lengths, rows in _chunks(batches, 2 * CHUNK):
             learn = np.repeat(np.array([r["learn"] for r in rows], dtype=bool), lengths)
-            n = np.bincount(ids[learn], minlength=len(h))
-            yield _batch(["w", "n", "m"], _as_long(h), n, np.bincount(ids[~learn], minlength=len(h)))
+            yield 0, [_as_long(h), np.bincount(ids[learn], minlength=len(h)), np.bincount(ids[~learn], minlength=len(h))]
+
+    def run(found) -> Iterator[pa.RecordBatch]:
+        _, w, (n, m) = _added(*found[0])
+        yield _batch(["w", "n", "held"], w, n, m > 0)
 
-    return map_arrow(docs, run, "w long, n long, m long").groupBy("w").agg(F.sum("n").alias("n"), (F.sum("m") > 0).alias("held"))
+    return _regrouped([(docs, lots)], parts, run, "w long, n long, held boolean")
 
 
 def _top(rows: DataFrame, count: str, most: int) -> int:
@@ -255,13 +357,14 @@ def _top(rows: DataFrame, count: str, most: int) -> int:
     return int(least) + 1 if least >= 1 else 1
 
 
-def _pairs(docs: DataFrame, held: Held, tasks: int) -> DataFrame:
-    """(k, u, w, kind, c, held): pairs with a training count c of two or more, those seen once that occur in other documents as well, and all
+def _pairs(docs: DataFrame, sent, parts: int) -> DataFrame:
+    """(k, u, w, kind, c): pairs with a training count c of two or more, those seen once that occur in other documents as well, and all
     of two rare words. kind: 0 both words are held, 1 the context is rare, 2 the word is, 3 both are. Of kind 0, k is the code of both
     numbers, else a hash of both words u and w."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, ids, lengths, rows in _chunks(batches):
+    def lots(batches: Iterator[pa.RecordBatch]):
+        held = sent.value[0]
+        for h, ids, lengths, rows in _chunks(batches, 2 * CHUNK):
             number = held.number(h)
             learn = np.repeat(np.array([r["learn"] for r in rows], dtype=bool), lengths)
             before = np.roll(ids, 1)
@@ -273,30 +376,27 @@ def _pairs(docs: DataFrame, held: Held, tasks: int) -> DataFrame:
                 key, n = np.unique(pair * 2 + learn[at], return_counts=True)
                 learned = key & 1 == 1
                 pair = key >> 1
-                a, b = (pair, np.zeros(len(pair), dtype=np.int64)) if both else (_as_long(h[pair // len(h)]), _as_long(h[pair % len(h)]))
-                yield _batch(["a", "b", "c", "m"], a, b, np.where(learned, n, 0), ~learned)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [b for b in batches if b.num_rows]
-        if not every:
-            return
-        a, b, c, m = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in every]) for i in range(4))
-        every.clear()
-        top = b == 0
-        k = np.where(top, a, _as_long(_pair_key(a.view(np.uint64), b.view(np.uint64))))
-        order = np.argsort(k)
-        first = np.flatnonzero(np.append(True, np.diff(k[order]) != 0))
-        c, m = np.add.reduceat(c[order], first), np.logical_or.reduceat(m[order], first)
-        order = order[first]
-        a, b, k, top = a[order], b[order], k[order], top[order]
-        rare = [np.where(top, 0, held.number(x.view(np.uint64)) < 0).astype(np.int32) for x in (a, b)]
-        kind = rare[0] + 2 * rare[1]
-        keep = (c > 1) | (c == 1) & (m | (kind == 3))
-        u, w = np.where(top, 0, a), np.where(top, 0, b)
-        yield _batch(["k", "u", "w", "kind", "c", "held"], *(x[keep] for x in (k, u, w, kind, c, m)))
-
-    counted = map_arrow(docs, count, "a long, b long, c long, m boolean").repartition(tasks, "a", "b")
-    return map_arrow(counted, add, "k long, u long, w long, kind int, c long, held boolean")
+                counts = [np.where(learned, n, 0), (~learned).astype(np.int64)]
+                if both:
+                    yield 0, [pair, *counts]
+                else:
+                    a, b = h[pair // len(h)], h[pair % len(h)]
+                    yield 1, [_as_long(_pair_key(a, b)), *counts, _as_long(a), _as_long(b)]
+
+    def run(found) -> Iterator[pa.RecordBatch]:
+        held = sent.value[0]
+        for lot, (key, c, m, *words) in found.items():
+            at, k, (c, m) = _added(key, c, m)
+            if lot:
+                u, w = (x[at] for x in words)
+                kind = ((held.number(u.view(np.uint64)) < 0) + 2 * (held.number(w.view(np.uint64)) < 0)).astype(np.int32)
+            else:
+                u = w = np.zeros(len(k), dtype=np.int64)
+                kind = np.zeros(len(k), dtype=np.int32)
+            keep = (c > 1) | (c == 1) & ((m > 0) | (kind == 3))
+            yield _batch(["k", "u", "w", "kind", "c"], *(x[keep] for x in (k, u, w, kind, c)))
+
+    return _regrouped([(docs, lots)], parts, run, "k long, u long, w long, kind int, c long")
 
 
 @dataclass
@@ -310,7 +410,7 @@ class Model:
     held: Held
     pairs: DataFrame
     rare: DataFrame
-    n_rare: int = 0
+    parts: int = 1
     strengths: list[np.ndarray] = field(default_factory=list)  # of held contexts, by sweep
     shares: list[np.ndarray] = field(default_factory=list)  # of held words in the root, when the sweep was drawn
     own: np.ndarray | None = None
@@ -336,6 +436,10 @@ class Model:
         return (1 - self.discount) / (THETA + n)
 
 
+_LOW = (1 << 24) - 1
+_SUMS = ("c_u", "c_w", "t_u", "t_w")
+
+
 def _met(pairs: DataFrame, rare: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs with a rare word, with columns of ``rare`` for it: u_x of the context, w_x of the word. A held word is not looked for: the key is then the pair's own."""
     for side, kinds in (("u", (1, 3)), ("w", (2, 3))):
@@ -345,75 +449,98 @@ def _met(pairs: DataFrame, rare: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def _sides(batch: pa.RecordBatch, held: Held) -> tuple:
-    """kind, hashes and numbers (-1: rare) of the pairs' contexts and words."""
-    kind = batch.column("kind").to_numpy()
-    k = batch.column("k").to_numpy()
-    u, w = (batch.column(x).to_numpy().view(np.uint64).copy() for x in ("u", "w"))
-    top = kind == 0
-    iu, iw = np.where(top, k >> 24, held.number(u)), np.where(top, k & (1 << 24) - 1, held.number(w))
-    u[top], w[top] = held.hashes[iu[top]], held.hashes[iw[top]]
-    return kind, u, w, iu, iw
-
-
 def _of(batch: pa.RecordBatch, number: np.ndarray, values: np.ndarray, column: str) -> np.ndarray:
     """By pair: the held word's value, or that of the joined column."""
-    out = np.zeros(batch.num_rows)
+    if column not in batch.schema.names:
+        return values[number]
+    out = batch.column(column).to_numpy(zero_copy_only=False).astype(np.float64)
     here = number >= 0
     out[here] = values[number[here]]
-    if column in batch.schema.names and not here.all():
-        joined = batch.column(column).to_numpy(zero_copy_only=False).astype(np.float64)
-        out[~here] = joined[~here]
     return out
 
 
-def _sums(model: Model, tables, columns: list[str]) -> DataFrame:
-    """(key, c_u, c_w, t_u, t_w): pairs seen more than once, their counts and tables summed by context and by word. key: a held word's number, else its hash, below -2^40 or above 2^40."""
-    held = model.held
+def _sides(batch: pa.RecordBatch, held: Held) -> tuple:
+    """Hashes and numbers (-1: rare) of the pairs' contexts and words. Pairs of held words have no columns u and w."""
+    if "u" not in batch.schema.names:
+        k = batch.column("k").to_numpy()
+        iu, iw = k >> 24, k & _LOW
+        return held.hashes[iu], held.hashes[iw], iu, iw
+    u, w = (batch.column(x).to_numpy().view(np.uint64) for x in ("u", "w"))
+    return u, w, held.number(u), held.number(w)
+
+
+def _held_sums(pairs: DataFrame, size: int, tables) -> np.ndarray:
+    """c_u, c_w, t_u, t_w by number: counts and tables of pairs(k, c) of held words, summed by context and by word. Tasks add up what they
+    read, ranges of numbers are added over tasks, and the driver gets these sums."""
+    step = max(1, -(-size // RANGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(held.hashes)
         sums = np.zeros((4, size), dtype=np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind, u, w, iu, iw = _sides(batch, held)
-            c = batch.column("c").to_numpy()
-            t = tables(batch, u, w, iu, iw, c)
-            for row, (number, value) in enumerate(((iu, c), (iw, c), (iu, t), (iw, t))):
-                here = number >= 0
-                sums[row] += np.bincount(number[here], value[here], minlength=size).astype(np.int64)
-            for side, number, h in ((0, iu, u), (1, iw, w)):
-                if (rare := number < 0).any():
-                    zero = np.zeros(rare.sum(), dtype=np.int64)
-                    yield _batch(["key", "c_u", "c_w", "t_u", "t_w"], _as_long(h[rare]), *((c[rare], zero, t[rare], zero) if not side else (zero, c[rare], zero, t[rare])))
-        at = np.flatnonzero(sums.any(axis=0))
-        yield _batch(["key", "c_u", "c_w", "t_u", "t_w"], at, *sums[:, at])
-
-    pairs = model.pairs.where("c > 1")
-    schema = "key long, c_u long, c_w long, t_u long, t_w long"
-    top = map_arrow(pairs.where("kind = 0").select("k", "u", "w", "kind", "c"), run, schema)
-    if model.n_rare:
-        met = pairs.where("kind > 0").select("k", "u", "w", "kind", "c")
-        top = top.union(map_arrow(_met(met, model.rare, columns) if columns else met, run, schema))
-    return store(top.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c_u", "c_w", "t_u", "t_w"))))
-
-
-def _held_sums(sums: DataFrame, size: int) -> np.ndarray:
-    table = sums.where((F.col("key") >= 0) & (F.col("key") < size)).toArrow()
+            if batch.num_rows:
+                c, t, iu, iw = tables(batch)
+                for row, number, value in ((0, iu, c), (1, iw, c), (2, iu, t), (3, iw, t)):
+                    np.add.at(sums[row], number, value)
+        for part in range(RANGES):
+            data = [_packed(x[part * step : (part + 1) * step]) for x in sums]
+            yield _batch(["part", "kind", "data"], np.array([part], dtype=np.int32), np.zeros(1, dtype=np.int32), pa.array([data], pa.list_(pa.binary())))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, more = batch.column("part")[i].as_py(), np.array([_unpacked(x) for x in batch.column("data")[i].as_py()])
+                sums = more if sums is None else sums + more
+        if part is not None:
+            yield _batch(["part", "kind", "data"], np.array([part], dtype=np.int32), np.zeros(1, dtype=np.int32), pa.array([[_packed(x) for x in sums]], pa.list_(pa.binary())))
+
+    rows = map_arrow(map_arrow(pairs.where("kind = 0 AND c > 1").select("k", "c"), run, DEALT).repartitionById(RANGES, F.col("part")), add, DEALT).toArrow()
     out = np.zeros((4, size), dtype=np.int64)
-    at = table.column("key").to_numpy()
-    for row, name in enumerate(("c_u", "c_w", "t_u", "t_w")):
-        out[row, at] = table.column(name).to_numpy()
+    for part, data in zip(rows.column("part").to_pylist(), rows.column("data").to_pylist()):
+        for row, x in enumerate(data):
+            out[row, part * step : (part + 1) * step] = _unpacked(x)
     return out
 
 
+def _rare_sums(pairs: DataFrame, rare: DataFrame, columns: list[str], tables) -> DataFrame:
+    """(key, c_u, c_w, t_u, t_w): the same of pairs with a rare word. key: a held word's number or a rare one's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c, t, iu, iw = tables(batch)
+                zero = np.zeros(len(c), dtype=np.int64)
+                key_u, key_w = (np.where(i >= 0, i, batch.column(x).to_numpy()) for i, x in ((iu, "u"), (iw, "w")))
+                yield _batch(["key", *_SUMS], key_u, c, zero, t, zero)
+                yield _batch(["key", *_SUMS], key_w, zero, c, zero, t)
+
+    met = pairs.where("kind > 0 AND c > 1").select("k", "u", "w", "kind", "c")
+    met = _met(met, rare, columns) if columns else met
+    rows = map_arrow(met, run, "key long, " + ", ".join(f"{c} long" for c in _SUMS))
+    return store(rows.groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS)))
+
+
+def _root_seats(df: DataFrame, discount: float, new: float, sweep: int) -> DataFrame:
+    """The rows with the tables t that their customers open in the root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, c = batch.column("w").to_numpy().view(np.uint64), batch.column("customers").to_numpy().astype(np.float64)
+                t = seat(c, np.full(len(c), new), discount, key, sweep << 10).astype(np.int64)
+                yield _batch([*batch.schema.names, "t"], *batch.columns, t)
+
+    return map_arrow(df, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", t long")
+
+
 def train(docs: DataFrame, sweeps: int = 4, words: int = WORDS) -> Model:
     """The model of those of docs(body, learn) that have ``learn``. At most ``words`` words are held by every task."""
-    vocabulary = store(_vocabulary(docs))
-    learned = F.col("n") > 0
+    spark = docs.sparkSession
+    length = docs.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    parts = max(1, ceil(length / 6 / SHUFFLED))  # words have six bytes or so
+    vocabulary = store(_vocabulary(docs, parts))
     x = vocabulary.agg(
-        F.count_if(learned).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"),
+        F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"),
     ).first()
     least = _top(vocabulary, "n", words)
     table = vocabulary.where(F.col("n") >= least).select("w", "n").toArrow()
@@ -421,64 +548,88 @@ def train(docs: DataFrame, sweeps: int = 4, words: int = WORDS) -> Model:
     order = np.argsort(h)
     held = Held(h[order], table.column("n").to_numpy()[order])
     size = len(held.hashes)
-    pairs = store(_pairs(docs, held, max(1, ceil(x.n / SHUFFLED))))
     # words that are neither held nor here were seen once, or never
     rare = store(vocabulary.where((F.col("n") < least) & ((F.col("n") > 1) | (F.col("n") == 1) & F.col("held"))).select("w", "n"))
-    twos, more = pairs.agg(F.count_if(F.col("c") == 2), F.sum(F.when(F.col("c") > 1, F.col("c")))).first()
-    d, d_root, base = discount_of(x.n - (more or 0), twos or 0), discount_of(x.one, x.two), 1 / (x.v + 1)
-    model = Model(x.n, x.v, d_root, d, held, pairs, rare, rare.count())
-    n_once = x.v - size - model.n_rare
-    sums = _sums(model, lambda batch, u, w, iu, iw, c: np.ones(len(c), dtype=np.int64), [])
-    c_u, c_w, t_u, t_w = _held_sums(sums, size)
-    # the sweep before the first: one table for each dish
-    singles_u, singles_w = held.n - c_u, held.n - c_w
-    tables_of, customers = singles_u + t_u, singles_w + t_w
+    discard(vocabulary)
+    with Shared(spark, held) as sent:
+        pairs = store(_pairs(docs, sent, parts))
+        twos, more, apart = pairs.agg(F.count_if(F.col("c") == 2), F.sum(F.when(F.col("c") > 1, F.col("c"))), F.count_if((F.col("kind") > 0) & (F.col("c") > 1))).first()
+        d, d_root, base = discount_of(x.n - (more or 0), twos or 0), discount_of(x.one, x.two), 1 / (x.v + 1)
+        model = Model(x.n, x.v, d_root, d, held, pairs, rare, parts)
+        _sweeps(model, sent, x.v - size - rare.count(), bool(apart), sweeps, base)
+    discard(rare)
+    return model
+
+
+def _sweeps(model: Model, sent, n_once: int, apart: bool, sweeps: int, base: float) -> None:
+    """Draw all seats and set the averages. n_once: words seen once that are neither held nor in ``rare``; apart: whether pairs with a rare word are sampled."""
+    spark, pairs, size, d, d_root = model.pairs.sparkSession, model.pairs, len(model.held.hashes), model.discount, model.root_discount
+    n = model.held.n
     zero = F.lit(0).cast("long")
-    got = [F.coalesce(c, zero) for c in ("c_u", "c_w", "t_u", "t_w")]
-    state = rare.join(sums, F.col("w") == F.col("key"), "left").select(
-        "w", "n", (F.col("n") - got[0]).alias("singles_u"), (F.col("n") - got[1]).alias("singles_w"), (F.col("n") - got[0] + got[2]).alias("tables"),
-        (F.col("n") - got[1] + got[3]).alias("customers"), F.lit(1).cast("long").alias("t"))
-    model.rare = written = store(state)
-    discard(sums)
-    t = np.ones(size)
-    kept: list[str] = []
-    root = (0.0, 0.0)
-
-    def rest_of(tables: float, customers: float) -> float:
-        return (THETA + d_root * tables) / (THETA + customers)
+
+    def sums_of(columns: list[str], tables) -> tuple[np.ndarray, DataFrame | None]:
+        sums = _held_sums(pairs, size, tables)
+        if not apart:
+            return sums, None
+        more = _rare_sums(pairs, model.rare, columns, tables)
+        own = more.where((F.col("key") >= 0) & (F.col("key") < size)).toArrow()
+        for row, name in enumerate(_SUMS):
+            sums[row, own.column("key").to_numpy()] += own.column(name).to_numpy()
+        return sums, more
+
+    def added(rows: DataFrame, more: DataFrame | None) -> DataFrame:
+        if more is None:
+            return rows.select("*", *(zero.alias(c) for c in _SUMS))
+        return rows.join(more, F.col("w") == F.col("key"), "left").select(rows["*"], *(F.coalesce(c, zero).alias(c) for c in _SUMS))
+
+    def first(batch: pa.RecordBatch):
+        _, _, iu, iw = _sides(batch, sent.value[0])
+        c = batch.column("c").to_numpy()
+        return c, np.ones(len(c), dtype=np.int64), iu, iw
+
+    # the sweep before the first: one table for each dish
+    (c_u, c_w, t_u, t_w), more = sums_of([], first)
+    singles_u, singles_w = n - c_u, n - c_w
+    tables_of, customers, t = singles_u + t_u, singles_w + t_w, np.ones(size)
+    state = added(model.rare, more).select("w", "n", (F.col("n") - F.col("c_u")).alias("singles_u"), (F.col("n") - F.col("c_w")).alias("singles_w"), "t_u", "t_w")
+    written = store(state.select("w", "n", "singles_u", "singles_w", (F.col("singles_u") + F.col("t_u")).alias("tables"), (F.col("singles_w") + F.col("t_w")).alias("customers"), F.lit(1).cast("long").alias("t")))
+    if more is not None:
+        discard(more)
+    model.rare = written
+
+    def rest_of(root: tuple[float, float]) -> float:
+        return (THETA + d_root * root[0]) / (THETA + root[1])
 
     def totals() -> tuple[float, float]:
-        r = model.rare.agg(F.sum("t"), F.sum("customers")).first() if model.n_rare else (0, 0)
+        r = model.rare.agg(F.sum("t"), F.sum("customers")).first()
         return float(t.sum() + n_once + (r[0] or 0)), float(customers.sum() + n_once + (r[1] or 0))
 
     def share(t, customers):
-        return (customers - d_root * t) / (THETA + root[1]) + rest_of(*root) * base
+        return (customers - d_root * t) / (THETA + root[1]) + rest_of(root) * base
 
-    root = totals()
+    root, kept = totals(), []
     averages, rests, once = [np.zeros(size), np.zeros(size)], [], []
     for sweep in range(1, sweeps + 1):
         keep = sweep > min(BURN, sweeps - 1)
-        strength, p = THETA + d * tables_of, share(t, customers)
-        names = [f"s{sweep}", f"p{sweep}"]
+        strength, p, names = THETA + d * tables_of, share(t, customers), [f"s{sweep}", f"p{sweep}"]
         model.rare = model.rare.withColumns({names[0]: THETA + d * F.col("tables"), names[1]: share(F.col("t"), F.col("customers"))})
+        with Shared(spark, strength, p) as now:
 
-        def seats(batch, u, w, iu, iw, c, strength=strength, p=p, names=names, sweep=sweep):
-            new = _of(batch, iu, strength, f"u_{names[0]}") * _of(batch, iw, p, f"w_{names[1]}")
-            return seat(c.astype(np.float64), new, d, _pair_key(u, w), sweep << 10).astype(np.int64)
+            def seats(batch: pa.RecordBatch, now=now, names=names, sweep=sweep):
+                u, w, iu, iw = _sides(batch, sent.value[0])
+                c = batch.column("c").to_numpy()
+                new = _of(batch, iu, now.value[0], f"u_{names[0]}") * _of(batch, iw, now.value[1], f"w_{names[1]}")
+                return c, seat(c.astype(np.float64), new, d, _pair_key(u, w), sweep << 10).astype(np.int64), iu, iw
 
-        sums = _sums(model, seats, names)
-        _, _, t_u, t_w = _held_sums(sums, size)
+            (_, _, t_u, t_w), more = sums_of(names, seats)
         tables_of, customers = singles_u + t_u, singles_w + t_w
         new = (THETA + d_root * root[0]) * base
-        t = seat(customers.astype(np.float64), np.full(size, new), d_root, held.hashes, sweep << 10)
+        t = seat(customers.astype(np.float64), np.full(size, new), d_root, model.held.hashes, sweep << 10)
         columns = ["w", "n", "singles_u", "singles_w", *kept, *(names if keep else [])]
-        if model.n_rare:
-            opened = model.rare.join(sums, F.col("w") == F.col("key"), "left").select(
-                *columns, (F.col("singles_u") + F.coalesce("t_u", zero)).alias("tables"), (F.col("singles_w") + F.coalesce("t_w", zero)).alias("customers"))
-            model.rare = store(_root_seats(opened, d_root, new, sweep))
-            discard(written)
-            written = model.rare
-        discard(sums)
+        opened = added(model.rare, more).select(*columns, (F.col("singles_u") + F.col("t_u")).alias("tables"), (F.col("singles_w") + F.col("t_w")).alias("customers"))
+        former, written = written, store(_root_seats(opened, d_root, new, sweep))
+        discard(former, *([] if more is None else [more]))
+        model.rare = written
         root = totals()
         if keep:
             model.sweeps.append(sweep)
@@ -486,95 +637,60 @@ def train(docs: DataFrame, sweeps: int = 4, words: int = WORDS) -> Model:
             model.shares.append(p)
             averages[0] += tables_of
             averages[1] += share(t, customers)
-            rests.append(rest_of(*root))
+            rests.append(rest_of(root))
             once.append(share(1, 1))
             at = {f"tables{sweep}": F.col("tables"), f"q{sweep}": share(F.col("t"), F.col("customers"))}
             model.rare = model.rare.withColumns(at)
             kept += [*names, *at]
     number = max(len(rests), 1)
-    model.own = (THETA + d * averages[0] / number) / (THETA + held.n)
+    model.own = (THETA + d * averages[0] / number) / (THETA + n)
     model.p = averages[1] / number
     model.rest, model.once = (float(np.mean(rests)), float(np.mean(once))) if rests else (1.0, 0.0)
     mean = {name: sum((F.col(f"{name}{s}") for s in model.sweeps), F.lit(0.0)) / number for name in ("tables", "q")}
     drawn = [f"{x}{s}" for s in model.sweeps for x in "sp"]
     model.rare = store(model.rare.select("w", "n", *drawn, ((THETA + d * mean["tables"]) / (THETA + F.col("n"))).alias("own"), mean["q"].alias("p")))
-    discard(vocabulary, rare, written)
-    return model
+    discard(written)
 
 
-def _root_seats(df: DataFrame, discount: float, new: float, sweep: int) -> DataFrame:
-    """The rows with the tables t that their customers open in the root."""
+def _differences(batch: pa.RecordBatch, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What the pairs' own counts add to log10 of their probability in a training document (of two rare words: the whole), and in others."""
+    u, w, iu, iw = _sides(batch, m.held)
+    c = batch.column("c").to_numpy().astype(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                key, c = batch.column("w").to_numpy().view(np.uint64), batch.column("customers").to_numpy().astype(np.float64)
-                t = seat(c, np.full(len(c), new), discount, key, sweep << 10).astype(np.int64)
-                yield _batch([*batch.schema.names, "t"], *batch.columns, t)
+    def value(number, values, name, once):
+        out = _of(batch, number, values, name)
+        return np.where(np.isnan(out), once, out)  # a word that has no row was seen once
 
-    return map_arrow(df, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", t long")
+    n, own = value(iu, m.held.n.astype(np.float64), "u_n", 1.0), value(iu, m.own, "u_own", m.own_once)
+    p = value(iw, m.p, "w_p", m.once)
+    key, t = _pair_key(u, w), np.zeros(len(c))
+    for s, strength, share in zip(m.sweeps, m.strengths, m.shares):
+        # of a pair seen once, any weight leaves one table
+        new = np.nan_to_num(_of(batch, iu, strength, f"u_s{s}") * _of(batch, iw, share, f"w_p{s}"))
+        t += seat(c, new, m.discount, key, s << 10)
+    t /= max(len(m.sweeps), 1)
+    score = np.log10((c - m.discount * t) / (THETA + n) + own * p)
+    whole = np.where((iu < 0) & (iw < 0), 0.0, np.log10(m.one(n) + own * p))
+    return score - whole, score - np.log10(own * p)
 
 
-def _answers(model: Model) -> DataFrame:
-    """(key, kind, c, x, y, z). Of pairs: what their own count adds to log10 of the probability in a training document (x; of two rare words
-    the whole), and in others (y). Of rare words (kind 9): count, share of the parent as a context, probability in the root."""
-    pairs, rare = model.pairs, model.rare
-    model = replace(model, pairs=None, rare=None)  # what tasks get
-    held, d = model.held, model.discount
-    drawn = [f"{x}{s}" for s in model.sweeps for x in "sp"]
+#: Lots of the scoring: a pair's difference, the probability of a rare word, the share of the parent in a rare context, a pair of rare
+#: words, a rare word's count; a document; answers. Columns: key, uid (even: training) and two numbers; key, uid and five; key and three.
+DELTA, WORD, CONTEXT, WHOLE, COUNT, DOCUMENT, ANSWER = range(7)
+PART_SUMS = "uid long, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kind, u, w, iu, iw = _sides(batch, held)
-            c = batch.column("c").to_numpy().astype(np.float64)
-
-            def value(side, number, values, name, once):
-                out = _of(batch, number, values, f"{side}_{name}")
-                return np.where(np.isnan(out), once, out)  # a word that has no row was seen once
-
-            n, own = value("u", iu, held.n.astype(np.float64), "n", 1.0), value("u", iu, model.own, "own", model.own_once)
-            p = value("w", iw, model.p, "p", model.once)
-            key, t = _pair_key(u, w), np.zeros(len(c))
-            for s, strength, share in zip(model.sweeps, model.strengths, model.shares):
-                # of a pair seen once, any weight leaves one table
-                new = np.nan_to_num(_of(batch, iu, strength, f"u_s{s}") * _of(batch, iw, share, f"w_p{s}"))
-                t += seat(c, new, d, key, s << 10)
-            t /= max(len(model.sweeps), 1)
-            score = np.log10((c - d * t) / (THETA + n) + own * p)
-            whole = np.where(kind == 3, 0.0, np.log10(model.one(n) + own * p))
-            yield _batch(["key", "kind", "c", "x", "y", "z"], batch.column("k"), batch.column("kind"), batch.column("c"), score - whole, score - np.log10(own * p), np.zeros(len(c)))
-
-    schema = "key long, kind int, c long, x double, y double, z double"
-    columns = ["k", "u", "w", "kind", "c"]
-    top = map_arrow(pairs.where("kind = 0").select(*columns), run, schema)
-    rest = map_arrow(_met(pairs.where("kind > 0").select(*columns), rare, ["n", "own", "p", *drawn]), run, schema)
-    words = rare.select(F.col("w").alias("key"), F.lit(9).alias("kind"), "n", F.col("n").cast("double").alias("x"), "own", "p")
-    return top.union(rest).union(words)
-
-
-#: What a line asks for: a pair's difference, the probability of a rare word, the share of the parent in a rare context, a pair of rare words, a rare word's count.
-DELTA, WORD, CONTEXT, WHOLE, COUNT = range(5)
-#: Lines of a document: base score and score as far as known, tokens and known tokens, the halves of its id.
-SCORES, TOKENS, ID = range(5, 8)
-LINES = "uid long, kind int, key long, a double, b double"
-
-
-def _lines(docs: DataFrame, model: Model, top: pa.Table) -> DataFrame:
-    """Lines of docs(doc_id, body, learn). uid is even for training documents."""
-    from pyspark import TaskContext
-
-    held, total = model.held, float(model.n + model.v + 1)
-    one, own, p = model.one(held.n), model.own, model.p
-    log_base = np.log10((held.n + 1) / total)
-    codes = top.column("key").to_numpy()
-    order = np.argsort(codes)
-    codes, x, y = (top.column(c).to_numpy()[order] for c in ("key", "x", "y"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(sent, total: float):
+    """Batches of (doc_id, body, learn) -> the lots of their documents."""
+
+    def lots(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        m, codes, x, y = sent.value
+        held, one, own, p = m.held, m.one(m.held.n), m.own, m.p
+        log_base = np.log10((held.n + 1) / total)
         first = TaskContext.get().partitionId() << 37
-        for h, ids, lengths, rows in _chunks(batches, CHUNK >> 1):
+        for h, ids, lengths, rows in _chunks(batches):
             number = held.number(h)
             learn_doc = np.array([r["learn"] for r in rows], dtype=bool)
             uids = first + 2 * np.arange(len(rows)) + ~learn_doc
@@ -587,71 +703,98 @@ def _lines(docs: DataFrame, model: Model, top: pa.Table) -> DataFrame:
             base[has_w] = log_base[w[has_w]]
             both = np.flatnonzero(has_u & has_w)
             ub, wb = u[both], w[both]
-            part = np.where(learn[both], one[ub], 0.0)
-            score[both] = np.log10(part + own[ub] * p[wb])
+            score[both] = np.log10(np.where(learn[both], one[ub], 0.0) + own[ub] * p[wb])
             code = _code(ub, wb)
             if len(codes):
                 at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
                 here = codes[at] == code
                 score[both[here]] += np.where(learn[both[here]], x[at[here]], y[at[here]])
                 both, code = both[~here], code[~here]
-
-            def lines(at, kind, key, a=0.0, b=0.0):
-                m = len(at)
-                return _batch(names, uid[at], np.full(m, kind, dtype=np.int32), key, np.broadcast_to(np.float64(a), m), np.broadcast_to(np.float64(b), m))
-
-            yield lines(both, DELTA, code)
-            if len(rare := np.flatnonzero(~(has_u & has_w))):
+            yield DELTA, [code, uid[both]]
+            rare = np.flatnonzero(~(has_u & has_w))
+            if len(rare):
                 key = _as_long(_pair_key(h[before[rare]], h[ids[rare]]))
                 hu, hw = _as_long(h)[before[rare]], _as_long(h)[ids[rare]]
-                uu, ww, train_doc = u[rare], w[rare], learn[rare]
+                uu, ww, train_doc, of = u[rare], w[rare], learn[rare], uid[rare]
                 two = (uu < 0) & (ww < 0)
                 whole = two & train_doc
-                yield lines(rare[~whole], DELTA, key[~whole])
-                yield lines(rare[whole], WHOLE, key[whole])
-                yield lines(rare[whole], COUNT, hw[whole])
+                yield DELTA, [key[~whole], of[~whole]]
+                yield WHOLE, [key[whole], of[whole]]
+                yield COUNT, [hw[whole], of[whole]]
                 word = (ww < 0) & ~two
-                yield lines(rare[word], WORD, hw[word], np.where(train_doc[word], one[uu[word]], 0.0), own[uu[word]])
+                yield WORD, [hw[word], of[word], np.where(train_doc[word], one[uu[word]], 0.0), own[uu[word]]]
                 context = (uu < 0) & ~two
-                yield lines(rare[context], CONTEXT, hu[context], 0.0, p[ww[context]])
+                yield CONTEXT, [hu[context], of[context], p[ww[context]]]
                 apart = two & ~train_doc  # without a part of its own the probability is a product
-                yield lines(rare[apart], WORD, hw[apart], 0.0, 1.0)
-                yield lines(rare[apart], CONTEXT, hu[apart], 0.0, 1.0)
+                yield WORD, [hw[apart], of[apart], np.zeros(apart.sum()), np.ones(apart.sum())]
+                yield CONTEXT, [hu[apart], of[apart], np.ones(apart.sum())]
             starts = np.cumsum(lengths) - lengths
-            sums = [np.add.reduceat(z, starts) for z in (base, score, has_w.astype(np.float64))]
-            kinds = np.repeat(np.array([SCORES, TOKENS], dtype=np.int32), len(rows))
-            yield _batch(names, np.tile(uids, 2), kinds, np.tile(uids, 2), np.concatenate([sums[0], lengths]), np.concatenate(sums[1:]))
-            known = [(i, r["doc_id"]) for i, r in zip(uids, rows) if r["doc_id"] is not None]
-            if known:
-                i, doc = (np.array(z, dtype=np.int64) for z in zip(*known))
-                yield _batch(names, i, np.full(len(i), ID, dtype=np.int32), i, (doc >> 32).astype(np.float64), (doc & 0xFFFFFFFF).astype(np.float64))
-
-    names = ["uid", "kind", "key", "a", "b"]
-    return map_arrow(docs, run, LINES)
-
-
-def _collected(lines: DataFrame, answers: DataFrame, model: Model, tasks: int) -> DataFrame:
-    """Lines with their answers, summed by document."""
-    asked = lines.repartition(tasks, "key")
-    known = answers.select(F.col("key").alias("_key"), "x", "y", "z").repartition(tasks, "_key").hint("shuffle_hash")
-    met = asked.join(known, F.col("key") == F.col("_key"), "left").where((F.col("kind") != DELTA) | F.col("_key").isNotNull())
-    train, kind, found = F.col("uid") % 2 == 0, F.col("kind"), F.col("_key").isNotNull()
-    n = F.when(found, F.col("x")).otherwise(F.when(train, 1.0).otherwise(0.0))
-    p = F.when(found, F.col("z")).otherwise(F.when(train, model.once).otherwise(model.unseen))
-    own = F.when(found, F.col("y")).otherwise(F.when(train, model.own_once).otherwise(1.0))
-    part = F.when(train, (1 - model.discount) / (THETA + n)).otherwise(0.0)
-    score = (
-        F.when(kind == DELTA, F.when(train, F.col("x")).otherwise(F.col("y"))).when(kind == WORD, F.log10(F.col("a") + F.col("b") * p))
-        .when(kind == CONTEXT, F.log10(part + own * F.col("b"))).when(kind == WHOLE, F.col("x")).when(kind == SCORES, F.col("b")).otherwise(0.0)
-    )
-    word = kind.isin(WORD, COUNT)
-    base = F.when(word, F.log10((n + 1) / F.lit(float(model.n + model.v + 1)))).when(kind == SCORES, F.col("a")).otherwise(0.0)
-    seen = F.when(word, (n > 0).cast("long")).when(kind == TOKENS, F.col("b").cast("long")).otherwise(F.lit(0).cast("long"))
-    whole_id = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-    return met.groupBy("uid").agg(
-        F.max(F.when(kind == ID, whole_id)).alias("doc_id"), F.max(F.when(kind == TOKENS, F.col("a").cast("long"))).alias("n_tokens"), F.sum(seen).alias("n_known"),
-        F.sum(base).alias("base_score"), F.sum(score).alias("score"),
-    )
+            base, score, known = (np.add.reduceat(z, starts) for z in (base, score, has_w.astype(np.int64)))
+            ids_null = np.array([r["doc_id"] is None for r in rows])
+            doc_ids = np.array([r["doc_id"] or 0 for r in rows], dtype=np.int64)
+            yield DOCUMENT, [uids, uids, doc_ids, lengths, 2 * known + ids_null, base, score]
+
+    return lots
+
+
+def _told(sent):
+    """Batches of pairs -> lots of answers."""
+
+    def lots(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _differences(batch, sent.value[0])
+                yield ANSWER, [batch.column("k").to_numpy(), x, y, np.zeros(len(x))]
+
+    return lots
+
+
+def _told_of_words(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        if batch.num_rows:
+            yield ANSWER, [batch.column("w").to_numpy(), *(batch.column(c).to_numpy().astype(np.float64) for c in ("n", "own", "p"))]
+
+
+def _scored(found: dict[int, list[np.ndarray]], m: Model, total: float) -> Iterator[pa.RecordBatch]:
+    """Sums by document of one part's lots."""
+    key, *values = found.pop(ANSWER, [np.zeros(0, dtype=np.int64)] * 4)
+    order = np.argsort(key)
+    key, (x, y, z) = key[order], (v.view(np.float64)[order] for v in values)
+    uids, bases, scores_of, knowns = [], [], [], []
+    for kind, (asked, uid, *more) in found.items():
+        if kind == DOCUMENT:
+            doc_id, n, known, base, score = more
+            yield _batch([c.split()[0] for c in PART_SUMS.split(", ")], uid, pa.array(doc_id, mask=known & 1 == 1), n, known >> 1, base.view(np.float64), score.view(np.float64))
+            continue
+        at = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
+        hit = key[at] == asked if len(key) else np.zeros(len(asked), dtype=bool)
+        training = uid & 1 == 0
+        if kind == DELTA:
+            uid, at, training = uid[hit], at[hit], training[hit]
+            score, base, known = np.where(training, x[at], y[at]), None, None
+        else:
+
+            def told(v, seen, unseen, at=at, hit=hit, training=training):
+                out = np.where(training, seen, unseen)
+                out[hit] = v[at[hit]]
+                return out
+
+            n = told(x, 1.0, 0.0)
+            a = more[0].view(np.float64) if more else None
+            if kind == WORD:
+                score = np.log10(a + more[1].view(np.float64) * told(z, m.once, m.unseen))
+            elif kind == CONTEXT:
+                score = np.log10(np.where(training, m.one(n), 0.0) + told(y, m.own_once, 1.0) * a)
+            else:
+                score = told(x, 0.0, 0.0) if kind == WHOLE else np.zeros(len(uid))
+            base, known = (np.log10((n + 1) / total), (n > 0).astype(np.int64)) if kind in (WORD, COUNT) else (None, None)
+        uids.append(uid)
+        scores_of.append(score)
+        bases.append(np.zeros(len(uid)) if base is None else base)
+        knowns.append(np.zeros(len(uid), dtype=np.int64) if known is None else known)
+    if uids and len(uid := np.concatenate(uids)):
+        _, uid, (base, score, known) = _added(uid, *map(np.concatenate, (bases, scores_of, knowns)))
+        yield _batch([c.split()[0] for c in PART_SUMS.split(", ")], uid, pa.nulls(len(uid), pa.int64()), np.zeros(len(uid), dtype=np.int64), known, base, score)
 
 
 def scores(
@@ -666,13 +809,33 @@ def scores(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), body(text_col).alias("body"), F.coalesce(train_on, F.lit(False)).alias("learn"))
     with tidy_shuffles(spark):
         model = train(rows.select("body", "learn"), sweeps, words)
-        answers = store(_answers(model))
+        total = float(model.n + model.v + 1)
+        bare = replace(model, pairs=None, rare=None)
+        light = replace(bare, strengths=[], shares=[], sweeps=[])
+        least = _top(model.pairs.where("kind = 0"), "c", pairs)
+        held_pair = F.expr(f"kind = 0 AND c >= {least}")
+        drawn = [f"{x}{s}" for s in model.sweeps for x in "sp"]
+        with Shared(spark, bare) as sent:
+
+            def held_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        yield _batch(["k", "x", "y"], batch.column("k"), *_differences(batch, sent.value[0]))
+
+            top = map_arrow(model.pairs.where(held_pair).select("k", "c"), held_answers, "k long, x double, y double").toArrow()
+            codes = top.column("k").to_numpy()
+            order = np.argsort(codes)
+            rest = model.pairs.where(~held_pair)
+            with Shared(spark, light, codes[order], *(top.column(c).to_numpy()[order] for c in ("x", "y"))) as asked:
+                sources = [
+                    (rows, _asked(asked, total)),
+                    (rest.where("kind = 0").select("k", "c"), _told(sent)),
+                    (_met(rest.where("kind > 0").select("k", "u", "w", "kind", "c"), model.rare, ["n", "own", "p", *drawn]), _told(sent)),
+                    (model.rare.select("w", "n", "own", "p"), _told_of_words),
+                ]
+                found = _regrouped(sources, model.parts, lambda lots: _scored(lots, asked.value[0], total), PART_SUMS)
+                found = store(found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))))
         discard(model.pairs, model.rare)
-        both = answers.where("kind = 0")
-        top = both.where(F.col("c") >= _top(both, "c", pairs)).select("key", "x", "y").toArrow()
-        lines = _lines(rows, model, top)
-        found = store(_collected(lines, answers, model, max(1, ceil(model.n / SHUFFLED))))
-        discard(answers)
     return found.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
