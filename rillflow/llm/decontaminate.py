@@ -15,7 +15,8 @@ is bounded whatever the size of the benchmark: more items mean more blocks, and
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import repeat
+from hashlib import sha256
+from itertools import chain, repeat
 from math import ceil
 
 import numpy as np
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import alnum_words, body, carried, field, map_arrow, map_batches, row_type
+from rillflow.llm.common import alnum_words, body, carried, field, map_arrow, map_batches, row_type, slices
 
 HITS = "doc_id long, text_key long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
+BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+SIGNED_BASE = np.int64(BASE - (1 << 64))
 RESULT = "doc_id long, n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>"
 
 
@@ -41,9 +44,6 @@ class Index:
                 owner = owners.setdefault(tuple(w[at : at + window]), set())
                 if item_id is not None:
                     owner.add(item_id)
-        self.base = len(self.vocabulary) + 1
-        if self.base**shingle >= 1 << 63:
-            raise ValueError("too many words in a block of items: lower block_bytes")
         self.window, self.shingle = window, shingle
         self.windows = list(owners)
         self.owners = [sorted(owners[w]) for w in self.windows]
@@ -55,11 +55,11 @@ class Index:
         return [self._code(w[i : i + k]) for i in range(len(w) - k + 1)]
 
     def _code(self, w: tuple[int, ...]) -> int:
-        """Numbers start from 1, so shorter shingles, filled up with zeros, have codes of their own."""
+        """Shorter shingles are filled up with zeros; words are numbered from 1. Codes are taken modulo 2^64: what collides is told apart when words are verified."""
         c = 0
         for x in (*w, *repeat(0, self.shingle - len(w))):
-            c = c * self.base + x
-        return c
+            c = (c * BASE + x) & MASK
+        return c - (1 << 64) if c >> 63 else c
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
@@ -76,7 +76,7 @@ class Index:
             at = np.flatnonzero(known)
             code = ids[at]
             for i in range(1, self.shingle):
-                code = code * self.base + (ids[at + i] if i < k else 0)
+                code = code * SIGNED_BASE + (ids[at + i] if i < k else 0)
             yield at, code
 
     def found(self, codes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +153,11 @@ def _shingle_counts(docs: DataFrame, index: Index) -> dict[int, int]:
 
     def run(batches):
         total = np.zeros(len(index.codes), dtype=np.int64)
-        for batch in batches:
-            for raw in batch.column("body").to_pylist():
-                for _, code in index.shingles(index.numbers(alnum_words(raw))):
+        for batch in slices(batches):
+            for raw in batch.column("body"):
+                for _, code in index.shingles(index.numbers(alnum_words(raw.as_py()))):
                     hit, place = index.found(code, index.codes)
-                    total += np.bincount(place[hit], minlength=len(total))
+                    np.add.at(total, place[hit], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(index.codes[at]), pa.array(total[at])], names=["code", "n"])
 
@@ -171,6 +171,34 @@ def _arrow(rows: list[tuple], names: list[str], kinds: list, row: pa.Array | Non
 
 
 SPANS = pa.list_(pa.int32())
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+
+
+def _digests(docs: DataFrame, index: Index, text_col: str, carry: str) -> DataFrame:
+    """The documents' counts and the hash of the ids of their items. The ids of equal sets of windows are joined once in a task, and no list leaves it."""
+
+    def run(batches):
+        known: dict[bytes, tuple[int, str]] = {}
+        for batch in slices(batches):
+            out = []
+            texts = field(batch, text_col).cast(pa.binary()) if carry else batch.column("body")
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), texts):
+                ids = index.numbers(alnum_words(raw.as_py() or b""))
+                start, row = index.occurrences(ids)
+                a, b = union(start, start + index.length[row])
+                windows = np.unique(index.number[row])
+                key = windows.tobytes()
+                if key not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    items = sorted({i for n in windows for i in index.owners[n]})
+                    known[key] = len(items), sha256(",".join(items).encode()).hexdigest()
+                out.append((doc_id, len(ids), int((b - a).sum()), *known[key]))
+            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+            yield _arrow(out, names, [*[pa.int64()] * 4, pa.string()], batch.column("_row") if carry else None)
+
+    rows = docs.drop("body", "text_key") if carry else docs.select("doc_id", "body")
+    return map_arrow(rows, run, DIGEST + (f", {carry}" if carry else ""))
 
 
 def _hits(docs: DataFrame, index: Index, text_col: str, carry: str | None) -> DataFrame:
@@ -203,10 +231,12 @@ def contamination(
     item_text: str = "text",
     window: int = 10,
     shingle: int = 3,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 2 << 20,
     carry: bool = False,
+    lists: bool = True,
 ) -> DataFrame:
-    """For each document: n_words, n_hit, the hit intervals [start, end) in words, and the items found.
+    """For each document: n_words, n_hit, the hit intervals [start, end) in words, and the items found; without ``lists`` n_items and
+    items_sha256 (of the sorted ids, comma-joined) in place of intervals and items, which many documents with common passages would repeat.
 
     Null texts have no words, on either side. Items with equal ids count once; an item without an id marks
     words but is in no list. Repeated documents have a row each. With ``carry`` the columns of docs come along in the struct _row.
@@ -215,7 +245,14 @@ def contamination(
     own = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("body")]
     rows = carried(docs, *own) if carry else docs.select(*own)
     result, more = None, []
-    for block in _blocks(items, item_id, item_text, block_bytes):
+    blocks = _blocks(items, item_id, item_text, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None and not lists:
+        index = Index(first, window, shingle)
+        index.order_by_rarity(_shingle_counts(rows, index) if len(index.codes) else {})
+        return _digests(rows, index, text_col, row_type(docs) if carry else "")
+    for block in chain([first], [] if second is None else [second], blocks):
         index = Index(block, window, shingle)
         index.order_by_rarity(_shingle_counts(rows, index) if len(index.codes) else {})
         if result is None:
@@ -224,7 +261,7 @@ def contamination(
             more.append(_hits(rows, index, text_col, None))
     last = ["_row"] if carry else []
     if not more:
-        return result.select("doc_id", "n_words", "n_hit", "starts", "ends", "items", *last)
+        return result.select("doc_id", "n_words", "n_hit", "starts", "ends", "items", *last)  # one block, so lists are asked for
     for other in more[1:]:
         more[0] = more[0].union(other)
     # equal documents have equal hits, so hits are kept once for each (doc_id, text)
@@ -247,17 +284,18 @@ def contamination(
         names = ["doc_id", "n_words", "n_hit", "starts", "ends", "items"]
         return _arrow(out, names, [*[pa.int64()] * 3, SPANS, SPANS, pa.list_(pa.string())], batch.column("_row") if carry else None)
 
-    return map_batches(result, merge, RESULT + (f", {row_type(docs)}" if carry else ""))
+    result = map_batches(result, merge, RESULT + (f", {row_type(docs)}" if carry else ""))
+    return result if lists else digest(result).drop("contaminated")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    ids = F.array_join(F.array_sort("items"), ",")
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    """Counts and hash of the items, and ``contaminated``, from either form of ``contamination``."""
+    if "items" in found.columns:
+        ids = F.array_join(F.array_sort("items"), ",")
+        found = found.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(ids, 256)}).drop("starts", "ends", "items")
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digest(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return digest(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), lists=False))

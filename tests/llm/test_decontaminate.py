@@ -34,6 +34,7 @@ def check(spark, docs, items, **more):
     want = sorted((r.doc_id, *plain(r.text, [(i.item_id, i.text) for i in items.collect()])) for r in docs.collect())
     got = sorted(map(tuple, d.digest(d.contamination(docs, items, **more)).collect()))
     assert got == want
+    assert sorted(map(tuple, d.digest(d.contamination(docs, items, lists=False, **more)).collect())) == want
     return got
 
 
@@ -59,3 +60,14 @@ def test_odd_rows(spark):
         check(spark, docs, items, block_bytes=size)
     check(spark, docs, items.limit(0))
     assert d.contamination(docs.limit(0), items).count() == 0
+
+
+def test_many_items_share_a_passage_and_one_is_long(spark):
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"head {i} " + passage) for i in range(2000)] + [(5000, " ".join(f"long{i}" for i in range(60_000)))]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{passage} tail {i}") for i in range(300)] + [(900, " ".join(f"long{i}" for i in range(300, 400)))], "doc_id long, text string")
+    got = {r.doc_id: r for r in d.digest(d.contamination(docs, items, lists=False)).collect()}
+    ids = ",".join(sorted(str(i) for i in range(2000)))
+    assert all(r.n_hit == 14 and r.n_items == 2000 and r.items_sha256 == hashlib.sha256(ids.encode()).hexdigest() for i, r in got.items() if i < 300)
+    assert (got[900].n_hit, got[900].n_items) == (100, 1)
