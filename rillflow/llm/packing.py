@@ -29,15 +29,13 @@ def encoder(path: str):
     """text -> token ids, equal to those of ``tokenizers`` with the file at path (byte-level BPE).
 
     The file's vocabulary and merges are run by the faster of two libraries where both split text alike
-    (code points up to U+024F, where their character classes agree), else by ``tokenizers`` itself. Names of special
-    tokens in a text are ordinary text.
+    (code points up to U+024F, where their character classes agree, and no name of a special token), else by ``tokenizers`` itself.
     """
     import regex
     import tiktoken
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     # the byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100
@@ -49,10 +47,10 @@ def encoder(path: str):
 
     fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     latin = regex.compile("[\x00-ɏ]*+")
-    long_run = regex.compile(r"[^\s]{2000}|\s{2000}")
+    apart = regex.compile("|".join([r"[^\s]{2000}", r"\s{2000}", *map(regex.escape, sorted(special))]))
 
     def encode(text: str) -> list[int]:
-        if latin.fullmatch(text) and not long_run.search(text):
+        if latin.fullmatch(text) and not apart.search(text):
             return fast.encode_ordinary(text)
         return slow.encode(text, add_special_tokens=False).ids
 

@@ -10,9 +10,7 @@ from rillflow.llm import packing as p
 
 
 def plain_ids(text, end=2):
-    t = Tokenizer.from_file(p.tokenizer_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(p.tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def check(docs, capacity):
@@ -75,3 +73,12 @@ def test_plan_equals_best_fit_by_item():
         assert {n: sum(hi - lo for a, lo, hi, *_ in slots if a == n) for n in histogram} == histogram
         made = {s for _, lo, hi, first, _ in slots for s in range(first, first + hi - lo)}
         assert len(made) == best_fit([k for k, v in histogram.items() for _ in range(v)], 100)
+
+
+def test_names_of_special_tokens_are_what_the_tokenizer_makes_of_them():
+    encode = p.encoder(p.tokenizer_path())
+    names = [a.content for a in Tokenizer.from_file(p.tokenizer_path()).get_added_tokens_decoder().values()]
+    assert names
+    for name in names:
+        for text in (name, f"{name}x", f"a {name} b", f"{name}{name}", name[:-1], f"é {name.upper()}"):
+            assert list(encode(text)) + [2] == plain_ids(text)
