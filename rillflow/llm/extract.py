@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +26,11 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import map_batches
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|xmp|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+#: A tag behind its "<", with quoted values; and without heed of quotes, once a page has shown that they don't match up.
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Elements whose content is no markup, with what ends them.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea title iframe xmp noembed".split()}
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,6 +97,49 @@ def _label(tag: str, attributes: str) -> str:
     return ".".join([tag, *kept])
 
 
+def markup(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """The page as (text, "", "", "") and ("", "/" or "", tag, attributes), in one pass: every character is looked at a fixed number of times.
+
+    Comments, declarations and elements without markup are left out. A tag that never ends is text, but for the last one.
+    """
+    at, end, last = 0, len(page), page.rfind(">")
+    tag = TAG
+    while at < end:
+        i = page.find("<", at)
+        if i < 0:
+            yield page[at:], "", "", ""
+            return
+        if i > at:
+            yield page[at:i], "", "", ""
+        head = page[i + 1 : i + 3]
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = end if j < 0 else j + 3
+        elif head[:1] in ("!", "?") or head[:1] == "/" and not (head[1:].isascii() and head[1:].isalpha()):
+            j = page.find(">", i)
+            at = end if j < 0 else j + 1
+        elif not (head.lstrip("/")[:1].isascii() and head.lstrip("/")[:1].isalpha()):
+            yield "<", "", "", ""
+            at = i + 1
+        elif i > last:
+            if page.find("<", i + 1) < 0:
+                return
+            yield "<", "", "", ""
+            at = i + 1
+        else:
+            m = tag.match(page, i + 1)
+            if m is None:
+                tag = PLAIN_TAG
+                m = tag.match(page, i + 1)
+            at = m.end()
+            name = m[2].lower()
+            if name in RAW and not m[1]:
+                close = RAW[name].search(page, at)
+                at = close.end() if close else end
+            else:
+                yield "", m[1], name, m[3]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with the path that each began in."""
     out: list[Block] = []
@@ -115,45 +157,44 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         state["linked"] = 0
 
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements in the stack, by tag
+    barriers: list[int] = []  # places of those that no closing inline tag reaches across
+
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
             tag = stack.pop()[0]
+            places[tag].pop()
+            if tag not in INLINE:
+                barriers.pop()
             state["articles"] -= tag in ("article", "main")
             state["links"] -= tag == "a"
             state["p"] -= tag == "p"
 
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
+
     def text(piece: str) -> None:
         parts.append(piece)
         if state["links"]:
             state["linked"] += len(piece)
 
     def close(tags: set[str], within: set[str]) -> None:
-        """Close the innermost of these elements that is open inside the nearest holder."""
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in within:
-                return
-            if stack[depth][0] in tags:
-                pop_to(depth)
-                return close(tags, within)
-
-    at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+        """Close those of these elements that are open inside the nearest holder."""
+        holder = innermost(within)
+        while (at := innermost(tags)) > holder:
+            pop_to(at)
+
+    for piece, slash, tag, attributes in markup(page):
+        if piece:
+            text(piece)
             continue
-        tag, attributes = m[3].lower(), m[4]
         inline = tag in INLINE
         if not inline:
             flush()
-        if m[2]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if inline and stack[depth][0] not in INLINE:
-                    break
+        if slash:
+            at = innermost({tag})
+            if at >= 0 and not (inline and barriers and barriers[-1] > at):
+                pop_to(at)
             continue
         if tag in VOID:
             continue
@@ -173,9 +214,10 @@ def blocks(page: str) -> list[Block]:
         path = stack[-1][1] if stack else 0
         if not inline:
             path = numbers.setdefault((path, _label(tag, attributes) if attributes else tag), len(numbers) + 1)
+        places[tag].append(len(stack))
+        if not inline:
+            barriers.append(len(stack))
         stack.append((tag, path, cut))
-    if at < len(page):
-        text(page[at:])
     flush()
     return out
 

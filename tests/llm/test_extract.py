@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,27 @@ def test_article_tag_only_adds_weight():
     assert "Sentence 5," in extract.main_text(f"<body><div class=text>{body}</div>{card}</body>")
     inside = f"<article>{body}<div class=x><div class=y>Go</div><div class=z>On</div><div class=q>Up</div></div></article>"
     assert extract.main_text(inside).endswith("second one.\nGo") and "Up" not in extract.main_text(inside)  # next to a paragraph the smoothed weight is higher
+
+
+def test_hostile_pages_take_linear_time():
+    size = 400_000
+    tail = "<article><p>The end, at last.</p></article>"
+    units = ["<i></b>", "<a b='c ", "<p <", "<a b='>'", "<a", "<b><div><i></b>", "<li>", "<td>", "<!-", "&amp", "</", "<a href=\"", "<x y='\"", "<ul><li><p>"]
+    for unit in units:
+        page = unit * (size // len(unit))
+        begin = time.process_time()
+        extract.main_text(page + tail)
+        extract.main_text("<i>" * (size // 6) + "</b>" * (size // 8) + page)
+        assert time.process_time() - begin < 20, unit
+
+
+def test_the_ratios_decide_without_article_tags():
+    words = "Long sentences, as in a story; they have many words and marks, too. "
+    pages = [
+        f"<body><div class=x{k}><a href=1>Home</a></div><div class=text><h1>Title {k}</h1>" + f"<p>{words * 3}</p>" * 5
+        + "</div>" + "".join(f"<div class=t{i}>w{i}</div>" for i in range(12)) + "</body>" for k in range(10)
+    ]
+    for k, page in enumerate(pages):
+        text = extract.main_text(page)
+        assert text.startswith(f"Title {k}\nLong") and "w11" not in text and "Home" not in text
+        assert "w11" in extract.main_text(page, share=0)
