@@ -1,21 +1,22 @@
 """Near-duplicate detection on 64-bit SimHash fingerprints.
 
-Method: a byte-position inverted index with count filtering. A fingerprint is eight bytes at eight
-positions. Two fingerprints that differ in at most two bits differ in at most two bytes, so they share
-at least six positional bytes, and of four byte pairs at least two are equal in both. A posting list is
-keyed by the four bytes of two byte pairs (six lists for each fingerprint): with single bytes as keys each
-of 2,048 lists would hold a share of all rows, and their pairs would grow with its square. Pairs that
-meet in a list are tallied (shared positional bytes), kept from six on, and verified bit by bit.
+Method: a byte-position inverted index with count filtering. A fingerprint is eight bytes at eight positions. Posting lists are keyed by four
+positions and the bytes there: with single bytes as keys each of 2,048 lists would hold a share of all rows, and their pairs would grow
+with its square. Two fingerprints that differ in at most two bits differ in at most two bytes, so they share at least six positional bytes, and
+meet in at least 15 of the 70 lists of each. Pairs that meet are tallied over the lists; those with fewer than 15 are out, the others are
+verified bit by bit.
 
 Lists of more than ``list_limit`` different fingerprints (a large group of near copies) aren't paired.
 They are linked exactly by the points within one bit of each member: two fingerprints differ in at most
 two bits if and only if they have such a point in common, and at most 65 fingerprints have one point.
-So the work for a member is fixed whatever the size of its group, and no link is lost.
+So the work for a member is fixed whatever the size of its group, and no link is lost: a pair that has a long list in common is linked by such
+points, and of any other pair the tally is whole.
 """
 
 from __future__ import annotations
 
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import PIECE, body, carried, components, cut, field, map_arrow, map_batches, row_type, slices, space_words, store
 
-BLOCKS = list(combinations(range(4), 2))
+POSITIONS = list(combinations(range(8), 4))
+LEAST = comb(6, 4)
 
 
 def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
@@ -56,38 +58,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(rows, run, "doc_id long, fp long")
 
 
-def _shared_bytes(x) -> F.Column:
-    """How many of the eight positional bytes agree, from the XOR of two fingerprints."""
-    one = F.lit(1)
-    return sum(
-        (F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, one).otherwise(0) for i in range(1, 8)),
-        F.when(x.bitwiseAND(F.lit(255)) == 0, one).otherwise(0),
-    )
-
-
 def links(fps: DataFrame, list_limit: int = 64) -> DataFrame:
     """Edges (a, b) among different fingerprints that connect all those within two bits of each other.
 
     Within posting lists of up to list_limit fingerprints these are all such pairs; in longer lists
     each point near several fingerprints links them to the least of them.
     """
-    def block(i):
-        return F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
+    def byte(i):
+        return F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(0xFF))
+
+    def key(n, positions):
+        of = F.lit(n << 32)
+        for place, i in enumerate(positions):
+            of = of.bitwiseOR(F.shiftleft(byte(i), 8 * place))
+        return of
 
-    keys = [
-        F.lit(n << 32).bitwiseOR(F.shiftleft(block(i), 16)).bitwiseOR(block(j)) for n, (i, j) in enumerate(BLOCKS)
-    ]
-    postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    postings = fps.select("fp", F.explode(F.array(*(key(n, p) for n, p in enumerate(POSITIONS)))).alias("key"))
     lists = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(postings.join(lists, "key"))
     short = members.where(F.col("n") <= list_limit)
-    x = F.col("a").bitwiseXOR(F.col("b"))
     pairs = (
         short.select("key", F.col("fp").alias("a"))
         .join(short.select("key", F.col("fp").alias("b")), "key")
         .where("a < b")
-        .where(_shared_bytes(x) >= 6)
-        .where(F.bit_count(x) <= 2)
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") >= LEAST)
+        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
         .select("a", "b")
     )
     long = members.where(F.col("n") > list_limit).select("fp").distinct()
