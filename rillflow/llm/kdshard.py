@@ -7,7 +7,8 @@ interval with the median; the search goes on inside it until it is one value, an
 equal values split as finely as others. Only interval sums (at most nodes times bins) reach the driver, and the rows never move.
 
 The law is ``bytes``. Slots within a shard come from counts by partition, not from a sort of a shard.
-Equal texts have the same size, but may lie in different shards: a group of copies may be larger than a shard.
+Equal texts are neighbours in every dimension (they share the least metadata among them, and ties go by the text first), so a group of copies
+is cut only where a split has to pass through it: at most one group for each of the splits, however large the groups are.
 """
 
 from __future__ import annotations
@@ -155,17 +156,25 @@ def shards(
         return F.pmod(F.xxhash64(*c), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
     size = (F.octet_length(text) + 16).cast("long")
-    rows = cut(
+    dims = ["_d_size", *(f"_d{i}" for i in range(len(categories))), "_d_id"]
+    own = cut(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), size.alias("_size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.col(id_col).cast("long").alias("doc_id"), size.alias("_size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"),
             F.log2(size.cast("double")).alias("_d_size"),
             *(unit(F.col(c).cast("string")).alias(f"_d{i}") for i, c in enumerate(categories)),
             F.coalesce(F.col(id_col).cast("double"), F.lit(-1.0)).alias("_d_id"),
-        ).withColumn("_tie", unit("doc_id", "text_crc32", "_size"))
+        )
+    )
+    groups = own.groupBy(F.col("_text").alias("_t")).agg(F.count(F.lit(1)).alias("_copies"), *(F.min(d).alias(f"{d}_least") for d in dims)).where("_copies > 1").drop("_copies")
+    low = 1 << 20
+    tie = (F.pmod("_text", F.lit(1 << 32)) * low + F.pmod(F.xxhash64("doc_id", "_text"), F.lit(low))).cast("double") / float(low << 32)
+    rows = cut(
+        own.join(groups, F.col("_text") == F.col("_t"), "left").select(
+            "doc_id", "_size", "text_crc32", *(F.coalesce(f"{d}_least", d).alias(d) for d in dims), tie.alias("_tie")
+        )
     )
     if n_shards is None:
         n_shards = max(1, -(-(rows.agg(F.sum("_size")).first()[0] or 0) // (target_bytes or 1 << 30)))
-    dims = ["_d_size", *(f"_d{i}" for i in range(len(categories))), "_d_id"]
     _, placed = kd_tree(rows, dims, n_shards)
     placed = placed.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.col("_first").alias("shard"))
     placed = cut(ranked(placed, "shard"))

@@ -34,3 +34,12 @@ def test_ties_and_odd_rows(spark):
     check(docs.limit(1), 4, 5)
     assert kdshard.shards(docs.limit(0), 4).count() == 0
     assert kdshard.shards(docs, target_bytes=5000).select("shard").distinct().count() >= 4
+
+
+def test_few_groups_of_equal_texts_are_cut(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = kdshard.shards(docs, 40).select("doc_id", "shard").join(docs.select("doc_id", "text"), "doc_id")
+    groups = got.groupBy("text").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).where("n > 1").collect()
+    cut = [g for g in groups if g.shards > 1]
+    print(len(groups), "groups of copies,", len(cut), "in several shards")
+    assert groups and len(cut) <= 39
