@@ -40,7 +40,7 @@ def near_dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contamination(docs, items, carry=True).where("n_hit = 0").select("_row.*")
+    return decontaminate.contamination(docs, items, carry=True, lists=False).where("n_hit = 0").select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
