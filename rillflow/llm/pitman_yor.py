@@ -258,13 +258,26 @@ def _lots(batches: Iterator[pa.RecordBatch], most: int = 1 << 62) -> Iterator[di
         yield {k: [np.concatenate(c) for c in zip(*found.pop(k))] for k in list(found)}
 
 
+def _fan(parts: int) -> int:
+    return 1 if parts <= FAN else FAN
+
+
 def _regrouped(sources: list, parts: int, run, schema: str) -> DataFrame:
-    """``run(lots of one part)`` for each part. sources: (DataFrame, batches -> lots). Each part is one task; beyond FAN parts the numbers are
-    dealt in two rounds, else a task would make rows of a few numbers."""
-    fan = 1 if parts <= FAN else FAN
+    """``run(lots of one part)`` for each part. sources: (DataFrame, batches -> lots)."""
 
     def first(lots):
-        return lambda batches: _deal(lots(batches), parts, fan)
+        return lambda batches: _deal(lots(batches), parts, _fan(parts))
+
+    dealt = None
+    for df, lots in sources:
+        one = map_arrow(df, first(lots), DEALT)
+        dealt = one if dealt is None else dealt.union(one)
+    return _gathered(dealt, parts, run, schema)
+
+
+def _gathered(dealt: DataFrame, parts: int, run, schema: str) -> DataFrame:
+    """``run(lots of one part)`` for each part of dealt rows. Each part is one task; beyond FAN parts the numbers are dealt in two rounds, else a
+    task would make rows of a few numbers."""
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lots in _lots(batches, 1 << 23):
@@ -274,12 +287,8 @@ def _regrouped(sources: list, parts: int, run, schema: str) -> DataFrame:
         for lots in _lots(batches):
             yield from run(lots)
 
-    dealt = None
-    for df, lots in sources:
-        one = map_arrow(df, first(lots), DEALT)
-        dealt = one if dealt is None else dealt.union(one)
-    if fan > 1:
-        dealt = map_arrow(dealt.repartitionById(-(-parts // fan), F.col("part")), again, DEALT)
+    if _fan(parts) > 1:
+        dealt = map_arrow(dealt.repartitionById(-(-parts // FAN), F.col("part")), again, DEALT)
     return map_arrow(dealt.repartitionById(parts, F.col("part")), end, schema)
 
 
@@ -677,7 +686,6 @@ def _differences(batch: pa.RecordBatch, m: Model) -> tuple[np.ndarray, np.ndarra
 #: Lots of the scoring: a pair's difference, the probability of a rare word, the share of the parent in a rare context, a pair of rare
 #: words, a rare word's count; a document; answers. Columns: key, uid (even: training) and two numbers; key, uid and five; key and three.
 DELTA, WORD, CONTEXT, WHOLE, COUNT, DOCUMENT, ANSWER = range(7)
-PART_SUMS = "uid long, doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _asked(sent, total: float):
@@ -755,16 +763,15 @@ def _told_of_words(batches: Iterator[pa.RecordBatch]):
             yield ANSWER, [batch.column("w").to_numpy(), *(batch.column(c).to_numpy().astype(np.float64) for c in ("n", "own", "p"))]
 
 
-def _scored(found: dict[int, list[np.ndarray]], m: Model, total: float) -> Iterator[pa.RecordBatch]:
-    """Sums by document of one part's lots."""
+def _scored(found: dict[int, list[np.ndarray]], m: Model, total: float):
+    """Lots of one part's sums by document: uid and base, score and known tokens to add. Those of documents go through."""
     key, *values = found.pop(ANSWER, [np.zeros(0, dtype=np.int64)] * 4)
     order = np.argsort(key)
     key, (x, y, z) = key[order], (v.view(np.float64)[order] for v in values)
     uids, bases, scores_of, knowns = [], [], [], []
     for kind, (asked, uid, *more) in found.items():
         if kind == DOCUMENT:
-            doc_id, n, known, base, score = more
-            yield _batch([c.split()[0] for c in PART_SUMS.split(", ")], uid, pa.array(doc_id, mask=known & 1 == 1), n, known >> 1, base.view(np.float64), score.view(np.float64))
+            yield kind, [asked, uid, *more]
             continue
         at = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
         hit = key[at] == asked if len(key) else np.zeros(len(asked), dtype=bool)
@@ -793,8 +800,25 @@ def _scored(found: dict[int, list[np.ndarray]], m: Model, total: float) -> Itera
         bases.append(np.zeros(len(uid)) if base is None else base)
         knowns.append(np.zeros(len(uid), dtype=np.int64) if known is None else known)
     if uids and len(uid := np.concatenate(uids)):
-        _, uid, (base, score, known) = _added(uid, *map(np.concatenate, (bases, scores_of, knowns)))
-        yield _batch([c.split()[0] for c in PART_SUMS.split(", ")], uid, pa.nulls(len(uid), pa.int64()), np.zeros(len(uid), dtype=np.int64), known, base, score)
+        _, uid, sums = _added(uid, *map(np.concatenate, (bases, scores_of, knowns)))
+        yield DELTA, [uid, *sums]
+
+
+def _whole(found: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Documents of one part with all their sums."""
+    if DOCUMENT not in found:
+        return
+    uid, _, doc_id, n, known, base, score = found[DOCUMENT]
+    order = np.argsort(uid)
+    uid, doc_id, n, known, base, score = (x[order] for x in (uid, doc_id, n, known, base.view(np.float64), score.view(np.float64)))
+    null, known = known & 1 == 1, known >> 1
+    if DELTA in found:
+        of, more_base, more_score, more_known = found[DELTA]
+        at = np.searchsorted(uid, of)
+        np.add.at(base, at, more_base.view(np.float64))
+        np.add.at(score, at, more_score.view(np.float64))
+        np.add.at(known, at, more_known)
+    yield _batch(["doc_id", "n_tokens", "n_known", "base_score", "score"], pa.array(doc_id, mask=null), n, known, base, score)
 
 
 def scores(
@@ -833,8 +857,9 @@ def scores(
                     (_met(rest.where("kind > 0").select("k", "u", "w", "kind", "c"), model.rare, ["n", "own", "p", *drawn]), _told(sent)),
                     (model.rare.select("w", "n", "own", "p"), _told_of_words),
                 ]
-                found = _regrouped(sources, model.parts, lambda lots: _scored(lots, asked.value[0], total), PART_SUMS)
-                found = store(found.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score"))))
+                parts = model.parts
+                sums = _regrouped(sources, parts, lambda lots: _deal(_scored(lots, asked.value[0], total), parts, _fan(parts)), DEALT)
+                found = store(_gathered(sums, parts, _whole, "doc_id long, n_tokens long, n_known long, base_score double, score double"))
         discard(model.pairs, model.rare)
     return found.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
