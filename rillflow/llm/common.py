@@ -67,7 +67,7 @@ def store(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     _stored[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
@@ -113,7 +113,7 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Have Spark send texts to Python in batches of this size, unless the session asks for less: a worker and its
     executor hold several at a time. This is a setting of the session, as plans read it when they run."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
