@@ -12,8 +12,9 @@ from rillflow.plans import study
 from rillflow.schemas import THRESHOLDS
 from rillflow.sources import tables
 
-#: parameter -> absolute and relative noise of town instruments (m, m3/s)
-NOISE = {"pressure": (0.25, 0.0), "flowrate": (0.0002, 0.01), "demand": (0.0002, 0.01)}
+# Absolute and relative noise by parameter (m, m3/s) of a town's instruments, and of those in a building.
+NOISE = {"pressure": (0.30, 0.0), "flowrate": (0.001, 0.01), "demand": (0.0005, 0.01)}
+BUILDING_NOISE = {"pressure": (0.25, 0.0), "flowrate": (2e-6, 0.02)}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -27,12 +28,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--noise-scale", type=float, default=1.0)
     p.add_argument("--no-noise", action="store_true")
+    p.add_argument("--instruments", choices=("town", "building"), default="town")
     p.add_argument("--max-gap", type=int, default=3600)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("rillflow").getOrCreate()
     base, rows = tables.read_baseline(spark, a.baseline), tables.read_scenarios(spark, a.scenarios)
     if a.command == "detect":
-        spec = {k: (x * a.noise_scale, y * a.noise_scale) for k, (x, y) in NOISE.items()}
+        spec = {k: (x * a.noise_scale, y * a.noise_scale) for k, (x, y) in (NOISE if a.instruments == "town" else BUILDING_NOISE).items()}
         seen = detect.observe(rows.unionByName(base), spec, seed=a.seed, noise=not a.no_noise)  # the baseline is the negative control
         summary, found = study.batch_report(seen, base.withColumn("truth", F.col("value")), a.detector, a.threshold, a.min_assets)
         tables.write_report(summary.withColumn("top_candidates", F.array_join("top_candidates", "|")), f"{a.out}/summary", "scenario")
