@@ -129,8 +129,7 @@ def check_snapshot(df: DataFrame, vertices: DataFrame, edges: DataFrame) -> Data
                             ("assignment", r.fit, "parameters of the other asset type")):
         if bad:
             raise ContractError(rule, what)
-    known = vertices.select(F.lit("node").alias("asset_type"), "asset_id").union(edges.select(F.lit("link").alias("asset_type"), "asset_id"))
-    unknown = [x.asset_id for x in df.join(known, ["asset_type", "asset_id"], "left_anti").select("asset_id").distinct().orderBy("asset_id").limit(11).collect()]
+    unknown = [x.asset_id for x in unknown_assets(df, vertices, edges).select("asset_id").distinct().orderBy("asset_id").limit(11).collect()]
     if unknown:
         raise ContractError("unknown", f"unknown assets: {', '.join(unknown[:10])}{' ...' if len(unknown) > 10 else ''}")
     if repeated := duplicate_keys(df, KEY).limit(1).collect():
@@ -138,6 +137,12 @@ def check_snapshot(df: DataFrame, vertices: DataFrame, edges: DataFrame) -> Data
     return df
 
 
+def unknown_assets(readings: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(asset_type, asset_id) of readings whose node or link the network doesn't have."""
+    known = vertices.select(F.lit("node").alias("asset_type"), "asset_id").union(edges.select(F.lit("link").alias("asset_type"), "asset_id"))
+    return readings.select("asset_type", "asset_id").distinct().join(known, ["asset_type", "asset_id"], "left_anti")
+
+
 def leaks(packets: DataFrame, text: str, tokens: Sequence[str]) -> DataFrame:
     """Packets whose text names a ground-truth token, in any case."""
     found = F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(F.col(text)), F.lower(t)))

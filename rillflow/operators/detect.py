@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import by_parameter, gaussian, noise_scale, ratio_or_infinite
+from rillflow.functions.lineage import cut
 
 DETECTED = ("pressure", "flowrate")  # a leak is added demand, so demand would give the answer away
 
@@ -79,8 +80,10 @@ def incident_steps(observed: DataFrame, flagged: DataFrame, min_assets: int = 2)
 
 
 def members(observed: DataFrame, flagged: DataFrame, min_assets: int = 2) -> DataFrame:
-    """Flagged readings at the positive steps, with the number of their incident."""
-    return flagged.join(incident_steps(observed, flagged, min_assets), ["scenario", "timestamp_s"])
+    """Flagged readings at the positive steps, with the number of their incident. Both are few beside the readings and are read again and again: they are
+    written to the checkpoint folder, so that readings are scanned and scored once."""
+    flagged = cut(flagged)
+    return cut(flagged.join(incident_steps(observed, flagged, min_assets), ["scenario", "timestamp_s"]))
 
 
 def candidates(member_rows: DataFrame) -> DataFrame:

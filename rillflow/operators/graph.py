@@ -146,9 +146,9 @@ def topology_summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(edges.agg(F.count(F.lit(1)).alias("links"))).withColumn("connected", F.col("components") == 1)
 
 
-def snapshot_values(readings: DataFrame, parameters: Sequence[str]) -> DataFrame:
-    """Readings turned to one row for each step and asset, one column for each parameter."""
-    return readings.groupBy("timestamp_s", "asset_type", "asset_id").pivot("parameter", list(parameters)).agg(F.first("value"))
+def snapshot_values(readings: DataFrame, parameters: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Readings turned to one row for each step and asset (and columns ``by``), one column for each parameter; of repeated readings the largest."""
+    return readings.groupBy(*by, "timestamp_s", "asset_type", "asset_id").pivot("parameter", list(parameters)).agg(F.max("value"))
 
 
 def snapshot(vertices: DataFrame, edges: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,8 +157,8 @@ def snapshot(vertices: DataFrame, edges: DataFrame, readings: DataFrame) -> tupl
     nodes = snapshot_values(readings.where("asset_type = 'node'"), ("pressure", "demand", "head")).drop("asset_type")
     links = snapshot_values(readings.where("asset_type = 'link'"), ("flowrate", "velocity", "status")).drop("asset_type")
     # every step has every asset: the steps of a run are few (a day's hours) beside the assets
-    v = vertices.crossJoin(F.broadcast(steps)).join(nodes, ["timestamp_s", "asset_id"], "left")
-    e = edges.crossJoin(F.broadcast(steps)).join(links, ["timestamp_s", "asset_id"], "left")
+    v = vertices.crossJoin(steps).join(nodes, ["timestamp_s", "asset_id"], "left")
+    e = edges.crossJoin(steps).join(links, ["timestamp_s", "asset_id"], "left")
     return v, oriented(e)
 
 

@@ -72,11 +72,18 @@ def alarms(candidates: DataFrame, building: Building, config: Retrieval = Retrie
     return rows.select("incident", "asset_id", "parameter", "score", "residual", "first_seen_s", "peak_at_s", F.lit(False).alias("early"))
 
 
+def _within(events: DataFrame, heads: DataFrame, begin: Column, end: Column, width: int) -> DataFrame:
+    """Events of each incident's scenario from begin to end, both included, with ``incident``: an equi-join on stretches of ``width`` seconds."""
+    stretch = F.explode(F.sequence(F.floor(F.col("_begin") / width), F.floor(F.col("_end") / width)))
+    spans = heads.select("incident", "scenario", begin.alias("_begin"), end.alias("_end")).withColumn("_stretch", stretch)
+    rows = events.withColumn("_stretch", F.floor(F.col("timestamp_s") / width)).join(spans, ["scenario", "_stretch"])
+    return rows.where(F.col("timestamp_s").between(F.col("_begin"), F.col("_end"))).drop("_stretch", "_begin", "_end")
+
+
 def early_alarms(named: DataFrame, heads: DataFrame, events: DataFrame, building: Building, config: Retrieval = Retrieval()) -> DataFrame:
     """Flags shortly before an incident of assets that it does not name, the strongest of each; heads(incident, scenario, detected_at_s)."""
-    begin = F.col("detected_at_s") - config.lookback_hours * 3600
-    rows = events.join(heads.select("incident", "scenario", "detected_at_s"), "scenario")
-    rows = rows.where((F.col("timestamp_s") >= begin) & (F.col("timestamp_s") < F.col("detected_at_s")))
+    back = config.lookback_hours * 3600
+    rows = _within(events, heads, F.col("detected_at_s") - back, F.col("detected_at_s") - 1, back)
     rows = rows.join(building.assets.select("asset_id"), "asset_id", "left_semi").join(named.select("incident", "asset_id"), ["incident", "asset_id"], "left_anti")
     best = F.max_by(F.struct("parameter", "score", "residual", F.col("timestamp_s").alias("peak_at_s")), F.struct("score", -F.col("timestamp_s")))
     out = rows.groupBy("incident", "asset_id").agg(best.alias("b"), F.min("timestamp_s").alias("first_seen_s"))
@@ -175,8 +182,8 @@ def suspect_spans(rows: DataFrame, building: Building) -> tuple[DataFrame, DataF
 
 def timelines(alarm_rows: DataFrame, events: DataFrame, heads: DataFrame, config: Retrieval = Retrieval()) -> DataFrame:
     """The flagged readings of each alarm from the look-back to the incident's end: (incident, asset_id, timestamp_s, deviation, observed, expected)."""
-    rows = events.join(heads.select("incident", "scenario", "detected_at_s", "last_seen_s"), "scenario")
-    rows = rows.where((F.col("timestamp_s") >= F.col("detected_at_s") - config.lookback_hours * 3600) & (F.col("timestamp_s") <= F.col("last_seen_s")))
+    back = config.lookback_hours * 3600
+    rows = _within(events, heads, F.col("detected_at_s") - back, F.col("last_seen_s"), back)
     keys = ["incident", "asset_id", "parameter"]
     return rows.join(alarm_rows.select(*keys), keys, "left_semi").select(*keys, "timestamp_s", F.col("residual").alias("deviation"), "observed", "expected")
 

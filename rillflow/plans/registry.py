@@ -151,7 +151,9 @@ def readings_long(spark, d):
 
 @query("WITH " + ALIGNED + " SELECT scenario, timestamp_s, asset_id, asset_type, parameter, state, round(expected_value, 6) AS expected_value, round(observed_value, 6) AS observed_value FROM aligned")
 def align_exact(spark, d):
-    return rounded(tabular.align(fx.expected(spark, d), fx.observed(spark, d), CELL))
+    """Of the keys that both sides have, else the operator would raise."""
+    e, o = fx.expected(spark, d), fx.observed(spark, d)
+    return rounded(tabular.align_exact(e.join(o, CELL, "left_semi"), o.join(e, CELL, "left_semi"), CELL))
 
 
 @query("WITH " + READINGS + """ SELECT count(*) FILTER (b.value IS NOT NULL AND o.value IS NOT NULL) AS matched, count(*) FILTER (o.value IS NULL) AS baseline_only,
@@ -276,16 +278,19 @@ def keyed_noise_stats(spark, d):
     return rounded(fx.observed(spark, d).select(z.alias("z")).agg(F.count("z").alias("n"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("sd")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query("WITH " + READINGS + """ SELECT scenario, timestamp_s, asset_id, asset_type, parameter, round(value, 6) AS value FROM obs
+  WHERE asset_id IN (SELECT asset_id FROM obs WHERE parameter = 'demand' AND scenario = 'S0')""")
 def coverage_semi(spark, d):
-    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return fx.table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left_semi")
+    rows = fx.observed(spark, d)
+    sensors = rows.where("parameter = 'demand' AND scenario = 'S0'").select("asset_id")
+    return rounded(detect.observe(rows, fx.NOISE, sensors, noise=False).select(*CELL, "value"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("WITH " + READINGS + " SELECT DISTINCT asset_type, asset_id FROM obs WHERE asset_id >= 'A05'")
 def unknown_assets_anti(spark, d):
-    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return fx.table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+    rows = fx.observed(spark, d)
+    known = rows.where("asset_id < 'A05'").select("asset_id").distinct()
+    return contracts.unknown_assets(rows, known, known)
 
 
 def _observed(spark, d):
@@ -299,6 +304,27 @@ def _scored(spark, d):
     return detect.residual_scores(_observed(spark, d), fx.expected(spark, d), BY)
 
 
+def _incident():
+    return F.concat_ws("-", "scenario", "incident_no").alias("incident")
+
+
+def _flagged_members(spark, d):
+    """Flags, and those of incidents."""
+    flagged = detect.flag(_scored(spark, d), 1.5)
+    return flagged, detect.members(_observed(spark, d), flagged)
+
+
+def _heads(rows):
+    spans = rows.groupBy("scenario", "incident_no").agg(F.min("timestamp_s").alias("detected_at_s"), F.max("timestamp_s").alias("last_seen_s"))
+    return spans.withColumn("incident", _incident())
+
+
+def _building(readings):
+    """All assets of readings as junctions, with a sensor for each of their parameters."""
+    assets = readings.select("asset_id", F.lit("junction").alias("kind"), F.lit(None).cast("string").alias("role")).distinct()
+    return retrieval.Building(assets, None, readings.select("asset_id", "parameter").distinct())
+
+
 def _members(spark, d):
     observed = _observed(spark, d)
     return detect.members(observed, detect.flag(detect.residual_scores(observed, fx.expected(spark, d), BY), 1.5))
@@ -356,49 +382,35 @@ def step_scoring(spark, d):
     return evaluate.step_scores(fx.observed(spark, d), detect.incidents(_members(spark, d)))
 
 
-@query("WITH " + INCIDENTS + """ SELECT i.scenario, i.incident_no, f.asset_id, f.parameter, min(f.timestamp_s) AS first_seen_s, round(max(f.score), 6) AS score
-  FROM incidents i JOIN flagged f ON f.scenario = i.scenario AND f.timestamp_s >= i.detected_at_s - 43200 AND f.timestamp_s < i.detected_at_s
-  WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.scenario = i.scenario AND c.incident_no = i.incident_no AND c.asset_id = f.asset_id) GROUP BY ALL""")
+@query("WITH " + INCIDENTS + """, e AS (SELECT i.scenario || '-' || i.incident_no AS incident, f.* FROM incidents i JOIN flagged f ON f.scenario = i.scenario
+    AND f.timestamp_s >= i.detected_at_s - 43200 AND f.timestamp_s < i.detected_at_s
+  WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.scenario = i.scenario AND c.incident_no = i.incident_no AND c.asset_id = f.asset_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY incident, asset_id ORDER BY score DESC, timestamp_s) AS k, min(timestamp_s) OVER (PARTITION BY incident, asset_id) AS first_seen_s FROM e)
+SELECT incident, asset_id, parameter, round(score, 6) AS score, round(residual, 6) AS residual, first_seen_s, timestamp_s AS peak_at_s, true AS early FROM k WHERE k = 1""")
 def early_evidence(spark, d):
-    """Flags in the twelve hours before an incident, of assets that it does not name. The range join is an equi-join on the steps looked back to."""
-    observed = _observed(spark, d)
-    flagged = detect.flag(detect.residual_scores(observed, fx.expected(spark, d), BY), 1.5)
-    rows = detect.members(observed, flagged)
-    back = F.explode(F.sequence(F.col("detected_at_s") - 43_200, F.col("detected_at_s") - fx.STEP_S, F.lit(fx.STEP_S)))
-    found = detect.incidents(rows)
-    named = rows.select("scenario", "incident_no", "asset_id").distinct()
-    early = found.select("scenario", "incident_no", back.alias("timestamp_s")).join(flagged, ["scenario", "timestamp_s"])
-    early = early.join(named, ["scenario", "incident_no", "asset_id"], "left_anti")
-    return rounded(early.groupBy("scenario", "incident_no", "asset_id", "parameter").agg(F.min("timestamp_s").alias("first_seen_s"), F.max("score").alias("score")))
-
-
-@query("WITH " + INCIDENTS + """, w AS (SELECT i.scenario, i.incident_no, c.asset_id, c.parameter, s.timestamp_s, s.residual FROM incidents i JOIN candidates c USING (scenario, incident_no)
-  JOIN scored s ON s.scenario = i.scenario AND s.asset_id = c.asset_id AND s.parameter = c.parameter AND s.timestamp_s BETWEEN i.detected_at_s - 43200 AND i.last_seen_s)
-SELECT scenario, incident_no, asset_id, parameter, count(*) AS points, string_agg(CAST(timestamp_s AS VARCHAR), '|' ORDER BY timestamp_s) AS steps, round(sum(residual), 5) AS total FROM w GROUP BY ALL""")
+    """The strongest flag of each asset in the twelve hours before an incident that does not name it."""
+    flagged, rows = _flagged_members(spark, d)
+    heads = _heads(rows)
+    named = rows.select(_incident(), "asset_id").distinct()
+    return rounded(retrieval.early_alarms(named, heads, flagged, _building(flagged), retrieval.Retrieval(lookback_hours=12)))
+
+
+@query("WITH " + INCIDENTS + """ SELECT DISTINCT i.scenario || '-' || i.incident_no AS incident, f.asset_id, f.parameter, f.timestamp_s, round(f.residual, 6) AS deviation, round(f.observed, 6) AS observed,
+    round(f.expected, 6) AS expected FROM incidents i JOIN candidates c USING (scenario, incident_no)
+  JOIN flagged f ON f.scenario = i.scenario AND f.asset_id = c.asset_id AND f.parameter = c.parameter AND f.timestamp_s BETWEEN i.detected_at_s - 43200 AND i.last_seen_s""")
 def timelines(spark, d):
-    scored = _scored(spark, d)
-    rows = detect.members(_observed(spark, d), detect.flag(scored, 1.5))
-    head = rows.groupBy("scenario", "incident_no").agg(F.min("timestamp_s").alias("a"), F.max("timestamp_s").alias("b"))
-    named = rows.select("scenario", "incident_no", "asset_id", "parameter").distinct().join(head, ["scenario", "incident_no"])
-    series = scored.select("scenario", "asset_id", "parameter", "timestamp_s", "residual").join(named, ["scenario", "asset_id", "parameter"])
-    series = series.where((F.col("timestamp_s") >= F.col("a") - 43_200) & (F.col("timestamp_s") <= F.col("b")))
-    out = series.groupBy("scenario", "incident_no", "asset_id", "parameter").agg(
-        F.count(F.lit(1)).alias("points"), F.array_sort(F.collect_list("timestamp_s")).alias("s"), F.round(F.sum("residual"), 5).alias("total"))
-    return rounded(out.withColumn("steps", F.array_join(F.transform("s", lambda x: x.cast("string")), "|")).drop("s"), 5)
-
-
-@query("WITH " + INCIDENTS + """, sensors AS (SELECT DISTINCT scenario, asset_id FROM obs WHERE parameter = 'pressure'),
+    flagged, rows = _flagged_members(spark, d)
+    alarm_rows = rows.select(_incident(), "asset_id", "parameter").distinct()
+    return rounded(retrieval.timelines(alarm_rows, flagged, _heads(rows), retrieval.Retrieval(lookback_hours=12)))
+
+
+@query("WITH " + INCIDENTS + """, sensors AS (SELECT DISTINCT asset_id FROM obs WHERE parameter = 'pressure'),
 al AS (SELECT scenario, incident_no, asset_id, residual FROM candidates WHERE parameter = 'pressure')
-SELECT i.scenario, i.incident_no, count(*) AS sensors, round(median(coalesce(al.residual, 0)), 6) AS shift FROM incidents i JOIN sensors s USING (scenario)
+SELECT i.scenario || '-' || i.incident_no AS incident, round(median(coalesce(al.residual, 0)), 6) AS shift FROM incidents i CROSS JOIN sensors s
   LEFT JOIN al ON al.scenario = i.scenario AND al.incident_no = i.incident_no AND al.asset_id = s.asset_id GROUP BY ALL""")
 def common_shift(spark, d):
-    rows = detect.candidates(_members(spark, d))
-    sensors = fx.observed(spark, d).where("parameter = 'pressure'").select("scenario", "asset_id").distinct()
-    every = rows.select("scenario", "incident_no").distinct().join(sensors, "scenario")
-    alarms = rows.where("parameter = 'pressure'").select("scenario", "incident_no", "asset_id", "residual")
-    out = every.join(alarms, ["scenario", "incident_no", "asset_id"], "left").groupBy("scenario", "incident_no").agg(
-        F.count(F.lit(1)).alias("sensors"), F.median(F.coalesce("residual", F.lit(0.0))).alias("shift"))
-    return rounded(out)
+    rows = detect.candidates(_members(spark, d)).withColumn("incident", _incident())
+    return rounded(retrieval.common_shift(rows, _building(fx.observed(spark, d))))
 
 
 @query("WITH " + READINGS + """, h AS (SELECT unnest(range(0, 2592000, 432000)) AS as_of_s) SELECT scenario, as_of_s, count(*) AS known, max(timestamp_s) AS latest, round(avg(value), 6) AS mean_value
@@ -532,8 +544,7 @@ def flow_orientation(spark, d):
 @query("WITH " + READINGS + """ SELECT scenario, timestamp_s, asset_type, asset_id, round(max(value) FILTER (parameter = 'pressure'), 6) AS pressure, round(max(value) FILTER (parameter = 'demand'), 6) AS demand,
   round(max(value) FILTER (parameter = 'flowrate'), 6) AS flowrate FROM obs GROUP BY ALL""")
 def snapshot_pivot(spark, d):
-    rows = fx.observed(spark, d).groupBy("scenario", "timestamp_s", "asset_type", "asset_id").pivot("parameter", ["pressure", "demand", "flowrate"]).agg(F.first("value"))
-    return rounded(rows)
+    return rounded(graph.snapshot_values(fx.observed(spark, d), ("pressure", "demand", "flowrate"), ["scenario"]))
 
 
 @query(CLOSURE + " SELECT * FROM closure")

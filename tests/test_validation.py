@@ -39,7 +39,7 @@ def test_each_corruption_is_found(spark, rule, asset, v, e):
 
 
 def test_places(spark):
-    net = building.generate(spark, building.Spec(floors=2))
+    net = building.generate(spark, building.Plan().changed("[building]\nfloors = 2"))
     t = net.triples()
     nodes = spark.createDataFrame([("F1B-KIT",), ("OHT",)], "node string")
     got = {(r.node, r.place) for r in graph.places_of(t, nodes).collect()}
