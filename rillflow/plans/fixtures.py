@@ -67,16 +67,7 @@ def supply_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part-supplier links of all order lines, with the quantity over 25 as a signed flow; parallel links stay."""
-    return _links(table(spark, sf_dir, "lineitem"))
-
-
-def multigraph_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links of the order lines that the SQL of the sample queries reads."""
-    return _links(table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 7 AND l_partkey % 2 = 0"))
-
-
-def _links(rows: DataFrame) -> DataFrame:
-    return rows.select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("start"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("end"),
         (F.col("l_quantity") - 25).alias("flowrate"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("asset_id"),
     )

@@ -121,10 +121,7 @@ CLOSURE = "WITH RECURSIVE " + TREE + """,
 closure AS (SELECT child AS ancestor, child AS descendant, CAST(0 AS BIGINT) AS distance FROM tree
   UNION ALL SELECT t.parent, c.descendant, c.distance + 1 FROM closure c JOIN tree t ON t.child = c.ancestor)"""
 
-LINKS = """links AS (SELECT 'P' || l_partkey AS a, 'S' || l_suppkey AS b, l_quantity - 25 AS flow FROM lineitem WHERE l_orderkey % 100 = 7 AND l_partkey % 2 = 0),
-seed AS (SELECT 'P' || min(CAST(substr(a, 2) AS BIGINT)) AS node FROM links)"""
-
-LINKS_ALL = """links AS (SELECT 'P' || l_partkey AS a, 'S' || l_suppkey AS b, l_quantity - 25 AS flow FROM lineitem),
+LINKS = """links AS (SELECT 'P' || l_partkey AS a, 'S' || l_suppkey AS b, l_quantity - 25 AS flow FROM lineitem),
 seed AS (SELECT 'P' || min(CAST(substr(a, 2) AS BIGINT)) AS node FROM links)"""
 
 
@@ -413,19 +410,10 @@ def common_shift(spark, d):
     return rounded(retrieval.common_shift(rows, _building(fx.observed(spark, d))))
 
 
-@query("WITH " + READINGS + """, h AS (SELECT unnest(range(0, 2592000, 432000)) AS as_of_s) SELECT scenario, as_of_s, count(*) AS known, max(timestamp_s) AS latest, round(avg(value), 6) AS mean_value
-  FROM obs JOIN h ON timestamp_s <= as_of_s WHERE as_of_s <= (SELECT ceil(max(timestamp_s) / 432000) * 432000 FROM obs o2 WHERE o2.scenario = obs.scenario) GROUP BY ALL""")
-def live_prefix(spark, d):
-    rows = detect.as_of(fx.observed(spark, d), 432_000)
-    out = rows.where("as_of_s < 2592000").groupBy("scenario", "as_of_s").agg(F.count(F.lit(1)).alias("known"), F.max("timestamp_s").alias("latest"), F.avg("value").alias("mean_value"))
-    return rounded(out)
-
-
 @query("WITH " + READINGS + """, l AS (SELECT scenario, CAST(ceil(max(timestamp_s) / 432000) * 432000 AS BIGINT) AS last FROM obs GROUP BY scenario),
 h AS (SELECT scenario, unnest(range(0, last + 1, 432000)) AS as_of_s FROM l)
 SELECT scenario, as_of_s, count(*) AS known, max(timestamp_s) AS latest, round(avg(value), 6) AS mean_value FROM obs JOIN h USING (scenario) WHERE timestamp_s <= as_of_s GROUP BY ALL""")
-def live_prefix_all(spark, d):
-    """``live_prefix`` stops before second 2,592,000, as its SQL does; this goes on to each scenario's last reading."""
+def live_prefix(spark, d):
     rows = detect.as_of(fx.observed(spark, d), 432_000)
     return rounded(rows.groupBy("scenario", "as_of_s").agg(F.count(F.lit(1)).alias("known"), F.max("timestamp_s").alias("latest"), F.avg("value").alias("mean_value")))
 
@@ -506,7 +494,7 @@ def severity_mode(spark, d):
 
 @query("WITH " + LINKS + """, n AS (SELECT a AS node FROM links UNION SELECT b FROM links) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM links) AS links""")
 def topology_counts(spark, d):
-    links = fx.multigraph_sample(spark, d)
+    links = fx.multigraph(spark, d)
     nodes = links.select(F.explode(F.array("start", "end")).alias("asset_id")).distinct()
     return graph.topology_summary(nodes, links).select("nodes", "links")
 
@@ -524,21 +512,21 @@ def topology_summary(spark, d):
 w AS (SELECT node, 0 AS hops FROM seed UNION SELECT e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 3)
 SELECT (SELECT node FROM seed) AS seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w GROUP BY node HAVING min(hops) > 0""")
 def khop_neighbours(spark, d):
-    links = fx.multigraph_sample(spark, d)
+    links = fx.multigraph(spark, d)
     return rounded(graph.neighbours(links, fx.first_part(links), 3))
 
 
-@query("WITH RECURSIVE " + LINKS + """, e AS (SELECT CASE WHEN flow >= 0 THEN a ELSE b END AS a, CASE WHEN flow >= 0 THEN b ELSE a END AS b FROM links),
+@query("WITH RECURSIVE " + LINKS + """, e AS (SELECT DISTINCT CASE WHEN flow >= 0 THEN a ELSE b END AS a, CASE WHEN flow >= 0 THEN b ELSE a END AS b FROM links),
 w AS (SELECT a AS seed, a AS node, 0 AS hops FROM e UNION SELECT w.seed, e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 4)
 SELECT seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w WHERE node <> seed GROUP BY seed, node""")
 def flow_reachability(spark, d):
-    arcs = graph.directed(graph.oriented(fx.multigraph_sample(spark, d)))
+    arcs = graph.directed(graph.oriented(fx.multigraph(spark, d)))
     return rounded(graph.downstream(arcs, arcs.select(F.col("src").alias("node")), 4))
 
 
 @query("WITH " + LINKS + " SELECT a AS start, b AS \"end\", flow AS flowrate, CASE WHEN flow >= 0 THEN a ELSE b END AS flow_from, CASE WHEN flow >= 0 THEN b ELSE a END AS flow_to FROM links")
 def flow_orientation(spark, d):
-    return graph.oriented(fx.multigraph_sample(spark, d)).drop("asset_id")
+    return graph.oriented(fx.multigraph(spark, d)).drop("asset_id")
 
 
 @query("WITH " + READINGS + """ SELECT scenario, timestamp_s, asset_type, asset_id, round(max(value) FILTER (parameter = 'pressure'), 6) AS pressure, round(max(value) FILTER (parameter = 'demand'), 6) AS demand,
@@ -553,9 +541,9 @@ def supply_closure(spark, d):
 
 
 @query(CLOSURE + """ SELECT descendant AS node, string_agg(ancestor, '>' ORDER BY distance) AS path, max(distance) AS depth FROM closure
-  WHERE descendant IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderkey % 50 = 7) GROUP BY descendant""")
+  WHERE descendant IN (SELECT 'O' || o_orderkey FROM orders) GROUP BY descendant""")
 def upstream_path(spark, d):
-    nodes = fx.table(spark, d, "orders").where("o_orderkey % 50 = 7").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node"))
+    nodes = fx.table(spark, d, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node"))
     return rounded(graph.upstream_path(fx.supply_tree(spark, d), nodes))
 
 
@@ -565,23 +553,23 @@ def downstream_set(spark, d):
     return rounded(graph.downstream_set(fx.supply_tree(spark, d), nodes))
 
 
-@query(CLOSURE + """, members AS (SELECT 'g' || (o_orderkey % 400) AS grp, 'O' || o_orderkey AS member FROM orders WHERE o_orderkey % 400 < 40 AND o_orderkey < 4000),
-shared AS (SELECT grp, ancestor, sum(distance) AS total FROM members m JOIN closure c ON c.descendant = m.member GROUP BY grp, ancestor
-  HAVING count(*) = (SELECT count(*) FROM members x WHERE x.grp = m.grp))
+@query(CLOSURE + """, members AS (SELECT DISTINCT 'g' || (o_orderkey % 400) AS grp, 'O' || o_orderkey AS member FROM orders),
+sizes AS (SELECT grp, count(*) AS n FROM members GROUP BY grp),
+shared AS (SELECT m.grp, c.ancestor, sum(c.distance) AS total FROM members m JOIN closure c ON c.descendant = m.member JOIN sizes s ON s.grp = m.grp GROUP BY m.grp, c.ancestor, s.n HAVING count(*) = s.n)
 SELECT grp, arg_min(ancestor, total) AS common FROM shared GROUP BY grp""")
 def common_supply_point(spark, d):
-    rows = fx.table(spark, d, "orders").where("o_orderkey % 400 < 40 AND o_orderkey < 4000")
+    rows = fx.table(spark, d, "orders")
     groups = rows.select(F.concat(F.lit("g"), (F.col("o_orderkey") % 400).cast("string")).alias("grp"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("member"))
     return graph.common_supply_point(fx.supply_tree(spark, d), groups)
 
 
-@query("WITH " + TREE + """ SELECT parent AS subject, 'FEEDS' AS relation, parent || '-' || child AS object FROM tree WHERE child NOT LIKE 'O%'
-  UNION ALL SELECT parent || '-' || child, 'FEEDS', child FROM tree WHERE child NOT LIKE 'O%'
+@query("WITH " + TREE + """ SELECT parent AS subject, 'FEEDS' AS relation, parent || '-' || child AS object FROM tree
+  UNION ALL SELECT parent || '-' || child, 'FEEDS', child FROM tree
   UNION ALL SELECT 'C' || c_custkey, 'LOCATED_IN', CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE 'flat:' || c_mktsegment END FROM customer
   UNION ALL SELECT DISTINCT 'flat:' || c_mktsegment, 'PART_OF', 'building' FROM customer WHERE c_mktsegment <> 'BUILDING'
   UNION ALL SELECT 'SENSOR' || s_suppkey, 'MONITORS', 'C' || s_suppkey FROM supplier""")
 def triples_export(spark, d):
-    return _triples(spark, d, fx.supply_tree(spark, d).where("child NOT LIKE 'O%'"))
+    return _triples(spark, d, fx.supply_tree(spark, d))
 
 
 def _triples(spark, d, tree):
@@ -593,66 +581,6 @@ def _triples(spark, d, tree):
     return graph.triples(tree, assets, sensors)
 
 
-# ---- the same graph queries over every order line; those above answer the sample that their SQL states
-
-
-@query("WITH " + LINKS_ALL + """, n AS (SELECT a AS node FROM links UNION SELECT b FROM links) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM links) AS links""")
-def topology_counts_all(spark, d):
-    links = fx.multigraph(spark, d)
-    nodes = links.select(F.explode(F.array("start", "end")).alias("asset_id")).distinct()
-    return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(links.agg(F.count(F.lit(1)).alias("links")))
-
-
-@query("WITH RECURSIVE " + LINKS_ALL + """, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-w AS (SELECT node, 0 AS hops FROM seed UNION SELECT e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 3)
-SELECT (SELECT node FROM seed) AS seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w GROUP BY node HAVING min(hops) > 0""")
-def khop_neighbours_all(spark, d):
-    links = fx.multigraph(spark, d)
-    return rounded(graph.neighbours(links, fx.first_part(links), 3))
-
-
-@query("WITH RECURSIVE " + LINKS_ALL + """, e AS (SELECT DISTINCT CASE WHEN flow >= 0 THEN a ELSE b END AS a, CASE WHEN flow >= 0 THEN b ELSE a END AS b FROM links),
-w AS (SELECT a AS seed, a AS node, 0 AS hops FROM e UNION SELECT w.seed, e.b, w.hops + 1 FROM w JOIN e ON e.a = w.node WHERE w.hops < 4)
-SELECT seed, node, CAST(min(hops) AS BIGINT) AS hops FROM w WHERE node <> seed GROUP BY seed, node""")
-def flow_reachability_all(spark, d):
-    arcs = graph.directed(graph.oriented(fx.multigraph(spark, d)))
-    return rounded(graph.downstream(arcs, arcs.select(F.col("src").alias("node")), 4))
-
-
-@query("WITH " + LINKS_ALL + " SELECT a AS start, b AS \"end\", flow AS flowrate, CASE WHEN flow >= 0 THEN a ELSE b END AS flow_from, CASE WHEN flow >= 0 THEN b ELSE a END AS flow_to FROM links")
-def flow_orientation_all(spark, d):
-    return graph.oriented(fx.multigraph(spark, d)).drop("asset_id")
-
-
-# ---- the supply tree queries over all orders; those above answer the sample that their SQL states
-
-
-@query(CLOSURE + """ SELECT descendant AS node, string_agg(ancestor, '>' ORDER BY distance) AS path, max(distance) AS depth FROM closure
-  WHERE descendant IN (SELECT 'O' || o_orderkey FROM orders) GROUP BY descendant""")
-def upstream_path_all(spark, d):
-    nodes = fx.table(spark, d, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("node"))
-    return rounded(graph.upstream_path(fx.supply_tree(spark, d), nodes))
-
-
-@query(CLOSURE + """, members AS (SELECT DISTINCT 'g' || (o_orderkey % 400) AS grp, 'O' || o_orderkey AS member FROM orders),
-sizes AS (SELECT grp, count(*) AS n FROM members GROUP BY grp),
-shared AS (SELECT m.grp, c.ancestor, sum(c.distance) AS total FROM members m JOIN closure c ON c.descendant = m.member JOIN sizes s ON s.grp = m.grp GROUP BY m.grp, c.ancestor, s.n HAVING count(*) = s.n)
-SELECT grp, arg_min(ancestor, total) AS common FROM shared GROUP BY grp""")
-def common_supply_point_all(spark, d):
-    rows = fx.table(spark, d, "orders")
-    groups = rows.select(F.concat(F.lit("g"), (F.col("o_orderkey") % 400).cast("string")).alias("grp"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("member"))
-    return graph.common_supply_point(fx.supply_tree(spark, d), groups)
-
-
-@query("WITH " + TREE + """ SELECT parent AS subject, 'FEEDS' AS relation, parent || '-' || child AS object FROM tree
-  UNION ALL SELECT parent || '-' || child, 'FEEDS', child FROM tree
-  UNION ALL SELECT 'C' || c_custkey, 'LOCATED_IN', CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE 'flat:' || c_mktsegment END FROM customer
-  UNION ALL SELECT DISTINCT 'flat:' || c_mktsegment, 'PART_OF', 'building' FROM customer WHERE c_mktsegment <> 'BUILDING'
-  UNION ALL SELECT 'SENSOR' || s_suppkey, 'MONITORS', 'C' || s_suppkey FROM supplier""")
-def triples_export_all(spark, d):
-    return _triples(spark, d, fx.supply_tree(spark, d))
-
-
 # ---- nested results, checked by tests
 
 
@@ -704,9 +632,3 @@ def diagnoses(spark, d):
     building, heads, rows, series, span, bounds = _case(spark, d)
     out = diagnosis.diagnose(diagnosis.hypotheses(rows, series, span, bounds, heads, building))
     return out.withColumn("alternatives", F.to_json("alternatives"))
-
-
-def top_candidates(spark: SparkSession, d: str, n: int = 5) -> DataFrame:
-    """The first n candidates of each incident (WindowGroupLimit in the plan)."""
-    w = Window.partitionBy("scenario", "incident_no").orderBy("position")
-    return detect.candidates(_members(spark, d)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
