@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import finite
-from rillflow.schemas import ASSET_TYPES, KEY, PARAMETERS, STATES
+from rillflow.schemas import ASSET_TYPES, KEY, PARAMETERS, SEVERITIES, STATES
 
 
 class ContractError(ValueError):
@@ -147,3 +147,37 @@ def leaks(packets: DataFrame, text: str, tokens: Sequence[str]) -> DataFrame:
     """Packets whose text names a ground-truth token, in any case."""
     found = F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(F.col(text)), F.lower(t)))
     return packets.withColumn("tokens", found).where(F.size("tokens") > 0)
+
+
+def check_detected(df: DataFrame) -> DataFrame:
+    """What events are made of: point rows with known severities (null is none), a time and a scenario."""
+    require_columns(df, [*KEY, "scenario", "state", "severity", "is_anomaly", "abs_residual"])
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(~F.col("severity").isin(*SEVERITIES), F.col("severity")))).alias("severities"),
+               *(F.count_if(F.col(c).isNull()).alias(c) for c in ("timestamp_s", "scenario"))).first()
+    if not r.n:
+        raise ContractError("empty", "no detected rows")
+    if r.severities:
+        raise ContractError("severities", f"unknown severities: {', '.join(r.severities)}")
+    for c in ("timestamp_s", "scenario"):
+        if r[c]:
+            raise ContractError("nulls", f"{c} is missing in {r[c]} rows")
+    return df
+
+
+def single_optional(df: DataFrame, column: str):
+    """The one value of a column, or None where it has none or isn't there; several are an error."""
+    if column not in df.columns:
+        return None
+    values = sorted(r[0] for r in df.where(~missing(column, df)).select(column).distinct().limit(11).collect())
+    if len(values) > 1:
+        raise ContractError("single", f"several values of {column}: {', '.join(map(str, values[:10]))}{' ...' if len(values) > 10 else ''}")
+    return values[0] if values else None
+
+
+def asset_types(df: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
+    """The column trimmed and in lower case; values beyond the known ones are an error."""
+    tidy = df.withColumn(column, F.lower(F.trim(column)))
+    unknown = tidy.where(F.col(column).isNull() | ~F.col(column).isin(*known)).select(column).distinct().limit(5).collect()
+    if unknown:
+        raise ContractError("types", f"unknown asset types: {', '.join(sorted(str(r[0]) for r in unknown))}; known are {', '.join(sorted(known))}")
+    return tidy

@@ -111,6 +111,11 @@ def incidents(member_rows: DataFrame) -> DataFrame:
     return head.join(nested, ["scenario", "incident_no"]).withColumn("epicenter", F.col("candidates")[0]["asset_id"])
 
 
+def in_order(flagged: DataFrame) -> DataFrame:
+    """Flagged readings by scenario and time, the highest score first."""
+    return flagged.orderBy("scenario", "timestamp_s", F.desc("score"), "asset_id", "parameter")
+
+
 def report(flagged: DataFrame) -> DataFrame:
     """Flagged readings of each scenario, and when the first was."""
     return flagged.groupBy("scenario").agg(F.count(F.lit(1)).alias("event_count"), F.min("timestamp_s").alias("first_event_s"))

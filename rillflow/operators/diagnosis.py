@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.functions.columns import clock
 from rillflow.functions.lineage import cut
 from rillflow.operators import graph
 from rillflow.operators.retrieval import LINKS, Building, _groups, common_point, deepest
 
 # Fixed values of the rules.
-DRY_M, MAJOR_LOSS_M, CORROBORATE, STOPPED, CREDIBLE = 1.0, 3.0, 0.5, 0.2, 0.5
+DRY_M, MAJOR_LOSS_M, CORROBORATE, STOPPED, CREDIBLE, BURST_LPS = 1.0, 3.0, 0.5, 0.2, 0.5, 0.1
 FAULT_TYPES = ("leak", "blockage", "pump_failure", "other")
 
-SHAPE = ["incident", "generator", "fault_type", "kind", "root", "start_hour", "confidence", "affected", "step"]
+SHAPE = ["incident", "generator", "fault_type", "kind", "root", "start_hour", "confidence", "affected", "step", "amount"]
 
 
 def signs(rows: DataFrame, series: DataFrame) -> DataFrame:
@@ -39,10 +40,12 @@ def signs(rows: DataFrame, series: DataFrame) -> DataFrame:
     })
 
 
-def _hypothesis(df: DataFrame, generator: int, fault: str, kind: str, root, start, confidence, affected, step) -> DataFrame:
+def _hypothesis(df: DataFrame, generator: int, fault: str, kind: str, root, start, confidence, affected, step, amount=None) -> DataFrame:
+    """``amount``: L/s of a leak, metres of a pressure loss."""
     return df.select(
         "incident", F.lit(generator).alias("generator"), F.lit(fault).alias("fault_type"), F.lit(kind).alias("kind"), root.alias("root"), start.cast("int").alias("start_hour"),
-        F.least(confidence, F.lit(0.95)).alias("confidence"), F.array_sort(F.array_distinct(F.array_compact(affected))).alias("affected"), step.alias("step"))
+        F.least(confidence, F.lit(0.95)).alias("confidence"), F.array_sort(F.array_distinct(F.array_compact(affected))).alias("affected"), step.alias("step"),
+        (F.lit(None) if amount is None else amount).cast("double").alias("amount"))
 
 
 def leaks(rows: DataFrame, building: Building) -> DataFrame:
@@ -60,7 +63,7 @@ def leaks(rows: DataFrame, building: Building) -> DataFrame:
     confidence = F.lit(0.6) + F.when(F.col("corroborating").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col("tap").isNotNull(), 0.05).otherwise(0.0)
     affected = F.concat(F.array("tap", "asset_id"), F.coalesce("corroborating", F.array().cast("array<string>")))
     step = F.format_string("%s carries %.3f L/s more than expected, and nothing below it does", "asset_id", F.col("residual") * 1000)
-    return _hypothesis(df, 0, "leak", "leak", F.coalesce("tap", "asset_id"), start, confidence, affected, step)
+    return _hypothesis(df, 0, "leak", "leak", F.coalesce("tap", "asset_id"), start, confidence, affected, step, F.col("residual") * 1000)
 
 
 def pressure_blockages(rows: DataFrame, span: DataFrame, bounds: DataFrame, heads: DataFrame, building: Building) -> DataFrame:
@@ -81,7 +84,7 @@ def pressure_blockages(rows: DataFrame, span: DataFrame, bounds: DataFrame, head
     c = F.when(drained, F.least(c, F.lit(0.4))).otherwise(c)
     root_col = F.coalesce("link", "common")
     step = F.format_string("%d sensors below %s lost up to %.1f m", F.size("lost"), "common", "worst")
-    return _hypothesis(df, 1, "blockage", "no_water", root_col, start, c, F.concat("lost", F.array(root_col)), step)
+    return _hypothesis(df, 1, "blockage", "no_water", root_col, start, c, F.concat("lost", F.array(root_col)), step, F.col("worst"))
 
 
 def flow_blockages(rows: DataFrame, heads: DataFrame, building: Building) -> DataFrame:
@@ -141,6 +144,21 @@ MESSAGES = {
     "street_supply": ("critical", "Street supply interrupted at %s", "Check the connection at %s and ask the utility."),
 }
 
+#: kind -> what a consequence of it looks like
+EFFECTS = {"leak": "extra flow", "no_water": "pressure loss", "no_flow": "stopped flow", "pump": "run off its schedule", "street_supply": "changed street supply"}
+
+
+def _summary() -> Column:
+    """A sentence or two for people: what happens where, since when."""
+    root, since = F.col("root_cause_asset"), clock(F.col("start_hour") * 3600)
+    burst = F.when(F.col("amount") >= BURST_LPS, "A burst or an open fixture is likely.").otherwise("A running cistern, a dripping tap or a small leak is likely.")
+    text = F.when(F.col("kind") == "leak", F.concat(F.format_string("Since %s about %.0f litres an hour more than expected flow at %s. ", since, F.col("amount") * 3600, root), burst))
+    text = text.when(F.col("kind") == "no_water", F.format_string("Since %s up to %.1f m of pressure are lost below %s.", since, F.col("amount"), root))
+    text = text.when(F.col("kind") == "no_flow", F.format_string("Since %s no water flows below %s.", since, root))
+    text = text.when(F.col("kind") == "pump", F.format_string("At %s pump %s did not deliver as it normally does.", since, root))
+    text = text.otherwise(F.format_string("Since %s less water comes in at %s and the sump falls.", since, root))
+    return F.when(F.col("confidence") < CREDIBLE, F.concat(text, F.lit(" The signs are too brief or too weak to confirm this."))).otherwise(text)
+
 
 def diagnose(found: DataFrame) -> DataFrame:
     """The most credible hypothesis of each incident: the earliest of those of at least 0.5 (else of all), the surest first, generators in order.
@@ -154,20 +172,25 @@ def diagnose(found: DataFrame) -> DataFrame:
     others = rows.where("_n > 1").join(best, "incident")
     rival = (F.col("credible") == F.col("b_credible")) & (F.col("start_hour") == F.col("b_start_hour")) & (F.col("root") != F.col("b_root"))
     why = F.when(F.col("start_hour") > F.col("b_start_hour"), "starts later, as a consequence would").otherwise("weaker evidence")
-    listed = F.array_sort(F.collect_list(F.struct("start_hour", (-F.col("confidence")).alias("_c"), "generator", F.col("root").alias("asset"), why.alias("why_less_likely"))))
-    listed = F.transform(F.slice(listed, 1, 4), lambda x: F.struct(x["asset"].alias("asset"), x["why_less_likely"].alias("why_less_likely")))
-    rest = others.groupBy("incident").agg(F.max(rival).alias("rivalled"), listed.alias("alternatives"))
+    listed = F.array_sort(F.collect_list(F.struct("start_hour", (-F.col("confidence")).alias("_c"), "generator", F.col("root").alias("asset"), why.alias("why_less_likely"), "kind", (F.col("start_hour") >= F.col("b_start_hour")).alias("_later"))))
+    listed = F.slice(listed, 1, 4)
+    effects = F.create_map(*(F.lit(x) for pair in EFFECTS.items() for x in pair))
+    after = F.transform(F.filter(listed, lambda x: x["_later"]), lambda x: F.concat(x["asset"], F.lit(": "), F.element_at(effects, x["kind"]), F.lit(" from "), clock(x["start_hour"] * 3600)))
+    listed = F.transform(listed, lambda x: F.struct(x["asset"].alias("asset"), x["why_less_likely"].alias("why_less_likely")))
+    rest = others.groupBy("incident").agg(F.max(rival).alias("rivalled"), listed.alias("alternatives"), after.alias("consequences"))
     confidence = F.when(F.coalesce("rivalled", F.lit(False)), F.greatest(F.col("b_confidence") - 0.1, F.lit(0.1))).otherwise(F.col("b_confidence"))
     out = best.join(rest, "incident", "left").select(
         "incident", F.col("b_root").alias("root_cause_asset"), F.col("b_fault_type").alias("fault_type"), F.col("b_kind").alias("kind"), F.col("b_start_hour").alias("start_hour"),
         F.bround(confidence, 2).alias("confidence"), F.col("b_affected").alias("affected_assets"), F.col("b_step").alias("reasoning"),
-        F.coalesce("alternatives", F.array().cast("array<struct<asset:string,why_less_likely:string>>")).alias("alternatives"))
+        F.coalesce("alternatives", F.array().cast("array<struct<asset:string,why_less_likely:string>>")).alias("alternatives"),
+        F.coalesce("consequences", F.array().cast("array<string>")).alias("consequences"), F.col("b_amount").alias("amount"))
     level, title, action = (F.lit(None).cast("string") for _ in range(3))
     for kind, (a, b, c) in MESSAGES.items():
         here = F.col("kind") == kind
         level, title, action = F.when(here, a).otherwise(level), F.when(here, F.format_string(b, "root_cause_asset")).otherwise(title), F.when(here, F.format_string(c, "root_cause_asset")).otherwise(action)
+    level = F.when((F.col("kind") == "leak") & (F.col("amount") >= BURST_LPS), "critical").otherwise(level)
     weak = F.col("confidence") < CREDIBLE
-    return out.withColumns({"severity": F.when(weak, "review").otherwise(level), "title": F.when(weak, F.concat(F.lit("Unconfirmed: "), title)).otherwise(title), "recommended_action": action})
+    return out.withColumns({"summary": _summary(), "severity": F.when(weak, "review").otherwise(level), "title": F.when(weak, F.concat(F.lit("Unconfirmed: "), title)).otherwise(title), "recommended_action": action})
 
 
 def flats_text(diagnoses: DataFrame, building: Building) -> DataFrame:
@@ -180,7 +203,7 @@ def flats_text(diagnoses: DataFrame, building: Building) -> DataFrame:
 def message_text(diagnoses: DataFrame) -> DataFrame:
     """(incident, message): a diagnosis as plain text for logs."""
     others = F.array_join(F.transform("alternatives", lambda a: F.concat_ws(": ", a["asset"], a["why_less_likely"])), "; ")
-    text = F.concat_ws("\n", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "title"), F.concat(F.lit("Why: "), "reasoning"),
+    text = F.concat_ws("\n", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "title"), *(c for c in ("summary",) if c in diagnoses.columns), F.concat(F.lit("Why: "), "reasoning"),
                        F.when(F.size("alternatives") > 0, F.concat(F.lit("Less likely: "), others)), F.concat(F.lit("Action: "), "recommended_action"),
                        F.format_string("Confidence: %d%%", F.bround(F.col("confidence") * 100).cast("int")))
     return diagnoses.select("incident", text.alias("message"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import phase
@@ -78,10 +78,48 @@ def step_scores(states: DataFrame, incidents: DataFrame) -> DataFrame:
     return rows.groupBy("scenario").agg(
         F.count_if(active & fired).alias("true_positive"), F.count_if(active & ~fired).alias("false_negative"),
         F.count_if((F.col("state") == "normal") & fired).alias("false_positive"), F.count_if((F.col("state") == "recovery") & fired).alias("recovery_fired"),
+        F.count_if(F.col("state") == "normal").alias("normal_steps"), F.count_if(F.col("state") == "recovery").alias("recovery_steps"),
         (first - F.min(F.when(active, F.col("timestamp_s")))).alias("latency_s"),
     )
 
 
+def overall(scored: DataFrame, control: DataFrame | None = None, ks: Sequence[int] = (1, 3, 5, 10), by: str | None = None) -> DataFrame:
+    """One row over all scenarios, or one for each ``by`` and 'all': rates over all steps, the median latency and the share of hits.
+
+    ``scored`` joins ``step_scores``, ``hits_at`` and ``detected`` by scenario, maybe with ``epicenter_hops``; ``control`` are the step scores of runs without a fault, whose
+    steps count as normal time. A rate without steps is null.
+    """
+    c = {"_fp": 0, "_normal": 0, "clean": None}
+    if control is not None:
+        r = control.agg(F.sum("false_positive").alias("_fp"), F.sum("normal_steps").alias("_normal"), F.max("fired").alias("fired")).first()
+        c = {"_fp": r[0] or 0, "_normal": r[1] or 0, "clean": None if r[2] is None else not r[2]}
+    tp, fp = F.sum("true_positive"), F.sum("false_positive") + c["_fp"]
+    rates = {
+        "scenarios": F.count(F.lit(1)), "detected": F.count_if("detected"), "fault_active_recall": F.try_divide(tp, tp + F.sum("false_negative")),
+        "precision": F.try_divide(tp, tp + fp), "false_alarm_rate_normal_time": F.try_divide(fp, F.sum("normal_steps") + c["_normal"]),
+        "median_latency_hours": F.median(F.col("latency_s") / 3600), "recovery_firing_rate": F.try_divide(F.sum("recovery_fired"), F.sum("recovery_steps")),
+        **{f"hit_at_{k}": F.avg(F.col(f"hit_at_{k}").cast("int")) for k in ks},
+    }
+    if "epicenter_hops" in scored.columns:
+        rates["median_epicenter_hops"] = F.median("epicenter_hops")
+    out = all_and_each(scored, by, **rates) if by else scored.agg(*(v.alias(k) for k, v in rates.items()))
+    return out if control is None else out.withColumn("baseline_control_clean", F.lit(c["clean"]))
+
+
+def report_text(summary: DataFrame) -> DataFrame:
+    """(report): the rows of ``overall`` in words, a line for each figure; unknown ones are ``n/a``."""
+    def share(c: str) -> Column:
+        return F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.1f%%", F.col(c) * 100))
+
+    lines = [F.format_string("Scenarios with an incident: %d of %d", "detected", "scenarios")]
+    lines += [F.concat(F.lit(f"{words}: "), share(c)) for c, words in (
+        ("fault_active_recall", "Steps of faults that fired"), ("precision", "Precision against normal time"), ("false_alarm_rate_normal_time", "False alarms in normal time"),
+        ("recovery_firing_rate", "Steps of recovery that fired"))]
+    lines.append(F.concat(F.lit("Median latency: "), F.when(F.col("median_latency_hours").isNull(), "n/a").otherwise(F.format_string("%.1f h", "median_latency_hours"))))
+    lines += [F.concat(F.lit(f"Target within the first {c.rpartition('_')[2]}: "), share(c)) for c in summary.columns if c.startswith("hit_at_")]
+    return summary.select(F.concat_ws("\n", *lines).alias("report"))
+
+
 def scored_incident(incidents: DataFrame, active: DataFrame) -> DataFrame:
     """The incident of each scenario that is scored: the first that overlaps the active time(scenario, begin_s, end_s), else the first with candidates."""
     rows = incidents.join(active, "scenario", "left")

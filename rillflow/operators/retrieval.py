@@ -36,10 +36,10 @@ class Retrieval:
 
 
 class Building:
-    """assets(asset_id, kind, role, label, room, flat, floor), feeds(child, parent) over nodes and links, sensors(sensor_id, asset_id, parameter)."""
+    """assets(asset_id, kind, role, label, room, flat, floor, and maybe diameter in m), feeds(child, parent) over nodes and links, sensors(sensor_id, asset_id, parameter)."""
 
-    def __init__(self, assets: DataFrame, feeds: DataFrame, sensors: DataFrame):
-        self.assets, self.feeds, self.sensors = assets, feeds, sensors
+    def __init__(self, assets: DataFrame, feeds: DataFrame, sensors: DataFrame, name: str = "building"):
+        self.assets, self.feeds, self.sensors, self.name = assets, feeds, sensors, name
 
     @cached_property
     def closure(self) -> DataFrame:
@@ -233,32 +233,93 @@ def context(rows: DataFrame, span: DataFrame, bounds: DataFrame, chains: DataFra
     return cut(rows.select("incident", "asset_id").union(ways).union(around).union(home).distinct())
 
 
-def packets(rows: DataFrame, near: DataFrame, series: DataFrame, heads: DataFrame, building: Building, config: Retrieval = Retrieval()) -> DataFrame:
-    """(incident, packet, allowed_ids, tokens): the nested evidence as JSON, the ids that a diagnosis may cite, and a size estimate."""
+def focus(rows: DataFrame, span: DataFrame, chains: DataFrame, building: Building) -> DataFrame:
+    """(incident, asset_id): where the topology points: the deepest assets with extra flow and what they feed, the suspect span, the ways up from low tanks."""
+    leaves = deepest(_groups(rows, "extra"), building).select(F.col("grp").alias("incident"), F.col("member").alias("asset_id"))
+    taps = leaves.join(building.feeds, F.col("asset_id") == F.col("parent")).select("incident", F.col("child").alias("asset_id"))
+    return leaves.union(taps).union(span.select("incident", "asset_id")).union(chains.select("incident", "asset_id")).distinct()
+
+
+def facts(rows: DataFrame, span: DataFrame, bounds: DataFrame, chains: DataFrame, building: Building) -> DataFrame:
+    """(incident, facts): what the topology says of each incident's alarms; a part without alarms is null.
+
+    Levels of tanks and the chains up from low ones, extra flow, pressure loss with its common point, span and bound, and the building-wide shift.
+    """
+    def names(condition: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(F.expr(condition), F.col("asset_id"))))
+
+    leaves = deepest(_groups(rows, "extra"), building).select(F.col("grp").alias("incident"), F.col("member").alias("asset_id"))
+    taps = building.feeds.join(F.broadcast(building.assets.where(F.col("kind").isin(*LINKS)).select(F.col("asset_id").alias("parent"))), "parent")
+    below = leaves.join(taps, F.col("asset_id") == F.col("parent"), "left").groupBy("incident").agg(
+        F.array_sort(F.collect_set("asset_id")).alias("leaves"), F.array_sort(F.collect_set("child")).alias("taps"))
+    spans = span.groupBy("incident").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "asset_id"))), lambda x: x["asset_id"]).alias("span"))
+    ways = chains.groupBy("incident", "tank").agg(F.transform(F.array_sort(F.collect_list(F.struct("distance", "asset_id"))), lambda x: x["asset_id"]).alias("way"))
+    ways = ways.groupBy("incident").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tank", "way")))).alias("ways"))
+    lines = building.line_pressure.agg(F.count(F.lit(1)).alias("lines"))
+    level = F.format_string("%.2f m %s expectation", F.abs("residual"), F.when(F.col("residual") > 0, "above").otherwise("below"))
+    about = rows.groupBy("incident").agg(
+        names("major").alias("lost"), names("loss AND NOT major").alias("minor"), F.count_if("common").alias("shifted"), F.first("shift").alias("shift"),
+        F.min(F.when(F.col("common"), F.col("residual"))).alias("least"), F.max(F.when(F.col("common"), F.col("residual"))).alias("most"),
+        F.array_sort(F.collect_set(F.when(F.col("tank"), F.struct("asset_id", level.alias("level"))))).alias("levels"))
+    out = about.crossJoin(F.broadcast(lines))  # one row
+    for part in (below, spans, ways, bounds):
+        out = out.join(part, "incident", "left")
+    return out.select("incident", F.struct(
+        F.when(F.size("levels") > 0, F.map_from_entries("levels")).alias("tank_level_change"), F.col("ways").alias("low_tank_supply_chain"),
+        F.when(F.col("leaves").isNotNull(), F.struct(F.col("leaves").alias("deepest_assets_with_extra_flow"), F.col("taps").alias("supplied_through_them"))).alias("extra_flow"),
+        F.when(F.size("lost") > 0, F.struct(
+            F.col("lost").alias("assets_with_pressure_loss"), F.col("common").alias("common_supply_point"), F.col("span").alias("suspect_span_upward"),
+            F.col("bound").alias("nearest_upstream_point_still_feeding_a_healthy_sensor"), F.col("minor").alias("minor_pressure_loss_not_used_for_localisation"))).alias("pressure_loss"),
+        F.when(F.col("shifted") > 0, F.struct(
+            F.col("shifted").alias("sensors_shifted"), F.col("lines").alias("of_line_pressure_sensors"), F.bround("shift", 2).alias("median_shift_m"),
+            F.array(F.bround("least", 2), F.bround("most", 2)).alias("range_m"))).alias("building_wide_pressure_shift")).alias("facts"))
+
+
+def packets(rows: DataFrame, near: DataFrame, series: DataFrame, heads: DataFrame, building: Building, config: Retrieval = Retrieval(),
+            topology: DataFrame | None = None) -> DataFrame:
+    """(incident, packet, allowed_ids, tokens): the nested evidence as JSON, the ids that a diagnosis may cite, and a size estimate.
+
+    ``topology`` are the rows of ``facts``. Heads may carry a ``label``, which then names the incident in the packet instead of its key.
+    """
     hourly = series.groupBy("incident", "asset_id").agg(F.array_sort(F.collect_list(F.struct("timestamp_s", "deviation", "observed", "expected"))).alias("h"))
     scale = F.when(F.col("parameter") == "flowrate", 1000.0).otherwise(1.0)
     digits = lambda c: F.when(F.col("parameter") == "flowrate", F.bround(c * 1000.0, 4)).otherwise(F.bround(c, 1))
-    points = F.transform("h", lambda x: F.struct(clock(x["timestamp_s"]).alias("at"), (x["deviation"] * scale).alias("deviation")))
+    fine = lambda c: F.bround(c * scale, 4)
+    points = F.transform("h", lambda x: F.struct(clock(x["timestamp_s"]).alias("at"), (x["deviation"] * scale).alias("deviation"), fine(x["observed"]).alias("observed"), fine(x["expected"]).alias("expected")))
+    top = F.get(F.filter("h", lambda x: x["timestamp_s"] == F.col("peak_at_s")), F.lit(0))
+    unit = F.when(F.col("parameter") == "flowrate", "L/s").otherwise("m")
+    size = F.when(F.col("parameter") == "flowrate", F.format_string("%.3f", F.abs("residual") * 1000)).otherwise(F.format_string("%.2f", F.abs("residual")))
+    reading = F.concat_ws(" ", F.lit("peak"), size, unit, F.when(F.col("residual") > 0, "above").otherwise("below"), F.lit("expectation at"), clock(F.col("peak_at_s")))
+    meter = building.sensors.groupBy("asset_id").agg(F.concat(F.lit("sensor:"), F.min("sensor_id")).alias("sensor"))
     status = F.when(F.col("common"), "alarm (building-wide shift)").when(F.col("early"), "alarm (before the incident)").otherwise("alarm")
-    seen = rows.join(hourly, ["incident", "asset_id"], "left").select(
-        "incident", F.col("asset_id").alias("asset"), "parameter", status.alias("status"), digits(F.col("residual")).alias("peak_deviation"),
-        F.when(F.col("parameter") == "flowrate", "L/s").otherwise("m").alias("unit"), clock(F.col("first_seen_s")).alias("first_seen"), points.alias("hourly"), F.lit(0).alias("_o"))
+    seen = rows.join(hourly, ["incident", "asset_id"], "left").join(meter, "asset_id", "left").select(
+        "incident", "sensor", F.col("asset_id").alias("asset"), "parameter", status.alias("status"), reading.alias("reading"), F.bround("score", 1).alias("score"),
+        digits(F.col("residual")).alias("peak_deviation"), unit.alias("unit"), clock(F.col("first_seen_s")).alias("first_seen"), clock(F.col("peak_at_s")).alias("peak_at"),
+        fine(top["observed"]).alias("observed_at_peak"), fine(top["expected"]).alias("expected_at_peak"), points.alias("hourly"), F.lit(0).alias("_o"))
     quiet = near.join(rows.select("incident", "asset_id"), ["incident", "asset_id"], "left_anti").join(building.sensors, "asset_id").join(building.depth, "asset_id")
     n = F.row_number().over(Window.partitionBy("incident").orderBy("depth", "asset_id", "sensor_id"))
     quiet = quiet.withColumn("_o", n).where(F.col("_o") <= config.max_normal_sensors)
-    seen = seen.unionByName(quiet.select("incident", F.col("asset_id").alias("asset"), "parameter", F.lit("normal").alias("status"), "_o"), allowMissingColumns=True)
+    seen = seen.unionByName(quiet.select("incident", F.concat(F.lit("sensor:"), "sensor_id").alias("sensor"), F.col("asset_id").alias("asset"), "parameter", F.lit("normal").alias("status"), "_o"),
+                            allowMissingColumns=True)
     observations = seen.groupBy("incident").agg(F.array_sort(F.collect_list(F.struct("_o", *(c for c in seen.columns if c not in ("incident", "_o"))))).alias("observations"))
-    assets = near.join(building.assets, "asset_id").join(building.depth, "asset_id").groupBy("incident").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("depth", "asset_id", "kind", "role", "label", "flat", "room"))), lambda a: a.dropFields("depth")).alias("assets"),
+    known = building.assets.join(building.metered.withColumn("metered", F.lit(True)), "asset_id", "left").withColumn("metered", F.coalesce("metered", F.lit(False)))
+    record = ["depth", "asset_id", "kind", "role", "label", "flat", "room", *(c for c in ("floor",) if c in known.columns), "metered"]
+    if "diameter" in known.columns:
+        known = known.withColumn("diameter_mm", F.when(F.col("kind").isin(*LINKS), F.bround(F.col("diameter") * 1000).cast("long")))
+        record.append("diameter_mm")
+    assets = near.join(known, "asset_id").join(building.depth, "asset_id").groupBy("incident").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(*record))), lambda a: a.dropFields("depth")).alias("assets"),
         F.array_sort(F.collect_set("asset_id")).alias("_ids"))
     arcs = near.select("incident", F.col("asset_id").alias("parent")).join(building.feeds, "parent").join(near.select("incident", F.col("asset_id").alias("child")), ["incident", "child"])
     relations = arcs.groupBy("incident").agg(F.array_sort(F.collect_list(F.array("parent", F.lit("FEEDS"), "child"))).alias("relations"))
     sensors = near.join(building.sensors, "asset_id").groupBy("incident").agg(F.collect_set(F.concat(F.lit("sensor:"), "sensor_id")).alias("_sensors"))
     out = heads.join(observations, "incident").join(assets, "incident").join(relations, "incident", "left").join(sensors, "incident", "left").join(first_alarm_sequence(rows), "incident", "left")
     ids = F.array_sort(F.array_union("_ids", F.coalesce("_sensors", F.array().cast("array<string>"))))
+    told = [] if topology is None else [F.col("facts").alias("topology_facts")]
+    out = out if topology is None else out.join(topology, "incident", "left")
     body = F.to_json(F.struct(
-        F.struct(F.col("incident").alias("id"), clock(F.col("detected_at_s")).alias("first_alarm"), clock(F.col("last_seen_s")).alias("last_alarm"), "sequence").alias("incident"),
-        F.transform("observations", lambda o: o.dropFields("_o")).alias("observations"), "assets", "relations", ids.alias("allowed_ids")))
+        F.lit(building.name).alias("building"), F.struct(F.col("label" if "label" in heads.columns else "incident").alias("id"), clock(F.col("detected_at_s")).alias("first_alarm"), clock(F.col("last_seen_s")).alias("last_alarm"), "sequence").alias("incident"),
+        F.transform("observations", lambda o: o.dropFields("_o")).alias("observations"), "assets", "relations", *told, ids.alias("allowed_ids")))
     return out.select("incident", body.alias("packet"), ids.alias("allowed_ids")).withColumn("tokens", F.floor(F.length("packet") / 4))
 
 

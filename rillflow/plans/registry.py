@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.columns import gaussian, noise_scale, phase, severity_rank, wilson
 from rillflow.functions.lineage import cut
-from rillflow.operators import contracts, detect, diagnosis, evaluate, graph, retrieval, scenarios, tabular
+from rillflow.operators import contracts, day, detect, diagnosis, evaluate, graph, retrieval, scenarios, tabular
 from rillflow.plans import fixtures as fx
 from rillflow.schemas import KEY
 from rillflow.streaming.sessions import session_events
@@ -374,11 +374,27 @@ def hit_at_k(spark, d):
 f AS (SELECT st.*, EXISTS (SELECT 1 FROM incidents i WHERE i.scenario = st.scenario AND st.timestamp_s BETWEEN i.detected_at_s AND i.last_seen_s) AS fired FROM st)
 SELECT scenario, count(*) FILTER (state = 'fault_active' AND fired) AS true_positive, count(*) FILTER (state = 'fault_active' AND NOT fired) AS false_negative,
   count(*) FILTER (state = 'normal' AND fired) AS false_positive, count(*) FILTER (state = 'recovery' AND fired) AS recovery_fired,
-  min(timestamp_s) FILTER (state = 'fault_active' AND fired) - min(timestamp_s) FILTER (state = 'fault_active') AS latency_s FROM f GROUP BY scenario""")
+  min(timestamp_s) FILTER (state = 'fault_active' AND fired) - min(timestamp_s) FILTER (state = 'fault_active') AS latency_s,
+  count(*) FILTER (state = 'normal') AS normal_steps, count(*) FILTER (state = 'recovery') AS recovery_steps FROM f GROUP BY scenario""")
 def step_scoring(spark, d):
     return evaluate.step_scores(fx.observed(spark, d), detect.incidents(_members(spark, d)))
 
 
+@query("WITH s AS (" + ORACLES["step_scoring"] + "), h AS (" + ORACLES["hit_at_k"] + "), i AS (" + ORACLES["incidents"] + """)
+SELECT count(*) AS scenarios, count(*) FILTER (scenario IN (SELECT scenario FROM i)) AS detected, round(sum(true_positive) / nullif(sum(true_positive + false_negative), 0), 6) AS fault_active_recall,
+  round(sum(true_positive) / nullif(sum(true_positive + false_positive), 0), 6) AS precision, round(sum(false_positive) / nullif(sum(normal_steps), 0), 6) AS false_alarm_rate_normal_time,
+  round(median(latency_s / 3600), 6) AS median_latency_hours, round(sum(recovery_fired) / nullif(sum(recovery_steps), 0), 6) AS recovery_firing_rate, round(avg(hit_at_1::INT), 6) AS hit_at_1,
+  round(avg(hit_at_3::INT), 6) AS hit_at_3, round(avg(hit_at_5::INT), 6) AS hit_at_5, round(avg(hit_at_10::INT), 6) AS hit_at_10 FROM s JOIN h USING (scenario)""")
+def evaluation_overall(spark, d):
+    found = cut(detect.incidents(_members(spark, d)))
+    active = spark.createDataFrame([(f"S{i}", fx.FAULT_START_S, fx.FAULT_END_S) for i in range(3)], "scenario string, begin_s long, end_s long")
+    first = evaluate.scored_incident(found, active).select("scenario", F.explode("candidates").alias("c")).select("scenario", "c.position", "c.asset_id")
+    hits = evaluate.hits_at(first, _manifest(spark).select("scenario", F.col("target_id").alias("asset_id")))
+    fired = found.select("scenario", F.lit(True).alias("_f")).distinct()
+    rows = evaluate.step_scores(fx.observed(spark, d), found).join(hits, "scenario").join(fired, "scenario", "left")
+    return rounded(evaluate.overall(rows.withColumn("detected", F.coalesce("_f", F.lit(False)))))
+
+
 @query("WITH " + INCIDENTS + """, e AS (SELECT i.scenario || '-' || i.incident_no AS incident, f.* FROM incidents i JOIN flagged f ON f.scenario = i.scenario
     AND f.timestamp_s >= i.detected_at_s - 43200 AND f.timestamp_s < i.detected_at_s
   WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.scenario = i.scenario AND c.incident_no = i.incident_no AND c.asset_id = f.asset_id)),
@@ -596,8 +612,8 @@ def peak_severity_by_scenario(spark, d):
     return _detected(spark, d).groupBy("scenario").agg(top.cast("long").alias("peak_rank"), F.count_if("is_anomaly").alias("anomalies"))
 
 
-def _case(spark: SparkSession, d: str):
-    """The supply tree down to nations as a building, and the incidents' candidates placed on nations."""
+def _tree_building(spark: SparkSession, d: str) -> retrieval.Building:
+    """The supply tree down to nations as a building with a pressure sensor for each nation."""
     tree = fx.supply_tree(spark, d).where("child LIKE 'R%' OR child LIKE 'N%'")
     first = F.substring("child", 1, 1)
     none = F.lit(None).cast("string")
@@ -606,7 +622,17 @@ def _case(spark: SparkSession, d: str):
         F.col("child").alias("label"), none.alias("room"), F.col("parent").alias("flat"), F.lit(0).alias("floor"))
     root = spark.createDataFrame([("WORLD", "reservoir", "source", "WORLD", None, None, 0)], own.schema)
     sensors = tree.where("child LIKE 'N%'").select(F.concat(F.lit("p"), "child").alias("sensor_id"), F.col("child").alias("asset_id"), F.lit("pressure").alias("parameter"))
-    building = retrieval.Building(own.union(root), tree, sensors)
+    return retrieval.Building(own.union(root), tree, sensors)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Pressure rows with their asset's nation instead of it."""
+    return df.where("parameter = 'pressure'").withColumn("asset_id", F.concat(F.lit("N"), F.substring("asset_id", 2, 2).cast("int").cast("string")))
+
+
+def _case(spark: SparkSession, d: str):
+    """The supply tree down to nations as a building, and the incidents' candidates placed on nations."""
+    building = _tree_building(spark, d)
     place = F.concat(F.lit("N"), F.substring("asset_id", 2, 2).cast("int").cast("string"))
     key = F.concat_ws("-", "scenario", "incident_no")
     found = _members(spark, d)
@@ -632,3 +658,15 @@ def diagnoses(spark, d):
     building, heads, rows, series, span, bounds = _case(spark, d)
     out = diagnosis.diagnose(diagnosis.hypotheses(rows, series, span, bounds, heads, building))
     return out.withColumn("alternatives", F.to_json("alternatives"))
+
+
+@query()
+def day_diagnoses(spark, d):
+    """Every incident of the placed pressure readings, with packet and diagnosis."""
+    return day.run(_placed(_observed(spark, d)), _placed(fx.expected(spark, d)), _tree_building(spark, d), 1.5, by=BY)
+
+
+@query()
+def live_diagnoses(spark, d):
+    """The same as known every five days."""
+    return day.run_live(_placed(_observed(spark, d)), _placed(fx.expected(spark, d)), _tree_building(spark, d), 432_000, 1.5, by=BY)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import state_at
+from rillflow.functions.lineage import cut
 from rillflow.operators import detect, evaluate
 
 SEP = "\x1f"
@@ -24,6 +25,27 @@ def batch_report(observed: DataFrame, baseline: DataFrame, detector: str = "resi
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("event_count", "incident_count")}), found
 
 
+def evaluation(observed: DataFrame, baseline: DataFrame, manifest: DataFrame, detector: str = "residual", threshold: float = 4.0, min_assets: int = 2,
+               ks: Sequence[int] = (1, 3, 5, 10)) -> tuple[DataFrame, DataFrame]:
+    """(a row for each scenario of the manifest that was observed, the step scores of the ``normal`` control) for ``evaluate.overall``.
+
+    Localisation is scored on the incident that overlaps the fault, else the first. Without an incident all ranks are null.
+    """
+    _, found = detect.detect(observed, baseline, detector, threshold, min_assets)
+    found = cut(found)
+    steps = cut(evaluate.step_scores(observed, found))
+    hour = [(F.col(c) * 3600).cast("long").alias(n) for c, n in (("start_hour", "begin_s"), ("end_hour", "end_s"))]
+    first = cut(evaluate.scored_incident(found, manifest.select("scenario", *hour)))
+    ranked = first.select("scenario", F.explode("candidates").alias("c")).select("scenario", "c.position", "c.asset_id")
+    hits = evaluate.hits_at(ranked, manifest.select("scenario", F.col("target_id").alias("asset_id")), ks)
+    number = found.groupBy("scenario").agg(F.count(F.lit(1)).alias("incident_count"))
+    about = first.select("scenario", "epicenter", F.size("candidates").alias("candidate_count"))
+    rows = steps.join(manifest.select("scenario", "fault_type", "target_id", "severity"), "scenario").join(hits, "scenario").join(number, "scenario", "left").join(about, "scenario", "left")
+    rows = rows.withColumn("incident_count", F.coalesce("incident_count", F.lit(0)))
+    control = steps.where("scenario = 'normal'").join(number, "scenario", "left").withColumn("fired", F.col("incident_count").isNotNull())
+    return cut(rows.withColumn("detected", F.col("incident_count") > 0)), control
+
+
 def replicated(readings: DataFrame, layouts: Mapping[str, DataFrame], seeds: Sequence[int]) -> DataFrame:
     """Readings once for each layout that covers them and each seed; the scenario's name carries both, so all runs are one job."""
     tables = [s.select("asset_id", "parameter").distinct().withColumn("layout", F.lit(name)) for name, s in layouts.items()]
