@@ -606,7 +606,8 @@ def incidents_json(spark, d):
     return rows.select("scenario", "incident_no", F.to_json(F.struct("detected_at_s", "last_seen_s", "event_count", "parameters", "epicenter", "candidates")).alias("incident"))
 
 
-@query()
+@query("WITH " + DETECTED + """ SELECT scenario, CAST(max(CASE severity WHEN 'normal' THEN 0 WHEN 'anomaly' THEN 1 WHEN 'warning' THEN 2 WHEN 'critical' THEN 3 END) AS BIGINT) AS peak_rank,
+  count(*) FILTER (is_anomaly) AS anomalies FROM detected GROUP BY scenario""")
 def peak_severity_by_scenario(spark, d):
     top = F.max(severity_rank(F.col("severity")))
     return _detected(spark, d).groupBy("scenario").agg(top.cast("long").alias("peak_rank"), F.count_if("is_anomaly").alias("anomalies"))
