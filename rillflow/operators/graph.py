@@ -140,6 +140,11 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             return labels.select(F.col("node").alias("asset_id"), F.col("label").alias("component"))
 
 
+def topology_size(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes and links. Two counts, without the walk that components need."""
+    return vertices.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("links")))
+
+
 def topology_summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, links, components, and whether the graph is connected."""
     n = components(edges, vertices).agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("component").alias("components"))

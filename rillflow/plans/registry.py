@@ -512,7 +512,7 @@ def severity_mode(spark, d):
 def topology_counts(spark, d):
     links = fx.multigraph(spark, d)
     nodes = links.select(F.explode(F.array("start", "end")).alias("asset_id")).distinct()
-    return graph.topology_summary(nodes, links).select("nodes", "links")
+    return graph.topology_size(nodes, links)
 
 
 @query("WITH RECURSIVE " + TREE + """, up AS (SELECT child AS node, parent AS top FROM tree UNION ALL SELECT u.node, t.parent FROM up u JOIN tree t ON t.child = u.top)
