@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, oracles, packing, pitman_yor, quality, simhash, toxicity
+from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, ngram_join, oracles, packing, panes, pitman_yor, quality, simhash, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_query,
@@ -19,6 +19,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_query,
     "op9_lm_scoring": pitman_yor.op9_query,
     "op10_kd_tree_sharding": kdshard.op10_query,
+    "op11_window_panes": panes.op11_query,
+    "op12_ngram_jaccard_join": ngram_join.op12_query,
 }
 _ORACLES: dict[str, str] = {
     "op2_license_scan": oracles.licenses(),
