@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, ngram_join, oracles, packing, panes, pitman_yor, quality, simhash, toxicity
+from rillflow.llm import decontaminate, extract, kdshard, langid, licenses, ngram_join, oracles, packing, panes, pitman_yor, prefix_trie, quality, simhash, toxicity
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash.op1_query,
@@ -21,11 +21,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kd_tree_sharding": kdshard.op10_query,
     "op11_window_panes": panes.op11_query,
     "op12_ngram_jaccard_join": ngram_join.op12_query,
+    "op13_prefix_trie": prefix_trie.op13_query,
 }
 _ORACLES: dict[str, str] = {
     "op2_license_scan": oracles.licenses(),
     "op3_benchmark_decontamination": oracles.decontamination(),
     "op7_quality_rules": oracles.quality(),
+    "op11_window_panes": oracles.panes(),
+    "op12_ngram_jaccard_join": oracles.jaccard_join(),
+    "op13_prefix_trie": oracles.trie(),
 }
 
 
