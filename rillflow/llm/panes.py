@@ -221,6 +221,8 @@ def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside for each
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # each start makes its stores anew, so none need stay open
 }
 
 
