@@ -4,7 +4,7 @@ Two texts link if ``100 * intersection >= percent * union`` of their sets of wor
 
 1. *Met tokens.* Each task sends the n-grams' hashes, many to a row, to the part of their hash; a part counts for each text how many of its n-grams
    other texts hold too. Of two linked sets, each has at least ``percent`` of its n-grams from the other, so a text with fewer such n-grams links with nothing and goes no further.
-   (A part compares 40 bits of each hash; a chance collision can only keep a text that goes later.)
+   (A part compares 32 bits of each hash; a chance collision can only keep a text that goes later.)
 2. *Prefixes.* The kept texts' n-grams are ordered by how many texts hold them, the rarest first, and fall into classes by that count: class 1 (rare), 2 and 3.
    Class k is indexed by combinations of k n-grams of one bin, a bin being a hash of the n-gram. A prefix is extended until it has gained more than the text may lack: an n-gram of class 1
    gains one, one of class k from the k-th of its bin on. Two linked texts then share a combination: the text whose prefix ends first lacks fewer of the other's n-grams than it gained.
@@ -74,11 +74,11 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sent(texts: DataFrame, words: int, parts: int) -> DataFrame:
-    """(part, keys, counts, low): of a batch of (key, text), the texts with n-grams in the part, how many, and five bytes of each's hash."""
+    """(part, keys, counts, low): of a batch of (key, text), the texts with n-grams in the part, how many, and four bytes of each's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512):
             keys, each = [], []
             for key, raw in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 if len(x := grams(raw or b"", words, known)):
@@ -97,8 +97,7 @@ def sent(texts: DataFrame, words: int, parts: int) -> DataFrame:
                 if at[p] < at[p + 1]:
                     own = order[at[p] : at[p + 1]]
                     have, counts = np.unique(owner[own], return_counts=True)
-                    low = all_[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    out.append((p, names[have].tobytes(), counts.astype("<u4").tobytes(), np.ascontiguousarray(low).tobytes()))
+                    out.append((p, names[have].tobytes(), counts.astype("<u4").tobytes(), all_[own].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], names=["part", "keys", "counts", "low"])
 
     return map_arrow(texts, run, "part int, keys binary, counts binary, low binary")
@@ -114,15 +113,13 @@ def met(dealt: DataFrame, parts: int) -> DataFrame:
                 keys.append(k)
                 counts.append(c)
                 low.append(x)
-                part.append((p, len(x) // 5))
+                part.append((p, len(x) // 4))
         if not keys:
             return
         name, text = np.unique(np.frombuffer(b"".join(keys), dtype=">u8").reshape(-1, 2), axis=0, return_inverse=True)
         owner = np.repeat(text.reshape(-1), np.frombuffer(b"".join(counts), dtype="<u4"))
-        wide = np.zeros((len(owner), 8), dtype=np.uint8)
-        wide[:, :5] = np.frombuffer(b"".join(low), dtype=np.uint8).reshape(-1, 5)
-        token = wide.view("<u8").reshape(-1) | np.repeat(np.array([p for p, _ in part], dtype=np.uint64) << np.uint64(40), [n for _, n in part])
-        del keys, counts, low, wide
+        token = np.frombuffer(b"".join(low), dtype="<u4").astype(np.uint64) | np.repeat(np.array([p for p, _ in part], dtype=np.uint64) << np.uint64(32), [n for _, n in part])
+        del keys, counts, low
         order = np.argsort(token)
         token, owner = token[order], owner[order]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
