@@ -61,9 +61,9 @@ def evidence(steps: DataFrame, flagged: DataFrame, building: Building, config: R
     return Evidence(heads, rows, span, bounds, chains, series, packets)
 
 
-def diagnosed(found: Evidence, building: Building) -> DataFrame:
-    """One row for each incident: scenario, number, hours of its first and last alarm, packet, diagnosis (JSON; null if no rule applies) and whether it is grounded."""
-    chosen = diagnosis.diagnose(diagnosis.hypotheses(found.rows, found.series, found.span, found.bounds, found.heads, building))
+def diagnosed(found: Evidence, building: Building | None = None) -> DataFrame:
+    """One row for each incident, from its packet alone (no building is needed): scenario, number, hours of its first and last alarm, packet, diagnosis (JSON; null if no rule applies) and whether it is grounded."""
+    chosen = diagnosis.diagnose(diagnosis.from_packets(found.packets))
     checked = diagnosis.grounding(chosen, found.packets)
     text = F.to_json(F.struct(*(c for c in chosen.columns if c != "incident")))
     checked = checked.select("incident", text.alias("diagnosis"), "grounded")
@@ -82,7 +82,7 @@ def run(observed: DataFrame, baseline: DataFrame, building: Building, threshold:
         by: tuple[str, ...] = ("timestamp_s", "asset_id", "parameter")) -> DataFrame:
     """Every incident of noisy observations, diagnosed with all their readings; no incident gives no row."""
     steps, flagged = _marked(observed, baseline, by, threshold)
-    return diagnosed(evidence(steps, flagged, building, config, min_assets), building)
+    return diagnosed(evidence(steps, flagged, building, config, min_assets))
 
 
 def run_live(observed: DataFrame, baseline: DataFrame, building: Building, every_s: int = 3600, threshold: float = 4.0, min_assets: int = 2, config: Retrieval = Retrieval(),
@@ -97,7 +97,7 @@ def run_live(observed: DataFrame, baseline: DataFrame, building: Building, every
     name = F.concat_ws(SEP, "scenario", F.col("as_of_s").cast("string"))
     at = known.select("scenario", "timestamp_s", "as_of_s").distinct()
     again = flagged.join(at, ["scenario", "timestamp_s"]).withColumn("scenario", name).drop("as_of_s")
-    out = diagnosed(evidence(known.withColumn("scenario", name), again, building, config, min_assets), building)
+    out = diagnosed(evidence(known.withColumn("scenario", name), again, building, config, min_assets))
     part = F.split("scenario", SEP)
     return out.withColumns({"as_of_s": part[1].cast("long"), "scenario": part[0], "incident": F.concat_ws("-", part[0], "incident_no")})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +54,14 @@ def leaks(rows: DataFrame, building: Building) -> DataFrame:
     """One for each deepest asset with extra flow that is no pump: 0.6, more if the flow shows further up and if a tap is below."""
     leaf = deepest(_groups(rows, "extra"), building).select(F.col("grp").alias("incident"), F.col("member").alias("asset_id"))
     leaf = rows.join(leaf, ["incident", "asset_id"], "left_semi").where("kind <> 'pump' AND residual > 0")
-    up = building.closure.where("distance > 0").select(F.col("descendant").alias("asset_id"), F.col("ancestor").alias("above"))
+    by = list(building.by)
+    up = building.closure.where("distance > 0").select(*by, F.col("descendant").alias("asset_id"), F.col("ancestor").alias("above"))
     above = rows.where("parameter = 'flowrate' AND kind <> 'pump'").select("incident", F.col("asset_id").alias("above"), F.col("residual").alias("more"))
-    seen = leaf.join(up, "asset_id").join(above, ["incident", "above"]).where(F.col("more") >= CORROBORATE * F.col("residual"))
+    seen = leaf.join(up, [*by, "asset_id"]).join(above, ["incident", "above"]).where(F.col("more") >= CORROBORATE * F.col("residual"))
     seen = seen.groupBy("incident", "asset_id").agg(F.array_sort(F.collect_set("above")).alias("corroborating"))
-    taps = building.feeds.join(building.assets.where("role = 'fixture'"), F.col("child") == F.col("asset_id"), "left_semi")
-    taps = taps.groupBy(F.col("parent").alias("asset_id")).agg(F.min("child").alias("tap"))
-    df = leaf.join(seen, ["incident", "asset_id"], "left").join(F.broadcast(taps), "asset_id", "left")
+    taps = building.feeds.join(building.assets.where("role = 'fixture'").select(*by, F.col("asset_id").alias("child")), [*by, "child"], "left_semi")
+    taps = taps.groupBy(*by, F.col("parent").alias("asset_id")).agg(F.min("child").alias("tap"))
+    df = leaf.join(seen, ["incident", "asset_id"], "left").join(taps, [*by, "asset_id"], "left")
     start = F.coalesce(F.nullif(F.col("first_up"), F.lit(0)), F.col("first_any"))  # hour 0 falls back to the first hour of any sign
     confidence = F.lit(0.6) + F.when(F.col("corroborating").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col("tap").isNotNull(), 0.05).otherwise(0.0)
     affected = F.concat(F.array("tap", "asset_id"), F.coalesce("corroborating", F.array().cast("array<string>")))
@@ -68,14 +71,15 @@ def leaks(rows: DataFrame, building: Building) -> DataFrame:
 
 def pressure_blockages(rows: DataFrame, span: DataFrame, bounds: DataFrame, heads: DataFrame, building: Building) -> DataFrame:
     """The first link of the suspect span: 0.55, more with a healthy bound and with dry sensors; weak for a small loss, and for a tank that ran low."""
-    links = span.join(F.broadcast(building.assets.where(F.col("kind").isin(*LINKS)).select("asset_id")), "asset_id", "left_semi")
+    by = list(building.by)
+    links = span.join(building.assets.where(F.col("kind").isin(*LINKS)).select(*by, "asset_id"), [*by, "asset_id"], "left_semi")
     root = links.groupBy("incident").agg(F.min_by("asset_id", "position").alias("link"))
     loss = rows.where("major").groupBy("incident").agg(
         F.array_sort(F.collect_set("asset_id")).alias("lost"), F.max(F.abs("residual")).alias("worst"), F.min("first_down").alias("first"),
         F.max(F.coalesce(F.col("low.observed") <= DRY_M, F.lit(False))).alias("dry"))
     outlet = rows.where("role = 'tank_outlet'").groupBy("incident").agg(F.min_by("first_down", "asset_id").alias("outlet_down"))
-    role = building.assets.select(F.col("asset_id").alias("common"), F.col("role").alias("common_role"))
-    df = loss.join(bounds, "incident").join(root, "incident", "left").join(outlet, "incident", "left").join(F.broadcast(role), "common").join(heads.select("incident", "detected_at_s"), "incident")
+    role = building.assets.select(*by, F.col("asset_id").alias("common"), F.col("role").alias("common_role"))
+    df = loss.join(bounds, "incident").join(root, "incident", "left").join(outlet, "incident", "left").join(role, [*by, "common"], "left").join(heads.select("incident", "detected_at_s"), "incident")
     start = F.coalesce("first", F.floor(F.col("detected_at_s") / 3600).cast("int"))
     c = F.lit(0.55) + F.when(F.col("bound").isNotNull(), 0.2).otherwise(0.0) + F.when(F.col("dry"), 0.15).otherwise(0.0)
     c = F.when((F.col("worst") < MAJOR_LOSS_M) & ~F.col("dry"), 0.3).otherwise(c)
@@ -91,9 +95,10 @@ def flow_blockages(rows: DataFrame, heads: DataFrame, building: Building) -> Dat
     """Room branches whose flow stopped: the link that they share, 0.6 for several and 0.5 for one."""
     low = F.col("low")
     stopped = rows.where("parameter = 'flowrate' AND role = 'room_branch'").where((low["expected"] > 0) & (low["observed"] <= STOPPED * low["expected"]))
+    by = list(building.by)
     point = common_point(_groups(stopped, "true"), building).select(F.col("grp").alias("incident"), "common")
-    kinds = building.assets.select(F.col("asset_id").alias("common"), F.col("kind").isin(*LINKS).alias("_link"))
-    point = point.join(F.broadcast(kinds), "common").join(F.broadcast(building.feeds), F.col("common") == F.col("child"), "left")
+    kinds = building.assets.select(*by, F.col("asset_id").alias("common"), F.col("kind").isin(*LINKS).alias("_link"))
+    point = point.join(kinds, [*by, "common"]).join(building.feeds.select(*by, F.col("child").alias("common"), "parent"), [*by, "common"], "left")
     root = F.when(F.col("_link"), F.col("common")).otherwise(F.coalesce("parent", "common"))
     all_of = stopped.groupBy("incident").agg(F.array_sort(F.collect_set("asset_id")).alias("all"), F.min("first_down").alias("first"))
     df = all_of.join(point.select("incident", root.alias("root")), "incident").join(heads.select("incident", "detected_at_s"), "incident")
@@ -125,7 +130,60 @@ def street_supplies(rows: DataFrame) -> DataFrame:
     return _hypothesis(df, 4, "other", "street_supply", F.col("inlet"), F.col("first"), F.lit(0.7), F.array("inlet", "sump"), F.concat_ws(" and ", "inlet", "sump"))
 
 
-def hypotheses(rows: DataFrame, series: DataFrame, span: DataFrame, bounds: DataFrame, heads: DataFrame, building: Building) -> DataFrame:
+#: What the rules read of a packet.
+PACKET = (
+    "incident struct<first_alarm:string,last_alarm:string>, observations array<struct<asset:string,parameter:string,status:string,score:double,peak_deviation:double,unit:string,first_seen:string,"
+    "hourly:array<struct<at:string,deviation:double,observed:double,expected:double>>>>, assets array<struct<asset_id:string,kind:string,role:string,label:string,flat:string,room:string>>, "
+    "relations array<array<string>>, topology_facts struct<tank_level_change:map<string,string>,extra_flow:struct<deepest_assets_with_extra_flow:array<string>>,pressure_loss:struct<"
+    "assets_with_pressure_loss:array<string>,common_supply_point:string,suspect_span_upward:array<string>,nearest_upstream_point_still_feeding_a_healthy_sensor:string>>")
+
+
+class PacketView:
+    """What packets(incident, packet) say by themselves, as relations keyed by incident: assets, feeds and the closure of each incident's own network.
+
+    A packet holds a part of a building, and the part may fall apart: ways up, sets below and common points end where the packet ends. Values are those of the
+    packet: rounded, flows in L/s (here in m3/s again), alarms without a deviation are left out.
+    """
+
+    by = ("incident",)
+
+    def __init__(self, packets: DataFrame):
+        p = cut(packets.select("incident", F.from_json("packet", PACKET).alias("p")).select("incident", *(F.col(f"p.{c}").alias("head" if c == "incident" else c) for c in ("incident", "observations", "assets", "relations", "topology_facts"))))
+        second = lambda c: F.split(c, ":")[0].cast("long") * 3600
+        self.heads = p.select("incident", second(F.col("head.first_alarm")).alias("detected_at_s"), second(F.col("head.last_alarm")).alias("last_seen_s"))
+        self.assets = p.select("incident", F.inline("assets"))
+        arcs = p.select("incident", F.explode("relations").alias("r")).where(F.col("r")[1] == "FEEDS")
+        self.feeds = arcs.select("incident", F.col("r")[2].alias("child"), F.col("r")[0].alias("parent"))
+        facts = F.col("topology_facts")
+        loss, none = facts["pressure_loss"], F.array().cast("array<string>")
+        self.span = p.select("incident", F.posexplode(loss["suspect_span_upward"]).alias("position", "asset_id"))
+        self.bounds = p.where(loss["common_supply_point"].isNotNull()).select("incident", loss["common_supply_point"].alias("common"), loss["nearest_upstream_point_still_feeding_a_healthy_sensor"].alias("bound"))
+        alarm = F.filter("observations", lambda o: F.startswith(o["status"], F.lit("alarm")) & o["peak_deviation"].isNotNull())
+        seen = p.select("incident", F.explode(alarm).alias("o"), *(F.coalesce(c, none).alias(n) for c, n in (
+            (F.map_keys(facts["tank_level_change"]), "_tanks"), (facts["extra_flow"]["deepest_assets_with_extra_flow"], "_leaves"), (loss["assets_with_pressure_loss"], "_lost"))))
+        asset, scale = F.col("o.asset"), F.when(F.col("o.unit") == "L/s", 1000.0).otherwise(1.0)
+        rows = seen.select(
+            "incident", asset.alias("asset_id"), F.col("o.parameter").alias("parameter"), F.col("o.score").alias("score"), (F.col("o.peak_deviation") / scale).alias("residual"), second(F.col("o.first_seen")).alias("first_seen_s"),
+            (F.col("o.status") == "alarm (building-wide shift)").alias("common"), (F.col("o.status") == "alarm (before the incident)").alias("early"),
+            F.array_contains("_tanks", asset).alias("tank"), F.array_contains("_leaves", asset).alias("extra"), F.array_contains("_lost", asset).alias("major"))
+        self.rows = cut(rows.join(self.assets.select("incident", "asset_id", "kind", "role", "flat"), ["incident", "asset_id"], "left"))
+        hours = seen.select("incident", asset.alias("asset_id"), scale.alias("scale"), F.inline("o.hourly"))
+        self.series = hours.select("incident", "asset_id", second(F.col("at")).alias("timestamp_s"), *((F.col(c) / F.col("scale")).alias(c) for c in ("deviation", "observed", "expected")))
+
+    @cached_property
+    def closure(self) -> DataFrame:
+        """(incident, ancestor, descendant, distance) inside each packet, each asset with itself at 0."""
+        tops = self.assets.select("incident", "asset_id").join(self.feeds.select("incident", F.col("child").alias("asset_id")), ["incident", "asset_id"], "left_anti")
+        return graph.supply_closure(self.feeds, by=self.by).union(tops.select("incident", "asset_id", "asset_id", F.lit(0)))
+
+
+def from_packets(packets: DataFrame) -> DataFrame:
+    """All hypotheses that packets(incident, packet) give by themselves."""
+    view = PacketView(packets)
+    return hypotheses(view.rows, view.series, view.span, view.bounds, view.heads, view)
+
+
+def hypotheses(rows: DataFrame, series: DataFrame, span: DataFrame, bounds: DataFrame, heads: DataFrame, building: Building | PacketView) -> DataFrame:
     """All hypotheses of all incidents; rows are classified alarms."""
     marked = cut(signs(rows, series))
     parts = [leaks(marked, building), pressure_blockages(marked, span, bounds, heads, building), flow_blockages(marked, heads, building), pump_failures(marked, heads), street_supplies(marked)]

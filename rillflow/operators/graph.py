@@ -170,24 +170,23 @@ def snapshot(vertices: DataFrame, edges: DataFrame, readings: DataFrame) -> tupl
 # ---- supply trees: edges(child, parent)
 
 
-def supply_closure(tree: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(ancestor, descendant, distance) of every node below the root with itself at 0, its parent at 1, up to the root.
+def supply_closure(tree: DataFrame, max_depth: int = 1000, by: Sequence[str] = ()) -> DataFrame:
+    """(ancestor, descendant, distance) of every node below the root with itself at 0, its parent at 1, up to the root; for each tree of columns ``by`` apart.
 
-    A cycle or a tree deeper than max_depth is an error.
+    Ways double in length with each round, so a tree of depth d takes log2(d) rounds. A cycle or a tree deeper than max_depth is an error.
     """
-    up = tree.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
-    all_rows = tree.select(F.col("child").alias("ancestor"), F.col("child").alias("descendant"), F.lit(0).alias("distance"))
-    frontier = tree.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance"))
-    depth = 1
-    while True:
-        frontier = cut(frontier)
-        if frontier.isEmpty():
-            return all_rows
-        if depth > max_depth:
+    by = list(by)
+    rows = tree.select(*by, F.col("child").alias("ancestor"), F.col("child").alias("descendant"), F.lit(0).alias("distance"))
+    jump, step = cut(tree.select(*by, F.col("child").alias("ancestor"), F.col("parent").alias("top"))), 1
+    while True:  # rows: all ways of fewer than ``step`` steps; jump: those of just so many
+        further = rows.join(jump, [*by, "ancestor"]).select(*by, F.col("top").alias("ancestor"), "descendant", (F.col("distance") + step).alias("distance"))
+        rows = cut(rows.union(further))
+        jump = cut(jump.join(jump.select(*by, F.col("ancestor").alias("top"), F.col("top").alias("_t")), [*by, "top"]).select(*by, "ancestor", F.col("_t").alias("top")))
+        if jump.isEmpty():
+            return rows
+        step *= 2
+        if step > max_depth:
             raise ContractError("loop", f"the supply graph is no tree of depth {max_depth} or less")
-        all_rows = all_rows.union(frontier)
-        frontier = frontier.join(up, frontier.ancestor == up._c).select(F.col("_p").alias("ancestor"), "descendant", (F.col("distance") + 1).alias("distance"))
-        depth += 1
 
 
 def paths_up(tree: DataFrame, nodes: DataFrame, max_depth: int = 1000) -> DataFrame:

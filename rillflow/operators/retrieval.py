@@ -36,7 +36,11 @@ class Retrieval:
 
 
 class Building:
-    """assets(asset_id, kind, role, label, room, flat, floor, and maybe diameter in m), feeds(child, parent) over nodes and links, sensors(sensor_id, asset_id, parameter)."""
+    """One supply network for all incidents (a ``PacketView`` has one for each, keyed by the columns ``by``).
+
+    assets(asset_id, kind, role, label, room, flat, floor, and maybe diameter in m), feeds(child, parent) over nodes and links, sensors(sensor_id, asset_id, parameter)."""
+
+    by: tuple[str, ...] = ()
 
     def __init__(self, assets: DataFrame, feeds: DataFrame, sensors: DataFrame, name: str = "building"):
         self.assets, self.feeds, self.sensors, self.name = assets, feeds, sensors, name
@@ -124,18 +128,25 @@ def _groups(rows: DataFrame, condition: str) -> DataFrame:
     return rows.where(condition).select(F.col("incident").alias("grp"), F.col("asset_id").alias("member"))
 
 
+def _up(building: Building) -> tuple[DataFrame, list[str]]:
+    """(member, ancestor, distance), with ``grp`` where each group has its own network, and the keys to join members on."""
+    own = ["grp"] if building.by else []
+    return building.closure.select(*(F.col(c).alias("grp") for c in building.by), F.col("descendant").alias("member"), "ancestor", "distance"), [*own, "member"]
+
+
 def common_point(groups: DataFrame, building: Building) -> DataFrame:
-    """(grp, common): the deepest asset on all members' ways up, from the closure."""
+    """(grp, common): the deepest asset on all members' ways up, from the closure; no row where the members share none."""
     members = groups.distinct()
+    up, keys = _up(building)
     size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    shared = members.join(building.closure, members.member == F.col("descendant")).groupBy("grp", "ancestor").agg(
-        F.count(F.lit(1)).alias("met"), F.sum("distance").alias("total"))
+    shared = members.join(up, keys).groupBy("grp", "ancestor").agg(F.count(F.lit(1)).alias("met"), F.sum("distance").alias("total"))
     return shared.join(size, "grp").where("met = n").groupBy("grp").agg(F.min_by("ancestor", "total").alias("common"))
 
 
 def deepest(groups: DataFrame, building: Building) -> DataFrame:
     members = groups.distinct()
-    below = members.join(building.closure.where("distance > 0"), members.member == F.col("descendant")).select("grp", F.col("ancestor").alias("member"))
+    up, keys = _up(building)
+    below = members.join(up.where("distance > 0"), keys).select("grp", F.col("ancestor").alias("member"))
     return members.join(below.distinct(), ["grp", "member"], "left_anti")
 
 

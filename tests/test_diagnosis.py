@@ -108,3 +108,77 @@ def test_scores_and_ungrounded_ids(spark, building):
     s = diagnosis.scores(d, truth, building).first()
     assert (s.exact, s.room, s.near, s.type) == (False, False, True, False)
     assert spark.range(1).select(r.truth_tokens(F.lit('{"a": "LEAK_101"}'), ["leak_", "zz"])).first()[0]
+
+
+def packet_of(spark, building, readings):
+    """The packet with topology facts, and the hypotheses from the whole building, of flagged (hour, asset, parameter, observed, expected)."""
+    from rillflow.operators import day
+
+    sigma = {"pressure": 0.25, "flowrate": 2e-6}
+    ev = [("s", h * 3600, a, p, o, e, o - e, abs(o - e) / sigma[p]) for h, a, p, o, e in readings]
+    flagged = spark.createDataFrame(ev, "scenario string, timestamp_s long, asset_id string, parameter string, observed double, expected double, residual double, score double")
+    flagged = flagged.withColumn("asset_type", F.lit("node"))
+    steps = spark.createDataFrame([("s", h * 3600, p) for h in range(24) for p in sigma], "scenario string, timestamp_s long, parameter string")
+    found = day.evidence(steps, flagged, building, min_assets=1)
+    return found, diagnosis.hypotheses(found.rows, found.series, found.span, found.bounds, found.heads, building)
+
+
+CASES = [
+    [(h, "BA", "flowrate", 3e-4, 1e-4) for h in (8, 9)] + [(h, "OUT", "flowrate", 9e-4, 7.2e-4) for h in (8, 9)],
+    [(h, "IA", "pressure", 0.2, 20.0) for h in (6, 7)],
+    [(h, a, "pressure", 0.5, 20.0 + 4 * (a == "IB")) for a in ("IA", "IB") for h in (6, 7)],
+    [(6, "PUMP", "flowrate", 0.0, 1e-3)] + [(h, "ROOF", "pressure", 0.5, 2.5) for h in (6, 7, 8, 9)],
+    [(5, "INLET", "flowrate", 0.0, 1e-3), (5, "SUMP", "pressure", 0.5, 2.0)],
+    [(9, a, "flowrate", 0.0, 1e-4) for a in ("BA", "BB")],
+]
+
+
+@pytest.mark.parametrize("readings", CASES, ids=("leak", "dry flat", "all flats", "pump", "street", "stopped"))
+def test_packets_alone_give_what_the_whole_building_gives(spark, building, readings):
+    found, whole = packet_of(spark, building, readings)
+    keep = ["incident", "generator", "fault_type", "kind", "root", "start_hour", "confidence", "affected"]
+    alone = diagnosis.from_packets(found.packets)
+    assert alone.count() > 0
+    assert sorted(alone.select(*keep).collect()) == sorted(whole.select(*keep).collect())
+
+
+def hand_made(relations, observations, assets=None):
+    import json
+
+    known = assets or sorted({x for a, _, b in relations for x in (a, b)})
+    kind = {a: (k, x, flat) for a, k, x, flat, _ in ASSETS}
+    return json.dumps({
+        "incident": {"id": "INC-1", "first_alarm": "09:00", "last_alarm": "10:00"}, "relations": relations,
+        "assets": [{"asset_id": a, "kind": kind[a][0], "role": kind[a][1], "label": a, "flat": kind[a][2]} for a in known],
+        "observations": [{"asset": a, "parameter": "flowrate", "status": "alarm", "score": 9.0, "peak_deviation": -0.1, "unit": "L/s", "first_seen": "09:00",
+                          "hourly": [{"at": "09:00", "deviation": -0.1, "observed": 0.0, "expected": 0.1}]} for a in observations]})
+
+
+def test_a_packet_that_falls_apart_ends_ways_at_its_border(spark):
+    whole = [["T1", "FEEDS", "VA"], ["VA", "FEEDS", "IA"], ["IA", "FEEDS", "BA"], ["T1", "FEEDS", "VB"], ["VB", "FEEDS", "IB"], ["IB", "FEEDS", "BB"], ["RISE", "FEEDS", "T1"]]
+    parted = [r for r in whole if r != ["VB", "FEEDS", "IB"]]
+    packets = spark.createDataFrame([("whole", hand_made(whole, ["BA", "BB"])), ("parted", hand_made(parted, ["BA", "BB"])), ("one", hand_made(parted, ["BB"])), ("lone", hand_made([], ["BB"], ["BB"]))], "incident string, packet string")
+    view = diagnosis.PacketView(packets)
+    up = {(x.incident, x.descendant): set() for x in view.closure.collect()}
+    for x in view.closure.collect():
+        up[x.incident, x.descendant].add((x.ancestor, x.distance))
+    assert up["whole", "BB"] == {("BB", 0), ("IB", 1), ("VB", 2), ("T1", 3), ("RISE", 4)}
+    assert up["parted", "BB"] == {("BB", 0), ("IB", 1)} and up["parted", "BA"] == {("BA", 0), ("IA", 1), ("VA", 2), ("T1", 3), ("RISE", 4)}
+    assert up["lone", "BB"] == {("BB", 0)}
+    found = {x.incident: x for x in diagnosis.from_packets(packets).where("kind = 'no_flow'").collect()}
+    assert found["whole"].root == "RISE" and found["whole"].confidence == 0.6
+    assert "parted" not in found  # two branches without a common supply point inside the packet
+    assert found["one"].root == "BB" and found["lone"].root == "BB" and found["lone"].start_hour == 9
+    assert diagnosis.from_packets(packets.limit(0)).count() == 0
+
+
+def test_closure_by_doubling(spark):
+    from rillflow.operators import graph
+    from rillflow.operators.contracts import ContractError
+
+    chain = spark.createDataFrame([("x", f"n{i + 1}", f"n{i}") for i in range(37)] + [("y", "n5", "n4"), ("y", "n4", "n2")], "k string, child string, parent string")
+    got = {tuple(r) for r in graph.supply_closure(chain, by=["k"]).select("k", "ancestor", "descendant", "distance").collect()}
+    want = {("x", f"n{a}", f"n{d}", d - a) for d in range(1, 38) for a in range(d + 1)} | {("y", "n5", "n5", 0), ("y", "n4", "n4", 0), ("y", "n4", "n5", 1), ("y", "n2", "n4", 1), ("y", "n2", "n5", 2)}
+    assert got == want
+    with pytest.raises(ContractError):
+        graph.supply_closure(spark.createDataFrame([("a", "b"), ("b", "a")], "child string, parent string"), 20)
