@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import phase
+from rillflow.operators.selection import quantiles
 
 
 def label_events(events: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -144,5 +145,4 @@ def all_and_each(rows: DataFrame, by: str, **aggregates) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
     """The value at rank round(q * (n - 1)), halves to even, of each group."""
-    at = F.bround(F.lit(q) * (F.size("v") - 1)).cast("int")
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v")).select(*by, F.get("v", at).alias("value"))
+    return quantiles(rows, by, value, (q,), "nearest").select(*by, F.col("q")[0].alias("value"))

@@ -1,7 +1,7 @@
 """Network graphs as vertices(asset_id, ...) and edges(asset_id, start, end, ...): topology, snapshots, bounded and unbounded walks.
 
-Walks are frontier loops: one equi-join for each hop, visited nodes removed by an anti join, the frontier cut so that no hop is computed
-twice. They start from a stated set of nodes; nothing is collected but whether the frontier is empty.
+Walks are frontier loops: one equi-join for each hop, visited nodes masked out, the frontier cut so that no hop is computed
+twice. All starting nodes walk at once, as bitmaps; nothing is collected but whether the frontier is empty.
 """
 
 from __future__ import annotations
@@ -89,19 +89,41 @@ def directed(snapshot_edges: DataFrame) -> DataFrame:
     return known.select(F.col("flow_from").alias("src"), F.col("flow_to").alias("dst"))
 
 
+#: Seeds that a row of a search holds: as many longs of 64 bits.
+WORDS = 8
+
+
 def reach(arcs: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(seed, node, hops): the fewest hops along arcs(src, dst) from each seed(node), itself at 0; unbounded if max_hops is None."""
-    arcs = arcs.select("src", "dst").distinct()
-    seen = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0)))
-    frontier, hops = seen, 0
+    """(seed, node, hops): the fewest hops along arcs(src, dst) from each seed(node), itself at 0; unbounded if max_hops is None.
+
+    All seeds are searched for at once: each node has, for every block of 512 seeds that reach it, one row of bitmaps. A hop joins
+    the rows that are new with the arcs and combines them by ``bit_or``, in the tasks first; pairs are made from the bits of each hop at the end.
+    """
+    arcs = cut(arcs.select("src", "dst").distinct())
+    words = [f"w{i}" for i in range(WORDS)]
+    # ids are dense within a partition, so blocks are nearly full
+    numbered = cut(seeds.select(F.col("node").alias("seed")).distinct().where("seed IS NOT NULL").withColumn("_id", F.monotonically_increasing_id()))
+    numbered = numbered.select("seed", F.shiftright("_id", 9).alias("block"), F.expr("CAST(_id & 511 AS INT)").alias("bit"))
+    mine = [F.when(F.floor(F.col("bit") / 64) == i, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(words)]
+    new = cut(numbered.select(F.col("seed").alias("node"), "block", *mine))
+    seen, found, hops = new, [(0, new)], 0
     while max_hops is None or hops < max_hops:
         hops += 1
-        step = frontier.join(arcs, frontier.node == arcs.src).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
+        step = new.withColumnRenamed("node", "src").join(arcs, "src").groupBy(F.col("dst").alias("node"), "block").agg(*(F.bit_or(w).alias(w) for w in words))
+        old = seen.select("node", "block", *(F.col(w).alias(f"_{w}") for w in words))
+        fresh = [F.when(F.col(f"_{w}").isNull(), F.col(w)).otherwise(F.expr(f"{w} & ~_{w}")).alias(w) for w in words]
+        new = cut(step.join(old, ["node", "block"], "left").select("node", "block", *fresh).where(" OR ".join(f"{w} <> 0" for w in words)))
+        if new.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen
+        found.append((hops, new))
+        seen = cut(seen.union(new).groupBy("node", "block").agg(*(F.bit_or(w).alias(w) for w in words)))
+    rows = None
+    for h, df in found:
+        df = df.withColumn("hops", F.lit(h))
+        rows = df if rows is None else rows.union(df)
+    bits = F.concat(*(F.expr(f"transform(filter(sequence(0, 63), b -> (shiftright({w}, b) & 1L) = 1L), b -> b + {64 * i})") for i, w in enumerate(words)))
+    pairs = rows.select("node", "block", "hops", F.explode(bits).alias("bit"))
+    return pairs.join(numbered, ["block", "bit"]).select("seed", "node", "hops")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import by_parameter, joined, severity, severity_rank
+from rillflow.functions.lineage import cut
 from rillflow.operators.contracts import ContractError
+from rillflow.operators.selection import quantiles
 from rillflow.schemas import EVENT_COLUMNS, KEY, SEVERITIES
 
 
@@ -128,15 +130,17 @@ def profile(expected: DataFrame, observed: DataFrame, manifest: DataFrame, top:
 
 
 def residual_profile(rows: DataFrame) -> DataFrame:
-    """Exact quantiles and the share of changed readings by scenario, state and parameter."""
-    a = F.col("abs_residual")
-    q = F.percentile(a, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rows.groupBy("scenario", "state", "parameter").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if(a > 0).alias("changed_count"), F.avg(a).alias("mean_abs"), q.alias("_q"), F.max(a).alias("max_abs")
-    )
-    return out.select(
-        "scenario", "state", "parameter", "row_count", "changed_count", "mean_abs", F.col("_q")[0].alias("median_abs"), F.col("_q")[1].alias("p95_abs"),
-        F.col("_q")[2].alias("p99_abs"), "max_abs", (F.col("changed_count") / F.col("row_count")).alias("changed_fraction"),
+    """Exact quantiles and the share of changed readings by scenario, state and parameter; a group of any size is counted in all tasks."""
+    by, a = ["scenario", "state", "parameter"], F.col("abs_residual")
+    rows = cut(rows.select(*by, "abs_residual"))
+    about = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), F.count_if(a > 0).alias("changed_count"), F.avg(a).alias("mean_abs"), F.max(a).alias("max_abs"))
+    q = quantiles(rows, by, "abs_residual", (0.5, 0.95, 0.99))
+    same = F.lit(True)
+    for c in by:
+        same = same & about[c].eqNullSafe(q[c])
+    return about.join(q, same, "left").select(
+        *(about[c] for c in by), "row_count", "changed_count", "mean_abs", F.col("q")[0].alias("median_abs"), F.col("q")[1].alias("p95_abs"),
+        F.col("q")[2].alias("p99_abs"), "max_abs", (F.col("changed_count") / F.col("row_count")).alias("changed_fraction"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rillflow.functions.columns import gaussian, noise_scale, phase, severity_rank, wilson
 from rillflow.functions.lineage import cut
 from rillflow.operators import contracts, day, detect, diagnosis, evaluate, graph, retrieval, scenarios, tabular
+from rillflow.operators.selection import quantiles
 from rillflow.plans import fixtures as fx
 from rillflow.schemas import KEY
 from rillflow.streaming.sessions import session_events
@@ -505,6 +506,36 @@ def severity_mode(spark, d):
     return _detected(spark, d).groupBy("scenario").agg(F.mode("severity", True).alias("most_frequent"))
 
 
+@query("""WITH v AS (SELECT l_returnflag, l_linestatus, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, CAST(len(v) AS BIGINT) AS n, round(quantile_cont_list[1], 6) AS p01, round(quantile_cont_list[2], 6) AS p50, round(quantile_cont_list[3], 6) AS p999 FROM (
+  SELECT *, list_transform([0.01, 0.5, 0.999], lambda p: v[CAST(floor(p * (len(v) - 1)) AS BIGINT) + 1] * (1 - (p * (len(v) - 1) - floor(p * (len(v) - 1)))) + v[CAST(ceil(p * (len(v) - 1)) AS BIGINT) + 1] * (p * (len(v) - 1) - floor(p * (len(v) - 1)))) AS quantile_cont_list FROM v)""")
+def price_quantiles(spark, d):
+    """Quantiles of all order lines' prices in a few large groups, by narrowing ranges."""
+    by = ["l_returnflag", "l_linestatus"]
+    q = quantiles(fx.table(spark, d, "lineitem"), by, "l_extendedprice", (0.01, 0.5, 0.999), whole=1000)
+    return rounded(q.select(*by, "n", *(F.col("q")[i].alias(c) for i, c in enumerate(("p01", "p50", "p999")))))
+
+
+@query("WITH RECURSIVE " + TREE + """, own AS (SELECT CAST(c_nationkey % 5 AS VARCHAR) AS incident, 'C' || c_custkey AS asset FROM customer WHERE c_acctbal > 0
+  UNION SELECT CAST(c_nationkey % 5 AS VARCHAR), 'N' || c_nationkey FROM customer UNION SELECT CAST(c_nationkey % 5 AS VARCHAR), 'R' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey < 3
+  UNION SELECT CAST(c_nationkey % 5 AS VARCHAR), 'O' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey),
+arcs AS (SELECT a.incident, child, parent FROM tree JOIN own a ON a.asset = child JOIN own b ON b.asset = parent AND b.incident = a.incident),
+closure AS (SELECT incident, child AS ancestor, child AS descendant, 0 AS distance FROM arcs UNION ALL SELECT c.incident, a.parent, c.descendant, c.distance + 1 FROM closure c JOIN arcs a ON a.child = c.ancestor AND a.incident = c.incident)
+SELECT incident, ancestor, count(*) AS below, CAST(max(distance) AS BIGINT) AS farthest FROM closure GROUP BY ALL""")
+def parted_closure(spark, d):
+    """Closures inside parts of the supply tree that fall apart, each part by itself: what each asset feeds there, and how far below."""
+    rows = fx.table(spark, d, "customer").join(fx.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = fx.table(spark, d, "orders").join(rows, F.col("o_custkey") == F.col("c_custkey"))
+    incident = (F.col("c_nationkey") % 5).cast("string").alias("incident")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string")).alias("asset")
+    own = rows.where("c_acctbal > 0").select(incident, text("C", "c_custkey")).union(rows.select(incident, text("N", "c_nationkey"))).union(
+        rows.where("n_regionkey < 3").select(incident, text("R", "n_regionkey"))).union(orders.select(incident, text("O", "o_orderkey"))).distinct()
+    tree = fx.supply_tree(spark, d)
+    arcs = tree.join(own.withColumnRenamed("asset", "child"), "child").join(own.withColumnRenamed("asset", "parent"), ["incident", "parent"])
+    closure = graph.supply_closure(arcs.select("incident", "child", "parent"), by=["incident"])
+    return rounded(closure.groupBy("incident", "ancestor").agg(F.count(F.lit(1)).alias("below"), F.max("distance").alias("farthest")))
+
+
 # ---- graphs
 
 
@@ -569,13 +600,21 @@ def downstream_set(spark, d):
     return rounded(graph.downstream_set(fx.supply_tree(spark, d), nodes))
 
 
-@query(CLOSURE + """, members AS (SELECT DISTINCT 'g' || (o_orderkey % 400) AS grp, 'O' || o_orderkey AS member FROM orders),
+@query(CLOSURE + """, grouped AS (SELECT o_orderkey, c_custkey, c_nationkey, n_regionkey, CASE o_custkey % 4 WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'r' || n_regionkey || o_orderpriority ELSE 's' || c_mktsegment END AS grp
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+members AS (SELECT DISTINCT grp, 'O' || o_orderkey AS member FROM grouped UNION SELECT grp, 'C' || c_custkey FROM grouped WHERE o_orderkey % 3 = 0),
 sizes AS (SELECT grp, count(*) AS n FROM members GROUP BY grp),
 shared AS (SELECT m.grp, c.ancestor, sum(c.distance) AS total FROM members m JOIN closure c ON c.descendant = m.member JOIN sizes s ON s.grp = m.grp GROUP BY m.grp, c.ancestor, s.n HAVING count(*) = s.n)
 SELECT grp, arg_min(ancestor, total) AS common FROM shared GROUP BY grp""")
 def common_supply_point(spark, d):
-    rows = fx.table(spark, d, "orders")
-    groups = rows.select(F.concat(F.lit("g"), (F.col("o_orderkey") % 400).cast("string")).alias("grp"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("member"))
+    """Groups of orders and customers of one customer, one nation, one region or one market segment, so that points of every depth are common."""
+    customers = fx.table(spark, d, "customer").join(fx.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = fx.table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    by = F.col("o_custkey") % 4
+    text = lambda prefix, *cols: F.concat(F.lit(prefix), *(F.col(c).cast("string") for c in cols))
+    grp = F.when(by == 0, text("c", "o_custkey")).when(by == 1, text("n", "c_nationkey")).when(by == 2, text("r", "n_regionkey", "o_orderpriority")).otherwise(text("s", "c_mktsegment"))
+    rows = rows.select("o_orderkey", "c_custkey", grp.alias("grp"))
+    groups = rows.select("grp", text("O", "o_orderkey").alias("member")).union(rows.where("o_orderkey % 3 = 0").select("grp", text("C", "c_custkey")))
     return graph.common_supply_point(fx.supply_tree(spark, d), groups)
 
 
