@@ -1,65 +1,31 @@
-"""Near copies by an exact set-similarity join: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies of different texts: one row of each class of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Method: texts with the same set are one node. Shingles are ordered by how many nodes hold them, the rarest first; two sets of similarity s share
-a shingle among the first ``n - ceil(s n) + 1`` of each, so only these are posted. Shingles of one node take their places in that order and are
-posted nowhere. Pairs that meet are filtered by size and verified on the whole sets. Shingles are known by 64-bit hashes.
+The classes are those of the exact join in ``ngram_join``, which takes a group of n near copies n tests and stores sets of texts that have a partner at all.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.llm.common import carried, components, cut, field, map_arrow, row_type, slices, space_words, store
-
-
-def shingles(raw: bytes, words: int = 5) -> np.ndarray:
-    """Sorted hashes of the different shingles; a shorter text is one, a text without words none."""
-    w = space_words(raw.lower())
-    if not w:
-        return np.empty(0, dtype=np.int64)
-    grams = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64)).view(np.int64)
-
-
-def links(sets: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b): the pairs of sets(node, n, all) with at least this similarity."""
-    posted = sets.select("node", "n", F.explode("all").alias("x"))
-    shared = posted.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = posted.join(shared, "x")
-    rare_first = Window.partitionBy("node").orderBy("df", "x")
-    held = F.count(F.lit(1)).over(Window.partitionBy("node"))
-    least = F.expr(f"(n * {percent} + 99) div 100")
-    prefix = met.withColumn("place", F.col("n") - held + F.row_number().over(rare_first)).where(F.col("place") <= F.col("n") - least + 1)
-    prefix = cut(prefix.select("x", "node", "n"))
-    a, b = (prefix.select("x", F.col("node").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    pairs = a.join(b, "x").where(f"a < b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb").distinct()
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("all").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("all").alias("_b")), "b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return pairs.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class of near copies, with the columns of docs: that of the least doc_id (a null id comes last). Texts without words are one class."""
-    from pyspark import TaskContext
-
-    def run(batches):
-        uid = TaskContext.get().partitionId() << 36
-        for batch in slices(batches):
-            every = [shingles(x or b"") for x in field(batch, text_col).cast(pa.binary()).to_pylist()]
-            mark = [xxhash.xxh64_intdigest(x.tobytes()) for x in every]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("id"), pa.array(np.arange(uid, uid + len(every))), pa.array(np.array(mark, dtype=np.uint64).view(np.int64)),
-                 pa.array([len(x) for x in every], pa.int64()), pa.array([x.tolist() for x in every], pa.list_(pa.int64()))],
-                names=["_row", "id", "uid", "node", "n", "all"])
-            uid += len(every)
-
-    rows = store(map_arrow(carried(docs, F.col(id_col).cast("long").alias("id")), run, f"{row_type(docs)}, id long, uid long, node long, n long, all array<long>"))
-    first = cut(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid")).alias("first")))
-    sets = store(rows.join(first.select(F.col("first.uid").alias("uid")), "uid", "left_semi").select("node", "n", "all"))
-    roots = components(links(sets), "a", "b")
-    kept = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
-    return rows.join(kept, "uid", "left_semi").select("_row.*")
+from rillflow.llm import ngram_join
+from rillflow.llm.common import body, carried
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
+    """One row of each class of near copies, with the columns of docs: that of the least doc_id (a null id comes last; of repeated rows any one).
+
+    Texts without words (null, empty or white space) are one class. Texts of any length are compared whole; an empty table gives an empty table; columns of any name may stand beside.
+    """
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows, linked = ngram_join.classes(named, percent, words)
+    of = rows.join(linked, "key", "left")
+    of = of.withColumn("class", F.when(F.col("n") == 0, "none").otherwise(F.coalesce(F.concat(F.lit("r"), F.col("root").cast("string")), F.hex("key"))))
+    first = of.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")).select("first.id", "first.key")
+    many = rows.groupBy("id", "key").agg((F.count(F.lit(1)) > 1).alias("many"))
+    same = (F.col("a.key") == F.col("b.key")) & F.col("a.id").eqNullSafe(F.col("b.id"))
+    kept = first.alias("a").join(many.alias("b"), same).select("a.id", "a.key", "many")
+    keyed = carried(docs, F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(body(f"`{text_col}`"))).alias("key"))
+    out = keyed.alias("a").join(kept.alias("b"), same).select("_row", "a.key", "a.id", "many")
+    once = out.where("NOT many").select("_row")
+    return once.union(out.where("many").groupBy("key", "id").agg(F.first("_row").alias("_row")).select("_row")).select("_row.*")

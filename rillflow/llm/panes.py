@@ -196,14 +196,21 @@ class Panes(StatefulProcessor):
         pass
 
 
+def _folder(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _make(spark: SparkSession, name: str) -> None:
+    fs, path = _folder(spark, name)
+    fs.mkdirs(path)
+
+
 def _move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a folder, if it is there, in whatever file system it lies."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(source)):
-        fs.mkdirs(path(target).getParent())
-        if not fs.rename(path(source), path(target)):
-            raise OSError(f"could not move {source} to {target}")
+    (fs, here), (_, there) = _folder(spark, source), _folder(spark, target)
+    if fs.exists(here) and not fs.rename(here, there):
+        raise OSError(f"could not move {source} to {target}")
 
 
 @contextlib.contextmanager
@@ -241,6 +248,8 @@ def revisions(rows: DataFrame, batches: int = 10, shards: int = 16) -> DataFrame
     ticks = written.select("kind").distinct().select("kind", key.alias("shard"))
     ticks = ticks.select("kind", "shard", F.lit(None).cast("long").alias("hour"), F.lit(None).cast("long").alias("click_id"), F.lit(0).cast("long").alias("cents"), F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
     ticks.coalesce(1).write.partitionBy("batch").parquet(f"{folder}/ticks")
+    for name in ("fed", "changes"):
+        _make(spark, f"{folder}/{name}")
     ship(spark)
     mark = -(1 << 60)
     with _settings(spark, **_STATE):
