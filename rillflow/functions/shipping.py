@@ -23,4 +23,7 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
         sc.addPyFile(archive)
+        # workers that Spark starts beside the driver (for the schemas of stateful operators) get no files, but this environment
+        paths = [sc.environment.get("PYTHONPATH", ""), str(package.parent)]
+        sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     sc._rillflow_shipped = True

@@ -45,7 +45,11 @@ def evidence(steps: DataFrame, flagged: DataFrame, building: Building, config: R
 
     Alarms are the incident's candidates and flags shortly before it. In its packet an incident is ``INC-n``, so that no scenario's name leaks.
     """
-    found = detect.members(steps, flagged, min_assets)
+    return evidence_of(detect.members(steps, flagged, min_assets), flagged, building, config)
+
+
+def evidence_of(found: DataFrame, flagged: DataFrame, building: Building, config: Retrieval = Retrieval()) -> Evidence:
+    """The same of found members (flagged readings with ``incident_no``), and all flagged readings that may bear on them."""
     key = F.concat_ws("-", "scenario", "incident_no")
     heads = found.groupBy("scenario", "incident_no").agg(F.min("timestamp_s").alias("detected_at_s"), F.max("timestamp_s").alias("last_seen_s"))
     heads = cut(heads.select(key.alias("incident"), "scenario", "incident_no", F.format_string("INC-%d", "incident_no").alias("label"), "detected_at_s", "last_seen_s"))
