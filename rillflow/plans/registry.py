@@ -653,56 +653,57 @@ def peak_severity_by_scenario(spark, d):
 
 
 def _tree_building(spark: SparkSession, d: str) -> retrieval.Building:
-    """The supply tree down to nations as a building with a pressure sensor for each nation."""
+    """The supply tree down to nations as a building: a pressure sensor for each nation, and below each nation a branch with a flow sensor and a tap."""
     tree = fx.supply_tree(spark, d).where("child LIKE 'R%' OR child LIKE 'N%'")
+    number = F.col("n_nationkey").cast("string")
+    branches = fx.table(spark, d, "nation").select(F.explode(F.array(*(F.struct(F.concat(F.lit(c), number).alias("child"), F.concat(F.lit(p), number).alias("parent")) for c, p in (("B", "N"), ("T", "B"))))).alias("x")).select("x.*")
+    tree = tree.select("child", "parent").union(branches)
     first = F.substring("child", 1, 1)
     none = F.lit(None).cast("string")
+
+    def by_first(**values):
+        out = F.lit(None).cast("string")
+        for k, v in values.items():
+            out = F.when(first == k, v).otherwise(out)
+        return out
+
     own = tree.select(
-        F.col("child").alias("asset_id"), F.when(first == "R", "pipe").otherwise("junction").alias("kind"), F.when(first == "R", "downtake").otherwise("flat_inlet").alias("role"),
-        F.col("child").alias("label"), none.alias("room"), F.col("parent").alias("flat"), F.lit(0).alias("floor"))
+        F.col("child").alias("asset_id"), by_first(R="pipe", N="junction", B="pipe", T="junction").alias("kind"), by_first(R="downtake", N="flat_inlet", B="room_branch", T="fixture").alias("role"),
+        F.col("child").alias("label"), none.alias("room"), F.concat(F.lit("N"), F.when(first != "R", F.substring("child", 2, 9))).alias("flat"), F.lit(0).alias("floor"))
     root = spark.createDataFrame([("WORLD", "reservoir", "source", "WORLD", None, None, 0)], own.schema)
-    sensors = tree.where("child LIKE 'N%'").select(F.concat(F.lit("p"), "child").alias("sensor_id"), F.col("child").alias("asset_id"), F.lit("pressure").alias("parameter"))
+    sensors = tree.where("child LIKE 'N%' OR child LIKE 'B%'").select(
+        F.concat(F.lit("s"), "child").alias("sensor_id"), F.col("child").alias("asset_id"), F.when(first == "N", "pressure").otherwise("flowrate").alias("parameter"))
     return retrieval.Building(own.union(root), tree, sensors)
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    """Pressure rows with their asset's nation instead of it."""
-    return df.where("parameter = 'pressure'").withColumn("asset_id", F.concat(F.lit("N"), F.substring("asset_id", 2, 2).cast("int").cast("string")))
-
-
-def _case(spark: SparkSession, d: str):
-    """The supply tree down to nations as a building, and the incidents' candidates placed on nations."""
-    building = _tree_building(spark, d)
-    place = F.concat(F.lit("N"), F.substring("asset_id", 2, 2).cast("int").cast("string"))
-    key = F.concat_ws("-", "scenario", "incident_no")
-    found = _members(spark, d)
-    heads = found.groupBy("scenario", "incident_no").agg(F.min("timestamp_s").alias("detected_at_s"), F.max("timestamp_s").alias("last_seen_s"))
-    heads = cut(heads.select(key.alias("incident"), "scenario", "detected_at_s", "last_seen_s"))
-    candidates = cut(detect.candidates(found).where("parameter = 'pressure'").withColumns({"incident": key, "asset_id": place}))
-    events = cut(detect.flag(_scored(spark, d), 1.5).where("parameter = 'pressure'").withColumn("asset_id", place))
-    named = retrieval.alarms(candidates, building)
-    rows = retrieval.classified(named, events, heads, building)
-    span, bounds = retrieval.suspect_spans(rows, building)
-    return building, heads, rows, retrieval.timelines(named, events, heads), span, bounds
+    """Pressures at the nation, and flows at the branch, of the asset's number."""
+    number = F.substring("asset_id", 2, 2).cast("int").cast("string")
+    return df.where("parameter IN ('pressure', 'flowrate')").withColumn("asset_id", F.concat(F.when(F.col("parameter") == "pressure", "N").otherwise("B"), number))
+
+
+def _case(spark: SparkSession, d: str) -> day.Evidence:
+    """The evidence of all incidents of the placed readings."""
+    observed = _placed(_observed(spark, d))
+    flagged = detect.flag(detect.residual_scores(observed, _placed(fx.expected(spark, d)), BY), 1.5)
+    return day.evidence(observed, flagged, _tree_building(spark, d))
 
 
 @query()
 def evidence_packets(spark, d):
-    building, heads, rows, series, span, bounds = _case(spark, d)
-    near = retrieval.context(rows, span, bounds, retrieval.low_tank_chains(rows, building), building)
-    return retrieval.packets(rows, near, series, heads, building)
+    return _case(spark, d).packets
 
 
 @query()
 def diagnoses(spark, d):
-    building, heads, rows, series, span, bounds = _case(spark, d)
-    out = diagnosis.diagnose(diagnosis.hypotheses(rows, series, span, bounds, heads, building))
+    """What the packets give by themselves."""
+    out = diagnosis.diagnose(diagnosis.from_packets(_case(spark, d).packets))
     return out.withColumn("alternatives", F.to_json("alternatives"))
 
 
 @query()
 def day_diagnoses(spark, d):
-    """Every incident of the placed pressure readings, with packet and diagnosis."""
+    """Every incident of the placed readings, with packet and diagnosis."""
     return day.run(_placed(_observed(spark, d)), _placed(fx.expected(spark, d)), _tree_building(spark, d), 1.5, by=BY)
 
 
