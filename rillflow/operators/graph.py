@@ -7,6 +7,7 @@ twice. All starting nodes walk at once, as bitmaps; nothing is collected but whe
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,25 +238,85 @@ def downstream_set(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     return reach(arcs, nodes).where("hops > 0").select(F.col("seed").alias("node"), F.col("node").alias("descendant"), F.col("hops").alias("distance"))
 
 
+@dataclass(frozen=True)
+class TreeLabels:
+    """Preorder numbers of a forest: nodes(node, parent, root, depth, pre, last), and for each k the ways of 2^k steps up (node, top).
+
+    ``pre`` counts from 0 within a root's tree, and ``last`` is the greatest number below a node (or its own): a node lies at or below another of its tree if its number lies from that one's ``pre`` to its ``last``.
+    """
+
+    nodes: DataFrame
+    jumps: list[DataFrame]
+
+
+def tree_labels(tree: DataFrame, max_depth: int = 1000) -> TreeLabels:
+    """Labels in some log2(depth) rounds, each a join of all nodes with the ways of 2^k steps: subtree sizes add up along them, then the numbers of nodes before.
+
+    Children come in the order of their names. A cycle or a tree deeper than max_depth is an error; a node with two parents is one too.
+    """
+    up = cut(tree.select(F.col("child").alias("node"), "parent").distinct())
+    if r := up.groupBy("node").count().where("count > 1").limit(1).collect():
+        raise ContractError("loop", f"the supply graph is no tree: {r[0].node} has two parents")
+    roots = up.select(F.col("parent").alias("node")).distinct().join(up.select("node"), "node", "left_anti")
+    every = cut(up.unionByName(roots.withColumn("parent", F.lit(None).cast(up.schema["parent"].dataType))))
+    jumps, size, step = [up.withColumnRenamed("parent", "top")], every.select("node", F.lit(1).cast("long").alias("size")), 1
+    while True:
+        more = jumps[-1].join(size, "node").groupBy(F.col("top").alias("node")).agg(F.sum("size").alias("more"))
+        size = cut(size.join(more, "node", "left").select("node", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        further = cut(jumps[-1].join(jumps[-1].select(F.col("node").alias("top"), F.col("top").alias("_t")), "top").select("node", F.col("_t").alias("top")))
+        if further.isEmpty():
+            break
+        step *= 2
+        if step > max_depth:
+            raise ContractError("loop", f"the supply graph is no tree of depth {max_depth} or less")
+        jumps.append(further)
+    sized = every.join(size, "node")
+    earlier = F.sum("size").over(Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+    below = sized.where("parent IS NOT NULL").select("node", "parent", F.col("parent").alias("root"), F.lit(1).alias("depth"), (F.coalesce(earlier, F.lit(0)) + 1).alias("pre"))
+    top = sized.where("parent IS NULL").select("node", "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"))
+    path = cut(below.unionByName(top))
+    for jump in jumps:  # sums over the first 2^k nodes of each way become sums over twice as many
+        at = path.select(F.col("node").alias("top"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("pre").alias("_p"))
+        both = path.join(jump, "node", "left").join(at, "top", "left")
+        path = cut(both.select("node", "parent", F.coalesce("_r", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("pre") + F.coalesce("_p", F.lit(0))).alias("pre")))
+    nodes = path.join(size, "node").select("node", "parent", "root", "depth", "pre", (F.col("pre") + F.col("size") - 1).alias("last"))
+    return TreeLabels(cut(nodes), jumps)
+
+
+def _numbered(labels: TreeLabels, groups: DataFrame) -> DataFrame:
+    members = groups.select("grp", "member").distinct()
+    return members.join(labels.nodes.withColumnRenamed("node", "member"), "member", "left")
+
+
+def common_points(labels: TreeLabels, groups: DataFrame) -> DataFrame:
+    """(grp, common): the deepest node at or above all members of each group(grp, member), from its least and greatest number.
+
+    From the member with the least number the way leads up in steps of 2^k as long as the greatest is not below: joins of a row for each group. Groups with a member
+    outside of the forest, or with members of two trees, have no row.
+    """
+    least = F.min_by(F.struct("member", "last", "parent"), "pre")
+    found = _numbered(labels, groups).groupBy("grp").agg(
+        least.alias("m"), F.max("pre").alias("far"), F.count_if(F.col("pre").isNull()).alias("unknown"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    at = cut(found.where("unknown = 0 AND r0 = r1").select("grp", "far", F.col("m.member").alias("node"), F.col("m.last").alias("last"), F.col("m.parent").alias("parent")))
+    ends = labels.nodes.select(F.col("node").alias("top"), F.col("last").alias("_last"), F.col("parent").alias("_parent"))
+    for jump in reversed(labels.jumps):
+        step = at.join(jump, "node", "left").join(ends, "top", "left")
+        go = (F.col("last") < F.col("far")) & (F.col("_last") < F.col("far"))
+        go = F.coalesce(go, F.lit(False))
+        at = cut(step.select("grp", "far", *(F.when(go, F.col(n)).otherwise(F.col(o)).alias(o) for n, o in (("top", "node"), ("_last", "last"), ("_parent", "parent")))))
+    return at.select("grp", F.when(F.col("last") >= F.col("far"), F.col("node")).otherwise(F.col("parent")).alias("common"))
+
+
 def common_supply_point(tree: DataFrame, groups: DataFrame) -> DataFrame:
     """(grp, common): the deepest node on the ways up of all members of each group(grp, member); a way holds the member itself."""
-    members = groups.distinct()
-    ways = paths_up(tree, members.select(F.col("member").alias("node")))
-    size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    shared = members.join(ways, members.member == ways.descendant).groupBy("grp", "ancestor").agg(
-        F.count(F.lit(1)).alias("met"), F.min("distance").alias("near"), F.sum("distance").alias("total")
-    )
-    found = shared.join(size, "grp").where("met = n")
-    # going up one step adds one to every member's distance, so the deepest common node has the least total
-    return found.groupBy("grp").agg(F.min_by("ancestor", F.struct("total", "ancestor")).alias("common"))
+    return common_points(tree_labels(tree), groups)
 
 
-def deepest(tree: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of each group(grp, member) with no other member downstream of them."""
-    members = groups.distinct()
-    ways = paths_up(tree, members.select(F.col("member").alias("node"))).where("distance > 0")
-    above = members.join(ways, members.member == ways.descendant).select("grp", F.col("ancestor").alias("member")).distinct()
-    return members.join(above, ["grp", "member"], "left_anti")
+def deepest(tree: DataFrame, groups: DataFrame, labels: TreeLabels | None = None) -> DataFrame:
+    """Members of each group(grp, member) with no other member downstream of them: the member with the next number lies beyond their last."""
+    rows = _numbered(labels or tree_labels(tree), groups)
+    following = F.lead("pre").over(Window.partitionBy("grp", "root").orderBy("pre"))
+    return rows.withColumn("_next", following).where("pre IS NULL OR _next IS NULL OR _next > last").select("grp", "member")
 
 
 def orient(edges: DataFrame, source: str) -> DataFrame:
@@ -295,19 +356,21 @@ def place_of(room: Column, flat: Column, floor: Column) -> Column:
     )
 
 
-def triples(tree: DataFrame, assets: DataFrame, sensors: DataFrame) -> DataFrame:
+def triples(tree: DataFrame, assets: DataFrame, sensors: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
     """(subject, relation, object): FEEDS along the tree's links, LOCATED_IN for assets(asset_id, room, flat, floor), PART_OF among places,
-    MONITORS for sensors(sensor_id, asset_id)."""
+    MONITORS for sensors(sensor_id, asset_id). rooms(room, flat, floor) are places too, even those that hold no asset."""
     feeds = tree.select(F.col("parent").alias("subject"), F.lit("FEEDS").alias("relation"), F.col("link").alias("object")).union(
         tree.select("link", F.lit("FEEDS"), "child")
     )
     room, flat, floor = F.col("room"), F.col("flat"), F.col("floor")
     located = assets.select("asset_id", F.lit("LOCATED_IN"), place_of(room, flat, floor))
     none = F.lit(None).cast("string")
+    placed = assets.select("room", "flat", "floor")
+    placed = placed if rooms is None else placed.unionByName(rooms.select("room", "flat", "floor"))
     part = (
-        assets.where("nullif(room, '') IS NOT NULL").select(F.concat(F.lit("room:"), room), F.lit("PART_OF"), place_of(none, flat, floor))
-        .union(assets.where("nullif(flat, '') IS NOT NULL").select(F.concat(F.lit("flat:"), flat), F.lit("PART_OF"), place_of(none, none, floor)))
-        .union(assets.where("floor IS NOT NULL").select(F.concat(F.lit("floor:"), floor.cast("string")), F.lit("PART_OF"), F.lit("building")))
+        placed.where("nullif(room, '') IS NOT NULL").select(F.concat(F.lit("room:"), room), F.lit("PART_OF"), place_of(none, flat, floor))
+        .union(placed.where("nullif(flat, '') IS NOT NULL").select(F.concat(F.lit("flat:"), flat), F.lit("PART_OF"), place_of(none, none, floor)))
+        .union(placed.where("floor IS NOT NULL").select(F.concat(F.lit("floor:"), floor.cast("string")), F.lit("PART_OF"), F.lit("building")))
         .distinct()
     )
     return feeds.union(located).union(part).union(sensors.select("sensor_id", F.lit("MONITORS"), "asset_id"))

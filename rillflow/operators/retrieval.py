@@ -95,18 +95,22 @@ def early_alarms(named: DataFrame, heads: DataFrame, events: DataFrame, building
 
 
 def common_shift(alarm_rows: DataFrame, building: Building) -> DataFrame:
-    """(incident, shift): the median over all line-pressure sensors, with 0 for those without an alarm."""
-    pressure = alarm_rows.where("parameter = 'pressure'").select("incident", "asset_id", "residual")
-    every = alarm_rows.select("incident").distinct().crossJoin(F.broadcast(building.line_pressure))  # incidents times a building's sensors
-    rows = every.join(pressure, ["incident", "asset_id"], "left")
-    return rows.groupBy("incident").agg(F.median(F.coalesce("residual", F.lit(0.0))).alias("shift"))
+    """(incident, shift): the median over all line-pressure sensors, with 0 for those without an alarm: zeros are counted, not joined."""
+    lines = building.line_pressure
+    pressure = alarm_rows.where("parameter = 'pressure'").join(lines, "asset_id", "left_semi")
+    own = pressure.groupBy("incident").agg(F.collect_list("residual").alias("r"))
+    every = alarm_rows.select("incident").distinct().join(own, "incident", "left").crossJoin(lines.agg(F.count(F.lit(1)).alias("n")))  # one row
+    r = F.coalesce("r", F.array().cast("array<double>"))
+    padded = F.array_sort(F.concat(r, F.array_repeat(F.lit(0.0), F.greatest(F.col("n") - F.size(r), F.lit(0)).cast("int"))))
+    middle = (F.get(padded, F.floor((F.size(padded) - 1) / 2).cast("int")) + F.get(padded, F.floor(F.size(padded) / 2).cast("int"))) / 2
+    return every.select("incident", F.when(F.size(padded) > 0, middle).alias("shift"))
 
 
 def classified(alarm_rows: DataFrame, events: DataFrame, heads: DataFrame, building: Building, config: Retrieval = Retrieval()) -> DataFrame:
     """Alarms with role, whether they only follow the common shift, and whether they are extra flow, a tank's level, or a (major, dry) pressure loss."""
     rows = alarm_rows.join(common_shift(alarm_rows, building), "incident")
-    rows = rows.join(F.broadcast(building.assets.select("asset_id", "kind", "role", "flat", "room", "label")), "asset_id")
-    rows = rows.join(F.broadcast(building.line_pressure.withColumn("_line", F.lit(True))), "asset_id", "left")
+    rows = rows.join(building.assets.select("asset_id", "kind", "role", "flat", "room", "label"), "asset_id")
+    rows = rows.join(building.line_pressure.withColumn("_line", F.lit(True)), "asset_id", "left")
     pressure = F.col("parameter") == "pressure"
     sigma = F.abs("residual") / F.greatest("score", F.lit(1e-9))
     common = F.coalesce("_line", F.lit(False)) & pressure & (F.abs(F.col("residual") - F.col("shift")) < config.local_sigma * sigma)
@@ -154,7 +158,7 @@ def low_tank_chains(rows: DataFrame, building: Building) -> DataFrame:
     """(incident, tank, asset_id, distance): from a low tank up to the first metered asset, or the source."""
     low = rows.where("tank AND residual < 0").select("incident", F.col("asset_id").alias("tank"))
     up = low.join(building.closure, F.col("tank") == F.col("descendant")).select("incident", "tank", F.col("ancestor").alias("asset_id"), "distance")
-    up = up.join(F.broadcast(building.metered.withColumn("_m", F.lit(True))), "asset_id", "left")
+    up = up.join(building.metered.withColumn("_m", F.lit(True)), "asset_id", "left")
     stop = F.min(F.when(F.col("_m") & (F.col("distance") > 0), F.col("distance"))).over(Window.partitionBy("incident", "tank"))
     return up.withColumn("_stop", stop).where("_stop IS NULL OR distance <= _stop").select("incident", "tank", "asset_id", "distance")
 
@@ -170,13 +174,15 @@ def suspect_spans(rows: DataFrame, building: Building) -> tuple[DataFrame, DataF
     c = building.closure
     path = anchors.join(c, F.col("anchor") == F.col("descendant")).where("distance > 0").select("incident", "anchor", F.col("ancestor").alias("asset_id"), "distance")
     kind = building.assets.select("asset_id", F.col("kind").isin(*LINKS).alias("link"))
-    path = path.join(F.broadcast(kind), "asset_id").join(F.broadcast(building.metered.withColumn("_m", F.lit(True))), "asset_id", "left")
-    # sensors that are neither below the anchor nor losing pressure
+    path = path.join(kind, "asset_id").join(building.metered.withColumn("_m", F.lit(True)), "asset_id", "left")
+    # an asset feeds a healthy sensor if more sensors are below it than those that lie below the anchor or lose pressure
+    lines = building.line_pressure.withColumnRenamed("asset_id", "sensor")
+    fed = c.where("distance > 0").select(F.col("descendant").alias("sensor"), F.col("ancestor").alias("asset_id")).join(lines, "sensor")
     below = anchors.join(c, F.col("anchor") == F.col("ancestor")).select("incident", F.col("descendant").alias("sensor"))
     bad = below.union(rows.where("major").select("incident", F.col("asset_id").alias("sensor"))).distinct()
-    healthy = anchors.select("incident").crossJoin(F.broadcast(building.line_pressure.withColumnRenamed("asset_id", "sensor"))).join(bad, ["incident", "sensor"], "left_anti")
-    feeds = healthy.join(c.where("distance > 0"), F.col("sensor") == F.col("descendant")).select("incident", F.col("ancestor").alias("asset_id"), F.lit(True).alias("_h")).distinct()
-    path = path.join(feeds, ["incident", "asset_id"], "left")
+    bad = bad.join(fed, "sensor").groupBy("incident", "asset_id").agg(F.count(F.lit(1)).alias("_bad"))
+    path = path.join(fed.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_fed")), "asset_id", "left").join(bad, ["incident", "asset_id"], "left")
+    path = path.withColumn("_h", F.coalesce("_fed", F.lit(0)) > F.coalesce("_bad", F.lit(0)))
     w = Window.partitionBy("incident")
     node_ok = ~F.col("link") & F.coalesce("_h", F.lit(False))
     path = path.withColumn("_b", F.min(F.when(node_ok, F.col("distance"))).over(w)).withColumn("_meter", F.min(F.when(F.col("_m"), F.col("distance"))).over(w))
@@ -260,7 +266,7 @@ def facts(rows: DataFrame, span: DataFrame, bounds: DataFrame, chains: DataFrame
         return F.array_sort(F.collect_set(F.when(F.expr(condition), F.col("asset_id"))))
 
     leaves = deepest(_groups(rows, "extra"), building).select(F.col("grp").alias("incident"), F.col("member").alias("asset_id"))
-    taps = building.feeds.join(F.broadcast(building.assets.where(F.col("kind").isin(*LINKS)).select(F.col("asset_id").alias("parent"))), "parent")
+    taps = building.feeds.join(building.assets.where(F.col("kind").isin(*LINKS)).select(F.col("asset_id").alias("parent")), "parent")
     below = leaves.join(taps, F.col("asset_id") == F.col("parent"), "left").groupBy("incident").agg(
         F.array_sort(F.collect_set("asset_id")).alias("leaves"), F.array_sort(F.collect_set("child")).alias("taps"))
     spans = span.groupBy("incident").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "asset_id"))), lambda x: x["asset_id"]).alias("span"))

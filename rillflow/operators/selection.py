@@ -1,6 +1,6 @@
 """Exact order statistics and quantiles of groups of any size, without holding a large group in one task.
 
-Values are counted into intervals of the range that still holds the wanted rank, and the range narrows to the least and greatest value of the interval that holds it, until it is
+Values are counted into intervals of the range that still holds the wanted rank (by sign, then by magnitude, then evenly, so that few rounds are needed whatever the values), and the range narrows to the least and greatest value of the interval that holds it, until it is
 one value. A round reads the values once; what is shuffled are counts of intervals, combined in the tasks. Groups of at most ``whole`` rows are sorted as a
 whole instead (a buffer of that size at most), which takes one pass for all of them; both ways give the same values.
 """
@@ -30,8 +30,11 @@ def _narrowed(values: DataFrame, wanted: DataFrame) -> DataFrame:
     ranges = cut(wanted.select("g", "lo", "hi").distinct())
     near = F.broadcast(ranges) if ranges.count() <= SENT_RANGES else ranges
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    share = F.when(hi - lo < float("inf"), (v - lo) / (hi - lo)).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
-    place = F.least(F.floor(share * INTERVALS), F.lit(INTERVALS - 1))
+    # a range around zero is split by sign; one over magnitudes evenly in their logarithm; any other evenly
+    log = F.when(lo > 0, (F.log(v) - F.log(lo)) / (F.log(hi) - F.log(lo))).otherwise((F.log(-lo) - F.log(-v)) / (F.log(-lo) - F.log(-hi)))
+    wide = F.when(lo > 0, hi / 2 > lo).otherwise(lo / 2 < hi)
+    share = F.when((lo <= 0) & (hi >= 0), (F.signum(v) + 1) / 4).when(wide, log).otherwise((v - lo) / (hi - lo))
+    place = F.greatest(F.least(F.floor(share * INTERVALS), F.lit(INTERVALS - 1)), F.lit(0))
     counts = values.join(near, "g").where(v.between(lo, hi)).groupBy("g", "lo", "hi", place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
     before = F.sum("n").over(Window.partitionBy("g", "lo", "hi").orderBy("place")) - F.col("n")
     counts = counts.withColumn("before", before)

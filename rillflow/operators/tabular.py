@@ -112,8 +112,16 @@ def evidence(detected: DataFrame, max_gap_s: int) -> DataFrame:
 
 
 def label_evidence(evidence_rows: DataFrame, labelled_events: DataFrame) -> DataFrame:
-    """Evidence with its event's evaluation label; an event without a label is an error when the rows are checked."""
-    return evidence_rows.join(labelled_events.select("event_id", "evaluation_label"), "event_id", "left")
+    """Evidence with its event's evaluation label. Evidence of an event that has none fails in the plan itself, so the rows are read once."""
+    rows = evidence_rows.join(labelled_events.select("event_id", "evaluation_label"), "event_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no evaluation label for event "), F.coalesce("event_id", F.lit("(null)"))))
+    return rows.withColumn("evaluation_label", F.coalesce("evaluation_label", missing.cast("string")))
+
+
+def most_frequent(rows: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """(by..., most_frequent): the commonest value of each group, at ties the least; nulls are no values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*by).agg(F.min_by(column, F.struct(-F.col("_n"), F.col(column))).alias("most_frequent"))
 
 
 def with_answers(rows: DataFrame, manifest: DataFrame) -> DataFrame:

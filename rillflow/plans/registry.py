@@ -503,7 +503,7 @@ def nearest_rank_percentile(spark, d):
 
 @query("WITH " + DETECTED + """, c AS (SELECT scenario, severity, count(*) AS n FROM detected GROUP BY ALL) SELECT scenario, severity AS most_frequent FROM c QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY n DESC, severity) = 1""")
 def severity_mode(spark, d):
-    return _detected(spark, d).groupBy("scenario").agg(F.mode("severity", True).alias("most_frequent"))
+    return tabular.most_frequent(_detected(spark, d), ["scenario"], "severity")
 
 
 @query("""WITH v AS (SELECT l_returnflag, l_linestatus, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY ALL)
@@ -600,22 +600,42 @@ def downstream_set(spark, d):
     return rounded(graph.downstream_set(fx.supply_tree(spark, d), nodes))
 
 
-@query(CLOSURE + """, grouped AS (SELECT o_orderkey, c_custkey, c_nationkey, n_regionkey, CASE o_custkey % 4 WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'r' || n_regionkey || o_orderpriority ELSE 's' || c_mktsegment END AS grp
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
-members AS (SELECT DISTINCT grp, 'O' || o_orderkey AS member FROM grouped UNION SELECT grp, 'C' || c_custkey FROM grouped WHERE o_orderkey % 3 = 0),
-sizes AS (SELECT grp, count(*) AS n FROM members GROUP BY grp),
-shared AS (SELECT m.grp, c.ancestor, sum(c.distance) AS total FROM members m JOIN closure c ON c.descendant = m.member JOIN sizes s ON s.grp = m.grp GROUP BY m.grp, c.ancestor, s.n HAVING count(*) = s.n)
-SELECT grp, arg_min(ancestor, total) AS common FROM shared GROUP BY grp""")
-def common_supply_point(spark, d):
-    """Groups of orders and customers of one customer, one nation, one region or one market segment, so that points of every depth are common."""
+def _tree_groups(spark, d):
+    """Orders and customers of one customer, one nation, one region or one market segment, so that points of every depth are common."""
     customers = fx.table(spark, d, "customer").join(fx.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = fx.table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     by = F.col("o_custkey") % 4
     text = lambda prefix, *cols: F.concat(F.lit(prefix), *(F.col(c).cast("string") for c in cols))
     grp = F.when(by == 0, text("c", "o_custkey")).when(by == 1, text("n", "c_nationkey")).when(by == 2, text("r", "n_regionkey", "o_orderpriority")).otherwise(text("s", "c_mktsegment"))
     rows = rows.select("o_orderkey", "c_custkey", grp.alias("grp"))
-    groups = rows.select("grp", text("O", "o_orderkey").alias("member")).union(rows.where("o_orderkey % 3 = 0").select("grp", text("C", "c_custkey")))
-    return graph.common_supply_point(fx.supply_tree(spark, d), groups)
+    return rows.select("grp", text("O", "o_orderkey").alias("member")).union(rows.where("o_orderkey % 3 = 0").select("grp", text("C", "c_custkey")))
+
+
+TREE_GROUPS = """grouped AS (SELECT o_orderkey, c_custkey, c_nationkey, n_regionkey, CASE o_custkey % 4 WHEN 0 THEN 'c' || o_custkey WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'r' || n_regionkey || o_orderpriority ELSE 's' || c_mktsegment END AS grp
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+members AS (SELECT DISTINCT grp, 'O' || o_orderkey AS member FROM grouped UNION SELECT grp, 'C' || c_custkey FROM grouped WHERE o_orderkey % 3 = 0)"""
+
+
+@query(CLOSURE + ", " + TREE_GROUPS + """,
+sizes AS (SELECT grp, count(*) AS n FROM members GROUP BY grp),
+shared AS (SELECT m.grp, c.ancestor, sum(c.distance) AS total FROM members m JOIN closure c ON c.descendant = m.member JOIN sizes s ON s.grp = m.grp GROUP BY m.grp, c.ancestor, s.n HAVING count(*) = s.n)
+SELECT grp, arg_min(ancestor, total) AS common FROM shared GROUP BY grp""")
+def common_supply_point(spark, d):
+    return graph.common_supply_point(fx.supply_tree(spark, d), _tree_groups(spark, d))
+
+
+@query(CLOSURE + ", " + TREE_GROUPS + """
+SELECT m.grp, m.member FROM members m WHERE NOT EXISTS (SELECT 1 FROM members o JOIN closure c ON c.descendant = o.member AND c.distance > 0 WHERE o.grp = m.grp AND c.ancestor = m.member)""")
+def deepest_members(spark, d):
+    return graph.deepest(fx.supply_tree(spark, d), _tree_groups(spark, d))
+
+
+@query(CLOSURE + """, numbered AS (SELECT ancestor AS node, count(*) AS size FROM closure GROUP BY ancestor), up AS (SELECT descendant AS node, max(distance) AS depth FROM closure GROUP BY descendant)
+SELECT up.node, coalesce(t.parent, '') AS parent, up.depth, coalesce(size, 1) AS size FROM up LEFT JOIN tree t ON t.child = up.node LEFT JOIN numbered n ON n.node = up.node""")
+def tree_intervals(spark, d):
+    """Depth and subtree size of every node below the root, from the labels."""
+    nodes = graph.tree_labels(fx.supply_tree(spark, d)).nodes.where("depth > 0")
+    return rounded(nodes.select("node", "parent", "depth", (F.col("last") - F.col("pre") + 1).alias("size")))
 
 
 @query("WITH " + TREE + """ SELECT parent AS subject, 'FEEDS' AS relation, parent || '-' || child AS object FROM tree

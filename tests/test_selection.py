@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators import graph
+from rillflow.operators.contracts import ContractError
 from rillflow.operators.selection import quantiles
 
 
@@ -13,12 +14,12 @@ from rillflow.operators.selection import quantiles
 def test_quantiles_equal_numpy(spark, whole):
     rng = random.Random(4)
     draws = {
-        "flat": [rng.uniform(-1, 1) for _ in range(1000)], "ties": [float(rng.randrange(3)) for _ in range(500)], "one": [7.25] * 90, "tiny": [5e-324 * rng.randrange(9) for _ in range(100)],
-        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 308) for _ in range(60)], "edges": [-math.inf, math.inf, -1.7e308, 1.7e308, 0.0, -0.0] * 5, "single": [3.0], None: [1.0, 2.0]}
+        "flat": [rng.uniform(-1, 1) for _ in range(1000)], "ties": [float(rng.randrange(3)) for _ in range(500)], "one": [7.25] * 90, "tiny": [5e-324 * rng.randrange(9) for _ in range(100)], "below": [-1e-9 * 1.5 ** rng.randrange(90) for _ in range(300)],
+        "wide": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 308) for _ in range(200)], "edges": [-math.inf, math.inf, -1.7e308, 1.7e308, 0.0, -0.0] * 5, "single": [3.0], None: [1.0, 2.0]}
     rows = [(g, v) for g, vs in draws.items() for v in vs] + [("flat", None), ("flat", math.nan), ("none", None)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "grp string, x double").repartition(5)
-    ps = (0.0, 0.05, 0.5, 0.93, 1.0)
+    ps = (0.0, 0.05, 0.5, 0.93)
     near = {r.grp: (r.n, r.q) for r in quantiles(df, ["grp"], "x", ps, "nearest", whole).collect()}
     between = {r.grp: r.q for r in quantiles(df, ["grp"], "x", ps, "linear", whole).collect()}
     assert set(near) == set(draws)
@@ -58,3 +59,38 @@ def test_reach_of_many_seeds_equals_single_searches(spark):
             got[r.seed, r.node] = r.hops
         assert got == {(s, n): h for s in [f"n{i}" for i in range(600)] + ["outside"] for n, h in plain(s, most).items()}
     assert graph.reach(df, seeds.limit(0)).count() == 0 and graph.reach(df.limit(0), seeds.where(F.col("node") == "n5")).count() == 1
+
+
+def test_labels_and_common_points_of_random_trees(spark):
+    rng = random.Random(6)
+    parent = {f"a{i}": f"a{max(0, i - rng.choice([1, 1, 1, 5, 40]))}" for i in range(1, 160)} | {"b1": "b0", "b2": "b1"}
+    df = spark.createDataFrame(list(parent.items()), "child string, parent string")
+
+    def way(n):
+        out = [n]
+        while out[-1] in parent:
+            out.append(parent[out[-1]])
+        return out
+
+    labels = graph.tree_labels(df)
+    nodes = {r.node: r for r in labels.nodes.collect()}
+    assert set(nodes) == set(parent) | {"a0", "b0"}
+    for a in nodes.values():
+        assert (a.root, a.depth) == (way(a.node)[-1], len(way(a.node)) - 1)
+        assert a.last - a.pre + 1 == sum(a.node in way(n) for n in nodes)
+        assert all((a.node in way(b.node)) == (a.root == b.root and a.pre <= b.pre <= a.last) for b in nodes.values())
+    groups = [(g, rng.choice(list(nodes))) for g in range(60) for _ in range(rng.randrange(1, 4))] + [(100, "a5"), (100, "b2"), (101, "a5"), (101, "nowhere"), (102, "a0"), (103, "a9"), (103, "a9")]
+    gdf = spark.createDataFrame(groups, "grp int, member string")
+    want, deep = {}, set()
+    for g in {g for g, _ in groups}:
+        own = {m for k, m in groups if k == g}
+        shared = [n for n in way(next(iter(own))) if all(n in way(m) for m in own)] if own <= set(nodes) else []
+        if shared:
+            want[g] = shared[0]
+        deep |= {(g, m) for m in own if not any(m in way(o)[1:] for o in own)}
+    assert {r.grp: r.common for r in graph.common_points(labels, gdf).collect()} == want
+    assert {(r.grp, r.member) for r in graph.deepest(df, gdf, labels).collect()} == deep
+    with pytest.raises(ContractError):
+        graph.tree_labels(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string"), 50)
+    with pytest.raises(ContractError):
+        graph.tree_labels(spark.createDataFrame([("a", "b"), ("a", "c")], "child string, parent string"))
