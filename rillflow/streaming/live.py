@@ -11,7 +11,6 @@ are given back with that role and change nothing.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
