@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.columns import phase
+from rillflow.operators.graph import ranked_first
 from rillflow.operators.selection import quantiles
 
 
@@ -138,9 +139,14 @@ def hits_at(candidates: DataFrame, truth: DataFrame, ks: Sequence[int] = (1, 3,
 
 
 def all_and_each(rows: DataFrame, by: str, **aggregates) -> DataFrame:
-    """The aggregates over all rows (``by`` is 'all') and for each value of by, in one pass."""
-    out = rows.rollup(by).agg(F.grouping(by).alias("_all"), *(v.alias(k) for k, v in aggregates.items()))
-    return out.withColumn(by, F.when(F.col("_all") == 1, "all").otherwise(F.col(by))).drop("_all")
+    """The aggregates over all rows (``by`` is 'all') and for each value of by, in one pass. Without rows there is still the one of 'all', as of any whole table."""
+    aggregates = [v.alias(k) for k, v in aggregates.items()]
+    out = rows.rollup(by).agg(F.grouping(by).cast("int").alias("_all"), *aggregates)
+    # a rollup of no rows has no total; this one, of nothing, reads nothing and gives way to a total that is there
+    nothing = rows.where(F.lit(False)).agg(*aggregates).select(F.lit(None).cast(rows.schema[by].dataType).alias(by), F.lit(1).alias("_all"), "*")
+    both = out.withColumn("_spare", F.lit(False)).unionByName(nothing.withColumn("_spare", F.lit(True)))
+    one = ranked_first(both, ["_all", by], "_spare")
+    return one.withColumn(by, F.when(F.col("_all") == 1, "all").otherwise(F.col(by))).drop("_all", "_spare")
 
 
 def nearest_rank(rows: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
