@@ -199,3 +199,14 @@ def test_snapshot_contract(spark):
         with pytest.raises(contracts.ContractError) as x:
             contracts.check_snapshot(rows.union(spark.createDataFrame([bad], READINGS_DDL)), v, e)
         assert x.value.rule == rule
+
+
+def test_a_search_keeps_parts_of_a_graph_in_blocks_of_their_own(spark):
+    """Two parts of 1,200 seeds with names that alternate: each node meets the bitmaps of its own part's seeds, and the pairs are those of both parts."""
+    arcs = spark.range(2400).select(F.format_string("a%05d", "id").alias("src"), F.format_string("z%d", F.col("id") % 2).alias("dst"))
+    seeds = arcs.select(F.col("src").alias("node"))
+    blocks = graph._blocks(arcs, seeds).groupBy("block").agg(F.count_distinct(F.substring("seed", 6, 1).cast("int") % 2).alias("parts"), F.count("seed").alias("n")).collect()
+    assert sum(b.n for b in blocks) == 2400 and max(b.n for b in blocks) <= 512
+    assert sum(b.parts == 2 for b in blocks) <= 1
+    pairs = graph.downstream(arcs, seeds).collect()
+    assert sorted((r.seed, r.node, r.hops) for r in pairs) == [(f"a{i:05d}", f"z{i % 2}", 1) for i in range(2400)]
