@@ -123,3 +123,27 @@ def test_labels_are_the_same_where_few_rows_of_a_key_may_meet(spark, monkeypatch
             up = parent[up]
             under[up].add(n)
     assert [m for g, m in apart[3] if g == "all"] == sorted(n for n in nodes if len(under[n]) == 1)
+
+
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_components_by_merging(spark, monkeypatch, hot):
+    """A chain, a star, rings, parallel links, loops, lone nodes and links to strangers: each node's component is its least node, however few rows of a key may meet."""
+    monkeypatch.setattr(graph, "HOT", hot)
+    rng = random.Random(8)
+    links = [(f"c{i}", f"c{i + 1}") for i in range(60)] + [("s0", f"s{i}") for i in range(1, 40)] + [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    links += [("p1", "p2"), ("p2", "p1"), ("p1", "p1"), ("x1", "stranger"), ("x2", "stranger"), ("x2", "x3"), ("c3", None)]
+    links += [(f"m{rng.randrange(90)}", f"m{rng.randrange(90)}") for _ in range(70)]
+    nodes = {n for link in links for n in link} - {"stranger", None} | {f"m{i}" for i in range(90)} | {"alone"}
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in links:
+            if a in nodes and b in nodes:
+                label[a] = label[b] = min(label[a], label[b])
+    v = spark.createDataFrame([(n,) for n in nodes], "asset_id string")
+    e = spark.createDataFrame([(str(i), *link) for i, link in enumerate(links)], "asset_id string, start string, end string")
+    assert {tuple(r) for r in graph.components(e, v).collect()} == set(label.items())
+    assert tuple(graph.topology_summary(v, e).first()) == (len(nodes), len(set(label.values())), len(links), False)
+    # what hangs on one node goes in the first round; a link of two nodes may be left
+    counts = [s.count() for s in graph._merges(e.where("start = 's0'"), v)]
+    assert counts[0] == 40 and counts[2:] in ([], [2, 0])
+    assert graph.components(e.limit(0), v).where("component <> asset_id").isEmpty()
