@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillflow.llm import decontaminate, langid, near_copies, packing, quality, simhash
-from rillflow.llm.common import carried, discard, store, tidy_shuffles
+from rillflow.llm.common import carried, discard, scratch, store, tidy_shuffles
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, stages=STAGES) -> DataFrame:
-    """All stages over the documents table, each one's rows written to the shared folder for the next; a stage's rows go once the next has written its own."""
+    """All stages over the documents table, each one's rows written to the shared folder for the next; a stage's rows, and what it stored on the way, go once the next has written its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in stages[:-1]:
-        with tidy_shuffles(spark):
-            kept = store(stage(spark, docs, sf_dir))
+        with tidy_shuffles(spark), scratch() as keep:
+            kept = keep(store(stage(spark, docs, sf_dir)))
         discard(docs)
         docs = kept
     return stages[-1][1](spark, docs, sf_dir)

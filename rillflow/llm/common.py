@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -58,17 +59,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _stored: dict[str, SparkSession] = {}
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("_scratch", default=None)
 
 
 def store(df: DataFrame) -> DataFrame:
     """Like ``cut``, but as a compressed table in the shared folder, for what would be large as a checkpoint.
 
-    The tables are deleted by ``discard``, or when the driver's Python ends.
+    The tables are deleted by ``discard``, at the end of ``scratch``, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
     _stored[path] = spark
+    if (here := _scratch.get()) is not None:
+        here.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
@@ -88,6 +92,24 @@ def discard(*tables: DataFrame) -> None:
         _delete(getattr(table, "_stored_at", ""))
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored while this lasts go at its end, but for those given to the function that it yields."""
+    held: list[str] = []
+    token = _scratch.set(held)
+
+    def keep(table: DataFrame) -> DataFrame:
+        held.remove(table._stored_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for path in held:
+            _delete(path)
+
+
 @atexit.register
 def _delete_stored() -> None:
     for path in list(_stored):

@@ -3,8 +3,9 @@
 Two texts link if ``100 * intersection >= percent * union`` of their sets of word n-grams (five words, 80 percent, unless asked otherwise). Steps:
 
 1. *Met tokens.* Each task sends the n-grams' hashes, many to a row, to the part of their hash; a part counts for each text how many of its n-grams
-   other texts hold too. Of two linked sets, each has at least ``percent`` of its n-grams from the other, so a text with fewer such n-grams links with nothing and goes no further.
-   (A part compares 32 bits of each hash; a chance collision can only keep a text that goes later.)
+   other rows hold too. Of two linked sets, each has at least ``percent`` of its n-grams from the other, so a text with fewer such n-grams links with nothing and goes no further (a text with copies does, once).
+   (A part compares 32 bits of each hash; a chance collision can only keep a text that goes later.) The sizes of the sets go the same way, so texts are read once for both, and an
+   n-gram takes the same few bytes whatever the number of parts.
 2. *Prefixes.* The kept texts' n-grams are ordered by how many texts hold them, the rarest first, and fall into classes by that count: class 1 (rare), 2 and 3.
    Class k is indexed by combinations of k n-grams of one bin, a bin being a hash of the n-gram. A prefix is extended until it has gained more than the text may lack: an n-gram of class 1
    gains one, one of class k from the k-th of its bin on. Two linked texts then share a combination: the text whose prefix ends first lacks fewer of the other's n-grams than it gained.
@@ -32,6 +33,8 @@ from rillflow.llm.common import body, components, cut, map_arrow, slices, space_
 
 #: Up to this many texts an n-gram is of class 1, then of class 2, and beyond the second of class 3.
 CLASSES = (32, 1024)
+#: Texts to a slice whose n-grams are sent together (their places fit in two bytes), and parts to a task, so that tasks get like shares.
+SLICE, SHARE = 512, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,86 +76,111 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def _home(base: np.ndarray, parts: int) -> np.ndarray:
+    """The parts that sum up slices of texts, by their first numbers."""
+    return (_mix(base.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def sent(texts: DataFrame, words: int, parts: int) -> DataFrame:
-    """(part, keys, counts, low): of a batch of (key, text), the texts with n-grams in the part, how many, and four bytes of each's hash."""
+    """Of (id, key, text): (part, base, owner, low), a row for each slice of 512 texts and part, with the place in the slice and four bytes of the hash of each n-gram.
+
+    Texts are numbered: a slice's first number is base. So an n-gram takes six bytes, however many parts there are. A row more
+    for each slice (ids, keys, n) holds its ids, keys and sets' sizes, and goes to the part that sums the slice up.
+    """
+    from pyspark import TaskContext
+
+    kind = np.uint16 if parts <= 1 << 16 else np.int64  # numpy sorts 16 bits by counting
+
+    def pieces(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in slices(batches, 512):
-            keys, each = [], []
-            for key, raw in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                if len(x := grams(raw or b"", words, known)):
-                    keys.append(key)
-                    each.append(x)
-            if not keys:
-                continue
-            owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
+        known, base = _Words(), TaskContext.get().partitionId() << 36
+        for batch in slices(batches, SLICE):
+            each = [grams(raw or b"", words, known) for raw in batch.column("text").cast(pa.binary()).to_pylist()]
+            sizes = np.array([len(x) for x in each], dtype="<u4")
             all_ = np.concatenate(each)
-            part = ((all_ >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            part = ((all_ >> np.uint64(40)) % np.uint64(parts)).astype(kind)
             order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(parts + 1))
-            names = np.frombuffer(b"".join(keys), dtype="V16")
-            out = []
-            for p in range(parts):
-                if at[p] < at[p + 1]:
-                    own = order[at[p] : at[p + 1]]
-                    have, counts = np.unique(owner[own], return_counts=True)
-                    out.append((p, names[have].tobytes(), counts.astype("<u4").tobytes(), all_[own].astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2, 3))], names=["part", "keys", "counts", "low"])
-
-    return map_arrow(texts, run, "part int, keys binary, counts binary, low binary")
+            count = np.bincount(part, minlength=parts)
+            some = np.flatnonzero(count)
+            at = np.r_[0, np.cumsum(count[some])]
+            owner = np.repeat(np.arange(len(each), dtype="<u2"), sizes)[order]
+            none = len(some)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[some, _home(np.array([base]), parts)].astype(np.int32)),
+                    pa.array(np.full(none + 1, base)),
+                    pa.concat_arrays([pieces(owner, at), pa.nulls(1, pa.binary())]),
+                    pa.concat_arrays([pieces(all_[order].astype("<u4"), at), pa.nulls(1, pa.binary())]),
+                    pa.concat_arrays([pa.nulls(none, pa.list_(pa.int64())), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64()))]),
+                    pa.array([None] * none + [b"".join(batch.column("key").to_pylist())], pa.binary()),
+                    pa.array([None] * none + [sizes.tobytes()], pa.binary()),
+                ],
+                names=["part", "base", "owner", "low", "ids", "keys", "n"],
+            )
+            base += SLICE
+
+    return map_arrow(texts, run, "part int, base long, owner binary, low binary, ids array<long>, keys binary, n binary")
 
 
 def met(dealt: DataFrame, parts: int) -> DataFrame:
-    """(key, met): how many of a text's n-grams are in another text as well, for texts that have any."""
+    """(id, key, n, met) of every text: the size of its set, and how many of its n-grams are in another row as well (of copies: all)."""
+    kinds = {"part": pa.int32(), "base": pa.int64(), "owner": pa.binary(), "met": pa.binary(), "ids": pa.list_(pa.int64()), "keys": pa.binary(), "n": pa.binary()}
+
+    def batch_of(*rows: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, low, part = [], [], [], []
+        places, low, heads = [], [], []
         for batch in batches:
-            for p, k, c, x in zip(*(batch.column(n).to_pylist() for n in ("part", "keys", "counts", "low"))):
-                keys.append(k)
-                counts.append(c)
-                low.append(x)
-                part.append((p, len(x) // 4))
-        if not keys:
+            for p, base, owner, x, ids, keys, n in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "owner", "low", "ids", "keys", "n"))):
+                if keys is not None:
+                    yield batch_of((p, base, None, None, ids, keys, n))
+                else:
+                    places.append(owner)
+                    low.append(x)
+                    heads.append((p, base, len(x) // 4))
+        if not heads:
             return
-        name, text = np.unique(np.frombuffer(b"".join(keys), dtype=">u8").reshape(-1, 2), axis=0, return_inverse=True)
-        owner = np.repeat(text.reshape(-1), np.frombuffer(b"".join(counts), dtype="<u4"))
-        token = np.frombuffer(b"".join(low), dtype="<u4").astype(np.uint64) | np.repeat(np.array([p for p, _ in part], dtype=np.uint64) << np.uint64(32), [n for _, n in part])
-        del keys, counts, low
+        part, base, each = (np.array(c, dtype=np.int64) for c in zip(*heads))
+        owner = np.frombuffer(b"".join(places), dtype="<u2") + np.repeat(base, each)
+        token = np.frombuffer(b"".join(low), dtype="<u4").astype(np.uint64) | np.repeat(part.astype(np.uint64) << np.uint64(32), each)
+        del places, low, heads
         order = np.argsort(token)
         token, owner = token[order], owner[order]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        shared = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        held = np.repeat(shared, np.diff(np.r_[first, len(token)]))
-        token, owner = token[held], owner[held]
-        if not len(token):
-            return
-        step = np.lexsort((owner, token))  # a text counts once for an n-gram, however many copies of it there are
-        token, owner = token[step], owner[step]
-        once = np.r_[True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])]
-        n = np.bincount(owner[once], minlength=len(name))
-        some = np.flatnonzero(n)
-        to = (name[some, 0] % np.uint64(parts)).astype(np.int64)
-        for p in np.unique(to):
-            own = some[to == p]
-            yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([name[own].astype(">u8").tobytes()], pa.binary()), pa.array([n[own].astype("<u4").tobytes()], pa.binary())], names=["part", "keys", "counts"])
+        held = np.repeat(np.diff(np.r_[first, len(token)]) > 1, np.diff(np.r_[first, len(token)]))  # a text has an n-gram once
+        texts, n = np.unique(owner[held], return_counts=True)
+        to = _home(texts // SLICE * SLICE, parts)
+        order = np.argsort(to, kind="stable")
+        texts, n, to = texts[order], n[order].astype("<u4"), to[order]
+        at = np.r_[np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)] if len(to) else [0]
+        for a, b in zip(at[:-1], at[1:]):
+            yield batch_of((int(to[a]), None, texts[a:b].tobytes(), n[a:b].tobytes(), None, None, None))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        texts, counts, held = [], [], []
         for batch in batches:
-            keys += batch.column("keys").to_pylist()
-            counts += batch.column("counts").to_pylist()
-        if keys:
-            name, text = np.unique(np.frombuffer(b"".join(keys), dtype=">u8").reshape(-1, 2), axis=0, return_inverse=True)
-            n = np.bincount(text.reshape(-1), weights=np.frombuffer(b"".join(counts), dtype="<u4"), minlength=len(name)).astype(np.int64)
-            raw = name.astype(">u8").tobytes()
-            for at in range(0, len(n), 10_000):
-                end = min(at + 10_000, len(n))
-                yield pa.RecordBatch.from_arrays([pa.array([raw[16 * i : 16 * i + 16] for i in range(at, end)], pa.binary()), pa.array(n[at:end])], names=["key", "met"])
-
-    some = map_arrow(dealt.repartition(parts, "part"), count, "part int, keys binary, counts binary")
-    return map_arrow(some.repartition(parts, "part"), add, "key binary, met long")
+            for base, owner, n_met, ids, keys, n in zip(*(batch.column(c).to_pylist() for c in ("base", "owner", "met", "ids", "keys", "n"))):
+                if keys is not None:
+                    held.append((base, ids, keys, n))
+                else:
+                    texts.append(owner)
+                    counts.append(n_met)
+        text, place = np.unique(np.frombuffer(b"".join(texts), dtype="<i8"), return_inverse=True)
+        total = np.bincount(place, weights=np.frombuffer(b"".join(counts), dtype="<u4"), minlength=len(text)).astype(np.int64)
+        text, total = np.append(text, np.iinfo(np.int64).max), np.append(total, 0)
+        for base, ids, keys, n in held:
+            own = base + np.arange(len(ids))
+            at = np.searchsorted(text, own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([keys[16 * i : 16 * i + 16] for i in range(len(ids))], pa.binary()), pa.array(np.frombuffer(n, dtype="<u4").astype(np.int64)), pa.array(np.where(text[at] == own, total[at], 0))],
+                names=["id", "key", "n", "met"],
+            )
+
+    some = map_arrow(dealt.repartition(max(1, parts // SHARE), "part"), count, "part int, base long, owner binary, met binary, ids array<long>, keys binary, n binary")
+    return map_arrow(some.repartition(max(1, parts // SHARE), "part"), add, "id long, key binary, n long, met long")
 
 
 def _need(n: int, percent: int) -> int:
@@ -249,18 +277,11 @@ def classes(texts: DataFrame, percent: int = 80, words: int = 5) -> tuple[DataFr
     key: the MD5 digest of the text as 16 bytes; n: the size of its set.
     """
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = texts.withColumn("key", _key())
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in slices(batches, 1024):
-            n = [len(grams(raw or b"", words, known)) for raw in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64())], names=["id", "key", "n"])
-
-    rows = cut(map_arrow(keyed, sizes, "id long, key binary, n long"))
-    counted = met(sent(keyed.select("key", "text"), words, parts), parts)
-    kept = cut(counted.join(rows.groupBy("key").agg(F.min("n").alias("n")), "key").where(100 * F.col("met") >= percent * F.col("n")).select("key"))
+    counted = cut(met(sent(keyed, words, parts), parts))
+    rows = counted.select("id", "key", "n")
+    kept = counted.where(100 * F.col("met") >= percent * F.col("n")).where("n > 0").select("key")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()

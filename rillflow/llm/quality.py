@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from rillflow.llm.common import cut
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACES = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
+SYMBOL = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order."""
-    return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * (len(SPACES) - 1)), " ", -1), "")
+    return F.array_remove(F.split(text, SPACES, -1), "")
 
 
 def _repeated(words: Column, width: int = 8) -> Column:
@@ -91,22 +92,22 @@ def measured(docs: DataFrame, text_col: str = "text", prefix: str = "_m_") -> Da
     """The rows with one more column, a struct of counts and measures of the whole text. A null text has no words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
-    def without(t: Column, chars: str) -> Column:
-        return F.length(F.translate(t, chars, "")).cast("long")
+    def times(t: Column, pattern: str) -> Column:
+        return F.regexp_count(t, F.lit(pattern)).cast("long")
 
     def counts(t: Column) -> Column:
         def of_words(w: Column) -> Column:
-            lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+            lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
             return let(
                 lines,
                 lambda ls: F.struct(
                     F.size(w).cast("long").alias("n_words"),
-                    without(t, SPACES).alias("word_chars"),
-                    (F.length(t) - without(t, SYMBOLS)).alias("n_symbols"),
+                    F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                    times(t, SYMBOL).alias("n_symbols"),
                     (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                     _repeated(w).alias("n_repeat_words"),
                     F.size(ls).cast("long").alias("n_lines"),
-                    (F.length(t) - without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_upper"),
+                    times(t, "[A-Z]").alias("n_upper"),
                 ),
             )
 
