@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,21 @@ def test_a_search_keeps_parts_of_a_graph_in_blocks_of_their_own(spark):
     assert sum(b.parts == 2 for b in blocks) <= 1
     pairs = graph.downstream(arcs, seeds).collect()
     assert sorted((r.seed, r.node, r.hops) for r in pairs) == [(f"a{i:05d}", f"z{i % 2}", 1) for i in range(2400)]
+
+
+def test_a_search_deals_the_pairs_of_one_block_to_many_tasks(spark, monkeypatch):
+    """40 seeds in one block reach 4,000 nodes in one to three hops: their pairs are made by many tasks, none with much of them, and the hops are right."""
+    monkeypatch.setattr(graph, "LOT", 1000, raising=False)
+    rows = [(f"s{i:02d}", "m0") for i in range(40)] + [("m0", f"m{k}") for k in (1, 2)] + [(f"m{1 + k % 2}", f"t{k}") for k in range(4000)]
+    arcs = spark.createDataFrame(rows, "src string, dst string")
+    seeds = arcs.where("dst = 'm0'").select(F.col("src").alias("node"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = graph.downstream(arcs, seeds).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, was)
+    near = {"m0": 1, "m1": 2, "m2": 2} | {f"t{k}": 3 for k in range(4000)}
+    assert len(got) == 40 * len(near) and {(r.seed, r.node, r.hops) for r in got} == {(f"s{i:02d}", n, h) for i in range(40) for n, h in near.items()}
+    assert max(Counter(r.task for r in got).values()) < len(got) / 4
